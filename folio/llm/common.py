@@ -45,3 +45,21 @@ def worker_cache() -> dict:
     """A dict that lives as long as the Python worker, for models that are costly to load."""
     holder = sys.modules.setdefault("folio_worker_cache", types.ModuleType("folio_worker_cache"))
     return holder.__dict__.setdefault("entries", {})
+
+
+def held_out(doc_id) -> "Column":  # noqa: F821
+    """Rows whose labels may not be learnt from."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, size: int) -> DataFrame:
+    """(doc_id, text, label): at most `size` labelled documents that aren't held out, chosen by a hash of doc_id.
+
+    The chosen ids are at most `size` rows, so they are broadcast to the one scan of the texts; the sample is written
+    to the shared folder.  Several labels of one doc_id count as their maximum; null labels and ids don't count.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy(F.col("doc_id").alias("__id")).agg(F.max(label).cast("int").alias("label"))
+    chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(size)
+    picked = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "label")
+    return durable(picked.dropDuplicates(["doc_id"]), "sample")

@@ -2,11 +2,10 @@
 
 Voters are mined from a bounded sample of labelled rows: words and word beginnings that go with the label (lexicon
 voters), and beginnings that several different words of one text share (pattern voters).  A voter votes or abstains.
-The label model has a hidden class for each document and, for each voter, its rate of voting in either class; the
-rates are estimated by expectation maximisation, the given label being one more (noisy) voter.  Voters that go
-together within a class would count one piece of evidence many times, so each vote is divided by the voter's summed
-correlation with the others, re-estimated in every round.  The posterior of the hidden class, not the given label,
-trains a logistic regression over the voters' counts, and that linear classifier scores every document.
+The label model has a hidden class for each document; the voters' rates in either class and their covariances within a class
+are estimated by expectation maximisation, the given label being one more (noisy) voter.  The posterior of the hidden
+class, not the given label, trains a logistic regression over the voters' counts, and that linear classifier scores
+every document.
 
 Defined results: null and empty texts have no votes and get the classifier's intercept; repeated rows each get a
 row; without labelled rows every score is 0; an empty table gives an empty result.  Columns other than doc_id and
@@ -26,9 +25,9 @@ from pyspark.sql import types as T
 
 from . import common
 
-SAMPLE = 12000  # labelled rows that the model may be fitted on
+SAMPLE = 9000  # labelled rows that the model may be fitted on
 PREFIXES = (4, 5, 6, 7)  # lengths of word beginnings
-CANDIDATES, VOTERS = 2000, 160
+CANDIDATES, VOTERS, PER_STEM = 4000, 240, 6
 LEAST_SUPPORT = 4
 LEVELS = 3  # a beginning that 1, 2, 3 or more different words share
 TOXIC = 0.3
@@ -43,7 +42,8 @@ def features_of(word: str) -> list[str]:
 
 
 def mine(sample: DataFrame) -> list[str]:
-    """Features that go with label 1, strongest first (by the G statistic); of nested ones that say the same, the shortest."""
+    """Features that go with label 1, strongest first (by the G statistic); of nested ones that say the same the
+    shortest, and at most PER_STEM with the same first four letters, so that rarer stems get voters too."""
     schema = T.StructType([T.StructField("feature", T.StringType()), T.StructField("pos", T.LongType()), T.StructField("neg", T.LongType())])
 
     def run(batches):
@@ -70,12 +70,14 @@ def mine(sample: DataFrame) -> list[str]:
     top = counted.where(a / n_pos > 2 * b / n_neg).select("feature", "pos", "neg", g.alias("g")).orderBy(F.desc("g"), "feature").limit(CANDIDATES).collect()
     kept: list[str] = []
     counts: dict[str, tuple[int, int]] = {}
+    stems: Counter = Counter()
     for r in sorted(top, key=lambda r: (-round(r["g"], 6), len(r["feature"]), r["feature"])):
         name, own = r["feature"], (r["pos"], r["neg"])
         nested = (k for k in kept if k[0] == "^" and name[1:].startswith(k[1:]))
-        if not any(abs(counts[k][0] - own[0]) <= 0.02 * own[0] and counts[k][1] <= own[1] + 1 for k in nested):
+        if stems[name[1:5]] < PER_STEM and not any(abs(counts[k][0] - own[0]) <= 0.02 * own[0] and counts[k][1] <= own[1] + 1 for k in nested):
             kept.append(name)
             counts[name] = own
+            stems[name[1:5]] += 1
         if len(kept) == VOTERS:
             break
     return kept
@@ -101,28 +103,33 @@ def expand(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([counts >= level for level in range(1, LEVELS + 1)], axis=1).astype(np.float32)
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Posterior probability of class 1 for each row, from voters of unknown accuracy and correlation."""
-    votes = np.concatenate([votes, given[:, None].astype(np.float32)], axis=1)
-    n, m = votes.shape
-    q = np.where(given > 0, 0.9, 0.1)
+def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 2, ridge: float = 0.05) -> np.ndarray:
+    """Posterior probability of class 1 for each row, from voters of unknown accuracy and correlation.
+
+    Given the class, votes have a mean (the voters' accuracies) and a covariance (their correlations), which both
+    classes share; the posterior's log odds are then linear in the votes, with the inverse covariance discounting
+    voters that say the same.  The given label is one more voter, independent of the others given the class.
+    """
+    q = np.where(given > 0, 0.93, 0.02)
     for _ in range(rounds):
         prior = np.clip(q.mean(), 1e-3, 1 - 1e-3)
-        in1, in0 = (q @ votes + 0.5) / (q.sum() + 1), ((1 - q) @ votes + 0.5) / ((1 - q).sum() + 1)
-        share = np.zeros(m)
-        for weight, rate in ((q, in1), (1 - q, in0)):  # correlations within a class
-            centred = (votes - rate.astype(np.float32)) * np.sqrt(weight / weight.sum()).astype(np.float32)[:, None]
-            cov = centred.T @ centred
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            share += np.maximum(np.abs(cov / sd[:, None] / sd[None, :]) - 0.1, 0).sum(axis=1) * weight.sum() / n
-        damp = 1 / np.maximum(share, 1)
-        on, off = np.log(in1 / in0), np.log((1 - in1) / (1 - in0))
-        logit = np.log(prior / (1 - prior)) + votes @ ((on - off) * damp) + (off * damp).sum()
+        covariance = np.eye(votes.shape[1]) * ridge
+        means = []
+        for weight in (q, 1 - q):
+            mean = weight @ votes / weight.sum()
+            centred = (votes - mean.astype(np.float32)) * np.sqrt(weight / len(votes)).astype(np.float32)[:, None]
+            covariance += centred.T @ centred
+            means.append(mean)
+        w = np.linalg.solve(covariance, means[0] - means[1])
+        hit = np.clip(q @ given / q.sum(), 0.5, 0.97)
+        false = np.clip((1 - q) @ given / (1 - q).sum(), 0.01, 0.5)
+        logit = np.log(prior / (1 - prior)) + votes @ w - (means[0] + means[1]) @ w / 2
+        logit += np.where(given > 0, np.log(hit / false), np.log((1 - hit) / (1 - false)))
         q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return q
 
 
-def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
+def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 0.1, rounds: int = 8) -> np.ndarray:
     """Weights (the intercept last) of a ridge logistic regression on soft targets, by Newton steps."""
     x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1).astype(np.float64)
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)

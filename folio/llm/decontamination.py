@@ -165,6 +165,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
     return out
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """docs without those in which an item of the benchmark is found; all columns as they are."""
+    leaked = common.durable(contaminated(docs, benchmark, least).select(F.col("doc_id").alias("__id")).where("__id is not null").distinct(), "leaks")
+    return docs.join(leaked, F.col("doc_id") == F.col("__id"), "left_anti")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
 

@@ -147,6 +147,30 @@ def groups(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFrame:
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFrame:
+    """docs with one row of each group of near-duplicates: the one with the least (doc_id, text); null ids come last."""
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    id_type = docs.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("unnamed", T.BooleanType()), T.StructField("doc_id", id_type), T.StructField("h", T.LongType()), T.StructField("fp", T.LongType())])
+    rows = docs.select(place.alias("p"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).select("p.*", "text")
+
+    def run(batches):
+        for batch in batches:
+            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(3)), np.uint64, len(batch))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps.view(np.int64))], names=schema.names)
+
+    keyed = common.durable(rows.mapInArrow(run, schema), "fingerprints")
+    repeats = bool(keyed.groupBy("unnamed", "doc_id", "h").count().where("count > 1").head(1))
+    least = keyed.groupBy("fp").agg(F.min(F.struct("unnamed", "doc_id", "h")).alias("least"))
+    distinct = common.durable(least, "distinct")
+    star = components.stars(links(distinct.select("fp"), bits), "simhash")
+    placed = distinct.join(star.withColumnRenamed("u", "fp"), "fp", "left").select("least", F.coalesce("v", "fp").alias("root"))
+    winners = common.durable(placed.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("__id"), F.col("least.h").alias("__h")), "winners")
+    hash_ = F.xxhash64(F.coalesce("text", F.lit("")))
+    kept = docs.join(winners, F.col("doc_id").eqNullSafe(F.col("__id")) & (hash_ == F.col("__h")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"]) if repeats else kept  # whole rows that the table repeats
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = groups(common.read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -189,6 +189,25 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = TOXIC) -> DataFrame:
+    """docs without the rows whose score reaches threshold; all columns as they are.  Scored where the rows are: no shuffle."""
+    model = fit(common.training_sample(common.documents(docs), labels, "toxic", SAMPLE))
+    if model is None:
+        return docs
+    at = docs.columns.index("text")
+
+    def run(batches):
+        memo: dict[str, tuple] = {}
+        for batch in batches:
+            for start in range(0, len(batch), 1000):
+                part = batch.slice(start, 1000)
+                counts = voter_counts([t or "" for t in part.column(at).to_pylist()], model["voters"], memo)
+                logit = expand(counts) @ model["weights"][:-1] + model["weights"][-1]
+                yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     model = fit(common.training_sample(common.documents(docs), common.read(spark, sf_dir, "labels"), "toxic", SAMPLE))

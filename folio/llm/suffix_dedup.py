@@ -39,55 +39,65 @@ K = 12  # bytes of the K-gram that places a window
 SHALLOW = 24
 BLOCK_BYTES, CHUNK_BYTES = 8_000_000, 1_000_000
 ROUND_WINDOWS = 500_000
+LEVEL = 6  # of zstd, for what is shuffled
 
 _MIX = np.random.default_rng(11).integers(1, 1 << 62, 260, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def _sorted_within(runs: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The order that sorts keys within each run (runs ascend already)."""
+    if not runs[-1]:
+        return np.argsort(keys)
+    by = np.argsort(keys)
+    rank = np.empty(len(keys), np.int64)
+    rank[by] = np.cumsum(np.concatenate([[False], keys[by][1:] != keys[by][:-1]]))
+    return np.argsort(runs * len(keys) + rank)
+
+
 def deep_shallow(rows: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Sorts equally long byte strings (rows, a multiple of 8 wide): their order, and whether each differs from the one before."""
     n, width = rows.shape
     order, first = np.arange(n), np.zeros(n, bool)
-    if n:
-        first[0] = True
+    if not n:
+        return order, first
+    first[0] = True
     words = rows.view(">u8")
+    live = np.arange(n if n > 1 else 0)  # positions in runs, of two or more, of equal prefixes
 
-    def shared() -> tuple[np.ndarray, np.ndarray]:
-        """Positions in runs of two or more, and the number of each one's run."""
-        run = np.cumsum(first) - 1
-        live = np.flatnonzero(np.bincount(run, minlength=1)[run] > 1) if n else np.arange(0)
-        return live, run[live]
+    def runs_of(live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts = np.flatnonzero(first[live])
+        return starts, np.diff(np.append(starts, len(live)))
 
-    def split(live: np.ndarray, run: np.ndarray, keys: np.ndarray) -> None:
-        by = np.lexsort((keys, run))
+    def split(live: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Sorts every run by its keys and splits it where they change; gives the positions whose runs stay shared."""
+        starts, sizes = runs_of(live)
+        run = np.repeat(np.arange(len(starts)), sizes)
+        by = _sorted_within(run, keys)
         order[live] = order[live][by]
         keys = keys[by]
         first[live[1:][(keys[1:] != keys[:-1]) & (run[1:] == run[:-1])]] = True
+        starts, sizes = runs_of(live)
+        return live[np.repeat(sizes > 1, sizes)]
 
     # multikey quicksort: every run of equal prefixes is sorted by its next character and split where that changes
     for depth in range(0, min(shallow, width), 8):
-        live, run = shared()
         if not len(live):
             return order, first
-        split(live, run, words[order[live], depth // 8].astype(np.uint64))
+        live = split(live, words[order[live], depth // 8].astype(np.uint64))
     # blind tries: a run's next branch is at the first byte in which any of its strings differs from its first one
-    live, run = shared()
     while len(live):
-        starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-        heads = np.repeat(order[live[starts]], np.diff(np.append(starts, len(live))))
+        starts, sizes = runs_of(live)
+        heads = np.repeat(order[live[starts]], sizes)
         same = np.empty(len(live), np.int64)
         for at in range(0, len(live), 1 << 17):
             part = slice(at, at + (1 << 17))
             differs = rows[order[live[part]], shallow:] != rows[heads[part], shallow:]
             same[part] = np.where(differs.any(axis=1), differs.argmax(axis=1), width - shallow)
         branch = np.minimum.reduceat(same, starts)
-        grows = np.repeat(branch < width - shallow, np.diff(np.append(starts, len(live))))
-        live, run, at = live[grows], run[grows], np.repeat(branch, np.diff(np.append(starts, len(same))))[grows]
-        if not len(live):
-            break
-        split(live, run, rows[order[live], shallow + at].astype(np.uint64))
-        again, number = shared()
-        keep = np.isin(again, live)
-        live, run = again[keep], number[keep]
+        grows = np.repeat(branch < width - shallow, sizes)  # other runs are leaves: their strings are equal
+        live, at = live[grows], np.repeat(branch, sizes)[grows]
+        if len(live):
+            live = split(live, rows[order[live], shallow + at].astype(np.uint64))
     return order, first
 
 
@@ -107,9 +117,21 @@ def gram_hash(data: np.ndarray) -> np.ndarray:
     h4 = h2[:-2] * _MIX[257] + h2[2:]
     h8 = h4[:-4] * _MIX[258] + h4[4:]
     h = h8[: len(data) - K + 1] * _MIX[259] + h4[8 : len(data) - K + 9]
+    return _finished(h)
+
+
+def _finished(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(31))) * _MIX[0]
 
 
+def gram_hash_of(grams: np.ndarray) -> np.ndarray:
+    """gram_hash for rows of K bytes each."""
+    h1 = _MIX[grams]
+    h2 = h1[:, 0::2] * _MIX[256] + h1[:, 1::2]
+    h4 = h2[:, 0::2] * _MIX[257] + h2[:, 1::2]
+    return _finished((h4[:, 0] * _MIX[258] + h4[:, 1]) * _MIX[259] + h4[:, 2])
+
+
 def units_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """Units of documents that lie one after another in data and end at `ends`: start, windows, place of the K-gram in the unit, its hash."""
     if len(data) < LENGTH:
@@ -190,10 +212,22 @@ def resolve_windows(data, start, windows, keys, docs):
             yield unit[gone[new]], window[gone[new]], np.diff(np.append(new, len(gone)))
 
 
-def packed(data, start, windows, place, docs, offsets) -> bytes:
-    strings = b"".join(data[a : a + w + LENGTH - 1].tobytes() for a, w in zip(start.tolist(), windows.tolist()))
+def _planes(values: np.ndarray) -> bytes:
+    """Longs as eight planes of bytes, of which the upper ones compress to nothing."""
+    return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_planes(raw: bytes, n: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T).view("<i8").reshape(-1)
+
+
+def packed(data: bytes, start, windows, place, docs, offsets) -> bytes:
+    """Units of one bucket, ordered by document and offset, compressed."""
+    strings = b"".join([data[a:b] for a, b in zip(start.tolist(), (start + windows + LENGTH - 1).tolist())])
+    step = np.diff(docs, prepend=0)
+    ahead = np.where(step == 0, np.diff(offsets, prepend=0), offsets)  # within a document the distance, else the place
     head = np.array([len(start)], "<i8").tobytes() + windows.astype(np.uint8).tobytes() + place.astype(np.uint8).tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + np.diff(docs, prepend=0).astype("<i8").tobytes() + np.diff(offsets, prepend=0).astype("<i8").tobytes() + strings)
+    return zstandard.ZstdCompressor(level=LEVEL).compress(head + _planes(step) + _planes(ahead) + strings)
 
 
 def unpacked(blobs: list[bytes]):
@@ -202,9 +236,12 @@ def unpacked(blobs: list[bytes]):
     for blob in blobs:
         raw = zstandard.ZstdDecompressor().decompress(blob)
         n = int(np.frombuffer(raw, "<i8", 1)[0])
-        columns = [np.frombuffer(raw, np.uint8, n, 8).astype(np.int64), np.frombuffer(raw, np.uint8, n, 8 + n).astype(np.int64)]
-        columns += [np.cumsum(np.frombuffer(raw, "<i8", n, 8 + 2 * n + 8 * n * k)) for k in (0, 1)]
-        for p, c in zip(parts, [*columns, np.frombuffer(raw, np.uint8, offset=8 + 18 * n)]):
+        windows, place = (np.frombuffer(raw, np.uint8, n, 8 + n * k).astype(np.int64) for k in (0, 1))
+        step, ahead = _from_planes(raw, n, 8 + 2 * n), _from_planes(raw, n, 8 + 10 * n)
+        summed = np.cumsum(ahead)
+        fresh = np.flatnonzero(np.concatenate([[True], step[1:] != 0]))
+        offsets = summed - np.repeat(summed[fresh] - ahead[fresh], np.diff(np.append(fresh, n)))
+        for p, c in zip(parts, [windows, place, np.cumsum(step), offsets, np.frombuffer(raw, np.uint8, offset=8 + 18 * n)]):
             p.append(c)
     windows, place, docs, offsets, data = (np.concatenate(p) for p in parts)
     return data, np.cumsum(windows + LENGTH - 1) - (windows + LENGTH - 1), windows, place, docs, offsets
@@ -218,7 +255,8 @@ def deal(docs: DataFrame, buckets: int) -> DataFrame:
 
     def block(found: list[tuple[int, bytes]]):
         texts, ids = [t for _, t in found], np.array([i for i, _ in found], np.int64)
-        data = np.frombuffer(b"".join(texts), np.uint8)
+        joined = b"".join(texts)
+        data = np.frombuffer(joined, np.uint8)
         ends = np.cumsum([len(t) for t in texts])
         begins = ends - [len(t) for t in texts]
         got, low = [], 0
@@ -246,7 +284,7 @@ def deal(docs: DataFrame, buckets: int) -> DataFrame:
         blobs = []
         for f, s in zip(firsts, np.append(firsts[1:], len(by))):
             u = stay[by[f:s]]
-            blobs.append(packed(data, start[u], windows[u], place[u], docs_[u], offsets[u]))
+            blobs.append(packed(joined, start[u], windows[u], place[u], docs_[u], offsets[u]))
         empty = pa.nulls(len(blobs), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int32)), empty, empty, empty, pa.array(blobs, pa.binary())], names=["bucket", "doc_id", "start", "stop", "blob"])
 
@@ -285,8 +323,7 @@ def resolve(table: pa.Table) -> pa.Table:
     blobs = [b.as_py() for b in table["blob"] if b.is_valid]
     if blobs:
         data, start, windows, place, docs, offsets = unpacked(blobs)
-        grams = sliding_window_view(data, K)[start + place]
-        keys = gram_hash(grams.reshape(-1))[::K] if len(grams) else np.zeros(0, np.uint64)
+        keys = gram_hash_of(sliding_window_view(data, K)[start + place])
         gone = resolve_units(data, start, windows, keys, docs)
         found = [(docs[gone], offsets[gone], (offsets + windows + LENGTH - 1)[gone])]
         stay = np.flatnonzero(~gone)
@@ -298,32 +335,51 @@ def resolve(table: pa.Table) -> pa.Table:
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """doc_id, spans: unordered and overlapping (start, stop) of the bytes to remove, for documents that lose some."""
+    """doc_id, spans: unordered and overlapping start << 32 | stop of the bytes to remove, for documents that lose some."""
     rows = common.documents(docs).where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     dealt = deal(rows, 4 * common.partitions(docs.sparkSession))
     found = dealt.groupBy("bucket").applyInArrow(resolve, "doc_id long, start long, stop long")
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return found.groupBy("doc_id").agg(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("stop"))).alias("spans"))  # a text has less than 2**31 bytes
+
+
+def squeezed(docs: DataFrame) -> DataFrame:
+    """doc_id, z: the texts compressed, for the one shuffle that they go through."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("z", T.BinaryType())])
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=LEVEL)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress(t.as_py()) for t in batch.column(1)], pa.binary())], names=schema.names)
+
+    return common.documents(docs).select("doc_id", F.col("text").cast("binary")).mapInArrow(run, schema)
+
+
+def merged(spans, size: int) -> list[tuple[int, int]]:
+    """Maximal runs of packed spans, within a text of `size` bytes."""
+    runs: list[list[int]] = []
+    for packed_span in sorted(spans):
+        start, stop = packed_span >> 32, min(packed_span & 0xFFFFFFFF, size)
+        if runs and start <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], stop)
+        elif start < stop:
+            runs.append([start, stop])
+    return [(a, b) for a, b in runs]
 
 
 def apply(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary), spans (array of maximal start, stop) for every row of docs."""
-    docs = common.documents(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
-    spans = removals(docs.withColumn("text", F.col("text"))).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(spans, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "spans")
+    spans = removals(docs).withColumnRenamed("doc_id", "__id")
+    joined = squeezed(docs).join(spans, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "z", "spans")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType()), T.StructField("spans", span)])
 
     def run(batches):
+        unpress = zstandard.ZstdDecompressor()
         for batch in batches:
             out = [[] for _ in range(5)]
-            for text, found in zip(batch.column(1), batch.column(2)):
-                text, runs = text.as_py(), []
-                for s in sorted((x["start"], x["stop"]) for x in found.as_py() or ()):
-                    if runs and s[0] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], s[1])
-                    else:
-                        runs.append(list(s))
-                runs = [(a, min(b, len(text))) for a, b in runs if a < len(text)]
+            for z, found in zip(batch.column(1), batch.column(2)):
+                text = unpress.decompress(z.as_py())
+                runs = merged(found.as_py() or (), len(text))
                 kept, at = [], 0
                 for a, b in runs:
                     kept.append(text[at:a])

@@ -1,3 +1,12 @@
-"""folio: Spark-native editorial processing of document corpora."""
+"""folio: Spark-native editorial processing of document corpora.
+
+Functions that run in Python workers are shipped by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 __version__ = "0.1.0"

@@ -1,19 +1,644 @@
-"""Named queries over the driver's tables, each with its SQL twin."""
+"""Named queries over the driver's tables, and the SQL twin of each that SQL can express.
+
+Texts of the tables contain few of the forms that the rules are about, so many queries first plant them with plain
+replacements, the same in both engines; attributes that a line can't have are derived from its place.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as V
+from ..functions import predicates as P
+from ..functions import typography
+from ..functions.text import ends_with_any, strip, word_count
+from ..operators import arbitration, notes, report, scoring, semantics, sequences, structure
+from ..operators.blocks import complete, lines, stripped
+from . import sql as Q
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return put
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stripped(lines(docs(spark, sf_dir)))
+
+
+def marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with derived attributes (the oracle's b)."""
+    k = F.col("doc_id") + F.col("pos")
+    df = lines(docs(spark, sf_dir)).withColumns(
+        {
+            "all_bold": k % 5 == 0, "all_italic": k % 11 == 0, "blank_before": (F.col("pos") % 6 == 0) & (F.col("pos") > 0),
+            "ind_left": F.when(k % 7 == 0, 720).when(k % 7 == 1, 360).otherwise(0), "space_before": F.when(k % 13 == 0, 300).otherwise(0),
+        }
+    )
+    return stripped(complete(df))
+
+
+def thousandths(c: Column) -> Column:
+    return F.round(c * 1000).cast("long")
+
+
+# --- segmentation
+
+query("seg_lines", f"WITH {Q.LINES} SELECT doc_id, pos, text FROM l")(lambda s, d: lines(docs(s, d)))
+
+
+@query("seg_caps_headings", f"WITH {Q.LINES}, t AS (SELECT *, {Q.strip('text')} AS s FROM l) SELECT doc_id, pos FROM t WHERE length(s) <= 100 AND NOT regexp_matches(s, '[.!?;:]') AND upper(s) = s AND regexp_matches(s, '\\pL')")
+def seg_caps_headings(spark, sf_dir):
+    return lines(docs(spark, sf_dir)).where(P.text_heading(F.col("text"))).select("doc_id", "pos")
+
+
+@query(
+    "seg_txt_paragraphs",
+    r"""WITH p AS (SELECT doc_id, replace(text, '. ', '.' || chr(10) || chr(10) || '# ') AS text FROM documents), l AS (
+      SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS text FROM p),
+    t AS (SELECT *, """ + Q.strip("text") + """ AS s, starts_with(text, '#') AS hash FROM l),
+    c AS (SELECT *, (hash OR (length(s) <= 100 AND NOT regexp_matches(s, '[.!?;:]') AND upper(s) = s AND regexp_matches(s, '\\pL'))) AND s <> '' AS heading FROM t),
+    g AS (SELECT *, sum(CASE WHEN heading OR s = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM c WHERE TRUE)
+    SELECT doc_id, min(pos) AS pos, 'heading' AS block_type, CAST(CASE WHEN hash THEN least(length(regexp_extract(text, '^#+')), 6) ELSE 1 END AS INTEGER) AS heading_level,
+      CASE WHEN hash THEN """ + Q.strip("regexp_replace(text, '^#+|#+$', '', 'g')") + """ ELSE s END AS text FROM g WHERE heading GROUP BY doc_id, pos, text, s, hash
+    UNION ALL SELECT doc_id, min(pos), 'paragraph', NULL, string_agg(s, ' ' ORDER BY pos) FROM g WHERE NOT heading AND s <> '' GROUP BY doc_id, run""",
+)
+def seg_txt_paragraphs(spark, sf_dir):
+    from ..sources.plain import paragraphs
+
+    return paragraphs(docs(spark, sf_dir).select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n\n# ")).alias("text")))
+
+
+# --- typography: one query a rule, over texts in which its forms are planted
+
+PLANTED = {  # rule: what is replaced by what, and the SQL of the rule over t
+    "apostrophe": ("e ", "e' ", "regexp_replace(t, '([A-Za-z\\x{C0}-\\x{24F}])''', '\\1’', 'g')"),
+    "ellipsis": (". ", "... ", "replace(t, '...', '…')"),
+    "quote_open": (". ", ". « ", f"regexp_replace(t, '«{Q.SP}*', '«\u202f', 'g')"),
+    "quote_close": (". ", " ». ", f"regexp_replace(t, '{Q.SP}*»', '\u202f»', 'g')"),
+    "double_space": (" ", "  ", "regexp_replace(t, '[ \\t]{2,}', ' ', 'g')"),
+    "ordinals": (" de ", " 1ère 5ème 12eme 1ere ", "regexp_replace(regexp_replace(t, '(^|[^0-9\\pL_])1(ère|ere) ', '\\1' || '1re ', 'g'), '([0-9]+)(ème|eme) ', '\\1e ', 'g')"),
+    "double_dash": (", ", " -- ", "replace(t, '--', '–')"),
+    "etc": (". ", " etc.... ", "regexp_replace(t, 'etc(…\\.*|\\.{2,})', 'etc.', 'g')"),
+    "space_weak": (", ", " , ", f"regexp_replace(regexp_replace(t, '{Q.SP}+([,.])([^0-9])', '\\1\\2', 'g'), '{Q.SP}+([,.])$', '\\1', 'g')"),
+    "number": (" de ", " n° 3 ", "regexp_replace(t, '\\b([Nn]°)\\s+([0-9])', '\\1\u202f\\2', 'g')"),
+    "pages": (" de ", " p. 3 vol. II fig. 2 ", "regexp_replace(t, '(^|[^\\pL\\pN_])(pp?|vol|t|f|fol|fig|chap|cat|pl|ms|Ms|n°|N°|col)\\.\\s+([0-9IVXLCivxlc])', '\\1\\2.\u202f\\3', 'g')"),
+    "civility": (" de ", " M. Durand ", "regexp_replace(t, '(^|[^\\pL\\pN_])(M\\.|Mme[s]?|Dr?|Pr?|Prof\\.) ([A-ZÀ-ÖØ-Þ])', '\\1\\2\u00a0\\3', 'g')"),
+    "thousands": (" de ", " x 1 500 000 x ", "replace(t, ' 1 500 000 ', ' 1\u202f500\u202f000 ')"),
+    "dash": (", ", " – ", "regexp_replace(regexp_replace(t, '([\\pL\\pN_]) – ([\\pL\\pN_])', '\\1 — \\2', 'g'), '([\\pL\\pN_]) – ([\\pL\\pN_])', '\\1 — \\2', 'g')"),
+    "ligatures": (" de ", " coeur Oeuvre SOEURS ", "replace(replace(replace(t, ' coeur ', ' cœur '), ' Oeuvre ', ' Œuvre '), ' SOEURS ', ' SŒURS ')"),
+}
+
+
+def _typo(name: str, old: str, new: str) -> Query:
+    return lambda s, d: docs(s, d).select("doc_id", typography.RULES[name](F.replace("text", F.lit(old), F.lit(new))).alias("text"))
+
+
+for _name, (_old, _new, _sql) in PLANTED.items():
+    _t = f"replace(text, '{_old}', '{_new.replace(chr(39), chr(39) * 2)}')"
+    query(f"typo_{_name}", f"WITH p AS (SELECT doc_id, {_t} AS t FROM documents) SELECT doc_id, {_sql} AS text FROM p")(_typo(_name, _old, _new))
+
+
+@query("typo_space_strong", f"WITH p AS (SELECT doc_id, replace(translate(text, ':/' || chr(92), ';  '), '. ', ' ! ') AS t FROM documents) SELECT doc_id, regexp_replace(t, '{Q.SP}*([;?!])', '\u202f\\1', 'g') AS text FROM p")
+def typo_space_strong(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", typography.RULES["space_strong"](F.replace(F.translate("text", ":/\\", ";  "), F.lit(". "), F.lit(" ! "))).alias("text"))
+
+
+@query("typo_centuries", "WITH p AS (SELECT doc_id, replace(regexp_replace(text, '[A-Za-z]', '_', 'g'), ' _', ' xixe xviiième XXIIe ') AS t FROM documents) SELECT doc_id, replace(replace(t, ' xixe xviiième ', ' XIXe XVIIIe '), ' xixe ', ' XIXe ') AS text FROM p")
+def typo_centuries(spark, sf_dir):
+    planted = F.replace(F.regexp_replace("text", "[A-Za-z]", "_"), F.lit(" _"), F.lit(" xixe xviiième XXIIe "))
+    return docs(spark, sf_dir).select("doc_id", typography.RULES["centuries"](planted).alias("text"))
+
+
+@query("typo_century_context", "SELECT doc_id, CAST(len(regexp_extract_all(replace(text, ' de ', ' XIXe siècle, XVe an '), 'XIXe siècle')) AS INTEGER) AS n FROM documents")
+def typo_century_context(spark, sf_dir):
+    planted = F.replace("text", F.lit(" de "), F.lit(" XIXe siècle, XVe an "))
+    return docs(spark, sf_dir).select("doc_id", F.size(F.filter(typography.century_styling(planted), lambda x: x == "XIX")).alias("n"))
+
+
+@query("typo_quote_point", "SELECT doc_id, CAST(len(regexp_extract_all(replace(replace(text, '«', ''), ', ', ' «oui !». '), '«oui !»\\.')) AS INTEGER) AS n FROM documents")
+def typo_quote_point(spark, sf_dir):
+    planted = F.replace(F.replace("text", F.lit("«"), F.lit("")), F.lit(", "), F.lit(" «oui !». "))
+    return docs(spark, sf_dir).select("doc_id", F.size(typography.quote_point_suspects(planted)).alias("n"))
+
+
+@query("typo_quotes")
+def typo_quotes(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", typography.RULES["quotes"](F.replace("text", F.lit(", "), F.lit(' "oui" '))).alias("text"))
+
+
+@query("typo_all")
+def typo_all(spark, sf_dir):
+    """Every rule in order, as transformations: only the lines that change."""
+    planted = lines(docs(spark, sf_dir)).withColumn("before", F.replace(F.replace("text", F.lit(", "), F.lit(" , ")), F.lit(". "), F.lit("... ")))
+    done = planted.withColumn("after", typography.rewrite(F.col("before")))
+    return done.where("before <> after").select("doc_id", "pos", "before", "after")
+
+
+@query("typo_transformations", f"WITH {Q.LINES}, p AS (SELECT doc_id, pos, replace(text, ' ', '  ') AS t FROM l) SELECT doc_id, count(*) AS n FROM p WHERE regexp_replace(t, '[ \\t]{{2,}}', ' ', 'g') <> t GROUP BY doc_id")
+def typo_transformations(spark, sf_dir):
+    planted = lines(docs(spark, sf_dir)).withColumn("t", F.replace("text", F.lit(" "), F.lit("  ")))
+    return planted.where(typography.rewrite(F.col("t"), ["double_space"]) != F.col("t")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("note_final_point", f"""WITH {Q.LINES}, p AS (SELECT doc_id, pos, regexp_replace(text, '[.]$', '') AS t FROM l), q AS (SELECT *, regexp_replace(t, '[\\s\\x{{A0}}\\x{{202F}}]+$', '') AS r FROM p)
+    SELECT doc_id, pos, CASE WHEN r <> '' AND NOT regexp_matches(r, '[.!?…»›’]$') AND NOT regexp_matches(r, 'https?://[^\\s]+$') THEN '.' ELSE '' END AS added FROM q""")
+def note_final_point(spark, sf_dir):
+    t = F.regexp_replace("text", "[.]$", "")
+    new = typography.note_text(t)
+    return lines(docs(spark, sf_dir)).select("doc_id", "pos", F.when(new.endswith(".") & ~F.regexp_replace(t, r"(?U)\s+$", "").endswith("."), ".").otherwise("").alias("added"))
+
+
+@query("note_upper_first", f"WITH {Q.LINES} SELECT doc_id, pos, upper(left(regexp_replace(lower(text), '^[ \\t]+', ''), 1)) AS initial FROM l")
+def note_upper_first(spark, sf_dir):
+    return lines(docs(spark, sf_dir)).select("doc_id", "pos", F.substring(typography.note_text(F.lower("text")), 1, 1).alias("initial"))
+
+
+@query("biblio_normalise", f"""WITH {Q.LINES}, p AS (SELECT doc_id, pos, {Q.strip("regexp_replace(text, '[.]$', ', p. 12')")} AS t FROM l), q AS (SELECT doc_id, pos,
+    regexp_replace(regexp_replace(t, '(^|[^\\pL\\pN_])(pp?|vol|t|f|fig|col|n°|N°)\\.\\s+([0-9IVXLCivxlc])', '\\1\\2.\u202f\\3', 'g'), '\\b([Nn]°)\\s+([0-9])', '\\1\u202f\\2', 'g') AS t FROM p)
+    SELECT doc_id, pos, CASE WHEN t <> '' AND NOT regexp_matches(t, '[.!?…»]$') THEN t || '.' ELSE t END AS text FROM q""")
+def biblio_normalise(spark, sf_dir):
+    return lines(docs(spark, sf_dir)).select("doc_id", "pos", typography.bibliography_text(F.regexp_replace("text", "[.]$", ", p. 12")).alias("text"))
+
+
+# --- predicates: a flag for every line
+
+ITALIC = F.col("all_italic")
+FLAGS = {  # name: column, SQL, what is planted in the line first (both engines)
+    "passage_reference": (lambda s: P.passage_reference(s), Q.PASSAGE, ("of", "VI, I, 52")),
+    "caption": (lambda s: P.caption_or_reference(s), Q.CAPTION, ("de", "cf. p")),
+    "list_item": (lambda s: P.list_item(s), Q.LIST_ITEM, ("The ", "- ")),
+    "bibliography_like": (lambda s: P.bibliography_like(s), Q.BIBLIO, ("en.", "en, 1998")),
+    "markup": (lambda s: P.technical_markup(s), Q.MARKUP, (" the ", " <a> ")),
+    "chronology": (lambda s: P.chronology_line(s), Q.CHRONOLOGY, ("The ", "1914 - ")),
+    "name_list": (lambda s: P.name_list(s), Q.NAMES, (" the ", ", ")),
+    "italic_verse": (lambda s: P.italic_verse_line(s, ITALIC), Q.ITALIC_VERSE, None),
+    "allcaps": (lambda s: P.allcaps_title(s), Q.CAPS, None),
+    "heading_candidate": (lambda s: P.heading_candidate(s, ITALIC), Q.BOLD_HEADING, (".", "")),
+    "heading_heuristic": (lambda s: P.heading_heuristic(s, ITALIC), Q.HEADING_LIKE, (".", "")),
+    "italic_kind": (lambda s: P.italic_kind(s, ITALIC), Q.ITALIC_KIND, (".", "")),
+    "block_quote": (lambda s: P.block_quote(s), "(starts_with(s, '«') AND (length(s) > 180 OR (length(s) > 120 AND ends_with(s, '»'))))", ("The ", "« ")),
+    "sentence_like": (lambda s: P.sentence_like(s), Q.SENTENCE, None),
+    "biblio_entry": (lambda s: s.rlike(V.BIBLIOGRAPHY_ENTRY), r"regexp_matches(s, '^[A-Z(][A-Za-z''\-\s]{1,40},.{5,},\s*[0-9]{4}')", ("en.", "en, Paris, 1998")),
+    "biblio_title": (lambda s: s.rlike(V.BIBLIOGRAPHY_TITLE), r"regexp_matches(s, '(?i)^(sources?|bibliographie|r(é|e)f(é|e)rences\s*bibliographiques?|bibliography|travaux\s*cit(é|e)s?|works?\s*cited)')", ("The ", "Sources ")),
+    "levels": (lambda s: F.concat_ws("/", P.bold_level(s), P.italic_level(s), P.heuristic_level(s)),
+               f"concat_ws('/', CASE WHEN {Q.is_upper('s')} THEN 1 WHEN {Q.NUMBERED} <> '' THEN CASE WHEN try_cast({Q.NUMBERED} AS INTEGER) <= 9 THEN 2 ELSE 3 END WHEN length(s) <= 45 THEN 2 ELSE 3 END,"
+               f" CASE WHEN {Q.NUMBERED} <> '' THEN 2 WHEN length(s) <= 60 THEN 2 ELSE 1 END, CASE WHEN {Q.is_upper('s')} THEN 1 WHEN {Q.NUMBERED} <> '' THEN 2 WHEN length(s) <= 50 THEN 2 ELSE 3 END)", ("The ", "12. ")),
+    "vetoes": (lambda s: F.array_join(P.heading_vetoes(s, ITALIC, F.lit(None).cast("int")), ","), f"array_to_string({Q.VETOES}, ',')", None),
+}
+
+
+def _flag(make, plant) -> Query:
+    def run(spark, sf_dir):
+        df = marked_lines(spark, sf_dir)
+        if plant:
+            df = df.withColumn("s", strip(F.replace("s", F.lit(plant[0]), F.lit(plant[1]))))
+        return df.select("doc_id", "pos", make(F.col("s")).alias("value"))
+
+    return run
+
+
+for _name, (_make, _sql, _plant) in FLAGS.items():
+    _s = Q.strip(f"replace(s, '{_plant[0]}', '{_plant[1]}')") if _plant else "s"
+    query(f"pred_{_name}", f"WITH {Q.BLOCKS}, c AS (SELECT * REPLACE ({_s} AS s) FROM b) SELECT doc_id, pos, {_sql} AS value FROM c")(_flag(_make, _plant))
+
+
+@query("pred_source_level", """WITH l AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Titre2' WHEN 1 THEN 'heading 3' WHEN 2 THEN 'Normal' END AS style, CASE WHEN doc_id % 9 = 0 THEN 5 WHEN doc_id % 9 = 1 THEN 8 END AS level FROM documents)
+    SELECT doc_id, coalesce(CASE WHEN level BETWEEN 1 AND 6 THEN level END, try_cast(regexp_extract(style, '(?i)(heading|tei_head|tei_titre|titre|head)[_\\-\\s]*([1-6])', 2) AS INTEGER)) AS level FROM l""")
+def pred_source_level(spark, sf_dir):
+    k = F.col("doc_id")
+    style = F.when(k % 4 == 0, "Titre2").when(k % 4 == 1, "heading 3").when(k % 4 == 2, "Normal")
+    level = F.when(k % 9 == 0, 5).when(k % 9 == 1, 8)
+    return docs(spark, sf_dir).select("doc_id", P.source_heading_level(level, style, F.lit(None).cast("string")).alias("level"))
+
+
+# --- sequences
+
+ISLANDS = f"""WITH {Q.BLOCKS}, m AS (SELECT *, s <> '' AND {Q.n_words('s')} <= 16 AND NOT {Q.LIST_ITEM} AS ok FROM b)"""
+RUN = "sum(CASE WHEN ok AND (NOT coalesce(lag_ok, FALSE) OR cut) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos)"
+
+
+@query("win_islands_short", f"""{ISLANDS}, k AS (SELECT *, lag(ok) OVER (PARTITION BY doc_id ORDER BY pos) AS lag_ok, FALSE AS cut FROM m), r AS (SELECT *, {RUN} AS run FROM k)
+    SELECT doc_id, CAST(run AS BIGINT) AS run, count(*) AS n, min(pos) AS first_pos FROM r WHERE ok GROUP BY doc_id, run""")
+def win_islands_short(spark, sf_dir):
+    df = sequences.islands(marked_lines(spark, sf_dir), (F.col("s") != "") & (word_count(F.col("s")) <= 16) & ~P.list_item(F.col("s")))
+    return df.where("run is not null").groupBy("doc_id", "run").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
+
+
+@query("win_blank_bounded", f"""{ISLANDS}, e AS (SELECT *, lag(ok) OVER w AS lag_ok, blank_before OR coalesce(lag(s = '') OVER w, FALSE) AS cut, coalesce(lead(blank_before) OVER w, FALSE) OR coalesce(lead(s = '') OVER w, FALSE) AS after
+      FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), r AS (SELECT *, {RUN} AS run FROM e),
+    g AS (SELECT doc_id, run, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos, arg_min(cut, pos) AS starts, arg_max(after, pos) AS stops FROM r WHERE ok GROUP BY doc_id, run)
+    SELECT doc_id, first_pos, last_pos, n FROM g WHERE starts AND stops AND n BETWEEN 3 AND 20""")
+def win_blank_bounded(spark, sf_dir):
+    df = sequences.blank_bounded(marked_lines(spark, sf_dir)).where("stanza is not null")
+    return df.groupBy("doc_id", "stanza").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count(F.lit(1)).alias("n")).drop("stanza")
+
+
+SCORED = f"""{ISLANDS}, e AS (SELECT *, lag(ok) OVER (PARTITION BY doc_id ORDER BY pos) AS lag_ok, blank_before OR space_before > 240 AS cut FROM m), r AS (SELECT *, {RUN} AS run FROM e),
+    h AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY doc_id, run ORDER BY pos) - 1) / 20) AS BIGINT) AS chunk FROM r WHERE ok),
+    n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, run, chunk) AS n, row_number() OVER (PARTITION BY doc_id, run, chunk ORDER BY pos) AS k_ FROM h),
+    d AS (SELECT *, k_ = 1 AND n >= 4 AND ends_with(s, ':') AND {Q.n_words('s')} <= 4 AS lead_line FROM n),
+    v AS (SELECT *, n - max(CASE WHEN lead_line THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, run, chunk) AS kept FROM d)"""
+
+
+@query("win_scored_sequences", f"{SCORED} SELECT doc_id, min(pos) AS first_pos, count(*) AS n FROM v WHERE NOT lead_line AND kept >= 3 GROUP BY doc_id, run, chunk")
+def win_scored_sequences(spark, sf_dir):
+    df = sequences.scored_sequences(marked_lines(spark, sf_dir)).where("verse is not null")
+    return df.groupBy("doc_id", "verse").agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n")).drop("verse")
+
+
+@query("win_clusters", f"""WITH {Q.BLOCKS}, m AS (SELECT *, length(s) > 5 AND length(s) <= 80 AS ok, FALSE AS cut FROM b), k AS (SELECT *, lag(ok) OVER (PARTITION BY doc_id ORDER BY pos) AS lag_ok FROM m), r AS (SELECT *, {RUN} AS run FROM k),
+    a AS (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS n, row_number() OVER (PARTITION BY doc_id, run ORDER BY pos) AS k_ FROM r WHERE ok)
+    SELECT doc_id, min(pos) AS pos, count(*) AS n, string_agg(CASE WHEN k_ <= 8 THEN s END, chr(10) ORDER BY pos) AS excerpt FROM a WHERE n >= 3 AND k_ <= 20 GROUP BY doc_id, run""")
+def win_clusters(spark, sf_dir):
+    return arbitration.cluster_table(marked_lines(spark, sf_dir)).select("doc_id", "pos", "n", "excerpt")
+
+
+def _context_sql(frame: str) -> str:
+    return f"left(array_to_string(list_filter(list(left(s, 300)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN {frame}), lambda t: t <> ''), ' / '), 700)"
+
+
+@query("win_context3", f"WITH {Q.BLOCKS} SELECT doc_id, pos, coalesce({_context_sql('3 PRECEDING AND 1 PRECEDING')}, '') AS before, coalesce({_context_sql('1 FOLLOWING AND 3 FOLLOWING')}, '') AS after FROM b")
+def win_context3(spark, sf_dir):
+    return sequences.context(marked_lines(spark, sf_dir), 3).select("doc_id", "pos", "before", "after")
+
+
+@query("win_bibliography_state", f"""WITH {Q.BLOCKS}, e AS (SELECT *, CASE WHEN italic THEN TRUE WHEN bold THEN FALSE END AS ev FROM b)
+    SELECT doc_id, pos, coalesce(last_value(ev IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS state FROM e""")
+def win_bibliography_state(spark, sf_dir):
+    df = sequences.carried(marked_lines(spark, sf_dir), F.when(F.col("all_italic"), True).when(F.col("all_bold"), F.lit(False)), "state", F.lit(False))
+    return df.select("doc_id", "pos", "state")
+
+
+@query("win_nearest_text", f"""WITH {Q.LINES}, b AS (SELECT doc_id, pos, CASE WHEN (doc_id + pos) % 3 = 0 THEN '' ELSE text END AS text FROM l), t AS (SELECT *, CASE WHEN {Q.strip('text')} <> '' THEN pos END AS p FROM b)
+    SELECT doc_id, pos, last_value(p IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nearest_before,
+      first_value(p IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nearest_after FROM t""")
+def win_nearest_text(spark, sf_dir):
+    df = lines(docs(spark, sf_dir)).withColumn("text", F.when((F.col("doc_id") + F.col("pos")) % 3 == 0, "").otherwise(F.col("text")))
+    return sequences.blank_neighbours(stripped(complete(df))).select("doc_id", "pos", "nearest_before", "nearest_after")
+
+
+@query("win_section_depth", f"""WITH {Q.BLOCKS}, h AS (SELECT doc_id, pos, CASE WHEN bold THEN CAST((doc_id + pos) % 3 + 1 AS INTEGER) END AS level FROM b), o AS (SELECT *,
+      coalesce(max(CASE WHEN level = 1 THEN pos END) OVER w, -1) AS a, coalesce(max(CASE WHEN level = 2 THEN pos END) OVER w, -1) AS b, coalesce(max(CASE WHEN level = 3 THEN pos END) OVER w, -1) AS c
+      FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT doc_id, pos, level, CAST((a > -1)::INT + (b > a)::INT + (c > greatest(a, b))::INT AS INTEGER) AS depth FROM o""")
+def win_section_depth(spark, sf_dir):
+    df = marked_lines(spark, sf_dir).withColumn("block_type", F.when(F.col("all_bold"), "heading").otherwise("paragraph"))
+    df = df.withColumn("heading_level", ((F.col("doc_id") + F.col("pos")) % 3 + 1).cast("int"))
+    return sequences.section_depth(df).select("doc_id", "pos", "level", "depth")
+
+
+@query("win_merged_turns", """WITH t AS (SELECT conv_id, turn, role, text, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) IS DISTINCT FROM role OR lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS NULL THEN 1 ELSE 0 END AS fresh FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'user' ELSE 'assistant' END AS role, text FROM conversations)),
+    r AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM t) SELECT conv_id AS doc_id, role, min(turn) AS pos, string_agg(text, ' ' ORDER BY turn) AS text FROM r GROUP BY conv_id, run, role""")
+def win_merged_turns(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.when(F.col("turn") % 3 == 0, "user").otherwise("assistant").alias("role"), "text")
+    return sequences.merged_neighbours(turns, ["role"], separator=" ")
+
+
+@query("win_epigraph", f"WITH {Q.BLOCKS} SELECT doc_id, pos FROM b WHERE pos = 0 AND length(s) <= 350 AND s <> '' AND NOT {Q.ends('s', '!?,:;…')} AND {Q.n_words('s')} >= 5")
+def win_epigraph(spark, sf_dir):
+    s = F.col("s")
+    df = marked_lines(spark, sf_dir).withColumn("at", F.row_number().over(sequences.order()))
+    return df.where((F.col("at") == 1) & (F.length(s) <= V.EPIGRAPH_LENGTH) & (s != "") & ~ends_with_any(s, "!?,:;…") & (word_count(s) >= V.EPIGRAPH_WORDS)).select("doc_id", "pos")
+
+
+@query("budget_first_k", f"WITH {Q.BLOCKS}, r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM b WHERE length(s) >= 200) SELECT doc_id, pos FROM r WHERE k <= 3")
+def budget_first_k(spark, sf_dir):
+    _, k = arbitration.budget("conservative")
+    return sequences.first_k(marked_lines(spark, sf_dir), F.length("s") >= 200, k).where("chosen").select("doc_id", "pos")
+
+
+# --- scores
+
+def _thousandths(x: str) -> str:
+    """Rounds what the double prints as, half up, as Spark does."""
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(20, 18)), 3) * 1000 AS BIGINT)"
+
+
+HEADING_SCORE = f"""s2 AS (SELECT *, {Q.HEADING_LIKE} AS hlike, {Q.VETOES} AS v FROM b), s3 AS (SELECT *, bold AND NOT italic AS only_bold, CAST(0.15 AS DOUBLE) * CASE WHEN length(s) BETWEEN 8 AND 90 THEN CAST(1.0 AS DOUBLE) WHEN length(s) BETWEEN 4 AND 120 THEN CAST(0.35 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END
+      + CAST(0.15 AS DOUBLE) * (NOT {Q.ends('s', '.!?;:')})::INT + CAST(0.10 AS DOUBLE) * (NOT {Q.VERB_LEAD})::INT + CAST(0.10 AS DOUBLE) * ({Q.CAPS})::INT + CAST(0.15 AS DOUBLE) * (bold AND NOT italic)::INT + CAST(0.10 AS DOUBLE) * ({Q.NUMBERED_STRONG})::INT + CAST(0.05 AS DOUBLE) * ({Q.is_upper('left(s, 1)')})::INT + CAST(0.20 AS DOUBLE) * hlike::INT AS base FROM s2),
+    s4 AS (SELECT *, only_bold AND length(s) BETWEEN 8 AND 120 AND {Q.n_words('s')} <= 14 AND len(v) = 0 AS fast, only_bold OR {Q.NUMBERED_STRONG} OR {Q.CAPS} AS strong FROM s3)"""
+
+
+def _score_heading(profile: str) -> None:
+    h, d = V.PROFILES[profile][:2]
+    sql = f"""WITH {Q.BLOCKS}, {HEADING_SCORE}, s5 AS (SELECT *, {_thousandths('least(CAST(1.0 AS DOUBLE), greatest(base, CASE WHEN hlike THEN CAST(0.90 AS DOUBLE) ELSE 0 END, CASE WHEN fast THEN CAST(' + str(h) + ' AS DOUBLE) ELSE 0 END))')} AS score FROM s4)
+      SELECT doc_id, pos, score, array_to_string(v, ',') AS vetoes, CASE WHEN len(v) > 0 THEN 'ignore' WHEN strong AND score >= {round(h * 1000)} THEN 'transform' WHEN score >= {round(d * 1000)} THEN 'diagnostic' ELSE 'ignore' END AS decision FROM s5"""
+
+    @query(f"score_heading_{profile}", sql)
+    def run(spark, sf_dir):
+        scored = scoring.score_headings(marked_lines(spark, sf_dir), scoring.thresholds(profile)[0])
+        return scored.select("doc_id", "pos", thousandths(F.col("heading_score")).alias("score"), F.array_join("heading_vetoes", ",").alias("vetoes"), F.col("heading_decision").alias("decision"))
+
+
+for _profile in V.PROFILES:
+    _score_heading(_profile)
+
+
+VERSE_SCORE = f"""{SCORED}, nb AS (SELECT doc_id, pos, lag(s) OVER w AS ps, lag(ind_left) OVER w AS pi, lead(ind_left) OVER w AS ni, lead(blank_before) OVER w AS nb, lead(TRUE) OVER w AS has_next FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    x AS (SELECT v.*, nb.ps, nb.pi, nb.ni, nb.nb, nb.has_next FROM v JOIN nb USING (doc_id, pos) WHERE NOT lead_line AND kept >= 3),
+    g AS (SELECT doc_id, min(pos) AS first_pos, count(*) AS n_lines, avg(length(s)) AS al, stddev_pop(length(s)) AS sd, avg({Q.n_words('s')}) AS aw, avg(({Q.is_upper('left(s, 1)')})::INT) AS up, avg(({Q.ends('s', ',;:.!?')})::INT) AS en,
+      arg_min((coalesce(regexp_matches({Q.fold('ps')}, '\\b(annonce|dit|repond|chante|recite|declame|ecrit|cite)\\b') OR ends_with(ps, ':'), FALSE))::INT, pos) AS bh,
+      sum((regexp_matches(lower(s), '(^|[^\\pL\\pN_])(dit|ecrit|écrit|chant|poeme|poème|vers)($|[^\\pL\\pN_])') OR ends_with(s, ':'))::INT) AS wh, count(DISTINCT ind_left) AS ni_,
+      arg_min(ind_left, pos) AS fi, coalesce(arg_min(coalesce(pi, 0), pos), 0) AS pi_, coalesce(arg_max(coalesce(ni, 0), pos), 0) AS nx, arg_min(blank_before, pos) AS bl, arg_max(coalesce(has_next, FALSE), pos) AS hn, arg_max(coalesce(nb, FALSE), pos) AS nbl,
+      count(*) FILTER ({Q.BIBLIO}) >= greatest(2, floor(count(*) / 2)) AS v1, bool_or({Q.CAPTION}) AS v2, bool_or({Q.CHRONOLOGY}) AS v3, bool_and({Q.CAPS}) AS v4, bool_or({Q.LIST_ITEM}) AS v5, bool_or({Q.PASSAGE}) AS v6, bool_or({Q.MARKUP}) AS v7
+      FROM x GROUP BY doc_id, run, chunk),
+    z AS (SELECT *, CASE WHEN n_lines > 1 AND al > 0 THEN sd / al ELSE 0 END AS cv FROM g),
+    q AS (SELECT *, CAST(round(CAST(CAST((CAST(0.15 AS DOUBLE) * least(CAST(1.0 AS DOUBLE), n_lines / CAST(4.0 AS DOUBLE)) + CAST(0.12 AS DOUBLE) * CASE WHEN al BETWEEN 18 AND 90 THEN CAST(1.0 AS DOUBLE) WHEN al BETWEEN 12 AND 120 THEN CAST(0.35 AS DOUBLE) ELSE 0 END + CAST(0.12 AS DOUBLE) * CASE WHEN cv <= CAST(0.35 AS DOUBLE) THEN CAST(1.0 AS DOUBLE) WHEN cv <= CAST(0.60 AS DOUBLE) THEN CAST(0.45 AS DOUBLE) ELSE 0 END + CAST(0.12 AS DOUBLE) * up + CAST(0.12 AS DOUBLE) * en
+      + CAST(0.14 AS DOUBLE) * CASE WHEN aw BETWEEN 3 AND 16 THEN CAST(1.0 AS DOUBLE) WHEN aw BETWEEN 2 AND 18 THEN CAST(0.5 AS DOUBLE) ELSE 0 END + CAST(0.10 AS DOUBLE) * least(CAST(1.0 AS DOUBLE), (bh + wh) / n_lines) + CAST(0.08 AS DOUBLE) * CASE WHEN ni_ <= 1 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.65 AS DOUBLE) END
+      + CAST(0.05 AS DOUBLE) * ((fi > 0 AND pi_ = 0 AND (NOT hn OR nx = 0)) OR (bl AND (NOT hn OR nbl)))::INT) AS VARCHAR) AS DECIMAL(20, 18)), 3) * 1000 AS BIGINT) AS score FROM z)
+    SELECT doc_id, first_pos, n_lines, score, CASE WHEN v1 OR v2 OR v3 OR v4 OR v5 OR v6 OR v7 THEN 'ignore' WHEN score >= 820 THEN 'transform' WHEN score >= 600 THEN 'diagnostic' ELSE 'ignore' END AS decision FROM q"""
+
+
+@query("score_verse", VERSE_SCORE)
+def score_verse(spark, sf_dir):
+    scored = scoring.score_verse(sequences.scored_sequences(marked_lines(spark, sf_dir)), scoring.thresholds()[0])
+    return scored.select("doc_id", "first_pos", "n_lines", thousandths(F.col("score")).alias("score"), "decision")
+
+
+# --- aggregates and joins
+
+@query("agg_dominant_indent", f"WITH {Q.BLOCKS}, c AS (SELECT doc_id, ind_left, count(*) AS n, min(pos) AS k_ FROM b WHERE ind_left <> 0 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, k_) AS k FROM c) SELECT doc_id, ind_left AS dominant FROM r WHERE k = 1")
+def agg_dominant_indent(spark, sf_dir):
+    return structure.dominant_indent(marked_lines(spark, sf_dir))
+
+
+DIAGNOSTICS = f"""WITH {Q.BLOCKS}, d AS (SELECT doc_id, pos, CASE WHEN bold THEN 'error' WHEN italic THEN 'warning' ELSE 'info' END AS severity, CASE WHEN {Q.SENTENCE} THEN 'sentence' ELSE 'fragment' END AS category FROM b WHERE bold OR italic OR length(s) < 40)"""
+
+
+def line_diagnostics(spark, sf_dir):
+    df = marked_lines(spark, sf_dir).where(F.col("all_bold") | F.col("all_italic") | (F.length("s") < 40))
+    severity = F.when(F.col("all_bold"), "error").when(F.col("all_italic"), "warning").otherwise("info")
+    return df.select("doc_id", "pos", severity.alias("severity"), F.when(P.sentence_like(F.col("s")), "sentence").otherwise("fragment").alias("category"))
+
+
+@query("agg_severity", f"{DIAGNOSTICS} SELECT doc_id, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS infos FROM d GROUP BY doc_id")
+def agg_severity(spark, sf_dir):
+    return report.by_severity(line_diagnostics(spark, sf_dir))
+
+
+@query("agg_categories", f"{DIAGNOSTICS} SELECT category, count(*) AS n, count(DISTINCT doc_id) AS n_documents FROM d GROUP BY category")
+def agg_categories(spark, sf_dir):
+    return report.by_category(line_diagnostics(spark, sf_dir))
+
+
+@query("agg_lines_joined", f"WITH {Q.BLOCKS} SELECT doc_id, string_agg(s, ' | ' ORDER BY pos) AS text FROM b GROUP BY doc_id")
+def agg_lines_joined(spark, sf_dir):
+    return marked_lines(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]), " | ").alias("text"))
+
+
+def call_spans(spark, sf_dir):
+    """Lines cut at `, ` into spans; every span after the first is preceded by a note call."""
+    parts = F.split("text", ", ")
+    spans = lines(docs(spark, sf_dir)).select("doc_id", "pos", F.posexplode(parts).alias("k", "text"))
+    texts = spans.select("doc_id", "pos", (2 * F.col("k")).cast("long").alias("i"), "text", F.lit("text").alias("kind"), F.lit(None).cast("string").alias("note_ref"))
+    calls = spans.where("k > 0").select("doc_id", "pos", (2 * F.col("k") - 1).cast("long").alias("i"), F.lit("").alias("text"), F.lit("note_call").alias("kind"), F.concat(F.lit("n"), (F.col("k") % 5).cast("string")).alias("note_ref"))
+    return texts.unionByName(calls)
+
+
+SPANS = f"""{Q.LINES}, p AS (SELECT doc_id, pos, CAST(generate_subscripts(string_split(text, ', '), 1) - 1 AS BIGINT) AS k, unnest(string_split(text, ', ')) AS t FROM l),
+    c AS (SELECT doc_id, pos, k, 'n' || (k % 5) AS note_ref, lag(CASE WHEN t <> '' THEN right(t, 1) END) OVER (PARTITION BY doc_id, pos ORDER BY k) AS own, last_value(CASE WHEN t <> '' THEN right(t, 1) END IGNORE NULLS) OVER (PARTITION BY doc_id, pos ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ch FROM p)"""
+
+
+@query("join_note_calls", f"WITH {SPANS} SELECT doc_id, pos, 2 * k - 1 AS i, note_ref, CASE WHEN ch IN (' ', '\u00a0', '\u202f') THEN 'call_spacing' ELSE 'call_placement' END AS rule FROM c WHERE k > 0 AND ch IN (' ', '\u00a0', '\u202f', '.', ',', ';', ':', '?', '!', '»', '\"', '”', '›')")
+def join_note_calls(spark, sf_dir):
+    return notes.call_problems(call_spans(spark, sf_dir)).select("doc_id", "pos", "i", "note_ref", "rule")
+
+
+@query("join_resolve_notes", f"WITH {SPANS}, n AS (SELECT doc_id, 'n' || k AS note_id FROM documents, range(6) AS r(k)), g AS (SELECT doc_id, note_ref AS note_id, min(pos) AS target_pos, count(*) AS call_count FROM c WHERE k > 0 GROUP BY ALL), j AS (SELECT n.doc_id, n.note_id, target_pos, coalesce(call_count, 0) AS call_count FROM n LEFT JOIN g USING (doc_id, note_id)) SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY target_pos NULLS LAST, note_id) AS number FROM j")
+def join_resolve_notes(spark, sf_dir):
+    wanted = docs(spark, sf_dir).select("doc_id", F.explode(F.array(*(F.lit(f"n{k}") for k in range(6)))).alias("note_id"))
+    resolved = notes.numbered(notes.resolve_calls(wanted, call_spans(spark, sf_dir)))
+    return resolved.select("doc_id", "note_id", "target_pos", "call_count", F.col("number").cast("long").alias("number"))
+
+
+@query("join_semi_candidates", f"{SCORED}, c AS (SELECT DISTINCT doc_id FROM v WHERE NOT lead_line AND kept >= 3) SELECT doc_id, pos FROM b WHERE doc_id IN (SELECT doc_id FROM c)")
+def join_semi_candidates(spark, sf_dir):
+    df = marked_lines(spark, sf_dir)
+    hit = sequences.scored_sequences(df).where("verse is not null").select("doc_id").distinct()
+    return df.join(hit, "doc_id", "left_semi").select("doc_id", "pos")
+
+
+@query("join_anti_consumed", f"{SCORED}, c AS (SELECT doc_id, pos FROM v WHERE NOT lead_line AND kept >= 3) SELECT b.doc_id, b.pos FROM b ANTI JOIN c ON b.doc_id = c.doc_id AND b.pos = c.pos")
+def join_anti_consumed(spark, sf_dir):
+    df = marked_lines(spark, sf_dir)
+    used = sequences.scored_sequences(df).where("verse is not null").select("doc_id", "pos")
+    return df.join(used, ["doc_id", "pos"], "left_anti").select("doc_id", "pos")
+
+
+# --- structure
+
+@query("merge_blank_bounded", f"""{ISLANDS}, e AS (SELECT *, lag(ok) OVER w AS lag_ok, blank_before OR coalesce(lag(s = '') OVER w, FALSE) AS cut, coalesce(lead(blank_before) OVER w, FALSE) OR coalesce(lead(s = '') OVER w, FALSE) AS after
+      FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), r AS (SELECT *, {RUN} AS run FROM e),
+    g AS (SELECT doc_id, run, count(*) AS n, arg_min(cut, pos) AS starts, arg_max(after, pos) AS stops, string_agg(s, chr(10) ORDER BY pos) AS joined, min(pos) AS first_pos,
+      count(*) FILTER ({Q.BIBLIO}) >= greatest(2, floor(count(*) / 2)) OR bool_or({Q.CAPTION}) OR bool_or({Q.CHRONOLOGY}) OR bool_and({Q.CAPS}) OR bool_or({Q.LIST_ITEM}) OR bool_or({Q.PASSAGE}) OR bool_or({Q.MARKUP}) AS veto FROM r WHERE ok GROUP BY doc_id, run),
+    k AS (SELECT * FROM g WHERE starts AND stops AND n BETWEEN 3 AND 20 AND NOT veto)
+    SELECT r.doc_id, r.pos, CASE WHEN k.run IS NULL THEN 'paragraph' ELSE 'lineated_block' END AS block_type, coalesce(k.joined, r.text) AS text FROM r LEFT JOIN k ON r.ok AND r.doc_id = k.doc_id AND r.run = k.run WHERE k.run IS NULL OR r.pos = k.first_pos""")
+def merge_blank_bounded(spark, sf_dir):
+    df = structure.vetoes_of_run(sequences.blank_bounded(marked_lines(spark, sf_dir).withColumn("rule", F.lit(None).cast("string"))), "stanza")
+    return structure.merge_runs(df, "stanza", "stanza.between_blanks", F.coalesce("verse_free", F.lit(False))).select("doc_id", "pos", "block_type", "text")
+
+
+@query("structure_deterministic", f"""WITH {Q.BLOCKS}, h AS (SELECT *, CASE WHEN italic THEN CASE WHEN (doc_id + pos) % 2 = 0 THEN 'Sources ' ELSE '' END || s ELSE s END AS t FROM b),
+    e AS (SELECT *, CASE WHEN italic AND t <> '' THEN starts_with(t, 'Sources') OR regexp_matches(t, '(?i)^(sources?|bibliographie|r(é|e)f(é|e)rences\\s*bibliographiques?|bibliography|travaux\\s*cit(é|e)s?|works?\\s*cited)') END AS ev FROM h WHERE t <> ''),
+    st AS (SELECT *, coalesce(last_value(ev IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS inside FROM e)
+    SELECT doc_id, pos, CASE WHEN italic THEN 'heading' WHEN inside THEN 'bibliography_item' ELSE 'paragraph' END AS block_type, CASE WHEN italic THEN 2 END AS heading_level FROM st""")
+def structure_deterministic(spark, sf_dir):
+    df = marked_lines(spark, sf_dir)
+    title = F.when(F.col("all_italic"), F.concat(F.when((F.col("doc_id") + F.col("pos")) % 2 == 0, "Sources ").otherwise(""), F.col("s"))).otherwise(F.col("s"))
+    df = df.withColumn("text", title).withColumn("block_type", F.when(F.col("all_italic"), "heading").otherwise("paragraph"))
+    return structure.prepare(df, heuristics=False).blocks.select("doc_id", "pos", "block_type", "heading_level")
+
+
+@query("structure_ladder")
+def structure_ladder(spark, sf_dir):
+    return structure.prepare(marked_lines(spark, sf_dir)).blocks.select("doc_id", "pos", "block_type", "heading_level", "rule", thousandths(F.col("heading_score")).alias("score"), F.array_join("heading_vetoes", ",").alias("vetoes"))
+
+
+@query("structure_diagnostics")
+def structure_diagnostics(spark, sf_dir):
+    return structure.diagnostics(structure.prepare(marked_lines(spark, sf_dir), scoring.thresholds("exploratory")[0])).select("doc_id", "pos", "category", "severity", thousandths(F.col("score")).alias("score"), "decision")
+
+
+# --- semantics
+
+def semantic_blocks(spark, sf_dir):
+    """Lines as blocks of several types with semantics right and wrong."""
+    k = (F.col("doc_id") + F.col("pos")) % 8
+    kind = F.when(k == 0, "heading").when(k == 1, "quote_block").when(k == 2, "lineated_block").when(k == 3, "lineated_block").otherwise("paragraph")
+    none, some = F.expr("cast(array() as array<string>)"), F.array(F.col("text"))
+    struct = F.struct(
+        F.when(k == 1, "quote").when(k.isin(2, 3, 4), "lineated_block").alias("role"), F.when(k == 2, "lineated_block").alias("layout_kind"), F.when(k.isin(1, 5), "poetry").alias("quote_kind"),
+        F.when(k == 2, "lineated").when(k == 1, "verse").when(k == 6, "lineated").alias("lineation"), F.when(k == 2, some).otherwise(none).alias("lines"),
+        F.lit(None).cast("string").alias("genre_hint"), F.lit(None).cast("double").alias("genre_confidence"), F.lit(None).cast("string").alias("genre_source"),
+    )
+    level = F.when((k == 0) & (F.col("pos") % 2 == 0), 2)
+    return lines(docs(spark, sf_dir)).withColumns({"block_type": kind, "semantic": struct, "heading_level": level})
+
+
+SEMANTIC = f"""WITH {Q.LINES}, k AS (SELECT doc_id, pos, text, {Q.strip('text')} AS s, (doc_id + pos) % 8 AS k FROM l)"""
+
+
+@query("validate_rules", f"""{SEMANTIC} SELECT doc_id, pos, 'heading_level' AS rule, 'error' AS severity FROM k WHERE k = 0 AND pos % 2 = 1
+    UNION ALL SELECT doc_id, pos, 'quote_fields_outside_quote', 'error' FROM k WHERE k = 5 UNION ALL SELECT doc_id, pos, 'lineated_role_type', 'error' FROM k WHERE k = 4
+    UNION ALL SELECT doc_id, pos, 'lineation_without_lines', 'error' FROM k WHERE k = 6 OR (k = 2 AND s = '') UNION ALL SELECT doc_id, pos, 'lineated_without_lineation', 'error' FROM k WHERE k IN (3, 4)
+    UNION ALL SELECT doc_id, pos, 'lineated_without_lines', 'error' FROM k WHERE k IN (3, 4) OR (k = 2 AND s = '') UNION ALL SELECT doc_id, pos, 'lineation_on_other_type', 'error' FROM k WHERE k = 6
+    UNION ALL SELECT doc_id, pos, 'legacy_verse', 'warning' FROM k WHERE k = 1""")
+def validate_rules(spark, sf_dir):
+    return semantics.validate(semantic_blocks(spark, sf_dir)).select("doc_id", "pos", "rule", "severity")
+
+
+@query("canonical_semantics", f"""{SEMANTIC} SELECT doc_id, pos, CASE WHEN k = 0 THEN 'heading' WHEN k = 1 THEN 'quote' WHEN k IN (2, 3) THEN 'lineated_block' ELSE 'paragraph' END AS role, CASE WHEN k = 1 THEN 'prose' END AS quote_kind,
+    CASE WHEN k = 1 THEN 'prose' WHEN k IN (2, 3) THEN 'lineated' END AS lineation, CAST(CASE WHEN k IN (2, 3) AND s <> '' THEN 1 ELSE 0 END AS INTEGER) AS n_lines, CASE WHEN k IN (2, 3) AND s <> '' THEN s END AS first_line FROM k""")
+def canonical_semantics(spark, sf_dir):
+    c = F.col("canonical")
+    return semantics.canonicalise(semantic_blocks(spark, sf_dir)).select("doc_id", "pos", c["role"].alias("role"), c["quote_kind"].alias("quote_kind"), c["lineation"].alias("lineation"), F.size(c["lines"]).alias("n_lines"), F.get(c["lines"], F.lit(0)).alias("first_line"))
+
+
+@query("gate_split", f"""{SEMANTIC}, e AS (SELECT doc_id, sum(CASE WHEN k = 0 AND pos % 2 = 1 THEN 1 WHEN k = 5 THEN 1 WHEN k = 4 THEN 3 WHEN k = 6 THEN 2 WHEN k = 3 THEN 2 WHEN k = 2 AND s = '' THEN 2 ELSE 0 END) AS n_errors, sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) AS n_warnings FROM k GROUP BY doc_id)
+    SELECT doc_id, n_errors > 0 AS blocked, CAST(n_errors AS BIGINT) AS n_errors, CAST(n_warnings AS BIGINT) AS n_warnings FROM e""")
+def gate_split(spark, sf_dir):
+    blocks = semantic_blocks(spark, sf_dir)
+    return semantics.gate(blocks, semantics.validate(blocks))
+
+
+@query("map_styles", f"""{SEMANTIC}, t AS (SELECT *, CASE k WHEN 0 THEN 'heading' WHEN 1 THEN 'quote_block' WHEN 2 THEN 'lineated_block' WHEN 3 THEN 'lineated_block' ELSE 'paragraph' END AS kind FROM k), p AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM t)
+    SELECT doc_id, pos, CASE WHEN kind = 'heading' THEN CASE WHEN pos % 2 = 0 THEN 'Heading 2' ELSE 'Heading 1' END WHEN kind = 'quote_block' THEN 'TEI_quote' WHEN kind = 'lineated_block' THEN 'TEI_verse'
+      WHEN regexp_matches(s, '(?i)^(résumé|abstract|summary)') THEN 'TEI_abstract' WHEN regexp_matches(s, '(?i)^(mots[- ]clés?|keywords?)') THEN 'TEI_keywords' WHEN regexp_matches(s, '(?i)^(remerciements?|acknowledgments?)') THEN 'TEI_acknowledgment'
+      WHEN before IN ('quote_block', 'lineated_block') THEN 'TEI_paragraph_consecutive' ELSE 'Normal' END AS style FROM p""")
+def map_styles(spark, sf_dir):
+    return semantics.output_styles(semantic_blocks(spark, sf_dir)).select("doc_id", "pos", "style")
+
+
+# --- arbitration
+
+@query("ai_parse_reply", """WITH r AS (SELECT doc_id, doc_id % 6 AS k FROM documents) SELECT doc_id, CASE WHEN k = 0 THEN 'heading' WHEN k = 1 THEN 'list_item' END AS classification, CASE WHEN k = 0 THEN 900 WHEN k = 1 THEN 500 END AS confidence,
+    CASE k WHEN 2 THEN 'empty_response' WHEN 3 THEN 'invalid_json' WHEN 4 THEN 'unknown_classification' WHEN 5 THEN 'confidence_out_of_range' END AS error FROM r""")
+def ai_parse_reply(spark, sf_dir):
+    k = F.col("doc_id") % 6
+    good = '{"classification": "%s", "confidence": %s, "reason": "r", "recommended_action": "diagnostic"}'
+    raw = F.when(k == 0, "```json\n" + good % ("heading", "0.9") + "\n```").when(k == 1, "Answer: " + good % ("list_item", "0.5")).when(k == 2, "").when(k == 3, "no json").when(k == 4, good % ("poem", "0.5")).otherwise(good % ("heading", "1.5"))
+    p = arbitration.parse_reply(raw)
+    return docs(spark, sf_dir).select("doc_id", p["classification"].alias("classification"), F.round(p["confidence"] * 1000).cast("int").alias("confidence"), p["error"].alias("error"))
+
+
+@query("ai_arbitrate_stub")
+def ai_arbitrate_stub(spark, sf_dir):
+    blocks = marked_lines(spark, sf_dir)
+    found = structure.diagnostics(structure.prepare(blocks, scoring.thresholds("exploratory")[0]))
+    return arbitration.arbitrate(found, blocks, level="balanced")
+
+
+@query("ai_apply_clusters", f"""WITH {Q.BLOCKS}, m AS (SELECT *, length(s) > 5 AND length(s) <= 80 AS ok, FALSE AS cut FROM b), k AS (SELECT *, lag(ok) OVER (PARTITION BY doc_id ORDER BY pos) AS lag_ok FROM m), r AS (SELECT *, {RUN} AS run FROM k),
+    a AS (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS n, row_number() OVER (PARTITION BY doc_id, run ORDER BY pos) AS k_ FROM r WHERE ok), c AS (SELECT doc_id, run, min(pos) AS p FROM a WHERE n >= 3 AND k_ <= 20 GROUP BY ALL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS k FROM c) SELECT b.doc_id, b.pos, CASE WHEN o.p IS NULL THEN 'paragraph' ELSE 'lineated_block' END AS block_type FROM b
+    LEFT JOIN (SELECT * FROM o WHERE k <= 6) o ON b.doc_id = o.doc_id AND b.pos = o.p LEFT JOIN (SELECT a.doc_id, a.pos FROM a JOIN o ON a.doc_id = o.doc_id AND a.run = o.run WHERE o.k <= 6 AND a.n >= 3 AND a.k_ BETWEEN 2 AND 20) x ON b.doc_id = x.doc_id AND b.pos = x.pos WHERE x.pos IS NULL""")
+def ai_apply_clusters(spark, sf_dir):
+    blocks = marked_lines(spark, sf_dir).withColumn("rule", F.lit(None).cast("string"))
+    return arbitration.apply_clusters(blocks, level="balanced")[0].select("doc_id", "pos", "block_type")
+
+
+@query("ai_corrections", f"WITH {Q.BLOCKS} SELECT doc_id, pos, CASE WHEN len(string_split(text, ' the ')) = 2 THEN replace(text, ' the ', ' THE ') ELSE text END AS text, len(string_split(text, ' the ')) = 2 AS applied FROM b")
+def ai_corrections(spark, sf_dir):
+    blocks = marked_lines(spark, sf_dir)
+    suggested = blocks.select("doc_id", "pos", F.lit(" the ").alias("original"), F.lit(" THE ").alias("replacement"))
+    return arbitration.corrections(blocks, suggested).select("doc_id", "pos", "text", "applied")
+
+
+# --- reports and files
+
+@query("report_union", f"{DIAGNOSTICS} SELECT doc_id, severity, count(*) AS n FROM (SELECT doc_id, severity FROM d UNION ALL SELECT doc_id, 'info' FROM documents) GROUP BY doc_id, severity")
+def report_union(spark, sf_dir):
+    other = docs(spark, sf_dir).select("doc_id", F.lit("info").alias("severity"))
+    return report.merge(line_diagnostics(spark, sf_dir), other).groupBy("doc_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("report_output_names", "SELECT doc_id, replace(source || ' ' || lang, ' ', '_') || '_tei.xml' AS tei_name, replace(source || ' ' || lang, ' ', '_') || '_pivot.json' AS pivot_name FROM documents")
+def report_output_names(spark, sf_dir):
+    named = report.output_names(docs(spark, sf_dir).withColumn("stem", F.concat_ws(" ", "source", "lang")))
+    return named.select("doc_id", "tei_name", "pivot_name")
+
+
+@query("report_folders", "WITH p AS (SELECT doc_id AS i, CASE WHEN doc_id % 2 = 0 THEN upper(source) ELSE source END AS path FROM documents) SELECT min(i) AS i, arg_min(path, i) AS path FROM p GROUP BY lower(path)")
+def report_folders(spark, sf_dir):
+    return report.distinct_folders(docs(spark, sf_dir).select(F.col("doc_id").alias("i"), F.when(F.col("doc_id") % 2 == 0, F.upper("source")).otherwise(F.col("source")).alias("path")))
+
+
+@query("latex_escape", r"""WITH p AS (SELECT doc_id, replace(replace(text, ', ', ' & 5% of $3 #1 a_b {x} ~ ^ '), 'the ', chr(92) || ' ') AS t FROM documents)
+    SELECT doc_id, replace(replace(replace(regexp_replace(replace(replace(replace(t, chr(92), chr(1)), '~', chr(2)), '^', chr(3)), '([&%$#_{}])', chr(92) || chr(92) || '\1', 'g'), chr(1), '\textbackslash{}'), chr(2), '\textasciitilde{}'), chr(3), '\textasciicircum{}') AS text FROM p""")
+def latex_escape(spark, sf_dir):
+    from ..sources.latex import escape
+
+    t = F.replace(F.replace("text", F.lit(", "), F.lit(" & 5% of $3 #1 a_b {x} ~ ^ ")), F.lit("the "), F.lit("\\ "))
+    return docs(spark, sf_dir).select("doc_id", escape(t).alias("text"))
+
+
+@query("pivot_roundtrip", f"WITH {Q.BLOCKS} SELECT doc_id, pos, text, ind_left FROM b")
+def pivot_roundtrip(spark, sf_dir):
+    from ..sources import pivot
+
+    payload = pivot.write(marked_lines(spark, sf_dir).drop("s"))
+    return pivot.read(payload.select("json")).blocks.select(F.col("doc_id").cast("long").alias("doc_id"), "pos", "text", "ind_left")
+
+
+@query("tei_blocks")
+def tei_blocks(spark, sf_dir):
+    from ..sources import tei
+
+    return tei.write(semantic_blocks(spark, sf_dir).drop("semantic"))
+
+
+@query("tei_roundtrip", f"WITH {Q.LINES} SELECT doc_id, count(*) AS n, sum(length({Q.strip('text')})) AS n_chars FROM l GROUP BY doc_id")
+def tei_roundtrip(spark, sf_dir):
+    from ..sources import tei
+
+    xml = tei.write(lines(docs(spark, sf_dir)))
+    return tei.read(xml).blocks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(strip(F.col("text")))).alias("n_chars"))
+
+
+@query("latex_documents")
+def latex_documents(spark, sf_dir):
+    from ..sources import latex, tei
+
+    return latex.from_tei(tei.write(semantic_blocks(spark, sf_dir).drop("semantic")))
+
+
+@query("pages_markup", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<a href=')) AS INTEGER) AS n_links FROM pages")
+def pages_markup(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<a href="), F.lit(0))).alias("n_links"))
+
+
+@query("corpus_pipeline_blocks")
+def corpus_pipeline_blocks(spark, sf_dir):
+    from .pipeline import Options, run_corpus
+
+    return run_corpus(lines(docs(spark, sf_dir)), Options()).blocks.select("doc_id", "pos", "block_type", "heading_level", "text", "style")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    return QUERIES["structure_ladder"](spark, sf_dir)
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)

@@ -1,0 +1,21 @@
+"""Typography on a stream (an extension: the batch rules are stateless, so they hold on unbounded input too)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..functions.typography import rewrite
+from ..operators.blocks import lines
+
+
+def corrected(documents: DataFrame) -> DataFrame:
+    """A stream of documents(doc_id, text) -> a stream of the lines that the rules change: doc_id, pos, before, after."""
+    blocks = lines(documents).withColumnRenamed("text", "before")
+    return blocks.withColumn("after", rewrite(F.col("before"))).where("before <> after")
+
+
+def start(documents: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes corrections as Parquet, each micro-batch once."""
+    return corrected(documents).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()

@@ -43,9 +43,10 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with derived attributes (the oracle's b)."""
+    """Lines with derived attributes (the oracle's b).  Texts are dealt by doc_id before they become lines: the one exchange
+    that every window and group over a document's blocks then uses."""
     k = F.col("doc_id") + F.col("pos")
-    df = lines(docs(spark, sf_dir)).withColumns(
+    df = lines(docs(spark, sf_dir).select("doc_id", "text").repartition("doc_id")).withColumns(
         {
             "all_bold": k % 5 == 0, "all_italic": k % 11 == 0, "blank_before": (F.col("pos") % 6 == 0) & (F.col("pos") > 0),
             "ind_left": F.when(k % 7 == 0, 720).when(k % 7 == 1, 360).otherwise(0), "space_before": F.when(k % 13 == 0, 300).otherwise(0),
@@ -147,8 +148,7 @@ def typo_quotes(spark, sf_dir):
 def typo_all(spark, sf_dir):
     """Every rule in order, as transformations: only the lines that change."""
     planted = lines(docs(spark, sf_dir)).withColumn("before", F.replace(F.replace("text", F.lit(", "), F.lit(" , ")), F.lit(". "), F.lit("... ")))
-    done = planted.withColumn("after", typography.rewrite(F.col("before")))
-    return done.where("before <> after").select("doc_id", "pos", "before", "after")
+    return planted.select("doc_id", "pos", F.inline(typography.changes(F.col("before"))))
 
 
 @query("typo_transformations", f"WITH {Q.LINES}, p AS (SELECT doc_id, pos, replace(text, ' ', '  ') AS t FROM l) SELECT doc_id, count(*) AS n FROM p WHERE regexp_replace(t, '[ \\t]{{2,}}', ' ', 'g') <> t GROUP BY doc_id")
@@ -179,7 +179,6 @@ def biblio_normalise(spark, sf_dir):
 
 # --- predicates: a flag for every line
 
-ITALIC = F.col("all_italic")
 FLAGS = {  # name: column, SQL, what is planted in the line first (both engines)
     "passage_reference": (lambda s: P.passage_reference(s), Q.PASSAGE, ("of", "VI, I, 52")),
     "caption": (lambda s: P.caption_or_reference(s), Q.CAPTION, ("de", "cf. p")),
@@ -188,11 +187,11 @@ FLAGS = {  # name: column, SQL, what is planted in the line first (both engines)
     "markup": (lambda s: P.technical_markup(s), Q.MARKUP, (" the ", " <a> ")),
     "chronology": (lambda s: P.chronology_line(s), Q.CHRONOLOGY, ("The ", "1914 - ")),
     "name_list": (lambda s: P.name_list(s), Q.NAMES, (" the ", ", ")),
-    "italic_verse": (lambda s: P.italic_verse_line(s, ITALIC), Q.ITALIC_VERSE, None),
+    "italic_verse": (lambda s: P.italic_verse_line(s, F.col("all_italic")), Q.ITALIC_VERSE, None),
     "allcaps": (lambda s: P.allcaps_title(s), Q.CAPS, None),
-    "heading_candidate": (lambda s: P.heading_candidate(s, ITALIC), Q.BOLD_HEADING, (".", "")),
-    "heading_heuristic": (lambda s: P.heading_heuristic(s, ITALIC), Q.HEADING_LIKE, (".", "")),
-    "italic_kind": (lambda s: P.italic_kind(s, ITALIC), Q.ITALIC_KIND, (".", "")),
+    "heading_candidate": (lambda s: P.heading_candidate(s, F.col("all_italic")), Q.BOLD_HEADING, (".", "")),
+    "heading_heuristic": (lambda s: P.heading_heuristic(s, F.col("all_italic")), Q.HEADING_LIKE, (".", "")),
+    "italic_kind": (lambda s: P.italic_kind(s, F.col("all_italic")), Q.ITALIC_KIND, (".", "")),
     "block_quote": (lambda s: P.block_quote(s), "(starts_with(s, '«') AND (length(s) > 180 OR (length(s) > 120 AND ends_with(s, '»'))))", ("The ", "« ")),
     "sentence_like": (lambda s: P.sentence_like(s), Q.SENTENCE, None),
     "biblio_entry": (lambda s: s.rlike(V.BIBLIOGRAPHY_ENTRY), r"regexp_matches(s, '^[A-Z(][A-Za-z''\-\s]{1,40},.{5,},\s*[0-9]{4}')", ("en.", "en, Paris, 1998")),
@@ -200,7 +199,7 @@ FLAGS = {  # name: column, SQL, what is planted in the line first (both engines)
     "levels": (lambda s: F.concat_ws("/", P.bold_level(s), P.italic_level(s), P.heuristic_level(s)),
                f"concat_ws('/', CASE WHEN {Q.is_upper('s')} THEN 1 WHEN {Q.NUMBERED} <> '' THEN CASE WHEN try_cast({Q.NUMBERED} AS INTEGER) <= 9 THEN 2 ELSE 3 END WHEN length(s) <= 45 THEN 2 ELSE 3 END,"
                f" CASE WHEN {Q.NUMBERED} <> '' THEN 2 WHEN length(s) <= 60 THEN 2 ELSE 1 END, CASE WHEN {Q.is_upper('s')} THEN 1 WHEN {Q.NUMBERED} <> '' THEN 2 WHEN length(s) <= 50 THEN 2 ELSE 3 END)", ("The ", "12. ")),
-    "vetoes": (lambda s: F.array_join(P.heading_vetoes(s, ITALIC, F.lit(None).cast("int")), ","), f"array_to_string({Q.VETOES}, ',')", None),
+    "vetoes": (lambda s: F.array_join(P.heading_vetoes(s, F.col("all_italic"), F.lit(None).cast("int")), ","), f"array_to_string({Q.VETOES}, ',')", None),
 }
 
 

@@ -84,6 +84,42 @@ def test_one_of_each(spark):
     assert simhash.one_of_each(empty(spark)).collect() == [] and simhash.groups(empty(spark)).collect() == []
 
 
+def jaccard(a, b):
+    x, y = simhash.shingles((a or "").encode(), 5), simhash.shingles((b or "").encode(), 5)
+    return len(x & y) / len(x | y)
+
+
+def test_one_of_each_finds_edited_copies(spark):
+    base, rows = [text(900 + k, 150) for k in range(12)], []
+    for k, t in enumerate(base):
+        rows.append((k, t))
+        for c in range(6):  # copies with one to three words changed
+            w = t.split(" ")
+            for j in range(1 + c % 3):
+                w[(17 * (j + 1) + 23 * c) % len(w)] = f"changed{c}"
+            rows.append((100 + 10 * k + c, " ".join(w)))
+    ids, texts = sorted(i for i, _ in rows), dict(rows)
+    least = {i: i for i in ids}
+    changed = True
+    while changed:
+        changed = False
+        for a in ids:
+            for b in ids:
+                if least[b] < least[a] and jaccard(texts[a], texts[b]) >= 0.8:
+                    least[a], changed = least[b], True
+    kept = {r["doc_id"] for r in simhash.one_of_each(frame(spark, rows)).collect()}
+    gone, should = set(ids) - kept, set(ids) - set(least.values())
+    missed = should - gone
+    assert gone <= should and len(missed) <= 0.1 * len(should)  # tables of sampled bits may miss pairs at the very threshold
+    assert not any(jaccard(texts[i], texts[(i - 100) // 10]) >= 0.85 for i in missed)
+
+
+def test_large_blocks_are_done_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 3)
+    rows = [(k, text(1, 100) + f"\nlast{k}") for k in range(40)]
+    assert [r["doc_id"] for r in simhash.one_of_each(frame(spark, rows)).collect()] == [0]
+
+
 def test_null_ids(spark):
     got = simhash.groups(frame(spark, [(None, "a b c d"), (None, "a b c d"), (4, "x y z")])).collect()
     assert sorted(str(r["component_id"]) for r in got) == ["4", "None", "None"]

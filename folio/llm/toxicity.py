@@ -14,6 +14,7 @@ text are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -27,7 +28,7 @@ from . import common
 
 SAMPLE = 9000  # labelled rows that the model may be fitted on
 PREFIXES = (4, 5, 6, 7)  # lengths of word beginnings
-CANDIDATES, VOTERS, PER_STEM = 4000, 240, 6
+VOTERS, PER_STEM = 240, 6
 LEAST_SUPPORT = 4
 LEVELS = 3  # a beginning that 1, 2, 3 or more different words share
 TOXIC = 0.3
@@ -41,33 +42,51 @@ def features_of(word: str) -> list[str]:
     return ["=" + word, *("^" + word[:n] for n in PREFIXES if len(word) >= n)]
 
 
-def mine(sample: DataFrame) -> list[str]:
-    """Features that go with label 1, strongest first (by the G statistic); of nested ones that say the same the
-    shortest, and at most PER_STEM with the same first four letters, so that rarer stems get voters too."""
-    schema = T.StructType([T.StructField("feature", T.StringType()), T.StructField("pos", T.LongType()), T.StructField("neg", T.LongType())])
+def _document_counts(rows: DataFrame, wanted) -> list[tuple[str, int]]:
+    """In how many texts each feature occurs: those in at least LEAST_SUPPORT texts, or the wanted ones."""
+    wanted = None if wanted is None else frozenset(wanted)
+    schema = T.StructType([T.StructField("feature", T.StringType()), T.StructField("n", T.LongType())])
 
     def run(batches):
-        pos, neg = Counter(), Counter()
+        counts: Counter = Counter()
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                (pos if label else neg).update({f for w in set(WORD.findall(text.lower())) for f in features_of(w)})
-        names = list(pos)  # what never goes with label 1 can't become a voter
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([pos[n] for n in names], pa.int64()), pa.array([neg[n] for n in names], pa.int64())], names=schema.names)
-        # a feature may be positive in another task only: its negatives here count as well
-        rest = [n for n, c in neg.items() if n not in pos and c >= 2]
-        yield pa.RecordBatch.from_arrays([pa.array(rest, pa.string()), pa.array([0] * len(rest), pa.int64()), pa.array([neg[n] for n in rest], pa.int64())], names=schema.names)
+            for text in batch.column(0):
+                found = {f for w in set(WORD.findall(text.as_py().lower())) for f in features_of(w)}
+                counts.update(found if wanted is None else found & wanted)
+                if len(counts) > MEMO:
+                    yield made(counts)
+                    counts = Counter()
+        yield made(counts)
+
+    def made(counts):
+        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=schema.names)
+
+    summed = rows.select("text").mapInArrow(run, schema).groupBy("feature").agg(F.sum("n").alias("n"))
+    return [(r["feature"], r["n"]) for r in summed.where(F.col("n") >= (LEAST_SUPPORT if wanted is None else 1)).collect()]
 
+
+def mine(sample: DataFrame) -> list[str]:
+    """Features that go with label 1, strongest first (by the G statistic); of nested ones that say the same the
+    shortest, and at most PER_STEM with the same first four letters, so that rarer stems get voters too."""
     totals = sample.agg(F.sum("label"), F.count(F.lit(1))).first()
     n_pos, n = int(totals[0] or 0), int(totals[1])
     if not 0 < n_pos < n:
         return []
     n_neg = n - n_pos
-    counted = sample.select("text", "label").mapInArrow(run, schema).groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") >= LEAST_SUPPORT)
-    a, b = F.col("pos").cast("double"), F.col("neg").cast("double")
-    expected = (a + b) / n
-    part = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
-    g = 2 * (part(a, expected * n_pos) + part(b, expected * n_neg) + part(n_pos - a, n_pos * (1 - expected)) + part(n_neg - b, n_neg * (1 - expected)))
-    top = counted.where(a / n_pos > 2 * b / n_neg).select("feature", "pos", "neg", g.alias("g")).orderBy(F.desc("g"), "feature").limit(CANDIDATES).collect()
+    # what goes with label 1 often enough (the sample bounds how much that can be), then how often it goes with label 0
+    pos = {f: c for f, c in _document_counts(sample.where("label = 1"), None) if c >= LEAST_SUPPORT}
+    neg = dict(_document_counts(sample.where("label = 0"), pos.keys()))
+
+    def part(k: float, expected: float) -> float:
+        return k * math.log(k / expected) if k else 0.0
+
+    top = []
+    for feature, a in pos.items():
+        b = neg.get(feature, 0)
+        share = (a + b) / n
+        if a / n_pos > 2 * b / n_neg:
+            g = 2 * (part(a, share * n_pos) + part(b, share * n_neg) + part(n_pos - a, n_pos * (1 - share)) + part(n_neg - b, n_neg * (1 - share)))
+            top.append({"feature": feature, "pos": a, "neg": b, "g": g})
     kept: list[str] = []
     counts: dict[str, tuple[int, int]] = {}
     stems: Counter = Counter()

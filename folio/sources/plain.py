@@ -12,9 +12,14 @@ from ..operators.blocks import lines
 SUFFIXES = (".txt", ".md")
 
 
+#: The control characters of Latin-1 to which Windows-1252 gives other meanings, and those.
+CONTROLS = "".join(chr(b) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore"))
+MEANINGS = "".join(bytes([ord(c)]).decode("cp1252") for c in CONTROLS)
+
+
 def decoded(content: Column) -> Column:
-    """Bytes as UTF-8 where they are valid, else as Windows-1252."""
-    return F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "windows-1252"))
+    """Bytes as UTF-8 where they are valid, else as Windows-1252 (bytes without a meaning there as Latin-1)."""
+    return F.coalesce(F.try_validate_utf8(content.cast("string")), F.translate(F.decode(content, "iso-8859-1"), CONTROLS, MEANINGS))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -134,7 +134,7 @@ def bibliography_text(t: Column) -> Column:
 
 def century_styling(t: Column) -> Column:
     """The century numerals that a century word follows: their small-capitals part and their superscript."""
-    return F.regexp_extract_all(t, F.lit(rf"(?iU)\b([IVXLCDM]{{1,8}})e\b(?=\s*(?:si[eè]cles?|s\.)(?:\b|$))"), F.lit(1))
+    return F.regexp_extract_all(t, F.lit(rf"(?iU)\b([IVXLCDM]{{1,8}})e\b(?=\s*(?:si[eè]cles?|s\.)\b)"), F.lit(1))
 
 
 def quote_point_suspects(t: Column) -> Column:

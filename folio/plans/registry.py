@@ -144,6 +144,30 @@ def typo_quotes(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", typography.RULES["quotes"](F.replace("text", F.lit(", "), F.lit(' "oui" '))).alias("text"))
 
 
+@query("span_regions", "SELECT doc_id, CAST(1 AS INTEGER) AS n, CAST(length(left(text, 60)) AS INTEGER) AS start, CAST(length(left(text, 60)) + 5 AS INTEGER) AS stop FROM documents")
+def span_regions(spark, sf_dir):
+    from ..functions.spans import changed_regions
+
+    t = F.substring("text", 1, 60)
+    found = changed_regions(t, F.concat(t, F.lit("\u2603" * 5)))
+    return docs(spark, sf_dir).select("doc_id", F.size(found).alias("n"), F.get(found, F.lit(0))["start"].alias("start"), F.get(found, F.lit(0))["stop"].alias("stop"))
+
+
+@query("span_centuries")
+def span_centuries(spark, sf_dir):
+    from ..functions.spans import STYLES, century_spans
+
+    span = F.struct(F.concat(F.substring("text", 1, 80), F.lit(" XIXe siècle")).alias("text"), *(F.lit(False).alias(f) for f in STYLES), F.lit("text").alias("kind"), F.lit(None).cast("string").alias("note_ref"))
+    return docs(spark, sf_dir).select("doc_id", century_spans(F.array(span)).alias("spans"))
+
+
+@query("tei_normalised")
+def tei_normalised(spark, sf_dir):
+    from ..sources import tei
+
+    return tei.write(semantic_blocks(spark, sf_dir).drop("semantic")).select("doc_id", tei.normalised("xml").alias("xml"))
+
+
 @query("typo_all")
 def typo_all(spark, sf_dir):
     """Every rule in order, as transformations: only the lines that change."""

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from xml.etree import ElementTree as ET
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -135,3 +136,40 @@ def read(documents: DataFrame, column: str = "xml") -> Tei:
         parsed.where("part = 'note'").select("doc_id", "note_id", "label", "text"),
         parsed.where("part = 'error'").select("doc_id", F.col("text").alias("error")),
     )
+
+
+def normalise(xml: str) -> str:
+    """One document with unique ids (given ones stay where they are unique), equal neighbouring hi elements joined and notes numbered."""
+    root = ET.fromstring(xml)
+    local = lambda n: n.tag.rpartition("}")[2] if isinstance(n.tag, str) else ""
+    used: set[str] = set()
+    counts: dict[str, int] = {}
+    for node in root.iter():
+        name = local(node)
+        if name not in ("div", "note", "table", "p"):
+            continue
+        own = node.get(XML_ID)
+        while own is None or own in used:
+            counts[name] = counts.get(name, 0) + 1
+            own = f"{name}{counts[name]:03d}"
+        used.add(own)
+        node.set(XML_ID, own)
+    for parent in root.iter():
+        kept: list[ET.Element] = []
+        for node in list(parent):
+            last = kept[-1] if kept else None
+            if last is not None and local(node) == local(last) == "hi" and node.attrib == last.attrib and not last.tail and not len(last):
+                last.text = (last.text or "") + (node.text or "")
+                last.extend(list(node))
+                last.tail = node.tail
+                parent.remove(node)
+            else:
+                kept.append(node)
+    for number, note in enumerate((n for n in root.iter() if local(n) == "note"), 1):
+        note.set("n", str(number))
+    return ET.tostring(root, encoding="unicode")
+
+
+@F.pandas_udf(T.StringType())
+def normalised(xml: pd.Series) -> pd.Series:
+    return xml.map(normalise, na_action="ignore")

@@ -12,8 +12,10 @@ def _mark(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def _towards_least(near: DataFrame, keep) -> DataFrame:
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+def _towards_least(near: DataFrame, keep, name: str) -> DataFrame:
+    """near's rows with `m`, the least of u and its neighbours.  The minima are written before the join, so both of its
+    sides have an exchange of their own and Spark can split the rows of a node that a third of all others link to."""
+    least = common.durable(near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), name)
     return near.join(least, "u").where(keep)
 
 
@@ -27,9 +29,9 @@ def stars(links: DataFrame, name: str = "links") -> DataFrame:
     mark = _mark(now)
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _towards_least(both, F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _towards_least(both, F.col("v") > F.col("u"), name).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = common.durable(large, name)
-        met = _towards_least(large, F.lit(True))
+        met = _towards_least(large, F.lit(True), name)
         small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(met.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = common.durable(small, name)
         if (after := _mark(now)) == mark:

@@ -4,9 +4,8 @@ A gear hash rolls over each text's bytes; a chunk ends where the hash has zeros
 enough (or too long), so boundaries follow the content and an insertion shifts no later chunk.  Chunks are compared by
 a 128-bit digest.  The first chunk with a digest, in the order of (doc_id, offset), is kept and the others are removed.
 
-Each block of input first drops its own repeats, so a passage that a third of the corpus shares reaches a shuffle at
-most once a block; what is left is reduced by a hash aggregate and joined back, and Spark can split the join's
-skewed partitions.
+The first of each digest comes from a hash aggregate, which reduces a passage that a third of the corpus shares to one
+row a task before its shuffle; chunks are then joined to it, and Spark can split that join's skewed partitions.
 
 Defined results: null and empty texts have no chunks and are never named; repeated rows of one doc_id count as one
 text after the other (the second's chunks repeat the first's, and name the same doc_id as source); rows with a null

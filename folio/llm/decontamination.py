@@ -1,12 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-The benchmark is cut into blocks of bounded size.  For each block, one pass over all documents counts in how many of
-them each n-gram of its items occurs; an item's seeds are the rarer half of its n-grams (those up to the median
-count), so an item that has leaked into a third of the corpus still has seeds.  A second pass joins documents to
-items on seeds and aligns the words around them to the item's words by Smith-Waterman, which tolerates replaced,
+The benchmark is cut into blocks of bounded size.  For each block, one pass over all documents joins them to items on
+seeds, which are all n-grams of an item whatever their frequency: an edited or partial copy may hold only frequent
+ones.  The words around the seeds are aligned to the item's words by Smith-Waterman, which tolerates replaced,
 inserted and missing words.  The score is the best local alignment's over that of a perfect copy.
 
-Both passes are maps; only counts of a block's n-grams are shuffled and gathered.
+The pass is a map; nothing is shuffled or gathered.
 
 Defined results: null and empty texts never match; items with fewer words than the n-gram are not searched for;
 repeated documents or items each give their rows; empty tables give an empty result.  Columns other than doc_id, text
@@ -73,36 +72,15 @@ def item_blocks(benchmark: DataFrame):
         yield block
 
 
-def document_counts(docs: DataFrame, wanted: set[tuple]) -> dict[tuple, int]:
-    """In how many documents each wanted n-gram occurs."""
-    names = sorted(wanted)
-    number = {g: i for i, g in enumerate(names)}
-
-    def run(batches):
-        found = np.zeros(len(names), np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                for g in number.keys() & set(grams(words_of(text.as_py()))):
-                    found[number[g]] += 1
-        some = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], names=["gram", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {names[r["gram"]]: r["n"] for r in counted.collect()}  # at most one row for each n-gram of the block
-
-
 def _block_matches(docs: DataFrame, items: list, item_type: T.DataType, least: float) -> DataFrame:
-    counts = document_counts(docs, {g for _, words in items for g in grams(words)})
     seeds: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
     for i, (_, words) in enumerate(items):
-        own = list(grams(words))
-        middle = sorted(counts.get(g, 0) for g in own)[len(own) // 2]
-        for at, g in enumerate(own):
-            if counts.get(g, 0) <= middle:
-                seeds[g].append((i, at))
+        for at, g in enumerate(grams(words)):
+            seeds[g].append((i, at))
     seeds = dict(seeds)
     numbers = [{w: k for k, w in enumerate(dict.fromkeys(words))} for _, words in items]
     coded = [np.array([n[w] for w in words]) for n, (_, words) in zip(numbers, items)]
+    totals = [Counter(words) for _, words in items]
     schema = T.StructType(
         [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", item_type), T.StructField("score", T.DoubleType())]
         + [T.StructField(c, T.IntegerType()) for c in ("first_word", "last_word", "n_seeds")]
@@ -126,7 +104,7 @@ def _block_matches(docs: DataFrame, items: list, item_type: T.DataType, least: f
                 low = max(0, diagonals[begin] - len(item) // 2)
                 near = words[low : diagonals[k - 1] + len(item) + len(item) // 2]
                 begin = k
-                most = MATCH * sum((Counter(near) & Counter(dict(zip(number, np.bincount(item).tolist())))).values())
+                most = MATCH * sum(min(n, totals[i][w]) for w, n in Counter(w for w in near if w in number).items())
                 if most < max(least * MATCH * len(item), best[0]):
                     continue
                 passage = np.array([number.get(w, -1) for w in near])

@@ -50,6 +50,29 @@ def test_blocks_give_the_same(spark, monkeypatch):
     assert {tuple(r) for r in dc.contaminated(df, items).collect()} == whole and len(whole) == 6
 
 
+def test_edited_and_partial_copies_with_frequent_seeds_only(spark):
+    """Every n-gram that a copy keeps may be frequent, and those it lost rare or in no document."""
+    items = {k: text(800 + k, 40).replace("\n", " ") for k in range(4)}
+    words = [items[k].split(" ") for k in range(4)]
+    forms = [
+        " ".join("changed" if j % 5 == 4 else w for j, w in enumerate(words[0])),
+        " ".join("changed" if j % 4 == 3 else w for j, w in enumerate(words[1])),
+        " ".join(words[2][11:29]),
+        " ".join("changed" if j % 5 == 4 else w for j, w in enumerate(words[3])),
+    ]
+    rows = [(k, text(20 + k, 50) + " " + forms[k] + " " + text(60 + k, 50)) for k in range(3)]
+    rows += [(100 + k, text(200 + k, 50) + " " + forms[3]) for k in range(60)] + [(200, items[3]), (201, text(5, 300))]
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x["score"] for x in dc.contaminated(frame(spark, rows), benchmark).collect()}
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (200, 3)} | {(100 + k, 3) for k in range(60)}
+    numbers = {w: n for n, w in enumerate(sorted({w for _, t in rows for w in dc.words_of(t)} | {w for t in items.values() for w in dc.words_of(t)}))}
+    coded = {k: [numbers[w] for w in dc.words_of(t)] for k, t in items.items()}
+    for d in (0, 1, 2, 100, 200):
+        for k in items:
+            best = slow(coded[k], [numbers[w] for w in dc.words_of(dict(rows)[d])]) / 80
+            assert (best >= dc.LEAST_SCORE) == ((d, k) in got) and got.get((d, k), best) == best
+
+
 def test_empty_tables(spark):
     items = spark.createDataFrame([(1, text(1, 30))], "item_id long, text string")
     assert dc.contaminated(empty(spark), items).collect() == []

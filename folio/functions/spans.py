@@ -6,8 +6,10 @@ Alignments of two strings have no built-in form, so these are Arrow UDFs; texts
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
+from difflib import Match, SequenceMatcher
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,10 +25,58 @@ NEAR = 3  # regions closer than this become one
 CENTURY = re.compile(r"\b([IVXLCDM]{1,8})(e)\b", re.IGNORECASE)
 CONTEXT = re.compile(r"^\s*(si[eè]cles?|s\.)\b", re.IGNORECASE)
 CONTEXT_LENGTH = 32
+TABLE = 60_000  # up to this product of lengths the longest match is looked up in the matcher's own table
+BASE, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+
+def _window_hashes(prefix: np.ndarray, powers: np.ndarray, size: int) -> np.ndarray:
+    return prefix[size:] - prefix[:-size] * powers[size]
+
+
+class Matcher(SequenceMatcher):
+    """SequenceMatcher without junk, with the same longest match (first in a, then in b) for long texts by hashed windows
+    and bisection: its own search takes the product of the lengths."""
+
+    def find_longest_match(self, alo=0, ahi=None, blo=0, bhi=None):
+        x, y = self.a[alo:ahi], self.b[blo:bhi]
+        if len(x) * len(y) <= TABLE:
+            i, j, size = SequenceMatcher(None, x, y, autojunk=False).find_longest_match(0, len(x), 0, len(y))
+            return Match(alo + i, blo + j, size)
+        n = max(len(x), len(y)) + 1
+        powers = np.full(n, BASE, np.uint64)
+        powers[0] = 1
+        powers = np.cumprod(powers, dtype=np.uint64)
+        a, b = (self._prefixes(t) for t in (x, y))
+        low, high, found = 0, min(len(x), len(y)), (0, 0)
+        while low < high:
+            size = (low + high + 1) // 2
+            at = self._common(x, y, _window_hashes(a, powers, size), _window_hashes(b, powers, size), size)
+            if at is None:
+                high = size - 1
+            else:
+                low, found = size, at
+        return Match(alo + found[0], blo + found[1], low)
+
+    @staticmethod
+    def _prefixes(text: str) -> np.ndarray:
+        out, value = [0], 0
+        for c in map(ord, text):
+            value = (value * BASE + c + 1) & MASK
+            out.append(value)
+        return np.array(out, np.uint64)
+
+    @staticmethod
+    def _common(x: str, y: str, a: np.ndarray, b: np.ndarray, size: int) -> tuple[int, int] | None:
+        """The first window of x that occurs in y, and where it first does; equal hashes are checked by the texts."""
+        for i in np.flatnonzero(np.isin(a, b)).tolist():
+            j = y.find(x[i : i + size])
+            if j >= 0:
+                return i, j
+        return None
 
 
 def _steps(before: str, after: str):
-    return SequenceMatcher(None, before, after, autojunk=False).get_opcodes()
+    return Matcher(None, before, after, autojunk=False).get_opcodes()
 
 
 def regions(before: str | None, after: str | None) -> list[tuple[int, int]]:
@@ -77,14 +127,14 @@ def style_centuries(spans: list[dict]) -> list[dict]:
     out: list[dict] = []
     at = 0
     for s in spans:
-        for c in s["text"] or "":
-            look = looks.get(at) if s["kind"] == "text" else None
+        for look, run in groupby(enumerate(s["text"] or "", at), lambda x: looks.get(x[0]) if s["kind"] == "text" else None):
+            c = "".join(c for _, c in run)
             new = dict(s, text=c.lower() if look == "small_caps" else c) | ({look: True} if look else {})
             if out and {**out[-1], "text": ""} == {**new, "text": ""}:
                 out[-1]["text"] += new["text"]
             else:
                 out.append(new)
-            at += 1
+            at += len(c)
         if not s["text"]:
             out.append(dict(s))
     return out

@@ -153,12 +153,24 @@ def span_regions(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.size(found).alias("n"), F.get(found, F.lit(0))["start"].alias("start"), F.get(found, F.lit(0))["stop"].alias("stop"))
 
 
+@query("span_regions_lines")
+def span_regions_lines(spark, sf_dir):
+    """Every whole line against its rewritten text: only the lines that change (those of typo_all)."""
+    from ..functions.spans import changed_regions
+
+    planted = lines(docs(spark, sf_dir)).withColumn("before", F.replace(F.replace("text", F.lit(", "), F.lit(" , ")), F.lit(". "), F.lit("... ")))
+    changed = planted.select("doc_id", "pos", F.inline(typography.changes(F.col("before"))))
+    return changed.select("doc_id", "pos", changed_regions(F.col("before"), F.col("after")).alias("regions"))
+
+
 @query("span_centuries")
 def span_centuries(spark, sf_dir):
+    """Every whole line, with centuries planted all through it."""
     from ..functions.spans import STYLES, century_spans
 
-    span = F.struct(F.concat(F.substring("text", 1, 80), F.lit(" XIXe siècle")).alias("text"), *(F.lit(False).alias(f) for f in STYLES), F.lit("text").alias("kind"), F.lit(None).cast("string").alias("note_ref"))
-    return docs(spark, sf_dir).select("doc_id", century_spans(F.array(span)).alias("spans"))
+    planted = F.replace("text", F.lit(" de "), F.lit(" XIXe siècle, XVe an "))
+    span = F.struct(F.concat(planted, F.lit(" XIXe siècle")).alias("text"), *(F.lit(False).alias(f) for f in STYLES), F.lit("text").alias("kind"), F.lit(None).cast("string").alias("note_ref"))
+    return lines(docs(spark, sf_dir)).select("doc_id", "pos", century_spans(F.array(span)).alias("spans"))
 
 
 @query("tei_normalised")

@@ -1,4 +1,8 @@
+import random
+from difflib import SequenceMatcher
+
 from folio.functions import spans as S
+from folio.plans import registry
 from folio.sources import tei
 
 PLAIN = {f: False for f in S.STYLES} | {"kind": "text", "note_ref": None}
@@ -13,6 +17,32 @@ def test_regions():
     assert S.regions("un cas: oui", "un cas : oui") == [(6, 7)] and S.regions("a...b...c", "a…b…c") == [(1, 4)]
 
 
+def test_steps_of_long_texts_are_those_of_the_table():
+    r = random.Random(5)
+    for k in range(60):
+        before = "".join(r.choice("ab" if k % 3 == 0 else "abcdefgh , .") for _ in range(r.randrange(200, 900)))
+        after = "".join(r.choice(["", c, c + "x", "é"]) if r.random() < 0.05 else c for c in before)
+        assert S._steps(before, after) == SequenceMatcher(None, before, after, autojunk=False).get_opcodes()
+
+
+def test_queries_see_whole_lines(spark, tmp_path):
+    line = "de mot " * 30 + "mot, puis. " * 12 + "le de fin"
+    spark.createDataFrame([(1, line + "\nx, y"), (2, "rien")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = registry.queries()["span_centuries"](spark, str(tmp_path)).collect()
+    assert {(x["doc_id"], x["pos"]) for x in rows} == {(1, 0), (1, 1), (2, 0)}
+    long = next(x["spans"] for x in rows if (x["doc_id"], x["pos"]) == (1, 0))
+    assert sum(s["sup"] for s in long) == line.count(" de ") + 1 and "".join(s["text"] for s in long).lower() == (line.replace(" de ", " XIXe siècle, XVe an ") + " XIXe siècle").lower()
+    got = {(x["doc_id"], x["pos"]): [(a["start"], a["stop"]) for a in x["regions"]] for x in registry.queries()["span_regions_lines"](spark, str(tmp_path)).collect()}
+    moved = registry.queries()["typo_all"](spark, str(tmp_path)).collect()
+    assert set(got) == {(x["doc_id"], x["pos"]) for x in moved} and len(got[1, 0]) > 5
+    for x in moved:
+        expected = []
+        for kind, _, _, a, b in SequenceMatcher(None, x["before"], x["after"], autojunk=False).get_opcodes():
+            if kind in ("replace", "insert"):
+                expected = expected[:-1] + [(expected[-1][0], b)] if expected and a - expected[-1][1] <= 3 else expected + [(a, b)]
+        assert got[x["doc_id"], x["pos"]] == expected
+
+
 def test_new_characters_join_the_span_they_are_put_in():
     got = S.carry([span("mot", italic=True), span(": fin...")], "mot : fin…")
     assert "".join(s["text"] for s in got) == "mot : fin…" and got[0]["text"] == "mot" and got[0]["italic"] and not got[0]["changed"]

@@ -9,8 +9,7 @@ the Hamming distance itself is computed for the survivors.  A block returns a sp
 all its pairs; connected components over those links give the groups.
 
 `one_of_each`, the filtering form, decides by the shingles themselves (five words, Jaccard similarity of 0.8 or more):
-wide fingerprints and tables of sampled bits give candidate pairs, distances to references discard pairs in the same
-way, and each candidate pair's texts are compared.
+see `similar_texts`.
 
 Defined results: null and empty texts, and texts of white space, have fingerprint 0 and are linked like any others;
 texts with fewer words than a shingle are hashed whole; repeated rows each get their row back; an empty table gives
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common, components
+from . import common, components, similar_texts
 
 BANDS, BAND_BITS = 8, 8
 PIVOTS = 32
@@ -151,107 +150,7 @@ def groups(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFrame:
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-# --- near-duplicates by similarity: candidates from wide SimHash fingerprints, decided by the shingles themselves
-
-WIDE, TABLES, TABLE_BITS = 128, 64, 28  # a common block for 0.99 of the pairs that differ in 10 bits, 0.81 in 14, 0.25 in 20
-FAR = 28  # bits of WIDE; texts that share 0.8 of their shingles differ in about 10
-LONG_WORD, FEW = 5, 8
-BLOCK_ROWS, SMALL_BLOCK = 1 << 16, 256
-
-
-def wide_fingerprint(text: bytes) -> bytes:
-    """128-bit SimHash of the set of a text's longer words (of all words, if few are long): a few edits change few bits,
-    and frequent short words don't make strangers alike."""
-    words = set(text.lower().split())
-    features = [w for w in words if len(w) >= LONG_WORD]
-    if len(features) < FEW:
-        features = list(words)
-    if not features:
-        return bytes(WIDE // 8)
-    hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, features)), np.uint8).reshape(-1, WIDE // 8)
-    ones = np.zeros(WIDE, np.int64)
-    for at in range(0, len(hashes), CHUNK):
-        ones += np.unpackbits(hashes[at : at + CHUNK], axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes)).tobytes()
-
-
-def table_positions() -> np.ndarray:
-    rng = np.random.default_rng(128)
-    return np.stack([np.sort(rng.choice(WIDE, TABLE_BITS, replace=False)) for _ in range(TABLES)])
-
-
-def wide_pivots() -> np.ndarray:
-    return np.random.default_rng(66).integers(0, 256, (PIVOTS, WIDE // 8), dtype=np.uint8)
-
-
-def hub_links(ids: np.ndarray, fps: np.ndarray, refs: np.ndarray, far: int = FAR) -> list[tuple[int, int]]:
-    """Links of one block (fps: rows of WIDE // 8 bytes) to hubs: the member nearest to the bitwise majority, which for a
-    text and its edited copies is the text itself, takes all members near it; then the rest is done in the same way.
-    Pairs are discarded by their distances to the references before their own distance is computed."""
-    out, rest = [], np.arange(len(ids))
-    table = np.bitwise_count(fps[:, None, :] ^ refs[None, :, :]).sum(axis=2, dtype=np.int16)
-    if len(ids) <= SMALL_BLOCK:  # each member's nearest other, too: for an edited copy mostly its source
-        apart = np.bitwise_count(fps[:, None, :] ^ fps[None, :, :]).sum(axis=2, dtype=np.int16)
-        np.fill_diagonal(apart, WIDE + 1)
-        for k, x in enumerate(apart.argmin(axis=1)):
-            if apart[k, x] <= far:
-                out.append((int(ids[k]), int(ids[x])))
-    while len(rest) > 1:
-        majority = np.packbits(2 * np.unpackbits(fps[rest], axis=1).sum(axis=0, dtype=np.int64) > len(rest))
-        hub = rest[np.bitwise_count(fps[rest] ^ majority).sum(axis=1, dtype=np.int64).argmin()]
-        others = rest[rest != hub]
-        close = others[np.abs(table[others] - table[hub]).max(axis=1) <= far]
-        close = close[np.bitwise_count(fps[close] ^ fps[hub]).sum(axis=1, dtype=np.int64) <= far]
-        out += [(int(ids[x]), int(ids[hub])) for x in close]
-        rest = np.setdiff1d(others, close, assume_unique=True)
-    return out
-
-
-def candidate_links(nodes: DataFrame) -> DataFrame:
-    """nodes(h, wide) -> distinct (u, v), u > v: pairs worth comparing.  A node is in one block for each table of sampled
-    bits; blocks of over BLOCK_ROWS are done in pieces whose hubs are linked, so a task's memory is bounded."""
-    positions, refs = table_positions(), wide_pivots()
-
-    def keys(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
-            bits = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, WIDE // 8), axis=1)
-            for t, p in enumerate(positions):
-                key = np.ascontiguousarray(np.packbits(bits[:, p], axis=1)).view(">u4").reshape(-1).astype(np.int64) | t << 32
-                yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns], names=["key", "h", "wide"])
-
-    dealt = nodes.select("h", "wide").mapInArrow(keys, "key long, h long, wide binary").repartition(common.partitions(nodes.sparkSession), "key").sortWithinPartitions("key")
-
-    def linked(key: np.ndarray, h: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        out = []
-        for a, b in zip(starts, np.append(starts[1:], len(key))):
-            if b - a > 1:
-                out += hub_links(h[a:b], fps[a:b], refs)
-        return out
-
-    def run(batches):
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WIDE // 8), np.uint8)
-        held = none
-        for batch in batches:
-            if not len(batch):
-                continue
-            fps = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, WIDE // 8)
-            key, h, fps = (np.concatenate(x) for x in zip(held, (batch.column(0).to_numpy(), batch.column(1).to_numpy(), fps)))
-            cut = int(np.searchsorted(key, key[-1]))
-            if len(key) - cut > BLOCK_ROWS:  # a block that outgrows memory: what is here is done, and its first row stays to tie it to the rest
-                yield made(linked(key, h, fps))
-                held = key[cut : cut + 1], h[cut : cut + 1], fps[cut : cut + 1]
-            else:
-                held = key[cut:], h[cut:], fps[cut:]
-                yield made(linked(key[:cut], h[:cut], fps[:cut]))
-        yield made(linked(*held))
-
-    def made(pairs):
-        return pa.RecordBatch.from_arrays([pa.array([max(p) for p in pairs], pa.int64()), pa.array([min(p) for p in pairs], pa.int64())], names=["u", "v"])
-
-    return dealt.mapInArrow(run, "u long, v long").where("u <> v").distinct()
+# --- near-duplicates by similarity
 
 
 def shingles(text: bytes, size: int) -> set[bytes]:
@@ -259,46 +158,11 @@ def shingles(text: bytes, size: int) -> set[bytes]:
     return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
 
 
-def similar_links(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(nodes, links): one node (h, least row) for each distinct text, and links between texts that share enough shingles.
-
-    Texts meet only for candidate pairs: each pair fetches its two texts, which are those of documents that have
-    candidates at all.
-    """
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id").alias("place"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"))
-
-    def run(batches):
-        for batch in batches:
-            wide = pa.array([wide_fingerprint(t.as_py()) for t in batch.column(2)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), wide], names=["place", "h", "wide"])
-
-    schema = T.StructType([rows.schema["place"], T.StructField("h", T.LongType()), T.StructField("wide", T.BinaryType())])
-    keyed = common.durable(rows.mapInArrow(run, schema), "wide")
-    nodes = common.durable(keyed.groupBy("h").agg(F.min("place").alias("place"), F.min("wide").alias("wide")), "nodes")
-    pairs = common.durable(candidate_links(nodes), "pairs")
-    wanted = pairs.select(F.col("u").alias("h")).union(pairs.select(F.col("v").alias("h"))).distinct().join(nodes.select("h", "place"), "h")
-    texts = rows.join(wanted.select(F.col("h").alias("__h"), F.col("place").alias("__place")), (F.col("h") == F.col("__h")) & F.col("place").eqNullSafe(F.col("__place")), "left_semi")
-    texts = texts.select("h", "text").dropDuplicates(["h"])
-    both = pairs.join(texts.select(F.col("h").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("h").alias("v"), F.col("text").alias("b")), "v")
-
-    def decide(batches):
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                x, y = shingles(a.as_py(), shingle), shingles(b.as_py(), shingle)
-                keep.append(len(x & y) >= similarity * len(x | y))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    return nodes, common.durable(both.select("u", "v", "a", "b").mapInArrow(decide, "u long, v long"), "similar")
-
-
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near-duplicates (linked by a Jaccard similarity of word shingles of at least
     `similarity`): the one with the least doc_id; null ids come last.  All columns stay."""
-    nodes, found = similar_links(docs, shingle, similarity)
-    star = components.stars(found, "groups")
-    placed = nodes.join(star.withColumnRenamed("u", "h"), "h", "left").select("h", "place", F.coalesce("v", "h").alias("root"))
+    nodes, star = similar_texts.linked(docs, shingle, similarity)
+    placed = nodes.join(star.withColumnRenamed("u", "node"), "node", "left").select("place", "h", F.coalesce("v", "node").alias("root"))
     winners = placed.groupBy("root").agg(F.min(F.struct("place", "h")).alias("w")).select(F.col("w.place.doc_id").alias("__id"), F.col("w.h").alias("__h"))
     winners = common.durable(winners, "winners")
     named = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")

@@ -3,7 +3,7 @@ import re
 import numpy as np
 import xxhash
 
-from folio.llm import components, simhash
+from folio.llm import components, simhash, similar_texts
 
 from .data import AWKWARD, empty, frame, text
 
@@ -89,35 +89,95 @@ def jaccard(a, b):
     return len(x & y) / len(x | y)
 
 
-def test_one_of_each_finds_edited_copies(spark):
-    base, rows = [text(900 + k, 150) for k in range(12)], []
-    for k, t in enumerate(base):
-        rows.append((k, t))
-        for c in range(6):  # copies with one to three words changed
-            w = t.split(" ")
-            for j in range(1 + c % 3):
-                w[(17 * (j + 1) + 23 * c) % len(w)] = f"changed{c}"
-            rows.append((100 + 10 * k + c, " ".join(w)))
-    ids, texts = sorted(i for i, _ in rows), dict(rows)
-    least = {i: i for i in ids}
-    changed = True
+def least_reachable(texts: dict) -> dict:
+    ids = sorted(texts)
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if jaccard(texts[a], texts[b]) >= 0.8 - 1e-9]
+    least, changed = {i: i for i in ids}, True
     while changed:
         changed = False
-        for a in ids:
-            for b in ids:
-                if least[b] < least[a] and jaccard(texts[a], texts[b]) >= 0.8:
-                    least[a], changed = least[b], True
-    kept = {r["doc_id"] for r in simhash.one_of_each(frame(spark, rows)).collect()}
-    gone, should = set(ids) - kept, set(ids) - set(least.values())
-    missed = should - gone
-    assert gone <= should and len(missed) <= 0.1 * len(should)  # tables of sampled bits may miss pairs at the very threshold
-    assert not any(jaccard(texts[i], texts[(i - 100) // 10]) >= 0.85 for i in missed)
+        for a, b in links:
+            low = min(least[a], least[b])
+            changed |= least[a] != low or least[b] != low
+            least[a] = least[b] = low
+    return least
 
 
-def test_large_blocks_are_done_in_pieces(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK_ROWS", 3)
-    rows = [(k, text(1, 100) + f"\nlast{k}") for k in range(40)]
-    assert [r["doc_id"] for r in simhash.one_of_each(frame(spark, rows)).collect()] == [0]
+def edited(t: str, words: int, mark: str, step: int = 17) -> str:
+    w = t.split(" ")
+    for j in range(words):
+        w[(step * (j + 1)) % len(w)] = mark
+    return " ".join(w)
+
+
+def families() -> list[tuple[int, str]]:
+    """Edited, extended, truncated and reordered copies at similarities around 0.8, chains of them, two families of one template, and short texts."""
+    rows = []
+    for k in range(8):
+        base = text(900 + k, 150)
+        rows.append((k, base))
+        rows += [(100 + 10 * k + c, edited(base, 1 + c % 4, f"changed{c}", 17 + 6 * c)) for c in range(6)]
+        words = base.split(" ")
+        rows += [(300 + 10 * k + c, " ".join(words + text(70 + c, 10 + 7 * c).split())) for c in range(5)]  # extended
+        rows += [(500 + 10 * k + c, " ".join(words[: len(words) - 5 - 7 * c])) for c in range(5)]  # truncated
+    chain = text(990, 120)
+    for c in range(12):  # each close to the one before; the ends are strangers
+        rows.append((700 + c, chain))
+        chain = edited(chain, 2, f"link{c}", 11 + 7 * c)
+    template = text(991, 90)
+    rows += [(800 + c, template + " " + text(992 + c % 2, 30) + " " + f"own{c // 2}") for c in range(12)]
+    parts = [text(994 + c, 20, 1000) for c in range(6)]
+    rows += [(850 + c, " ".join(parts[c:] + parts[:c])) for c in range(6)]  # one set of words in different orders
+    rows += [(900 + c, " ".join(f"w{j}" for j in range(n))) for c, n in enumerate([0, 1, 3, 4, 5, 6, 8, 9, 13, 14])]
+    return rows
+
+
+def test_one_of_each_against_brute_force(spark):
+    rows = families()
+    least = least_reachable(dict(rows))
+    assert len(set(least.values())) < len(rows) / 2
+    assert {r["doc_id"] for r in simhash.one_of_each(frame(spark, rows)).collect()} == set(least.values())
+
+
+def test_tiles_lists_and_common_shingles_change_nothing(spark, monkeypatch):
+    rows = families()
+    monkeypatch.setattr(similar_texts, "TILE", 3)
+    monkeypatch.setattr(similar_texts, "COMMON", 4)  # so that many shingles stand last
+    monkeypatch.setattr(similar_texts, "BLOCK_SHINGLES", 500)
+    assert {r["doc_id"] for r in simhash.one_of_each(frame(spark, rows)).collect()} == set(least_reachable(dict(rows)).values())
+
+
+def test_what_the_hubs_leave_is_compared(spark):
+    """A hub that is no near copy of the others in its list: they are still found."""
+    rows = [(k, edited(text(1, 100), 3, f"x{k}", 9 + k) + " tail one two three four") for k in range(10)]
+    nodes = similar_texts.nodes_of(frame(spark, rows), 5)
+    posts = similar_texts.prefixes(nodes, 5, 0.8)
+    nothing = spark.createDataFrame([], "u long, v long")
+    got = {tuple(r) for r in similar_texts.decided(similar_texts.rest_pairs(posts, nodes, nothing, 0.8), nodes, 5, 0.8).collect()}
+    of = {r["node"]: r["place"]["doc_id"] for r in nodes.collect()}
+    texts = dict(rows)
+    # without any links each list's hub is a component of its own, so all pairs of a list are compared
+    assert {frozenset((of[u], of[v])) for u, v in got} == {frozenset((a, b)) for a in texts for b in texts if a < b and jaccard(texts[a], texts[b]) >= 0.8 - 1e-9}
+
+
+def test_sample_table_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: simhash.shingles((r["text"] or "").encode(), 5) for r in docs.collect()}
+    holders, links = {}, []
+    for i, s in sorted(texts.items()):
+        met = {}
+        for x in s:
+            for j in holders.setdefault(x, []):
+                met[j] = met.get(j, 0) + 1
+            holders[x].append(i)
+        links += [(i, j) for j, n in met.items() if n >= 0.8 * (len(s) + len(texts[j]) - n) - 1e-9]
+    least, changed = {i: i for i in texts}, True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(least[a], least[b])
+            changed |= least[a] != low or least[b] != low
+            least[a] = least[b] = low
+    assert links and {r["doc_id"] for r in simhash.one_of_each(docs).collect()} == set(least.values())
 
 
 def test_null_ids(spark):

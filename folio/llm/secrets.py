@@ -4,10 +4,11 @@ Everything is built-in column functions in one pass over the text; the plan has
 
 Base kinds are found by patterns (assignments to secret-like names, access keys, long lower-case hex).  Candidates
 for the entropy scan are maximal runs of base64-like characters that mix letters and digits.  Each candidate belongs
-to a character class (hex digits, or any), and a window slides over it: the counts of the characters in the window,
-and from them the sum of c*log2(c), are updated by the character that enters and the one that leaves.  The candidate
-is reported when its best window reaches the threshold of its class, unless the allow-list names it or a base span
-covers part of it.
+to a character class (hex digits, one case with digits, both cases with digits, base64), and a window slides over it:
+the counts of the characters in the window, five bits each in six longs, and from them the sum of c*log2(c), are
+updated by the character that enters and the one that leaves, which costs the same whatever the window or the
+class.  The candidate is reported under its class when its best window reaches the class's threshold, unless the
+allow-list names it.  A base span over the same characters doesn't hide it, as base kinds don't hide each other.
 
 Defined results: a null text is an empty one; a text without finds has zero counts, empty spans and the digest of the
 empty string; repeated rows each get a row; an empty table gives an empty result.  Offsets are code points.
@@ -25,15 +26,22 @@ from . import common
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
-KINDS = ("assign", "access", "hex", "entropy")  # in the order in which spans with one start are listed
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 MIN_VALUE = 8
 
 WINDOW = 20
-THRESHOLDS = {"hex": 3.0, "any": 3.75}  # bits; a window of 20 holds at most log2(20) = 4.32
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
-#: Candidates that are known to be harmless: identifiers in UUID form, placeholders, runs of the alphabet, paths of words.
-ALLOW = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|example|placeholder|your[_-]|x{6}|abcdefgh|12345678|^[a-z]*[/_-][a-z/_-]*[0-9]{1,4}$"
+#: Character classes, asked in this order: what all characters of a candidate are, and the bits its best window must
+#: reach.  A window of 20 holds at most log2(20) = 4.32 (hex: 4.0); of random strings of 20 characters 99 in 100 reach these.
+CLASSES = {
+    "hex": (r"^(?:[0-9a-f]+|[0-9A-F]+)$", 2.9), "lower": (r"^[0-9a-z]+$", 3.38), "upper": (r"^[0-9A-Z]+$", 3.38), "mixed": (r"^[0-9A-Za-z]+$", 3.6), "base64": (r"", 3.6),
+}
+KINDS = ("assign", "access", "hex", *(f"entropy_{c}" for c in CLASSES))  # in the order in which spans with one start are listed
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
+CELL, CELLS = 5, 12  # bits of a count, counts in a long
+#: Candidates that are known to be harmless: identifiers in UUID form, placeholders, runs of the alphabet ...
+ALLOW = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|example|placeholder|your[_-]|x{6}|abcdefgh|12345678"
+#: ... and names and paths made of words and numbers, which are what has none of these.
+UNLIKE_NAMES = r"[0-9][A-Za-z]|[0-9]{5}|[+]"
 
 
 def _span(start: Column, kind: Column, end: Column) -> Column:
@@ -43,71 +51,76 @@ def _span(start: Column, kind: Column, end: Column) -> Column:
 NO_SPANS = "cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)"
 
 
-def _located(text: Column, pattern: str, found: Column, kind: str, keep) -> Column:
-    """Spans of the matches in `found` (all matches of pattern, in order), where keep(match) holds.  What lies between
+def _located(text: Column, pattern: str, found: Column, kind) -> Column:
+    """Spans of the matches in `found` (all matches of pattern, in order), where kind(match) is the number of a kind.  What lies between
     the matches is what split() leaves, so a running sum of lengths gives the offsets."""
-    number = F.lit(KINDS.index(kind))
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.expr(NO_SPANS).alias("out"))
 
     def step(state, part):
         at = state["at"] + F.length(part["gap"])
         end = at + F.coalesce(F.length(part["hit"]), F.lit(0))
-        out = F.when(part["hit"].isNotNull() & keep(part["hit"]), F.array_append(state["out"], _span(at, number, end))).otherwise(state["out"])
+        out = F.array_append(state["out"], _span(at, F.when(part["hit"].isNotNull(), kind(part["hit"])), end))
         return F.struct(end.cast("long").alias("at"), out.alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(parts, start, step, lambda s: s["out"])).otherwise(F.expr(NO_SPANS))
+    spans = F.filter(F.aggregate(parts, start, step, lambda s: s["out"]), lambda x: x["kind"].isNotNull())
+    return F.when(F.size(found) > 0, spans).otherwise(F.expr(NO_SPANS))
 
 
 def best_entropy(candidate: Column, window: int = WINDOW) -> Column:
     """The largest Shannon entropy, in bits, of any `window` consecutive characters of candidate (of all, if fewer)."""
+    if window >> CELL:
+        raise ValueError(f"a count has {CELL} bits")
     plogp = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)))
     codes = F.transform(F.split(candidate, "(?!^)(?!$)"), lambda ch: F.instr(F.lit(ALPHABET), ch) - 1)
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    longs = -(-len(ALPHABET) // CELLS)
+    start = F.struct(F.array_repeat(F.lit(0).cast("long"), longs).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
 
-    def value(counts, code):
-        return F.get(counts, code)
+    def count(counts, code):
+        return F.call_function("shiftright", F.get(counts, F.floor(code / CELLS).cast("int")), (code % CELLS * CELL).cast("int")).bitwiseAND(F.lit((1 << CELL) - 1)).cast("int")
+
+    def one(code, k):
+        return F.when(F.floor(code / CELLS) == k, F.call_function("shiftleft", F.lit(1).cast("long"), (code % CELLS * CELL).cast("int"))).otherwise(F.lit(0).cast("long"))
 
     def slide(state, codes, i):
-        enters, leaves = F.get(codes, i), F.when(i >= window, F.get(codes, i - window)).otherwise(F.lit(-1))
+        enters, leaves = F.get(codes, i), F.when(i >= window, F.get(codes, i - window))
         counts = state["counts"]
-        up, down = value(counts, enters), value(counts, leaves)
-        total = F.when(enters == leaves, state["sum"]).otherwise(
-            state["sum"] + F.get(plogp, up + 1) - F.get(plogp, up) + F.when(leaves >= 0, F.get(plogp, down - 1) - F.get(plogp, down)).otherwise(0.0)
-        )
+        up, down = count(counts, enters), count(counts, leaves)
+        added = F.get(plogp, up + 1) - F.get(plogp, up)
+        total = F.when(enters == leaves, state["sum"]).otherwise(state["sum"] + added + F.coalesce(F.get(plogp, down - 1) - F.get(plogp, down), F.lit(0.0)))
         n = F.least(i + 1, F.lit(window)).cast("double")
-        entropy = F.log2(n) - total / n
-        new = F.transform(counts, lambda c, k: c + (k == enters).cast("int") - (k == leaves).cast("int"))
+        new = F.when(enters == leaves, counts).otherwise(F.transform(counts, lambda c, k: c + one(enters, k) - F.coalesce(one(leaves, k), F.lit(0).cast("long"))))
         full = (i + 1 >= window) | (i + 1 == F.size(codes))
-        return F.struct(new.alias("counts"), total.alias("sum"), F.when(full, F.greatest(state["best"], entropy)).otherwise(state["best"]).alias("best"))
+        return F.struct(new.alias("counts"), total.alias("sum"), F.when(full, F.greatest(state["best"], F.log2(n) - total / n)).otherwise(state["best"]).alias("best"))
 
     # one-element array: names the codes once, so that the lambda below doesn't compute them for each character
     named = F.transform(F.array(codes), lambda cs: F.aggregate(F.sequence(F.lit(0), F.size(cs) - 1), start, lambda s, i: slide(s, cs, i), lambda s: s["best"]))
     return F.get(named, F.lit(0))
 
 
-def _suspicious(hit: Column) -> Column:
-    mixed = hit.rlike("[0-9]") & hit.rlike("[A-Za-z]") & ~hit.rlike(ALLOW)
-    needed = F.when(hit.rlike("^[0-9a-fA-F]+$"), F.lit(THRESHOLDS["hex"])).otherwise(F.lit(THRESHOLDS["any"]))
-    return F.when(mixed, best_entropy(hit) >= needed).otherwise(F.lit(False))
+def entropy_kind(hit: Column) -> Column:
+    """The number of the kind under which a candidate is reported, or null."""
+    mixed = hit.rlike("[0-9]") & hit.rlike("[A-Za-z]") & hit.rlike(UNLIKE_NAMES) & ~hit.rlike(ALLOW)
+    kind, needed = F.lit(None).cast("int"), F.lit(None).cast("double")
+    for name, (characters, bits) in reversed(CLASSES.items()):
+        kind = F.when(hit.rlike(characters), F.lit(KINDS.index(f"entropy_{name}"))).otherwise(kind)
+        needed = F.when(hit.rlike(characters), F.lit(bits)).otherwise(needed)
+    return F.when(mixed, F.when(best_entropy(hit) >= needed, kind))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """docs' columns and `base`, `entropy`: arrays of struct(start, kind, end), kind an index into KINDS."""
     text = F.coalesce(F.col("text"), F.lit(""))
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "entropy": CANDIDATE}
-    keep = {
-        "assign": lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 2)) >= MIN_VALUE,
-        "access": lambda hit: F.lit(True),
-        "hex": lambda hit: F.lit(True),
-        "entropy": _suspicious,
+    kinds = {
+        "assign": lambda hit: F.when(F.length(F.regexp_extract(hit, ASSIGN, 2)) >= MIN_VALUE, F.lit(KINDS.index("assign"))),
+        "access": lambda hit: F.lit(KINDS.index("access")),
+        "hex": lambda hit: F.lit(KINDS.index("hex")),
+        "entropy": entropy_kind,
     }
     hits = docs.select("*", *(F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(f"__hits_{k}") for k, p in patterns.items()))
-    spans = hits.select(*docs.columns, *(_located(text, p, F.col(f"__hits_{k}"), k, keep[k]).alias(f"__{k}") for k, p in patterns.items()))
-    base = F.array_sort(F.concat("__assign", "__access", "__hex"))
-    joined = spans.select(*docs.columns, base.alias("base"), "__entropy")
-    apart = F.filter("__entropy", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
-    return joined.select(*docs.columns, "base", apart.alias("entropy"))
+    spans = hits.select(*docs.columns, *(_located(text, p, F.col(f"__hits_{k}"), kinds[k]).alias(f"__{k}") for k, p in patterns.items()))
+    return spans.select(*docs.columns, F.array_sort(F.concat("__assign", "__access", "__hex")).alias("base"), F.col("__entropy").alias("entropy"))
 
 
 def listed(spans: Column) -> Column:

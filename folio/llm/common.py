@@ -21,9 +21,12 @@ def documents(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir.  Where that is unset, a local session (tests) gets a folder
+    of its own; a cluster is refused, for its executors wouldn't see each other's files."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="folio-")
         spark.sparkContext.setCheckpointDir(place)
     return place.rstrip("/")
@@ -48,18 +51,20 @@ def worker_cache() -> dict:
 
 
 def held_out(doc_id) -> "Column":  # noqa: F821
-    """Rows whose labels may not be learnt from."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    """Rows whose labels may not be learnt from; a null doc_id, which no label can name, counts as not held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, size: int) -> DataFrame:
     """(doc_id, text, label): at most `size` labelled documents that aren't held out, chosen by a hash of doc_id.
 
     The chosen ids are at most `size` rows, so they are broadcast to the one scan of the texts; the sample is written
-    to the shared folder.  Several labels of one doc_id count as their maximum; null labels and ids don't count.
+    to the shared folder.  Several labels of one doc_id count as their maximum, and of several texts of one doc_id the
+    least is taken; null labels and ids don't count.
     """
+    labels = labels.select("doc_id", label)
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").alias("__id")).agg(F.max(label).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(size)
     picked = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "label")
-    return durable(picked.dropDuplicates(["doc_id"]), "sample")
+    return durable(picked.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")), "sample")

@@ -1,14 +1,15 @@
 """Quality scores by nearest-neighbour voting among latent-semantic vectors.
 
-A text's terms are the shapes of its words (runs of lower-case letters, capitals, digits and each other sign folded
-to one character) and counts of repeated words and lines.  Terms weighted by inverse document frequency are reduced
-by a truncated SVD that is fitted on a bounded sample of labelled rows.  The labelled vectors of that sample
-(SAMPLE x DIMENSIONS floats, whatever the corpus) go to every task; every document gets its exact cosine products
-with all of them in blocks, and its nearest neighbours vote with their similarity as weight.
+A text's terms are its words, and the shapes of its words (runs of lower-case letters, capitals, digits and each
+other sign folded to one character) with counts of repeated words and lines.  Either kind is weighted by inverse
+document frequency and brought to a length of its own; together they are reduced by a truncated SVD that is fitted on
+a bounded sample of labelled rows.  The labelled vectors of that sample (SAMPLE x DIMENSIONS floats, whatever the
+corpus) go to every task; every document gets its exact cosine products with all of them in blocks, and its nearest
+neighbours vote with their similarity as weight.
 
 Defined results: null and empty texts have no terms, so all labelled vectors are equally near and the score is the
-mean label; repeated rows each get a row; without labelled rows every score is 0.5; an empty table gives an empty
-result.  Columns other than doc_id and text are ignored.
+mean label; repeated rows, and rows with a null doc_id, each get a row; without labelled rows every score is 0.5; an
+empty table gives an empty result.  Columns other than doc_id and text, and other columns of the labels, are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql import types as T
 from . import common
 
 SAMPLE = 6000  # labelled rows that the model may be fitted on
-TERMS = 512
+SIZES = (1024, 512)  # terms of either kind, what is in none of them included
+WEIGHTS = (1.0, 0.6)  # lengths of the two kinds in a vector
 DIMENSIONS = 32
 NEIGHBOURS = 31
 SHARPNESS = 16  # power of the cosine that a neighbour's vote weighs
@@ -48,52 +50,84 @@ def _shape_table() -> bytes:
     return bytes(table)
 
 
-def terms(text: bytes, table: bytes) -> Counter:
-    """Counts of word shapes; `again` counts words that repeat the word before, `line` lines that were there before."""
+def terms(text: bytes, table: bytes) -> tuple[Counter, Counter]:
+    """Counts of words, and of word shapes; `again` counts words that repeat the word before, `line` lines that were there before."""
     words = text.split()
     if not words:
-        return Counter()
+        return Counter(), Counter()
     signs = np.frombuffer(text.translate(table), np.uint8)
     folded = signs[np.concatenate([[True], signs[1:] != signs[:-1]])].tobytes()
-    found = Counter(folded.split())
+    shapes = Counter(folded.split())
     lines = [x for x in text.split(b"\n") if x]
-    found[b"again"] = sum(map(eq, words, words[1:]))
-    found[b"line"] = len(lines) - len(set(lines))
-    return found
+    shapes[b"again"] = sum(map(eq, words, words[1:]))
+    shapes[b"line"] = len(lines) - len(set(lines))
+    return Counter(text.lower().translate(BARE).split()), shapes
 
 
-def weigh(counts: list[Counter], vocabulary: dict[bytes, int], idf: np.ndarray) -> np.ndarray:
-    """Rows of unit length (or zero): square roots of relative frequencies times idf; shapes outside the vocabulary share the last column."""
-    out = np.zeros((len(counts), len(idf)))
-    for row, c in zip(out, counts):
-        for term, n in c.items():
-            row[vocabulary.get(term, len(idf) - 1)] += n
-    out = np.sqrt(out / np.maximum(out.sum(axis=1, keepdims=True), 1)) * idf
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+BARE = bytes(32 if chr(b) in ".,;:!?\"'()[]{}<>|" else b for b in range(256))
 
 
-def fit(sample: DataFrame) -> dict | None:
-    """Vocabulary, idf, projection, and the unit vectors and labels of the sample's rows."""
+def weigh(found: list[tuple[Counter, Counter]], vocabulary: list[dict[bytes, int]], idf: list[np.ndarray]) -> np.ndarray:
+    """Rows of square roots of relative frequencies times idf, each kind at its own length (or zero); what is outside a vocabulary shares its last column."""
+    parts = []
+    for kind, (known, scale, weight) in enumerate(zip(vocabulary, idf, WEIGHTS)):
+        out = np.zeros((len(found), len(scale)))
+        for row, counters in zip(out, found):
+            for term, n in counters[kind].items():
+                row[known.get(term, len(scale) - 1)] += n
+        out = np.sqrt(out / np.maximum(out.sum(axis=1, keepdims=True), 1)) * scale
+        parts.append(weight * out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12))
+    return np.concatenate(parts, axis=1)
+
+
+def vocabularies(sample: DataFrame) -> tuple[list[dict[bytes, int]], list[np.ndarray]]:
+    """The terms of either kind that most texts of the sample have, counted in Spark, and their inverse document frequencies."""
     table = _shape_table()
-    rows = sample.select(F.col("text").cast("binary"), "label")
-    schema = T.StructType([T.StructField("terms", T.ArrayType(T.BinaryType())), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("label", T.IntegerType())])
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("term", T.BinaryType()), T.StructField("n", T.LongType())])
 
     def run(batches):
         for batch in batches:
-            found = [terms(t.as_py(), table).most_common(2000) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([[t for t, _ in f] for f in found], pa.list_(pa.binary())), pa.array([[n for _, n in f] for f in found], pa.list_(pa.int32())), batch.column(1)], names=schema.names)
+            for at in range(0, len(batch), BLOCK):
+                counts = Counter(), Counter()
+                for text in batch.column(0).slice(at, BLOCK):
+                    for c, found in zip(counts, terms(text.as_py(), table)):
+                        c.update(t for t, n in found.items() if n)
+                for kind, c in enumerate(counts):
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(c), pa.int32()), pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64())], names=schema.names)
+
+    summed = sample.select(F.col("text").cast("binary")).mapInArrow(run, schema).groupBy("kind", "term").agg(F.sum("n").alias("n"))
+    size = sample.count()
+    vocabulary, idf = [], []
+    for kind, most in enumerate(SIZES):
+        top = summed.where(F.col("kind") == kind).orderBy(F.desc("n"), "term").limit(most - 1).collect()
+        vocabulary.append({bytes(r["term"]): i for i, r in enumerate(top)})
+        idf.append(np.array([np.log((1 + size) / (1 + r["n"])) + 1 for r in top] + [1.0]))
+    return vocabulary, idf
+
 
-    got = rows.mapInArrow(run, schema).collect()  # at most SAMPLE rows of term counts
-    if not got:
+def fit(sample: DataFrame) -> dict | None:
+    """Vocabularies, idf, projection, and the unit vectors and labels of the sample's rows."""
+    sample = sample.select("doc_id", "text", "label")
+    if not sample.head(1):
         return None
-    counts = [Counter({bytes(t): n for t, n in zip(r["terms"], r["counts"]) if n}) for r in got]
-    df = Counter(t for c in counts for t in c)
-    vocabulary = {t: i for i, (t, _) in enumerate(sorted(df.items(), key=lambda x: (-x[1], x[0]))[: TERMS - 1])}
-    idf = np.ones(len(vocabulary) + 1)
-    for t, i in vocabulary.items():
-        idf[i] = np.log((1 + len(counts)) / (1 + df[t])) + 1
-    matrix = weigh(counts, vocabulary, idf)
-    _, vectors = np.linalg.eigh(matrix.T @ matrix)
+    table = _shape_table()
+    vocabulary, idf = vocabularies(sample)
+    schema = T.StructType([sample.schema["doc_id"], T.StructField("columns", T.BinaryType()), T.StructField("values", T.BinaryType()), T.StructField("label", T.IntegerType())])
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), BLOCK):
+                part = batch.slice(at, BLOCK)
+                rows = weigh([terms(t.as_py(), table) for t in part.column(1)], vocabulary, idf).astype(np.float32)
+                places = [np.flatnonzero(r).astype(np.int16) for r in rows]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([p.tobytes() for p in places], pa.binary()), pa.array([r[p].tobytes() for r, p in zip(rows, places)], pa.binary()), part.column(2)], names=schema.names)
+
+    got = sample.select("doc_id", F.col("text").cast("binary"), "label").mapInArrow(run, schema).collect()  # at most SAMPLE rows, what isn't zero of them
+    got.sort(key=lambda r: r["doc_id"])  # sums of floats depend on the order
+    matrix = np.zeros((len(got), sum(map(len, idf))), np.float32)
+    for row, r in zip(matrix, got):
+        row[np.frombuffer(r["columns"], np.int16)] = np.frombuffer(r["values"], np.float32)
+    _, vectors = np.linalg.eigh((matrix.T @ matrix).astype(np.float64))
     projection = vectors[:, ::-1][:, :DIMENSIONS].copy()
     reduced = matrix @ projection
     reduced /= np.maximum(np.linalg.norm(reduced, axis=1, keepdims=True), 1e-12)
@@ -118,7 +152,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
     table = _shape_table()
     if model is None:
         return docs.select("doc_id", F.lit(0.5).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB at most: SAMPLE x DIMENSIONS floats and TERMS words
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB at most: SAMPLE x DIMENSIONS floats and sum(SIZES) terms
 
     def run(batches):
         m = shared.value

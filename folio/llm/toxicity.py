@@ -1,15 +1,16 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a generative label model, and a linear classifier.
 
 Voters are mined from a bounded sample of labelled rows: words and word beginnings that go with the label (lexicon
-voters), and beginnings that several different words of one text share (pattern voters).  A voter votes or abstains.
-The label model has a hidden class for each document; the voters' rates in either class and their covariances within a class
-are estimated by expectation maximisation, the given label being one more (noisy) voter.  The posterior of the hidden
-class, not the given label, trains a logistic regression over the voters' counts, and that linear classifier scores
-every document.
-
-Defined results: null and empty texts have no votes and get the classifier's intercept; repeated rows each get a
-row; without labelled rows every score is 0; an empty table gives an empty result.  Columns other than doc_id and
-text are ignored.
+voters), and patterns, which are beginnings that several different words of one text share and the forms in PATTERNS
+(spelling out, masking, stretching, shouting, repeated signs, repeated words).  A voter votes or abstains.  The label
+model has a hidden class for each document; each voter's rate in either class, and the correlations of voters within a
+class, are estimated by expectation maximisation, the given label being one more (noisy) voter.  A voter's evidence is
+divided by how much of it others of its class repeat.  The posterior of the hidden class, not the given label, trains a
+logistic regression over the voters' counts, and that linear classifier scores every document.
+
+Defined results: null and empty texts have no votes and get the classifier's intercept; repeated rows, and rows with a
+null doc_id, each get a row; without labelled rows every score is 0; an empty table gives an empty result.  Columns
+other than doc_id and text, and other columns of the labels, are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +32,19 @@ SAMPLE = 9000  # labelled rows that the model may be fitted on
 PREFIXES = (4, 5, 6, 7)  # lengths of word beginnings
 VOTERS, PER_STEM = 240, 6
 LEAST_SUPPORT = 4
-LEVELS = 3  # a beginning that 1, 2, 3 or more different words share
+LEVELS = 3  # a beginning that 1, 2, 3 or more different words share; a form that occurs so often
 TOXIC = 0.3
 MEMO = 200_000
 
 WORD = re.compile(r"[^\W\d_]+")
+PATTERNS = {
+    "~spelled": re.compile(r"(?<!\w)(?:[^\W\d_][ .*-]){3,}[^\W\d_](?!\w)"),
+    "~masked": re.compile(r"[^\W\d_][*#@$%]+[^\W\d_]"),
+    "~stretched": re.compile(r"([^\W\d_])\1{3,}"),
+    "~shouted": re.compile(r"(?<!\w)[A-Z]{2,}(?:\W+[A-Z]{2,}(?!\w)){2,}"),
+    "~signs": re.compile(r"[!?]{3,}"),
+    "~again": re.compile(r"(?<!\w)(\w{3,})\W+\1(?!\w)"),
+}
 
 
 def features_of(word: str) -> list[str]:
@@ -51,7 +61,8 @@ def _document_counts(rows: DataFrame, wanted) -> list[tuple[str, int]]:
         counts: Counter = Counter()
         for batch in batches:
             for text in batch.column(0):
-                found = {f for w in set(WORD.findall(text.as_py().lower())) for f in features_of(w)}
+                text = text.as_py()
+                found = {f for w in set(WORD.findall(text.lower())) for f in features_of(w)} | {f for f, p in PATTERNS.items() if p.search(text)}
                 counts.update(found if wanted is None else found & wanted)
                 if len(counts) > MEMO:
                     yield made(counts)
@@ -103,9 +114,12 @@ def mine(sample: DataFrame) -> list[str]:
 
 
 def voter_counts(texts, voters: dict[str, int], memo: dict[str, tuple]) -> np.ndarray:
-    """For each text and voter the number of different words that it matches, up to LEVELS."""
+    """For each text and voter the number of different words, or of places, that it matches, up to LEVELS."""
     out = np.zeros((len(texts), len(voters)), np.uint8)
+    forms = [(v, PATTERNS[f]) for f, v in voters.items() if f in PATTERNS]
     for row, text in zip(out, texts):
+        for v, form in forms:
+            row[v] = sum(1 for _ in islice(form.finditer(text), LEVELS))
         for word in set(WORD.findall(text.lower())):
             hits = memo.get(word)
             if hits is None:
@@ -118,31 +132,33 @@ def voter_counts(texts, voters: dict[str, int], memo: dict[str, tuple]) -> np.nd
 
 
 def expand(counts: np.ndarray) -> np.ndarray:
-    """Votes: for each voter `at least 1`, ..., `at least LEVELS` different words."""
+    """Votes: for each voter `at least 1`, ..., `at least LEVELS`."""
     return np.concatenate([counts >= level for level in range(1, LEVELS + 1)], axis=1).astype(np.float32)
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 2, ridge: float = 0.05) -> np.ndarray:
+def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 5) -> np.ndarray:
     """Posterior probability of class 1 for each row, from voters of unknown accuracy and correlation.
 
-    Given the class, votes have a mean (the voters' accuracies) and a covariance (their correlations), which both
-    classes share; the posterior's log odds are then linear in the votes, with the inverse covariance discounting
-    voters that say the same.  The given label is one more voter, independent of the others given the class.
+    A voter has a rate in either class, so votes and abstentions both are evidence.  Voters that vote together within a
+    class repeat each other: the evidence of each is divided by its summed correlations with all, itself included.  The
+    given label is one more voter, independent of the others given the class.
     """
-    q = np.where(given > 0, 0.93, 0.02)
+    votes = votes.astype(np.float64)
+    q = np.where(given > 0, 0.9, 0.02)
     for _ in range(rounds):
         prior = np.clip(q.mean(), 1e-3, 1 - 1e-3)
-        covariance = np.eye(votes.shape[1]) * ridge
-        means = []
+        rates, covariance = [], np.zeros((votes.shape[1], votes.shape[1]))
         for weight in (q, 1 - q):
-            mean = weight @ votes / weight.sum()
-            centred = (votes - mean.astype(np.float32)) * np.sqrt(weight / len(votes)).astype(np.float32)[:, None]
+            rate = np.clip((weight @ votes + 0.01) / (weight.sum() + 0.5), 1e-5, 1 - 1e-5)
+            centred = (votes - rate) * np.sqrt(weight / len(votes))[:, None]
             covariance += centred.T @ centred
-            means.append(mean)
-        w = np.linalg.solve(covariance, means[0] - means[1])
-        hit = np.clip(q @ given / q.sum(), 0.5, 0.97)
-        false = np.clip((1 - q) @ given / (1 - q).sum(), 0.01, 0.5)
-        logit = np.log(prior / (1 - prior)) + votes @ w - (means[0] + means[1]) @ w / 2
+            rates.append(rate)
+        spread = np.sqrt(np.diag(covariance)) + 1e-9
+        share = 1 / np.clip(covariance / spread / spread[:, None], 0, 1).sum(axis=1)
+        one, zero = rates
+        hit = np.clip(q @ given / max(q.sum(), 1e-9), 0.5, 0.99)
+        false = np.clip((1 - q) @ given / max((1 - q).sum(), 1e-9), 0.002, 0.5)
+        logit = np.log(prior / (1 - prior)) + votes @ (share * np.log(one / zero)) + (1 - votes) @ (share * np.log((1 - one) / (1 - zero)))
         logit += np.where(given > 0, np.log(hit / false), np.log((1 - hit) / (1 - false)))
         q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return q
@@ -163,29 +179,30 @@ def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 0.1, rounds: int
     return w
 
 
-def fit(sample: DataFrame) -> dict | None:
-    """The voters, and the linear classifier's weights on their expanded counts."""
+def fit(sample: DataFrame, weak: bool = True) -> dict | None:
+    """The voters, and the linear classifier's weights on their expanded counts; weak=False trains on the given labels instead."""
     totals = sample.agg(F.avg("label")).first()[0]
     if totals is None:
         return None
     voters = {name: i for i, name in enumerate(mine(sample))}
     if not voters:
         return {"voters": {}, "weights": np.array([np.log(max(totals, 1e-3) / max(1 - totals, 1e-3))])}
-    schema = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("counts", T.BinaryType())])
+    schema = T.StructType([sample.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 
     def run(batches):
         memo: dict[str, tuple] = {}
         for batch in batches:
-            counts = voter_counts(batch.column(0).to_pylist(), voters, memo)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([c.tobytes() for c in counts], pa.binary())], names=schema.names)
+            counts = voter_counts(batch.column(1).to_pylist(), voters, memo)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([c.tobytes() for c in counts], pa.binary())], names=schema.names)
 
-    rows = sample.select("text", "label").mapInArrow(run, schema).collect()  # at most SAMPLE rows of VOTERS bytes
+    rows = sample.select("doc_id", "text", "label").mapInArrow(run, schema).collect()  # at most SAMPLE rows of VOTERS bytes
+    rows.sort(key=lambda r: r["doc_id"])  # sums of floats depend on the order
     counts = np.frombuffer(b"".join(bytes(r["counts"]) for r in rows), np.uint8).reshape(len(rows), -1)
     votes, given = expand(counts), np.array([r["label"] for r in rows])
     used = votes.sum(axis=0) >= LEAST_SUPPORT
-    posterior = label_model(votes[:, used], given)
+    target = label_model(votes[:, used], given) if weak else given.astype(np.float64)
     weights = np.zeros(votes.shape[1] + 1)
-    weights[np.append(used, True)] = logistic(votes[:, used], posterior)
+    weights[np.append(used, True)] = logistic(votes[:, used], target)
     return {"voters": voters, "weights": weights}
 
 

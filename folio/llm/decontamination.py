@@ -2,14 +2,16 @@
 
 The benchmark is cut into blocks of bounded size.  For each block, one pass over all documents joins them to items on
 seeds, which are all n-grams of an item whatever their frequency: an edited or partial copy may hold only frequent
-ones.  The words around the seeds are aligned to the item's words by Smith-Waterman, which tolerates replaced,
-inserted and missing words.  The score is the best local alignment's over that of a perfect copy.
+ones.  A block's seeds are a sorted array of hashes, and a text's n-grams are looked up in it all at once.  The words
+around the seeds are aligned to the item's words by Smith-Waterman, which tolerates replaced, inserted and missing
+words.  The score is the best local alignment's over that of a perfect copy.
 
-The pass is a map; nothing is shuffled or gathered.
+The pass is a map; nothing is shuffled or gathered.  With more than one block, each pass's result is written before
+the next block is read, so the driver holds one block, however long the benchmark is.
 
 Defined results: null and empty texts never match; items with fewer words than the n-gram are not searched for;
-repeated documents or items each give their rows; empty tables give an empty result.  Columns other than doc_id, text
-and item_id, text are ignored.
+repeated documents or items each give their rows, and rows with a null doc_id are matched (and filtered) like any
+others; empty tables give an empty result.  Columns other than doc_id, text and item_id, text are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,19 +29,35 @@ from pyspark.sql import types as T
 from . import common
 
 N = 3
-BLOCK_GRAMS = 200_000  # n-grams of the benchmark that one pass looks for
+BLOCK_GRAMS = 1_000_000  # n-grams of the benchmark that one pass looks for: some 200 MB in a worker
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.4
 
 WORD = re.compile(r"\w+")
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def grams(words: list[str]):
-    return zip(words, words[1:], words[2:])
+class WordHashes(dict):
+    """Hashes of words, remembered up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+def gram_hashes(words: list[str], memo: WordHashes) -> np.ndarray:
+    """A hash of each N-gram; what is told alike by chance fails in the alignment."""
+    codes = np.array(list(map(memo.__getitem__, words)), np.uint64)
+    h = np.zeros(max(0, len(words) - N + 1), np.uint64)
+    for k in range(N if len(h) else 0):
+        h = (h ^ (h >> np.uint64(31))) * MIX + codes[k : k + len(h)]
+    return h
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -72,37 +91,37 @@ def item_blocks(benchmark: DataFrame):
         yield block
 
 
-def _block_matches(docs: DataFrame, items: list, item_type: T.DataType, least: float) -> DataFrame:
-    seeds: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
-    for i, (_, words) in enumerate(items):
-        for at, g in enumerate(grams(words)):
-            seeds[g].append((i, at))
-    seeds = dict(seeds)
+def matcher(items: list, least: float):
+    """A function from a text to its matches: number of the item, score, first word, last word, number of seeds."""
+    memo = WordHashes()
+    hashes = [gram_hashes(words, memo) for _, words in items]
+    seeds = np.concatenate(hashes)
+    by = np.argsort(seeds, kind="stable")
+    seeds = seeds[by]
+    of_item = np.repeat(np.arange(len(items)), [len(h) for h in hashes])[by]
+    in_item = np.concatenate([np.arange(len(h)) for h in hashes])[by]
     numbers = [{w: k for k, w in enumerate(dict.fromkeys(words))} for _, words in items]
     coded = [np.array([n[w] for w in words]) for n, (_, words) in zip(numbers, items)]
     totals = [Counter(words) for _, words in items]
-    schema = T.StructType(
-        [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", item_type), T.StructField("score", T.DoubleType())]
-        + [T.StructField(c, T.IntegerType()) for c in ("first_word", "last_word", "n_seeds")]
-    )
-    ids = pa.array([item_id for item_id, _ in items])
 
     def matches(text: str):
         words = words_of(text)
+        found = gram_hashes(words, memo)
+        low = np.searchsorted(seeds, found)
+        hit = np.flatnonzero(seeds[np.minimum(low, len(seeds) - 1)] == found)
         met: dict[int, list[int]] = defaultdict(list)
-        for at, g in enumerate(grams(words)):
-            if g in seeds:
-                for i, in_item in seeds[g]:
-                    met[i].append(at - in_item)
-        for i, diagonals in met.items():
+        for at, first, last in zip(hit.tolist(), low[hit].tolist(), np.searchsorted(seeds, found[hit], side="right").tolist()):
+            for k in range(first, last):
+                met[int(of_item[k])].append(at - int(in_item[k]))
+        for i, diagonals in sorted(met.items()):
             item, number, best = coded[i], numbers[i], (0, 0, 0)
             diagonals.sort()
             begin = 0
             for k in range(1, len(diagonals) + 1):
                 if k < len(diagonals) and diagonals[k] - diagonals[k - 1] <= len(item):
                     continue
-                low = max(0, diagonals[begin] - len(item) // 2)
-                near = words[low : diagonals[k - 1] + len(item) + len(item) // 2]
+                start = max(0, diagonals[begin] - len(item) // 2)
+                near = words[start : diagonals[k - 1] + len(item) + len(item) // 2]
                 begin = k
                 most = MATCH * sum(min(n, totals[i][w]) for w, n in Counter(w for w in near if w in number).items())
                 if most < max(least * MATCH * len(item), best[0]):
@@ -111,11 +130,21 @@ def _block_matches(docs: DataFrame, items: list, item_type: T.DataType, least: f
                 got, end = align(item, passage)
                 if got > best[0]:
                     _, back = align(item[::-1], passage[:end][::-1])
-                    best = (got, low + end - back, low + end - 1)
+                    best = (got, start + end - back, start + end - 1)
             if best[0] >= least * MATCH * len(item):
                 yield i, best[0] / (MATCH * len(item)), best[1], best[2], len(diagonals)
 
+    return matches
+
+
+def _block_matches(docs: DataFrame, items: list, item_type: T.DataType, least: float) -> DataFrame:
+    schema = T.StructType(
+        [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", item_type), T.StructField("score", T.DoubleType())]
+        + [T.StructField(c, T.IntegerType()) for c in ("first_word", "last_word", "n_seeds")]
+    )
+
     def run(batches):
+        matches, ids = matcher(items, least), pa.array([item_id for item_id, _ in items])
         for batch in batches:
             rows, found = [], []
             for row, text in enumerate(batch.column(1)):
@@ -133,20 +162,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
     """doc_id, item_id, score, first_word, last_word (of the best passage), n_seeds for pairs with at least that score."""
     docs = common.documents(docs)
     item_type = benchmark.schema["item_id"].dataType
-    out = None
+    out, before = None, None
     for items in item_blocks(benchmark):
-        found = _block_matches(docs, items, item_type, least)
-        out = found if out is None else out.union(found)
-    if out is None:
+        if before is not None:  # there is more than one block: what the last one found is written before the next is held
+            before = common.durable(before, "matches")
+            out = before if out is None else out.union(before)
+        before = _block_matches(docs, items, item_type, least)
+    if before is None:
         out = docs.sparkSession.createDataFrame([], T.StructType([docs.schema["doc_id"], T.StructField("item_id", item_type)]))
-        out = out.select("*", F.lit(0.0).alias("score"), *(F.lit(0).alias(c) for c in ("first_word", "last_word", "n_seeds")))
-    return out
+        return out.select("*", F.lit(0.0).alias("score"), *(F.lit(0).alias(c) for c in ("first_word", "last_word", "n_seeds")))
+    return before if out is None else out.union(before)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """docs without those in which an item of the benchmark is found; all columns as they are."""
-    leaked = common.durable(contaminated(docs, benchmark, least).select(F.col("doc_id").alias("__id")).where("__id is not null").distinct(), "leaks")
-    return docs.join(leaked, F.col("doc_id") == F.col("__id"), "left_anti")
+    """docs without the rows in which an item of the benchmark is found; all columns as they are.  Each row is judged by its
+    own text where it is: no shuffle, and rows with a null or repeated doc_id are decided like any others."""
+    at = docs.columns.index("text")
+    filtered = False
+    for items in item_blocks(benchmark):
+        docs = _block_filter(common.durable(docs, "kept") if filtered else docs, items, at, least)
+        filtered = True
+    return docs
+
+
+def _block_filter(docs: DataFrame, items: list, at: int, least: float) -> DataFrame:
+    def run(batches):
+        matches = matcher(items, least)
+        for batch in batches:
+            yield batch.filter(pa.array([next(matches(t or ""), None) is None for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,17 +15,20 @@ in the partition where the text already is.
 Defined results: null and empty texts are one empty paragraph; texts whose paragraphs are the same multiset have the
 same fingerprint; repeated rows each get a row; an empty table gives an empty result; a row whose doc_id is null has
 no place in the order of documents, so its next document is itself.  Columns other than doc_id and text are ignored.
+doc_ids are integers; other types are refused by name.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
 EXACT, COUNTS = 32, 128  # lanes
 LOW = 0xFFFFFFFF
+WEIGHT = 4096
 PAIR = (1 << 32) | 1  # the lowest bit of each half of a long
 
 
@@ -90,20 +93,31 @@ def with_next(docs: DataFrame) -> DataFrame:
     The order is cut into buckets at quantiles of doc_id, which are ids of the table, so the first document of each
     bucket is known beforehand and a copy of it goes to the bucket before (the very first: to the last).  Texts are
     shuffled once, and no task sees more than a bucket.  Only the quantiles, four for each shuffle partition, are
-    gathered.
+    gathered; a document counts once for every WEIGHT characters in them, so buckets are alike in size of text.  A row
+    finds its bucket by halving the list of bounds.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id must be an integer: the next document is the one with the next larger doc_id")
     spark = docs.sparkSession
     cuts = 4 * common.partitions(spark)
     quantiles = F.percentile_approx("doc_id", [i / cuts for i in range(1, cuts)], 100 * cuts)
-    least, rest = docs.agg(F.min("doc_id"), quantiles).first()
+    weighed = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.char_length("text") / WEIGHT).cast("int"))))
+    least, rest = weighed.agg(F.min("doc_id"), quantiles).first()
     bounds = sorted({least, *(rest or [])} - {None})
     placed = F.col("doc_id").isNotNull()
-    literal = F.array(*(F.lit(b).cast("long") for b in bounds))
-    at = F.size(F.filter(literal, lambda b: b <= F.col("doc_id").cast("long"))) - 1
+    literal, wanted = F.array(*(F.lit(b).cast("long") for b in bounds)), F.col("doc_id").cast("long")
+
+    def halve(state, _):
+        middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
+        right = F.get(literal, middle) <= wanted
+        return F.struct(F.when(right, middle).otherwise(state["low"]).alias("low"), F.when(right, state["high"]).otherwise(middle).alias("high"))
+
+    steps = F.sequence(F.lit(1), F.lit(max(1, len(bounds).bit_length())))
+    at = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(max(1, len(bounds))).alias("high")), halve, lambda s: s["low"])
     keyed = docs.select("doc_id", "text", placed.alias("placed"), F.xxhash64("text").alias("h"))
     own = F.when(F.col("placed"), at).otherwise(F.pmod(F.col("h"), F.lit(cuts)).cast("int"))
     keyed = keyed.withColumn("own", own)
-    is_first = F.col("placed") & F.array_contains(literal, F.col("doc_id").cast("long")) if bounds else F.lit(False)
+    is_first = F.col("placed") & (F.get(literal, F.col("own")) == wanted) if bounds else F.lit(False)
     before = F.pmod(F.col("own") - 1, F.lit(max(1, len(bounds))))
     home = F.struct(F.col("own").alias("bucket"), F.lit(False).alias("copy"))
     places = F.when(is_first, F.array(home, F.struct(before.alias("bucket"), F.lit(True).alias("copy")))).otherwise(F.array(home))

@@ -26,6 +26,7 @@ from . import common
 
 GPT2_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BATCH_CHARS = 4_000_000
+GROUP_ROWS = 20_000  # rows of one length that one group numbers
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -152,10 +153,12 @@ def slots(patterns: list[tuple[list[int], int]]) -> dict[int, dict[str, np.ndarr
     return {length: {k: np.array(v, dtype=np.int64) for k, v in t.items()} for length, t in table.items()}
 
 
-def rank_within(df: DataFrame, key: str, order: list[str], buckets: int) -> DataFrame:
-    """Adds `rank`, counted from 0 within each value of key.  Every key is dealt over `buckets` groups, so that a value
-    which holds a third of the rows is numbered in parallel; the groups' counts (keys x buckets rows) give the offsets."""
-    dealt = df.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+def rank_within(df: DataFrame, key: str, order: list[str], sizes: dict[int, int], rows: int = GROUP_ROWS) -> DataFrame:
+    """Adds `rank`, counted from 0 within each value of key.  A value is dealt over one group for each `rows` of its rows
+    (sizes says how many it has), so that one which holds a third of all is numbered in parallel, by tasks of bounded
+    size; the groups' counts give the offsets."""
+    groups = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, -(-n // rows)))) if sizes else F.create_map(F.lit(0), F.lit(1))
+    dealt = df.withColumn("bucket", F.pmod(F.xxhash64(*order), groups[F.col(key)]))
     counts = dealt.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(key, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -165,11 +168,10 @@ def rank_within(df: DataFrame, key: str, order: list[str], buckets: int) -> Data
 
 def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 1024, end_id: int = 0) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for each piece of each document."""
-    spark = docs.sparkSession
     cut = common.durable(pieces(docs, tokenizer_path, max_tokens, end_id), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most max_tokens rows
     table = slots(pack_histogram(histogram, max_tokens))
-    ranked = rank_within(cut, "length", ["doc_id", "start", "length", "ids_crc32", "doc_tokens"], max(200, common.partitions(spark)))
+    ranked = rank_within(cut, "length", ["doc_id", "start", "length", "ids_crc32", "doc_tokens"], histogram)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     schema = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 

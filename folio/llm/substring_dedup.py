@@ -1,11 +1,13 @@
 """Substring dedup by content-defined chunks.
 
 A gear hash rolls over each text's bytes; a chunk ends where the hash has zeros under a mask and the chunk is long
-enough (or too long), so boundaries follow the content and an insertion shifts no later chunk.  Chunks are compared by
-a 128-bit digest.  The first chunk with a digest, in the order of (doc_id, offset), is kept and the others are removed.
+enough (or too long), so boundaries follow the content and an insertion shifts no later chunk.  A chunk never ends
+inside a character, and a last chunk that would be too short belongs to the one before.  Chunks are compared by a
+128-bit digest.  The first chunk with a digest, in the order of (doc_id, offset), is kept and the others are removed.
 
 The first of each digest comes from a hash aggregate, which reduces a passage that a third of the corpus shares to one
-row a task before its shuffle; chunks are then joined to it, and Spark can split that join's skewed partitions.
+row a task before its shuffle; chunks are then joined to it, and Spark can split that join's skewed partitions.  The
+chunks of all texts are written once and read for both.
 
 Defined results: null and empty texts have no chunks and are never named; repeated rows of one doc_id count as one
 text after the other (the second's chunks repeat the first's, and name the same doc_id as source); rows with a null
@@ -45,26 +47,28 @@ def gear_hash(data: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def cuts(data: np.ndarray, table: np.ndarray, least: int, bits: int, most: int) -> list[int]:
-    """Ends of the chunks of one text."""
+    """Ends of the chunks of one text (UTF-8), each where a character ends."""
     mask = np.uint16(((1 << bits) - 1) << (16 - bits))
+    borders = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+
+    def border(at):
+        return borders[np.minimum(np.searchsorted(borders, at), len(borders) - 1)]
+
     ends, start = [], 0
-    for at in (np.flatnonzero((gear_hash(data, table) & mask) == 0) + 1).tolist():
-        while at - start > most:
-            start += most
+    for at in [*np.unique(border(np.flatnonzero((gear_hash(data, table) & mask) == 0) + 1)).tolist(), len(data)]:
+        while at - start > most + 3:
+            start = int(border(start + most))
             ends.append(start)
         if at - start >= least:
             ends.append(at)
             start = at
-    while len(data) - start > most:
-        start += most
-        ends.append(start)
-    if start < len(data):
-        ends.append(len(data))
+    if start < len(data):  # the rest is too short for a chunk of its own
+        ends[-1:] = [len(data)]
     return ends
 
 
 def chunks(docs: DataFrame, least: int = 24, bits: int = 5, most: int = 512) -> DataFrame:
-    """doc_id, start, length, hi, lo (the digest's halves) for every chunk of at least `least` bytes, and for texts shorter than that."""
+    """doc_id, start, length, hi, lo (the digest's halves) for every chunk; chunks have at least `least` bytes, but for texts shorter than that."""
     docs = common.documents(docs).select("doc_id", F.col("text").cast("binary"))
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, k) for c, k in (("start", T.LongType()), ("length", T.IntegerType()), ("hi", T.LongType()), ("lo", T.LongType())))])
     table = gear_table()
@@ -76,11 +80,10 @@ def chunks(docs: DataFrame, least: int = 24, bits: int = 5, most: int = 512) ->
             for row, text in enumerate(batch.column(1)):
                 text, start = text.as_py(), 0
                 for end in cuts(np.frombuffer(text, np.uint8), table, least, bits, most):
-                    if end - start >= least or end - start == len(text):
-                        rows.append(row)
-                        starts.append(start)
-                        lengths.append(end - start)
-                        digests.append(blake(text[start:end], digest_size=16).digest())
+                    rows.append(row)
+                    starts.append(start)
+                    lengths.append(end - start)
+                    digests.append(blake(text[start:end], digest_size=16).digest())
                     start = end
                 if len(rows) > 200_000:
                     yield made(batch, rows, starts, lengths, digests)
@@ -97,7 +100,7 @@ def chunks(docs: DataFrame, least: int = 24, bits: int = 5, most: int = 512) ->
 
 def repeated(docs: DataFrame, least: int = 24, bits: int = 5, most: int = 512) -> DataFrame:
     """doc_id, start, length, source_doc_id, source_start for each chunk that repeats an earlier one; offsets are bytes."""
-    found = chunks(docs, least, bits, most)
+    found = common.durable(chunks(docs, least, bits, most), "chunks")
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "start")
     sources = found.groupBy("hi", "lo").agg(F.min(place).alias("source"), F.max(place).alias("last")).where("source <> last").select("hi", "lo", "source")
     joined = found.join(sources, ["hi", "lo"])
@@ -105,7 +108,8 @@ def repeated(docs: DataFrame, least: int = 24, bits: int = 5, most: int = 512) -
 
 
 def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with the byte spans (doc_id, start, length) cut from their texts; other columns as they are."""
+    """docs with the byte spans (doc_id, start, length) cut from their texts; other columns as they are.  Spans begin and end
+    where characters do, as those of `repeated` do."""
     cut = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("__cut"))
     data = F.col("text").cast("binary")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<binary>)").alias("out"))

@@ -2,7 +2,8 @@
 
 The fixed rules judge what they fit (the longest wins).  Those verdicts are labels: Spark's FP-growth mines which
 combinations of URL tokens go with which verdict, and rules are kept by support and confidence, without those that a
-shorter rule makes idle.  The number of rules is bounded by the settings, not by the corpus: a URL has at most
+shorter rule makes idle, without those whose verdict is no likelier than among all labels (lift), and without those whose labels come from fewer than MIN_SOURCES fixed rules: what one fixed rule
+alone says about its own URLs is no evidence about others.  The number of rules is bounded by the settings, not by the corpus: a URL has at most
 ITEMS tokens, so at most 2**ITEMS / MIN_SUPPORT token sets can be frequent.  URLs that no fixed rule fits look up
 their tokens in an inverted index of the mined rules (each rule under its rarest token) and take the verdict of the
 most confident rule that fits; without one they are allowed.
@@ -33,6 +34,7 @@ RULES = [
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_SUPPORT, MIN_CONFIDENCE = 0.01, 0.8
+MIN_SOURCES = 2  # fixed rules whose URLs a mined rule must fit, with its verdict
 ITEMS = 9  # kinds of tokens below, the verdict included
 
 
@@ -72,20 +74,39 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[dict]:
-    """labelled(tokens, verdict) -> rules {tokens, verdict, confidence, support}, the most confident first."""
+    """labelled(tokens, verdict, rule) -> rules {tokens, verdict, confidence, support}, the most confident first."""
     from pyspark.ml.fpm import FPGrowth
 
     items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("verdict="), "verdict"))).alias("items"))
     if not items.head(1):
         return []
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    found = model.associationRules.where(F.get("consequent", F.lit(0)).startswith("verdict=")).select("antecedent", "consequent", "confidence", "support").collect()
+    found = model.associationRules.where(F.get("consequent", F.lit(0)).startswith("verdict=")).where(F.col("lift") > 1 + 1e-9)
+    found = found.select("antecedent", "consequent", "confidence", "support").collect()
     rules = [{"tokens": frozenset(r["antecedent"]), "verdict": r["consequent"][0].removeprefix("verdict="), "confidence": round(r["confidence"], 9), "support": round(r["support"], 9)} for r in found]
+    rules = several_sources(labelled, rules)
     rules.sort(key=lambda r: (-r["confidence"], -r["support"], len(r["tokens"]), sorted(r["tokens"])))
     shorter: dict[frozenset, tuple[float, str]] = {r["tokens"]: (r["confidence"], r["verdict"]) for r in rules}
     return [r for r in rules if not any(shorter.get(r["tokens"] - {t}, (0.0, ""))[0] >= r["confidence"] for t in r["tokens"])]
 
 
+def several_sources(labelled: DataFrame, rules: list[dict]) -> list[dict]:
+    """The rules whose verdict at least MIN_SOURCES different fixed rules gave to URLs that have all its tokens."""
+    index = inverted_index(rules)
+
+    def run(batches):
+        for batch in batches:
+            seen = set()
+            for own, verdict, source in zip(*(c.to_pylist() for c in batch.columns)):
+                own = set(own)
+                seen |= {(k, source) for t in own for k, needed, says in index.get(t, ()) if says == verdict and needed <= own}
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.int32()), pa.array([x for _, x in seen], pa.string())], names=["k", "source"])
+
+    found = labelled.select("tokens", "verdict", "rule").mapInArrow(run, "k int, source string").groupBy("k").agg(F.count_distinct("source").alias("n"))
+    many = {r["k"] for r in found.where(F.col("n") >= MIN_SOURCES).collect()}  # at most one row a mined rule
+    return [r for k, r in enumerate(rules) if k in many]
+
+
 def inverted_index(rules: list[dict]) -> dict[str, list[tuple[int, frozenset, str]]]:
     """Each rule under the one of its tokens that the fewest rules have: (rank, tokens, verdict)."""
     common_ = Counter(t for r in rules for t in r["tokens"])
@@ -100,6 +121,7 @@ def judge(pages: DataFrame, rules=RULES, default: str = "allow") -> DataFrame:
     host, path = split_url(F.col("url"))
     rows = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("hit", fixed(F.col("host"), F.col("path"), rules))
     rows = rows.select("page_id", "host", "path", "hit.rule", "hit.verdict", tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
+    rows = common.durable(rows, "urls")
     index = inverted_index(mine(rows.where("verdict is not null")))
     schema = T.StructType([T.StructField("page_id", rows.schema["page_id"].dataType), *(T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict"))])
 

@@ -2,6 +2,8 @@ import random
 
 import numpy as np
 
+import pytest
+
 from folio.llm import decontamination as dc
 
 from .data import AWKWARD, empty, frame, text
@@ -78,3 +80,47 @@ def test_empty_tables(spark):
     assert dc.contaminated(empty(spark), items).collect() == []
     assert dc.contaminated(frame(spark), items.limit(0)).collect() == []
     assert dc.without_leaks(frame(spark), items.limit(0)).count() == len(AWKWARD)
+
+
+def test_rows_without_an_id_are_judged_too(spark):
+    items = [(1, text(700, 30))]
+    rows = [(None, "before " + text(700, 30) + " after"), (None, text(701, 60)), (5, text(700, 30)), (5, text(702, 40)), (6, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    kept = dc.without_leaks(frame(spark, rows), bench)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted([("None", text(701, 60)), ("5", text(702, 40)), ("6", None)], key=lambda r: (r[0], r[1] or ""))
+    assert kept.columns == frame(spark, rows).columns
+    assert sum(r["doc_id"] is None for r in dc.contaminated(frame(spark, rows), bench).collect()) == 1
+
+
+def smith_waterman(item: list[str], passage: list[str]) -> int:
+    rows = [[0] * (len(passage) + 1) for _ in range(len(item) + 1)]
+    for i, a in enumerate(item, 1):
+        for j, b in enumerate(passage, 1):
+            rows[i][j] = max(0, rows[i - 1][j - 1] + (dc.MATCH if a == b else dc.MISMATCH), rows[i - 1][j] + dc.GAP, rows[i][j - 1] + dc.GAP)
+    return max(map(max, rows))
+
+
+@pytest.mark.parametrize("block", [dc.BLOCK_GRAMS, 60])
+def test_query_against_brute_force(spark, monkeypatch, block):
+    """Every document against every item by plain Smith-Waterman; with small blocks, too."""
+    monkeypatch.setattr(dc, "BLOCK_GRAMS", block)
+    items = [(k, text(800 + k, 24)) for k in range(6)] + [(9, "two words"), (10, None)]
+    rows = [(k, text(900 + k, 60)) for k in range(6)]
+    for k in range(6):
+        w = items[k][1].split()
+        for c, step in enumerate((3, 4, 5, 9)):  # one word in so many replaced
+            rows.append((100 + 10 * k + c, text(950 + k, 20) + " " + " ".join("other" if j % step == 1 else x for j, x in enumerate(w)) + " " + text(960 + k, 20)))
+        rows.append((100 + 10 * k + 8, text(970 + k, 30) + " " + " ".join(w[: 8 + k])))  # a part
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in dc.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    expected = {}
+    for d, t in rows:
+        words = dc.words_of(t)
+        seen = set(zip(words, words[1:], words[2:]))
+        for i, it in items:
+            w = dc.words_of(it or "")
+            if len(w) >= dc.N and seen & set(zip(w, w[1:], w[2:])):
+                score = smith_waterman(w, words) / (dc.MATCH * len(w))
+                if score >= dc.LEAST_SCORE:
+                    expected[d, i] = score
+    assert len(expected) > 15 and set(got) == set(expected)
+    assert all(abs(got[k] - expected[k]) < 1e-9 for k in got)

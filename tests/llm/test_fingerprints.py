@@ -1,9 +1,11 @@
 import hashlib
 import re
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from folio.llm import common
 from folio.llm import fingerprints as fp
 
 from .data import AWKWARD, empty, frame
@@ -82,3 +84,21 @@ def test_null_ids_and_empty_tables(spark):
     assert len(rows) == 3
     own = next(r for r in rows if r["doc_id"] is None and r["n_chars"] == 9)
     assert own["edited_sha256"] == hashlib.sha256(b"abcd efab").hexdigest() and own["near_next"] == 1.0
+
+
+def test_every_row_finds_its_bucket(spark):
+    """Bounds are halved, not scanned: ids at, between and beyond them, negative ones, and repeated ones."""
+    rows = [(k * 7 - 300, f"text {k} " * (1 + 900 * (k % 11 == 0))) for k in range(120)] + [(14, "again")]
+    got = [r for r in fp.with_next(common.documents(frame(spark, rows))).collect() if not r["copy"]]
+    ordered = sorted(rows)
+    follows = {r: ordered[(k + 1) % len(ordered)][1] for k, r in enumerate(ordered)}
+    assert len(got) == len(rows)
+    for r in got:
+        if r["doc_id"] != 14:
+            assert r["next_text"] == follows[r["doc_id"], r["text"]] or r["doc_id"] == 7
+
+
+def test_ids_that_are_no_integers_are_refused(spark):
+    df = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    with pytest.raises(TypeError, match="integer"):
+        fp.with_next(df)

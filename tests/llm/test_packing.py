@@ -73,3 +73,16 @@ def test_histogram_is_used_up():
     assert used == counts
     sequences = sum(n for _, n in packing.pack_histogram(counts, 1024))
     assert sequences * 1024 < 1.02 * sum(k * n for k, n in counts.items())
+
+
+def test_a_hot_length_is_numbered_in_groups_of_bounded_size(spark):
+    rows = [(k, 7 if k % 3 else k % 5) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, length long")
+    sizes = {r["length"]: r["count"] for r in df.groupBy("length").count().collect()}
+    got = packing.rank_within(df, "length", ["doc_id"], sizes, rows=100)
+    ranks = {}
+    for r in got.collect():
+        ranks.setdefault(r["length"], []).append(r["rank"])
+    assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(n)) for k, n in sizes.items()}
+    largest = df.withColumn("g", packing.F.pmod(packing.F.xxhash64("doc_id"), packing.F.lit(20))).where("length = 7").groupBy("g").count().agg(packing.F.max("count")).first()[0]
+    assert largest < 200  # 2000 rows of one length in 20 groups

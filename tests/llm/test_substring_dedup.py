@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -57,3 +58,30 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     got = sd.repeated(frame(spark, [(5, t), (None, t)])).select("doc_id", "source_doc_id").distinct().collect()
     assert [(r[0], r[1]) for r in got] == [(None, 5)]
     assert sd.repeated(frame(spark, [(5, t), (5, t)])).where(F.col("source_doc_id") != 5).count() == 0
+
+
+def test_chunks_cover_texts_and_end_where_characters_do(spark):
+    r = random.Random(5)
+    table = sd.gear_table()
+    for n in (0, 1, 23, 24, 25, 47, 600, 5000):
+        t = "".join(r.choice("aé漢𝔘 \u00a0ß") for _ in range(n))
+        b = t.encode()
+        ends = sd.cuts(np.frombuffer(b, np.uint8), table, 24, 5, 512)
+        assert ends == sorted(set(ends)) and (ends[-1] if ends else 0) == len(b)
+        begins = [0, *ends[:-1]]
+        assert all(e - a >= 24 for a, e in zip(begins, ends)) or len(ends) <= 1
+        assert all(e - a <= 512 + 3 + 24 for a, e in zip(begins, ends))
+        for a, e in zip(begins, ends):
+            b[a:e].decode()
+
+
+def test_without_on_text_that_is_not_ascii(spark):
+    r = random.Random(6)
+    texts = ["".join(r.choice("éèàüß漢字仮名𝔘 ab") for _ in range(900)) for _ in range(3)]
+    rows = [(1, texts[0]), (2, texts[1] + texts[0]), (3, texts[0][100:700]), (4, texts[0]), (5, None), (6, "")]
+    df = frame(spark, rows)
+    spans = sd.repeated(df)
+    got = {x["doc_id"]: x["text"] for x in sd.without(df, spans).collect()}
+    assert got[1] == texts[0] and got[5] is None and got[6] == "" and got[4] == ""  # a copy goes whole, its last bytes too
+    assert got[2].startswith(texts[1][:800]) and len(got[2]) < len(texts[1]) + 200
+    assert set(got[3]) <= set(texts[0])

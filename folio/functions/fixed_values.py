@@ -11,7 +11,11 @@ SPACES = r"[ \t\x{A0}\x{202F}]"
 
 # Centuries
 CENTURIES = ["i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii", "xiii", "xiv", "xv", "xvi", "xvii", "xviii", "xix", "xx", "xxi", "xxii", "xxiii"]
-CENTURY_CONTEXT = r"(?iU)^\s*(si[eè]cles?|s\.)\b"
+CENTURY_CONTEXT = r"\s*(?:si[eè]cles?|s\.)\b"
+
+# Straight and English quotation marks: a pair, how far around it is looked, what before and after it says that it is technical
+QUOTE_PAIR, QUOTE_REACH = r"[\"“][^\"\n”]+[\"”]", 48
+QUOTE_TECHNICAL_BEFORE, QUOTE_TECHNICAL_AFTER = r"(?sU)(?:\b[\w:-]+\s*=|\(|\(.*,)$|^[^>]*<[^>]*$", ")],;:"
 
 # Words that take the ligature, without it
 LIGATURES = ["boeuf", "boeufs", "oeuf", "oeufs", "soeur", "soeurs", "coeur", "coeurs", "oeuvre", "oeuvres", "oeil", "voeu", "voeux", "noeud", "noeuds", "moeurs"]
@@ -52,6 +56,8 @@ SPEECH_BEFORE = r"(?U)\b(?:annonce|dit|repond|chante|recite|declame|ecrit|cite)\
 SPEECH_WITHIN = r"(?U)\b(?:dit|ecrit|écrit|chant|poeme|poème|vers)\b"
 SEQUENCE_MIN, SEQUENCE_MAX, LINE_WORDS, STANZA_SPACE = 3, 20, 16, 240
 
+CHRONOLOGY_LINE = r"(?iU)^\s*(?:\d{1,4}|[IVXLCDM]+)\s*(?:[-–—.:)]|\b)"
+
 # Quotations and epigraphs
 QUOTE_INDENT, QUOTE_LENGTH, EPIGRAPH_LENGTH, EPIGRAPH_WORDS = 400, 60, 350, 5
 EPIGRAPH_BAD_ENDINGS = [".", "!", "?", ",", ":", ";", ELLIPSIS]
@@ -69,8 +75,9 @@ STYLES = {
 }
 STYLE_LEVELS = {"Titre1": 1, "Titre2": 2, "Titre3": 3, "Titre4": 4, "Titre5": 5, "Titre6": 6, "heading1": 1, "heading2": 2, "heading3": 3, "Heading1": 1, "Heading2": 2, "Heading3": 3, "heading 1": 1, "heading 2": 2, "heading 3": 3}
 ABSTRACT, KEYWORDS, ACKNOWLEDGMENT = r"(?i)^(résumé|abstract|summary)", r"(?i)^(mots[- ]clés?|keywords?)", r"(?i)^(remerciements?|acknowledgments?)"
-HIGHLIGHTS = ["orthotypo", "footnote", "biblio", "ai", "ai_structure", "exploratory_structure", "structure_applied", "suspect_unhandled"]
+HIGHLIGHTS = {
+    "orthotypo": "yellow", "footnote": "bright green", "biblio": "turquoise", "ai": "pink", "ai_structure": "violet", "exploratory_structure": "dark yellow", "structure_applied": "teal", "suspect_unhandled": "red",
+}
 
 # Arbitration
-CLASSIFIER_RULES = ["heading", "verse", "bibliography"]
 CALL_FACTORS = {"conservative": (0.5, 0.90), "balanced": (1.0, 0.85), "aggressive": (1.0, 0.75)}

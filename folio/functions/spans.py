@@ -23,7 +23,7 @@ MARKED = T.StructType([*SPAN.fields, T.StructField("changed", T.BooleanType())])
 REGION = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
 NEAR = 3  # regions closer than this become one
 CENTURY = re.compile(r"\b([IVXLCDM]{1,8})(e)\b", re.IGNORECASE)
-CONTEXT = re.compile(r"^\s*(si[eè]cles?|s\.)\b", re.IGNORECASE)
+CONTEXT = re.compile(V.CENTURY_CONTEXT + r"\b", re.IGNORECASE)
 CONTEXT_LENGTH = 32
 TABLE = 60_000  # up to this product of lengths the longest match is looked up in the matcher's own table
 BASE, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -169,5 +169,10 @@ def carried_spans(spans: Column, after: Column) -> Column:
     return _carry(spans, after)
 
 
+def plain(spans: Column) -> Column:
+    """spans without `changed`."""
+    return F.transform(spans, lambda x: F.struct(*(x[f.name].alias(f.name) for f in SPAN.fields)))
+
+
 def century_spans(spans: Column) -> Column:
     return _centuries(spans)

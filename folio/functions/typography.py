@@ -1,19 +1,17 @@
 """Typographic rewriting: every rule is a column expression, and a rule set is their composition in a fixed order.
 
-Rules that only need a pattern are built-in replacements.  Straight quotation marks need the text around each match,
-so that one rule is an Arrow UDF.  No rule uses its text twice, so the composition grows with the number of rules.
+Every rule is made of built-in expressions.  Rules that need the text around a match cut it there and fold over the
+pieces, and only for texts that hold such a mark.  A rule that uses its text more than once binds it first, so the
+composition grows with the number of rules.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from . import fixed_values as V
+from .text import strip
 
 N, B, SP = V.NNBSP, V.NBSP, V.SPACES
 
@@ -42,43 +40,75 @@ def _ordinals(t: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, r"(?U)\b1(ère|ere)\b", "1re"), r"(?U)\b(\d+)(ème|eme)\b", "$1e")
 
 
-_ATTRIBUTE = re.compile(r"\b[\w:-]+\s*=\s*$")
-_PAIR = re.compile(r'["“]([^"\n”]+)["”]')
+def _bound(t: Column, make) -> Column:
+    """make(t) with t computed once, however often make uses it."""
+    return F.get(F.transform(F.array(t), make), F.lit(0))
+
+
+def _opened(before: Column, piece: Column) -> Column:
+    """Whether a French quotation is open after piece: the last of its marks decides, without one what was before."""
+    back = F.reverse(piece)
+    opening, closing = F.instr(back, V.OPEN_QUOTE), F.instr(back, V.CLOSE_QUOTE)
+    return F.when((opening > 0) & ((closing == 0) | (opening < closing)), F.lit(True)).when(closing > 0, F.lit(False)).otherwise(before)
+
+
+def _count(t: Column, mark: str) -> Column:
+    return F.length(t) - F.length(F.replace(t, F.lit(mark), F.lit("")))
+
+
+def _french_marks(t: Column) -> Column:
+    """Pairs of straight or English marks become French ones, or English ones inside a French quotation; technical uses stay.
+
+    The text is cut at the pairs; a fold over the pieces keeps the end of what it has passed, whether a quotation is open
+    there, and how many closing marks are still to come.
+    """
+    gaps = F.split(t, V.QUOTE_PAIR, -1)
+    pieces = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(t, F.lit(V.QUOTE_PAIR), F.lit(0)).alias("mark"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("next"))
+    start = F.struct(F.lit("").alias("end"), F.lit(False).alias("open"), _count(t, V.CLOSE_QUOTE).alias("left"), F.lit("").alias("out"))
+
+    def step(state: Column, x: Column) -> Column:
+        mark = F.coalesce(x["mark"], F.lit(""))
+        before = F.regexp_replace(F.right(F.concat(state["end"], x["gap"]), F.lit(V.QUOTE_REACH)), r"(?U)\s+$", "")
+        after = F.substring(F.regexp_replace(F.left(F.coalesce(x["next"], F.lit("")), F.lit(V.QUOTE_REACH)), r"(?U)^\s+", ""), 1, 1)
+        inside = F.substr(mark, F.lit(2), F.length(mark) - 2)
+        technical = before.rlike(V.QUOTE_TECHNICAL_BEFORE) | inside.contains("\\") | after.isin(list(V.QUOTE_TECHNICAL_AFTER))
+        is_open, left = _opened(state["open"], x["gap"]), state["left"] - _count(x["gap"], V.CLOSE_QUOTE) - _count(mark, V.CLOSE_QUOTE)
+        french = F.concat(F.lit(V.OPEN_QUOTE + N), strip(inside), F.lit(N + V.CLOSE_QUOTE))
+        new = F.when((mark == "") | technical, mark).when(is_open & (left > 0), F.concat(F.lit("“"), strip(inside), F.lit("”"))).otherwise(french)
+        end = F.right(F.concat(state["end"], x["gap"], mark), F.lit(V.QUOTE_REACH))
+        return F.struct(end.alias("end"), _opened(is_open, mark).alias("open"), left.alias("left"), F.concat(state["out"], x["gap"], new).alias("out"))
+
+    return F.aggregate(pieces, start, step, lambda state: state["out"])
+
+
+def _quotes(t: Column) -> Column:
+    return _bound(t, lambda x: F.when(x.contains('"') | x.contains("“"), _french_marks(x)).otherwise(x))
 
 
-def quote_marks(text: str) -> str:
-    """Straight and English marks become French ones (English ones inside French ones); technical uses stay."""
+_STRONG = r"((?<!\d):|:(?!\d)|[;?!])"
+_SLASHED, _MARK = r"[/\\]", "\ufdd0"  # a noncharacter, where a space is to be put
 
-    def change(m: re.Match) -> str:
-        before, after = text[max(0, m.start() - 48) : m.start()].rstrip(), text[m.end() : m.end() + 48].lstrip()
-        technical = (
-            _ATTRIBUTE.search(before) or before.endswith("(") or ("<" in before and ">" not in before)
-            or (before.endswith(",") and "(" in before) or "\\" in m[1] or after[:1] in tuple(")],;:")
-        )
-        if technical:
-            return m[0]
-        opened = text.rfind(V.OPEN_QUOTE, 0, m.start())
-        if opened > text.rfind(V.CLOSE_QUOTE, 0, m.start()) and V.CLOSE_QUOTE in text[m.end() :]:
-            return f"“{m[1].strip()}”"
-        return f"{V.OPEN_QUOTE}{N}{m[1].strip()}{N}{V.CLOSE_QUOTE}"
 
-    return _PAIR.sub(change, text) if '"' in text or "“" in text else text
+def _space_strong(t: Column) -> Column:
+    """A fixed space before : ; ? !, but not within numbers (10:30) and not in tokens with a slash (addresses, paths), however long."""
 
+    def tokenwise(x: Column) -> Column:
+        pieces = F.regexp_extract_all(x, F.lit(r"(?U)\s+|\S+"), F.lit(0))
+        marked = F.transform(pieces, lambda p: F.when(p.rlike(_SLASHED), p).otherwise(F.regexp_replace(p, _STRONG, _MARK + "$1")))
+        return F.regexp_replace(F.array_join(marked, ""), SP + "*" + _MARK, N)
 
-@F.pandas_udf(StringType())
-def _quote_marks(texts: pd.Series) -> pd.Series:
-    return texts.map(quote_marks, na_action="ignore")
+    return _bound(t, lambda x: F.when(x.rlike(_SLASHED), tokenwise(x)).otherwise(F.regexp_replace(x, SP + "*" + _STRONG, f"{N}$1")))
 
 
 #: Rules by name, in the order in which they apply.
 RULES = {
     "apostrophe": _replace(r"([A-Za-z\x{C0}-\x{24F}])'", f"$1{V.APOSTROPHE}"),
     "ellipsis": _replace(r"\.{3}", V.ELLIPSIS),
-    "quotes": lambda t: _quote_marks(t),
+    "quotes": _quotes,
     "ligatures": _ligatures,
     "quote_open": _replace(rf"{V.OPEN_QUOTE}{SP}*", V.OPEN_QUOTE + N),
     "quote_close": _replace(rf"{SP}*{V.CLOSE_QUOTE}", N + V.CLOSE_QUOTE),
-    "space_strong": _replace(rf"(?U){SP}*((?<!\d):|:(?!\d)|[;?!])(?<![/\\]\S{{0,256}}[:;?!])(?!\S*[/\\])", f"{N}$1"),
+    "space_strong": _space_strong,
     "space_weak": _replace(rf"{SP}+([,.])(?!\d)", "$1"),
     "double_space": _replace(r"[ \t]{2,}", " "),
     "civility": _replace(r"(?U)\b(M\.|Mme[s]?|Dr?|Pr?|Prof\.) (?=[A-Z\x{C0}-\x{D6}\x{D8}-\x{DE}])", f"$1{B}"),
@@ -88,7 +118,8 @@ RULES = {
     "etc": _replace(rf"etc(?:{V.ELLIPSIS}\.*|\.{{2,}})", "etc."),
     "pages": _replace(r"(?U)\b(pp?|vol|t|f|fol|fig|chap|cat|pl|ms|Ms|n°|N°|col)\.\s+(?=[\dIVXLCivxlc])", f"$1.{N}"),
     "number": _replace(r"(?U)\b([Nn]°)\s+(?=\d)", f"$1{N}"),
-    "thousands": _replace(r"(?U) (?=\d{3}(?: \d{3})*(?!\w))(?<=(?<!\w)\d{1,3}(?: \d{3}){0,6} )", N),
+    # the first group of a number, or a group right after one that was matched
+    "thousands": _replace(r"(?U)((?<!\w)\d{1,3}|\G(?!^)\d{3}) (?=\d{3}(?!\w))", "$1" + N),
     "dash": _replace(rf"(?U)(?<=\w) {V.EN_DASH} (?=\w)|(?<=\w) - (?=[A-Za-z\x{{C0}}-\x{{FF}}])", f" {V.EM_DASH} "),
 }
 
@@ -134,7 +165,7 @@ def bibliography_text(t: Column) -> Column:
 
 def century_styling(t: Column) -> Column:
     """The century numerals that a century word follows: their small-capitals part and their superscript."""
-    return F.regexp_extract_all(t, F.lit(rf"(?iU)\b([IVXLCDM]{{1,8}})e\b(?=\s*(?:si[eè]cles?|s\.)\b)"), F.lit(1))
+    return F.regexp_extract_all(t, F.lit(rf"(?iU)\b([IVXLCDM]{{1,8}})e\b(?={V.CENTURY_CONTEXT})"), F.lit(1))
 
 
 def quote_point_suspects(t: Column) -> Column:

@@ -14,7 +14,7 @@ from ..functions.text import strip
 ATTRIBUTES = {
     "block_id": "string", "block_type": "string", "heading_level": "int", "style_id": "string", "style_name": "string", "ind_left": "int", "ind_first_line": "int", "space_before": "int",
     "space_after": "int", "alignment": "string", "font_size": "double", "all_bold": "boolean", "all_italic": "boolean", "blank_before": "boolean", "blank_after": "boolean",
-    "page_break": "boolean", "protected_zone": "string", "xml_tag": "string", "merged_from": "array<string>", "highlight": "string",
+    "page_break": "boolean", "protected_zone": "string", "xml_tag": "string", "merged_from": "array<string>", "highlight": "string", "group_id": "string",
     "semantic": "struct<role:string,layout_kind:string,quote_kind:string,lineation:string,lines:array<string>,genre_hint:string,genre_confidence:double,genre_source:string>",
 }
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as V
 from ..functions import typography
 from ..functions.text import strip
+from . import sequences
+from .blocks import complete, order
 
 SPACE_KINDS = {" ": "space", "\u00a0": "nbsp", "\u202f": "nnbsp"}
 FINAL = [".", ",", ";", ":", "?", "!", "»", '"', "”", "›"]
@@ -44,6 +47,21 @@ def normalise(notes: DataFrame) -> DataFrame:
     return notes.withColumn("before", F.col("text")).withColumn("text", new).withColumn("changed", ~F.col("text").eqNullSafe(F.col("before")))
 
 
+def bibliography_sections(blocks: DataFrame) -> DataFrame:
+    """Paragraphs under the heading of a bibliography become bibliography_item, up to the next heading in a style that closes a section."""
+    s, heading = strip(F.col("text")), F.col("block_type") == "heading"
+    event = F.when(heading & s.rlike(V.BIBLIOGRAPHY_TITLE_NORMALISER), F.lit(True)).when(heading & F.col("style_id").isin(V.CLOSING_STYLES), F.lit(False))
+    df = sequences.carried(complete(blocks), event, "__in_section", F.lit(False))
+    entry = F.col("__in_section") & (F.col("block_type") == "paragraph") & (s != "")
+    return df.withColumn("block_type", F.when(entry, "bibliography_item").otherwise(F.col("block_type"))).drop("__in_section")
+
+
+def bibliography(blocks: DataFrame) -> DataFrame:
+    """doc_id, pos, item_id (bib1, bib2, ... in order), raw_text for every entry among blocks."""
+    entries = blocks.where((F.col("block_type") == "bibliography_item") & (strip(F.col("text")) != ""))
+    return entries.select("doc_id", "pos", F.concat(F.lit("bib"), F.row_number().over(order()).cast("string")).alias("item_id"), strip(F.col("text")).alias("raw_text"))
+
+
 def normalise_bibliography(blocks: DataFrame) -> DataFrame:
     """Blocks of type bibliography_item with their entry rewritten; other blocks as they are."""
     entry = F.col("block_type") == "bibliography_item"

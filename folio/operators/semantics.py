@@ -10,7 +10,6 @@ from ..functions.text import strip
 from .blocks import complete, order, stripped
 
 FIELDS = ("role", "layout_kind", "quote_kind", "lineation", "lines", "genre_hint", "genre_confidence", "genre_source")
-CHRONOLOGY_LINE = r"(?iU)^\s*(?:\d{1,4}|[IVXLCDM]+)\s*(?:[-–—.:)]|\b)"
 
 
 def _text(c: Column) -> Column:
@@ -59,7 +58,7 @@ def validate(blocks: DataFrame, column: str = "semantic") -> DataFrame:
     verse = F.coalesce(role == "lineated_block", F.lit(False))
     lineated = F.coalesce(lineation == "lineated", F.lit(False))
     poetry = is_lineated(kind, sem) & (F.coalesce(sem["genre_hint"] == "poetry", F.lit(False)) | F.coalesce((role == "quote") & (sem["quote_kind"] == "poetry"), F.lit(False)))
-    dated = F.size(F.filter(sem["lines"], lambda x: x.rlike(CHRONOLOGY_LINE)))
+    dated = F.size(F.filter(sem["lines"], lambda x: x.rlike(V.CHRONOLOGY_LINE)))
     checks = [
         ("heading_level", "error", (kind == "heading") & ~F.coalesce(F.col("heading_level").between(1, 6), F.lit(False))),
         ("quote_fields_outside_quote", "error", sem["quote_kind"].isNotNull() & ~F.coalesce(role == "quote", F.lit(False))),

@@ -85,6 +85,11 @@ def prepare(blocks: DataFrame, t: scoring.Thresholds | None = None, heuristics:
     return Structured(scoring.without_tests(_ladder(df, t, heuristics)).drop("heading_like", "__candidate", "verse", "verse_decision", "had_heading"), verse)
 
 
+def epigraph(s: Column, first: Column) -> Column:
+    """Whether a document's first block, s, reads like an epigraph."""
+    return first & (F.length(s) <= V.EPIGRAPH_LENGTH) & ~last_char(s).isin(V.EPIGRAPH_BAD_ENDINGS) & (word_count(s) >= V.EPIGRAPH_WORDS)
+
+
 def _ladder(df: DataFrame, t: scoring.Thresholds, heuristics: bool) -> DataFrame:
     s, kind = F.col("s"), F.col("block_type")
     paragraph, on = kind == "paragraph", F.lit(heuristics)
@@ -94,7 +99,6 @@ def _ladder(df: DataFrame, t: scoring.Thresholds, heuristics: bool) -> DataFrame
     f = {k: F.col(f"__p_{k}") for k in P.SHARED}
     italics = P.italic_kind(s, italic, f)
     first = F.row_number().over(order()) == 1
-    epigraph = ~F.col("had_heading") & first & (F.length(s) <= V.EPIGRAPH_LENGTH) & ~last_char(s).isin(V.EPIGRAPH_BAD_ENDINGS) & (word_count(s) >= V.EPIGRAPH_WORDS)
     early = (
         F.when(s == "", F.lit(None))
         .when(kind == "heading", step("heading.given", "heading", F.coalesce("heading_level", "source_level", F.lit(2))))
@@ -103,7 +107,7 @@ def _ladder(df: DataFrame, t: scoring.Thresholds, heuristics: bool) -> DataFrame
         .when(paragraph & wanted & bold & ~italic & P.heading_candidate(s, italic, f), step("heading.bold", "heading", P.bold_level(s)))
         .when(paragraph & on & italic & ~bold & (italics == "author"), step("author.italic", "author"))
         .when(paragraph & wanted & italic & ~bold & (italics == "heading"), step("heading.italic", "heading", P.italic_level(s)))
-        .when(paragraph & on & epigraph, step("epigraph.first", "epigraph"))
+        .when(paragraph & on & ~F.col("had_heading") & epigraph(s, first), step("epigraph.first", "epigraph"))
     )
     df = df.withColumn("__early", early)
     event = F.when(F.col("__early.rule") == "heading.given", s.rlike(V.BIBLIOGRAPHY_TITLE)).when(F.col("__early.to") == "heading", F.lit(False))

@@ -64,9 +64,13 @@ def thousandths(c: Column) -> Column:
 query("seg_lines", f"WITH {Q.LINES} SELECT doc_id, pos, text FROM l")(lambda s, d: lines(docs(s, d)))
 
 
-@query("seg_caps_headings", f"WITH {Q.LINES}, t AS (SELECT *, {Q.strip('text')} AS s FROM l) SELECT doc_id, pos FROM t WHERE length(s) <= 100 AND NOT regexp_matches(s, '[.!?;:]') AND upper(s) = s AND regexp_matches(s, '\\pL')")
+@query("seg_caps_headings", f"""WITH {Q.LINES}, p AS (SELECT doc_id, pos, CASE WHEN pos % 3 = 0 THEN upper(regexp_replace(replace(text, 'ß', 's'), '[.!?;:]', '', 'g')) ELSE text END AS text FROM l), t AS (SELECT *, {Q.strip('text')} AS s FROM p)
+    SELECT doc_id, pos FROM t WHERE length(s) <= 100 AND NOT regexp_matches(s, '[.!?;:]') AND upper(s) = s AND regexp_matches(s, '\\pL')""")
 def seg_caps_headings(spark, sf_dir):
-    return lines(docs(spark, sf_dir)).where(P.text_heading(F.col("text"))).select("doc_id", "pos")
+    """Every third line is written in capitals, without the signs that headings don't have."""
+    capitals = F.upper(F.regexp_replace(F.replace("text", F.lit("ß"), F.lit("s")), "[.!?;:]", ""))
+    planted = lines(docs(spark, sf_dir)).withColumn("text", F.when(F.col("pos") % 3 == 0, capitals).otherwise(F.col("text")))
+    return planted.where(P.text_heading(F.col("text"))).select("doc_id", "pos")
 
 
 @query(
@@ -116,9 +120,15 @@ for _name, (_old, _new, _sql) in PLANTED.items():
     query(f"typo_{_name}", f"WITH p AS (SELECT doc_id, {_t} AS t FROM documents) SELECT doc_id, {_sql} AS text FROM p")(_typo(_name, _old, _new))
 
 
-@query("typo_space_strong", f"WITH p AS (SELECT doc_id, replace(translate(text, ':/' || chr(92), ';  '), '. ', ' ! ') AS t FROM documents) SELECT doc_id, regexp_replace(t, '{Q.SP}*([;?!])', '\u202f\\1', 'g') AS text FROM p")
+#: Tokens in which strong marks stay (addresses, paths, numbers, one of 400 letters), then marks that get their space.
+STRONG = r" http://a.b/c?d=1;e C:\x\y:z? 10:30 16:9 a/" + "b" * 400 + "? oui: non ; quoi ?! 5: x"
+STRONG_DONE = STRONG.replace("oui: non ; quoi ?! 5:", f"oui{V.NNBSP}: non{V.NNBSP}; quoi{V.NNBSP}?{V.NNBSP}! 5{V.NNBSP}:")
+
+
+@query("typo_space_strong", f"SELECT doc_id, replace(translate(text, ':/;?!' || chr(92), '      '), ', ', '{STRONG_DONE} ') AS text FROM documents")
 def typo_space_strong(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", typography.RULES["space_strong"](F.replace(F.translate("text", ":/\\", ";  "), F.lit(". "), F.lit(" ! "))).alias("text"))
+    planted = F.replace(F.translate("text", ":/;?!\\", "      "), F.lit(", "), F.lit(STRONG + " "))
+    return docs(spark, sf_dir).select("doc_id", typography.RULES["space_strong"](planted).alias("text"))
 
 
 @query("typo_centuries", "WITH p AS (SELECT doc_id, replace(regexp_replace(text, '[A-Za-z]', '_', 'g'), ' _', ' xixe xviiième XXIIe ') AS t FROM documents) SELECT doc_id, replace(replace(t, ' xixe xviiième ', ' XIXe XVIIIe '), ' xixe ', ' XIXe ') AS text FROM p")
@@ -139,18 +149,26 @@ def typo_quote_point(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.size(typography.quote_point_suspects(planted)).alias("n"))
 
 
-@query("typo_quotes")
+#: Pairs of marks: plain, English, in an attribute, in a call, before a comma, and inside a French quotation.
+QUOTED = ' "oui" et “non” puis a="b" c print("d") mot "cité", fin « il "dit" oui » "e\\f" x'
+QUOTED_DONE = QUOTED.replace('"oui"', f"«{V.NNBSP}oui{V.NNBSP}»").replace("“non”", f"«{V.NNBSP}non{V.NNBSP}»").replace('"dit"', "“dit”")
+
+
+@query("typo_quotes", f"""SELECT doc_id, replace(translate(text, '"“”«»()<>=' || chr(92), '           '), ', ', '{QUOTED_DONE} ') AS text FROM documents""")
 def typo_quotes(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", typography.RULES["quotes"](F.replace("text", F.lit(", "), F.lit(' "oui" '))).alias("text"))
+    planted = F.replace(F.translate("text", '"“”«»()<>=\\', " " * 11), F.lit(", "), F.lit(QUOTED + " "))
+    return docs(spark, sf_dir).select("doc_id", typography.RULES["quotes"](planted).alias("text"))
 
 
-@query("span_regions", "SELECT doc_id, CAST(1 AS INTEGER) AS n, CAST(length(left(text, 60)) AS INTEGER) AS start, CAST(length(left(text, 60)) + 5 AS INTEGER) AS stop FROM documents")
+@query("span_regions", f"""WITH {Q.LINES} SELECT doc_id, pos, CAST(CASE WHEN length(text) <= 3 THEN 1 ELSE 2 END AS INTEGER) AS n, CAST(CASE WHEN length(text) <= 3 THEN length(text) + 10 ELSE 5 END AS INTEGER) AS first_stop,
+    CAST(length(text) + 10 AS INTEGER) AS last_stop FROM l""")
 def span_regions(spark, sf_dir):
+    """Every whole line against itself between two marks: two regions, or one where they are near each other."""
     from ..functions.spans import changed_regions
 
-    t = F.substring("text", 1, 60)
-    found = changed_regions(t, F.concat(t, F.lit("\u2603" * 5)))
-    return docs(spark, sf_dir).select("doc_id", F.size(found).alias("n"), F.get(found, F.lit(0))["start"].alias("start"), F.get(found, F.lit(0))["stop"].alias("stop"))
+    mark = F.lit("\u2603" * 5)
+    found = lines(docs(spark, sf_dir)).select("doc_id", "pos", changed_regions(F.col("text"), F.concat(mark, "text", mark)).alias("r"))
+    return found.select("doc_id", "pos", F.size("r").alias("n"), F.get("r", F.lit(0))["stop"].alias("first_stop"), F.get("r", F.size("r") - 1)["stop"].alias("last_stop"))
 
 
 @query("span_regions_lines")
@@ -183,7 +201,8 @@ def tei_normalised(spark, sf_dir):
 @query("typo_all")
 def typo_all(spark, sf_dir):
     """Every rule in order, as transformations: only the lines that change."""
-    planted = lines(docs(spark, sf_dir)).withColumn("before", F.replace(F.replace("text", F.lit(", "), F.lit(" , ")), F.lit(". "), F.lit("... ")))
+    texts = docs(spark, sf_dir).select("doc_id", "text").repartition("doc_id")  # a file may be one row group, and so one task
+    planted = lines(texts).withColumn("before", F.replace(F.replace("text", F.lit(", "), F.lit(" , ")), F.lit(". "), F.lit("... ")))
     return planted.select("doc_id", "pos", F.inline(typography.changes(F.col("before"))))
 
 
@@ -346,11 +365,11 @@ def win_merged_turns(spark, sf_dir):
     return sequences.merged_neighbours(turns, ["role"], separator=" ")
 
 
-@query("win_epigraph", f"WITH {Q.BLOCKS} SELECT doc_id, pos FROM b WHERE pos = 0 AND length(s) <= 350 AND s <> '' AND NOT {Q.ends('s', '!?,:;…')} AND {Q.n_words('s')} >= 5")
+@query("win_epigraph", f"WITH {Q.BLOCKS}, p AS (SELECT doc_id, pos, regexp_replace(s, '[.]$', '') AS s FROM b WHERE pos = 0 AND s <> '') SELECT doc_id, pos FROM p WHERE length(s) <= 350 AND NOT {Q.ends('s', '.!?,:;…')} AND {Q.n_words('s')} >= 5")
 def win_epigraph(spark, sf_dir):
-    s = F.col("s")
     df = marked_lines(spark, sf_dir).withColumn("at", F.row_number().over(sequences.order()))
-    return df.where((F.col("at") == 1) & (F.length(s) <= V.EPIGRAPH_LENGTH) & (s != "") & ~ends_with_any(s, "!?,:;…") & (word_count(s) >= V.EPIGRAPH_WORDS)).select("doc_id", "pos")
+    planted = F.regexp_replace("s", "[.]$", "")
+    return df.where((F.col("s") != "") & structure.epigraph(planted, F.col("at") == 1)).select("doc_id", "pos")
 
 
 @query("budget_first_k", f"WITH {Q.BLOCKS}, r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM b WHERE length(s) >= 200) SELECT doc_id, pos FROM r WHERE k <= 3")
@@ -439,15 +458,15 @@ def agg_lines_joined(spark, sf_dir):
 
 
 def call_spans(spark, sf_dir):
-    """Lines cut at `, ` into spans; every span after the first is preceded by a note call."""
-    parts = F.split("text", ", ")
+    """Lines cut at `, ` into spans, of which some end in a point or a space; every span after the first is preceded by a note call."""
+    parts = F.split(F.replace(F.replace("text", F.lit(". "), F.lit("., ")), F.lit(" de "), F.lit(" , ")), ", ")
     spans = lines(docs(spark, sf_dir)).select("doc_id", "pos", F.posexplode(parts).alias("k", "text"))
     texts = spans.select("doc_id", "pos", (2 * F.col("k")).cast("long").alias("i"), "text", F.lit("text").alias("kind"), F.lit(None).cast("string").alias("note_ref"))
     calls = spans.where("k > 0").select("doc_id", "pos", (2 * F.col("k") - 1).cast("long").alias("i"), F.lit("").alias("text"), F.lit("note_call").alias("kind"), F.concat(F.lit("n"), (F.col("k") % 5).cast("string")).alias("note_ref"))
     return texts.unionByName(calls)
 
 
-SPANS = f"""{Q.LINES}, p AS (SELECT doc_id, pos, CAST(generate_subscripts(string_split(text, ', '), 1) - 1 AS BIGINT) AS k, unnest(string_split(text, ', ')) AS t FROM l),
+SPANS = f"""{Q.LINES}, planted AS (SELECT doc_id, pos, replace(replace(text, '. ', '., '), ' de ', ' , ') AS text FROM l), p AS (SELECT doc_id, pos, CAST(generate_subscripts(string_split(text, ', '), 1) - 1 AS BIGINT) AS k, unnest(string_split(text, ', ')) AS t FROM planted),
     c AS (SELECT doc_id, pos, k, 'n' || (k % 5) AS note_ref, lag(CASE WHEN t <> '' THEN right(t, 1) END) OVER (PARTITION BY doc_id, pos ORDER BY k) AS own, last_value(CASE WHEN t <> '' THEN right(t, 1) END IGNORE NULLS) OVER (PARTITION BY doc_id, pos ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ch FROM p)"""
 
 
@@ -561,6 +580,52 @@ def map_styles(spark, sf_dir):
     return semantics.output_styles(semantic_blocks(spark, sf_dir)).select("doc_id", "pos", "style")
 
 
+@query("validate_lines", f"""WITH {Q.LINES}, k AS (SELECT doc_id, pos, (doc_id + pos) % 3 AS k FROM l) SELECT doc_id, pos, 'dated_lines' AS rule, 'warning' AS severity FROM k WHERE k = 0 UNION ALL SELECT doc_id, pos, 'lines_without_lineation', 'error' FROM k WHERE k = 1""")
+def validate_lines(spark, sf_dir):
+    """Verse whose lines are dates, and lines without lineation."""
+    k = (F.col("doc_id") + F.col("pos")) % 3
+    dates = F.array(F.lit("1914 - une"), F.lit("1915 - deux"), F.lit("fin"))
+    none = lambda t="string": F.lit(None).cast(t)
+    struct = F.struct(
+        F.when(k == 0, "lineated_block").otherwise("paragraph").alias("role"), F.when(k == 0, "lineated_block").alias("layout_kind"), none().alias("quote_kind"), F.when(k == 0, "lineated").alias("lineation"),
+        F.when(k == 0, dates).when(k == 1, F.array("text")).otherwise(F.expr("cast(array() as array<string>)")).alias("lines"), F.when(k == 0, "poetry").alias("genre_hint"), none("double").alias("genre_confidence"), none().alias("genre_source"),
+    )
+    blocks = lines(docs(spark, sf_dir)).withColumns({"block_type": F.when(k == 0, "lineated_block").otherwise("paragraph"), "semantic": struct})
+    return semantics.validate(blocks).select("doc_id", "pos", "rule", "severity")
+
+
+@query("biblio_sections", f"""WITH {Q.BLOCKS}, h AS (SELECT doc_id, pos, s, (doc_id + pos) % 5 = 0 AS heading, (doc_id + pos) % 10 = 0 AS title, (doc_id + pos) % 15 = 0 AS closing FROM b),
+    e AS (SELECT *, CASE WHEN heading AND title THEN TRUE WHEN heading AND closing THEN FALSE END AS ev FROM h),
+    st AS (SELECT *, coalesce(last_value(ev IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS inside FROM e)
+    SELECT doc_id, pos, 'bib' || row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS item_id, s AS raw_text FROM st WHERE NOT heading AND inside AND s <> ''""")
+def biblio_sections(spark, sf_dir):
+    """Every fifth line is a heading: some open a bibliography, some are in a style that closes it, others change nothing."""
+    k = F.col("doc_id") + F.col("pos")
+    df = lines(docs(spark, sf_dir)).withColumns(
+        {
+            "block_type": F.when(k % 5 == 0, "heading").otherwise("paragraph"), "style_id": F.when(k % 15 == 0, "Titre2").otherwise("Normal"),
+            "text": F.when(k % 10 == 0, F.concat(F.lit("Sources "), "text")).when(k % 5 == 0, F.concat(F.lit("# "), "text")).otherwise(F.col("text")),
+        }
+    )
+    return notes.bibliography(notes.bibliography_sections(df))
+
+
+@query("tei_groups", f"WITH {Q.LINES}, g AS (SELECT doc_id, pos, pos % 5 <> 4 AS lineated, CAST(floor(pos / 3) AS BIGINT) AS id FROM l), f AS (SELECT *, lineated AND (lag(lineated) OVER w IS NOT TRUE OR lag(id) OVER w <> id) AS starts FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) SELECT doc_id, count(*) FILTER (starts) AS n_groups, count(*) FILTER (lineated) AS n_lines FROM f GROUP BY doc_id")
+def tei_groups(spark, sf_dir):
+    """Four lines in five are verse, in groups of three: neighbours of one group share an lg."""
+    from ..sources import tei
+
+    verse = F.col("pos") % 5 != 4
+    none = lambda t="string": F.lit(None).cast(t)
+    struct = F.struct(
+        F.lit("lineated_block").alias("role"), F.lit("lineated_block").alias("layout_kind"), none().alias("quote_kind"), F.lit("lineated").alias("lineation"), F.array(F.concat(F.lit("x"), "text")).alias("lines"),
+        none().alias("genre_hint"), none("double").alias("genre_confidence"), none().alias("genre_source"),
+    )
+    blocks = lines(docs(spark, sf_dir)).withColumns({"block_type": F.when(verse, "lineated_block").otherwise("paragraph"), "semantic": F.when(verse, struct), "group_id": F.floor(F.col("pos") / 3).cast("string")})
+    count = lambda tag: F.size(F.regexp_extract_all("xml", F.lit(tag), F.lit(0))).cast("long")
+    return tei.write(blocks).select("doc_id", count("<lg>").alias("n_groups"), count("<l>").alias("n_lines"))
+
+
 # --- arbitration
 
 @query("ai_parse_reply", """WITH r AS (SELECT doc_id, doc_id % 6 AS k FROM documents) SELECT doc_id, CASE WHEN k = 0 THEN 'heading' WHEN k = 1 THEN 'list_item' END AS classification, CASE WHEN k = 0 THEN 900 WHEN k = 1 THEN 500 END AS confidence,

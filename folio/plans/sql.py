@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions.fixed_values import ACCENTED, PLAIN
+
 SP = r"[ \t\x{A0}\x{202F}]"
 EDGE = r"^[\s\x{A0}\x{202F}]+|[\s\x{A0}\x{202F}]+$"
 
@@ -9,9 +11,6 @@ LINES = """l AS (
   SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS BIGINT) AS pos, unnest(string_split(text, chr(10))) AS text FROM documents
 )"""
 
-ACCENTED, PLAIN = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
-
-
 def strip(t: str) -> str:
     return f"regexp_replace({t}, '{EDGE}', '', 'g')"
 

@@ -73,8 +73,13 @@ def write(blocks: DataFrame, notes: DataFrame | None = None, titles: DataFrame |
     lineated = semantics.is_lineated(kind, sem)
     ooxml = F.col("table_ooxml") if "table_ooxml" in df.columns else F.lit(None).cast("string")
     opened = F.concat(F.lit('<div type="section'), F.col("level").cast("string"), F.lit('"><head>'), body, F.lit("</head>"))
+    # neighbouring lineated rows of one group share an lg
+    df = df.withColumn("__group", F.when(lineated, F.struct((kind == "quote_block").alias("quoted"), F.coalesce(F.nullif(F.trim("group_id"), F.lit("")), "block_id").alias("id"))))
+    starts, stops = (~F.col("__group").eqNullSafe(f("__group").over(order())) for f in (F.lag, F.lead))
+    quoted = kind == "quote_block"
+    group = F.concat(F.when(starts, F.when(quoted, "<cit><quote><lg>").otherwise("<lg>")).otherwise(""), lines, F.when(stops, F.when(quoted, "</lg></quote></cit>").otherwise("</lg>")).otherwise(""))
     piece = (
-        F.when(kind == "heading", opened).when(lineated & (kind == "quote_block"), wrap("<cit><quote><lg>", lines, "</lg></quote></cit>")).when(lineated, wrap("<lg>", lines, "</lg>"))
+        F.when(kind == "heading", opened).when(lineated, group)
         .when(kind == "quote_block", wrap("<cit><quote>", body, "</quote></cit>")).when(kind == "table", table(ooxml)).otherwise(wrap("<p>", body, "</p>"))
     )
     before = F.coalesce(F.lag("depth").over(order()), F.lit(0))
@@ -138,33 +143,46 @@ def read(documents: DataFrame, column: str = "xml") -> Tei:
     )
 
 
+WITH_ID = ("div", "head", "p", "note", "list", "item", "listBibl", "bibl")
+ET.register_namespace("", NS)
+
+
+def _rend(node: ET.Element) -> str:
+    return (node.get("rend") or "").strip()
+
+
 def normalise(xml: str) -> str:
-    """One document with unique ids (given ones stay where they are unique), equal neighbouring hi elements joined and notes numbered."""
+    """One document with unique ids (given ones stay where they are unique), equal neighbouring hi elements joined (white space
+    between them goes in) and notes numbered."""
     root = ET.fromstring(xml)
     local = lambda n: n.tag.rpartition("}")[2] if isinstance(n.tag, str) else ""
     used: set[str] = set()
     counts: dict[str, int] = {}
     for node in root.iter():
         name = local(node)
-        if name not in ("div", "note", "table", "p"):
-            continue
         own = node.get(XML_ID)
+        if own is None and name not in WITH_ID or own is not None and own not in used:
+            used.add(own)
+            continue
         while own is None or own in used:
             counts[name] = counts.get(name, 0) + 1
-            own = f"{name}{counts[name]:03d}"
+            own = f"{name}-{counts[name]:03d}"
         used.add(own)
         node.set(XML_ID, own)
     for parent in root.iter():
-        kept: list[ET.Element] = []
+        last: ET.Element | None = None
         for node in list(parent):
-            last = kept[-1] if kept else None
-            if last is not None and local(node) == local(last) == "hi" and node.attrib == last.attrib and not last.tail and not len(last):
-                last.text = (last.text or "") + (node.text or "")
+            if last is not None and local(node) == local(last) == "hi" and _rend(node) == _rend(last) != "" and not (last.tail or "").strip():
+                between = (last.tail or "") + (node.text or "")
+                if len(last):
+                    last[-1].tail = (last[-1].tail or "") + between
+                else:
+                    last.text = (last.text or "") + between
                 last.extend(list(node))
                 last.tail = node.tail
                 parent.remove(node)
             else:
-                kept.append(node)
+                last = node
     for number, note in enumerate((n for n in root.iter() if local(n) == "note"), 1):
         note.set("n", str(number))
     return ET.tostring(root, encoding="unicode")

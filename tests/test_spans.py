@@ -64,5 +64,9 @@ def test_columns(spark):
 
 
 def test_normalised_tei():
-    xml = tei.normalise('<b><p xml:id="x">a<hi rend="i">b</hi><hi rend="i">c</hi> <hi rend="i">d</hi><note n="9">q</note></p><p xml:id="x"/><note/></b>')
-    assert xml.count("<hi") == 2 and ">bc<" in xml and 'n="1"' in xml and 'n="2"' in xml and xml.count('id="x"') == 1 and 'id="p001"' in xml
+    xml = tei.normalise('<b><p xml:id="x">a<hi rend="i">b</hi><hi rend="i">c</hi> <hi rend="i">d</hi>-<hi rend="i">e</hi><hi rend="b">f</hi><note n="9">q</note></p><p xml:id="x"/><note/><list><item/></list><lb xml:id="x"/></b>')
+    assert xml.count("<hi") == 3 and ">bc d<" in xml and 'n="1"' in xml and 'n="2"' in xml and xml.count('id="x"') == 1
+    for made in ("p-001", "note-001", "note-002", "list-001", "item-001", "lb-001"):
+        assert f'id="{made}"' in xml
+    inner = tei.normalise(f'<TEI xmlns="{tei.NS}"><p><hi rend="i">a<hi rend="b">x</hi></hi> <hi rend="i">c</hi></p></TEI>')
+    assert "ns0" not in inner and inner.count("<hi") == 2 and "</hi> c</hi>" in inner

@@ -146,3 +146,32 @@ def test_corrections_need_one_short_hit(spark):
 def test_report_listing(spark):
     df = spark.createDataFrame([(1, 2, "heading", "info", "b"), (1, 0, "verse", "warning", "a")], "doc_id long, pos long, category string, severity string, excerpt string")
     assert report.listing(df).first()["report"] == "[warning] verse @0: a\n[info] heading @2: b"
+
+
+def test_exports_show_corrected_spans(spark):
+    """Block text and inline spans get the same rewrite; century numerals are styled in the spans."""
+    from pyspark.sql import types as T
+
+    from folio.functions.spans import SPAN, STYLES
+    from folio.plans.pipeline import Options, run_corpus
+
+    plain = dict.fromkeys(STYLES, False) | {"kind": "text", "note_ref": None}
+    spans = [plain | {"text": "Il dit... au "}, plain | {"text": "XIXe", "italic": True}, plain | {"text": " siècle: oui"}]
+    text = "".join(s["text"] for s in spans)
+    blocks = spark.createDataFrame([(1, 0, text, spans), (1, 1, "sans styles: non", None)], f"doc_id long, pos long, text string, spans {T.ArrayType(SPAN).simpleString()}")
+    done = run_corpus(blocks, Options(mode="deterministic"))
+    rows = {r["pos"]: r for r in done.blocks.collect()}
+    joined = "".join(s["text"] for s in rows[0]["spans"])
+    assert joined.lower() == rows[0]["text"].lower() == "il dit… au xixe siècle\u202f: oui" and rows[1]["text"] == "sans styles\u202f: non"
+    assert [(s["text"], s["small_caps"], s["sup"], s["italic"]) for s in rows[0]["spans"] if s["small_caps"] or s["sup"]] == [("xix", True, False, True), ("e", False, True, True)]
+    xml = done.tei().first()["xml"]
+    assert "Il dit… au " in xml and '<hi rend="italic small-caps">xix</hi>' in xml and "siècle\u202f: oui" in xml and "sans styles\u202f: non" in xml
+
+
+def test_bibliography_sections(spark):
+    from folio.operators import notes
+
+    rows = [("paragraph", "", "avant"), ("heading", "", "Sources"), ("paragraph", "", "a"), ("heading", "Titre3", "Autres"), ("paragraph", "", "b"), ("heading", "Titre1", "Suite"), ("paragraph", "", "c")]
+    df = spark.createDataFrame([(1, k, *r) for k, r in enumerate(rows)], "doc_id long, pos long, block_type string, style_id string, text string")
+    got = notes.bibliography(notes.bibliography_sections(df)).orderBy("pos").collect()
+    assert [(r["item_id"], r["raw_text"]) for r in got] == [("bib1", "a"), ("bib2", "b")]

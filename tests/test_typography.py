@@ -13,6 +13,8 @@ VECTORS = [
     ("ligatures", "coeur Oeuvre SOEURS coexister poete", "cœur Œuvre SŒURS coexister poete"), ("quote_open", f"«{B} x", f"«{N}x"), ("quote_close", "x »", f"x{N}»"), ("civility", "M. Dupont et Mme Élise", f"M.{B}Dupont et Mme{B}Élise"),
     ("centuries", "XIXème xiie XLIVe au vie", "XIXe XIIe XLIVe au VIe"), ("ordinals", "1ère 5ème 1er", "1re 5e 1er"), ("pages", "pp. 3-5 vol. II p. ab", f"pp.{N}3-5 vol.{N}II p. ab"), ("number", "n° 3", f"n°{N}3"),
     ("thousands", "1 500 000 hab.", f"1{N}500{N}000 hab."), ("thousands", "ISBN 978 2 1234 5678 9", None), ("dash", "été – hiver", "été — hiver"), ("dash", "a - b", "a — b"),
+    ("space_strong", "a/" + "b" * 300 + "?", None), ("space_strong", "b" * 300 + " ?", "b" * 300 + f"{N}?"), ("space_strong", f"a/b ; c{B}: d\n! e", f"a/b{N}; c{N}: d\n{N}! e"), ("space_strong", "http://a/b?c: d:", f"http://a/b?c: d{N}:"),
+    ("thousands", "1" + " 000" * 12 + " x", "1" + f"{N}000" * 12 + " x"), ("thousands", "12 345 678 9", f"12{N}345{N}678 9"), ("thousands", "1234 567", None),
     ("quotes", 'il dit "oui" hier', f"il dit «{N}oui{N}» hier"), ("quotes", 'print("x")', None), ("quotes", 'a class="b" c', None), ("quotes", '« il dit "oui" hier »', "« il dit “oui” hier »"), ("quotes", 'mot "cité", puis', None),
 ]
 

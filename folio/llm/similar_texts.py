@@ -37,7 +37,7 @@ BITS = 64 * WORDS
 FAR = 76  # bits; texts at a similarity of 0.8 differ in about 39 of 256, six standard deviations below this
 FEW = 16  # sets smaller than this have too few shingles for that estimate: their pairs aren't told apart by SimHash
 PIVOTS = 8
-TILE = 4096  # rows of a side of a comparison
+TILE = 1024  # rows of a side of a comparison
 MEMO = 200_000
 BLOCK_SHINGLES = 4_000_000
 SHARE = 1 / 2000  # of all nodes: what more of them hold is found in the map
@@ -280,8 +280,11 @@ def compared(left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np
 
 
 def decided(pairs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose sets of shingles are similar.  Texts travel compressed."""
-    texts = nodes.select("node", "z")
+    """The pairs (u, v) whose sets of shingles are similar.  Only texts of nodes in pairs travel, compressed; the list of
+    those nodes is written first, so Spark knows its size when it chooses how to pick them out."""
+    pairs = common.durable(pairs, "pairs")
+    wanted = common.durable(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct(), "wanted")
+    texts = nodes.select("node", "z").join(wanted, "node", "left_semi")
     both = pairs.join(texts.select(F.col("node").alias("u"), F.col("z").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("z").alias("b")), "v")
 
     def run(batches):
@@ -308,5 +311,5 @@ def linked(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame,
     posts = common.durable(prefixes(nodes, shingle, similarity), "prefixes")
     first = common.durable(decided(hub_pairs(posts, nodes, similarity), nodes, shingle, similarity), "similar")
     star = components.stars(first, "groups")
-    more = common.durable(decided(common.durable(rest_pairs(posts, nodes, star, similarity), "pairs"), nodes, shingle, similarity), "similar")
+    more = common.durable(decided(rest_pairs(posts, nodes, star, similarity), nodes, shingle, similarity), "similar")
     return nodes, components.stars(star.union(more), "groups") if more.head(1) else star

@@ -26,7 +26,7 @@ from . import common
 
 GPT2_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BATCH_CHARS = 4_000_000
-GROUP_ROWS = 20_000  # rows of one length that one group numbers
+GROUP_ROWS = 500  # rows of one length that one group numbers
 
 
 def byte_alphabet() -> dict[str, int]:

@@ -16,13 +16,11 @@ texts are shuffled once, to be joined with what is to be removed.
 Defined results: null and empty texts lose nothing; rows with a null doc_id take no part and lose nothing; rows that
 repeat a doc_id and text each get the same result, for a document is not smaller than itself (rows that share a
 doc_id but not the text get the union of their spans); an empty table gives an empty result.  Columns other than
-doc_id and text are ignored.
+doc_id and text are ignored.  doc_ids are integers, for the smaller one keeps a string; other types are refused by name.
 """
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -336,6 +334,8 @@ def resolve(table: pa.Table) -> pa.Table:
 
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id, spans: unordered and overlapping start << 32 | stop of the bytes to remove, for documents that lose some."""
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id must be an integer: of equal strings that of the smallest doc_id stays")
     rows = common.documents(docs).where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     dealt = deal(rows, 4 * common.partitions(docs.sparkSession))
     found = dealt.groupBy("bucket").applyInArrow(resolve, "doc_id long, start long, stop long")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from folio.llm import suffix_dedup as sd
 
@@ -87,3 +88,9 @@ def test_null_ids_and_empty_tables(spark):
     t = text(1, 60)
     got = sd.apply(frame(spark, [(None, t), (None, t), (2, t), (3, t)])).collect()
     assert sorted((str(r["doc_id"]), r["n_removed"]) for r in got) == [("2", 0), ("3", len(t)), ("None", 0), ("None", 0)]
+
+
+def test_ids_that_are_no_integers_are_refused(spark):
+    df = spark.createDataFrame([("a", "x" * 60)], "doc_id string, text string")
+    with pytest.raises(TypeError, match="integer"):
+        sd.removals(df)

@@ -2,7 +2,7 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from folio.llm import decontamination, secrets, simhash  # noqa: E402
+from folio.llm import decontamination, secrets, simhash, toxicity  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,6 +15,11 @@ def test_stages_one_by_one(spark):
         assert docs.columns == before.columns
         ids, left = {r["doc_id"] for r in before.select("doc_id").collect()}, [r["doc_id"] for r in docs.select("doc_id").collect()]
         assert set(left) <= ids and len(left) == len(set(left))
+        if name == "toxicity":
+            rejected = {r["doc_id"] for r in toxicity.op4_toxicity(spark, SF).where("predicted = 1").collect()}
+            assert set(left) == ids - rejected and rejected
+            twice = stage(spark, before.union(before), SF)  # repeated rows are judged alike
+            assert sorted(r["doc_id"] for r in twice.select("doc_id").collect()) == sorted(2 * list(left))
         if name == "simhash":
             texts = {r["doc_id"]: simhash.shingles((r["text"] or "").encode(), 5) for r in before.collect()}
             same = lambda a, b: len(texts[a] & texts[b]) >= 0.8 * len(texts[a] | texts[b])
@@ -28,6 +33,8 @@ def test_stages_one_by_one(spark):
             assert set(left) == ids
             assert secrets.scan(docs).where("size(base) > 0").count() == 0
             assert docs.where("n_chars <> char_length(text)").count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).groupBy("doc_id", "doc_tokens").sum("length").collect()
+    assert {r["doc_id"] for r in packed} == set(left) and all(r["sum(length)"] == r["doc_tokens"] for r in packed)
 
 
 def test_run_packs_what_is_left(spark):

@@ -78,6 +78,11 @@ ABSTRACT, KEYWORDS, ACKNOWLEDGMENT = r"(?i)^(résumé|abstract|summary)", r"(?i)
 HIGHLIGHTS = {
     "orthotypo": "yellow", "footnote": "bright green", "biblio": "turquoise", "ai": "pink", "ai_structure": "violet", "exploratory_structure": "dark yellow", "structure_applied": "teal", "suspect_unhandled": "red",
 }
+#: What word-processor files call those colours
+HIGHLIGHT_VALUES = {
+    "yellow": "yellow", "bright green": "green", "turquoise": "cyan", "pink": "magenta", "violet": "darkMagenta", "dark yellow": "darkYellow", "teal": "darkCyan", "red": "red",
+}
 
 # Arbitration
 CALL_FACTORS = {"conservative": (0.5, 0.90), "balanced": (1.0, 0.85), "aggressive": (1.0, 0.75)}
+EDITORIAL_CALLS, EDITORIAL_LENGTH = 8, 200

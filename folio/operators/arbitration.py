@@ -9,11 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import fixed_values as V
 from . import sequences
+from .blocks import complete, stripped
 from .structure import merge_runs
 
 CLASSES = ["heading", "poetry_quote", "paragraph", "reference", "list_item", "caption", "bibliography", "isolated_reference", "uncertain"]
@@ -109,6 +113,47 @@ def apply_clusters(blocks: DataFrame, provider: Provider = stub, level: str | No
     return merged.withColumn("semantic", F.when(F.col("rule") == "stanza.arbitrated", poetry).otherwise(F.col("semantic"))).drop("__doc", "__cluster", "cluster"), judged
 
 
+def editorial_prompts(blocks: DataFrame) -> DataFrame:
+    """doc_id, pos, text, before, after of every paragraph long enough to be looked at."""
+    near = sequences.context(stripped(complete(blocks)), 3)
+    return near.where((F.col("block_type") == "paragraph") & (F.length("s") >= V.EDITORIAL_LENGTH)).select("doc_id", "pos", "text", "before", "after")
+
+
+def ask_editor(prompts: DataFrame, call: Callable[[str, str, str], str], calls: int = V.EDITORIAL_CALLS) -> DataFrame:
+    """doc_id, pos, reply of each document's first `calls` prompts for which call(text, before, after) succeeds.
+
+    A call that raises doesn't count, and what comes after the last one that counts is never asked: each document is
+    walked in order in one pass over its sorted partition, whatever its length, with a count as the only state.
+    """
+    schema = T.StructType([prompts.schema["doc_id"], prompts.schema["pos"], T.StructField("reply", T.StringType())])
+
+    def run(batches):
+        doc_id, used = None, 0
+        for batch in batches:
+            replies = []
+            for row in batch.to_pylist():
+                doc_id, used = (row["doc_id"], 0) if row["doc_id"] != doc_id else (doc_id, used)
+                if used >= calls:
+                    continue
+                try:
+                    reply = call(row["text"], row["before"], row["after"])
+                except Exception:  # noqa: BLE001  # whatever the caller's function raises is a failed call
+                    continue
+                used += 1
+                replies.append({"doc_id": doc_id, "pos": row["pos"], "reply": reply})
+            yield pa.RecordBatch.from_pylist(replies, schema=to_arrow_schema(schema))
+
+    return prompts.where("doc_id is not null").repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInArrow(run, schema)
+
+
+def suggestions(replies: DataFrame) -> DataFrame:
+    """doc_id, pos, original, replacement, reason of the corrections in replies, in order; those that change nothing are left out."""
+    wanted = F.from_json("reply", "corrections array<struct<original:string,corrected:string,raison:string>>")["corrections"]
+    rows = replies.select("doc_id", "pos", F.posexplode(wanted).alias("k", "c"))
+    rows = rows.select("doc_id", "pos", "k", F.col("c.original").alias("original"), F.col("c.corrected").alias("replacement"), F.col("c.raison").alias("reason"))
+    return rows.where("original <> '' and replacement <> '' and original <> replacement")
+
+
 def corrections(blocks: DataFrame, suggested: DataFrame, max_words: int = 15) -> DataFrame:
     """Applies suggested(doc_id, pos, original, replacement) where original occurs exactly once and both are short; adds applied."""
     from ..functions.text import word_count

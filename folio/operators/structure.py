@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -139,6 +139,25 @@ def transformations(done: Structured) -> DataFrame:
     return done.blocks.where("old_type <> block_type").select("doc_id", "pos", F.col("block_id").alias("target"), F.lit("structure").alias("module"), F.col("old_type").alias("before"), F.col("block_type").alias("after"), "rule")
 
 
+def verse_lines(df: DataFrame, t: scoring.Thresholds | None = None) -> DataFrame:
+    """One row for each line of a scored sequence that isn't ignored: doc_id, pos, target, group_id, line_index (from 1), score,
+    decision, before, after, highlight.  Groups are numbered within their document, in order.
+
+    df: blocks before runs are merged (`prepare` merges them, so it keeps only first lines).
+    """
+    t = t or scoring.thresholds()[0]
+    df = sequences.scored_sequences(stripped(complete(df)))
+    verse = scoring.score_verse(df, t).where("decision <> 'ignore'")
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("first_pos"))
+    found = verse.select(F.col("doc_id").alias("__doc"), F.col("verse").alias("__verse"), "score", "decision", F.format_string("poetry_group_%03d", number).alias("__group"))
+    hit = df.where("verse is not null").join(found, (F.col("doc_id") == F.col("__doc")) & (F.col("verse") == F.col("__verse")))
+    applied = F.lit(t.auto_apply) | (F.col("decision") == "transform")
+    colour = F.when(applied, "exploratory_structure" if t.auto_apply else "structure_applied").otherwise("suspect_unhandled")
+    after = F.when(applied, "lineated_block").otherwise(F.col("block_type"))
+    index = F.row_number().over(sequences.in_run("verse"))
+    return hit.select("doc_id", "pos", F.col("block_id").alias("target"), F.col("__group").alias("group_id"), index.alias("line_index"), "score", "decision", F.col("block_type").alias("before"), after.alias("after"), colour.alias("highlight"))
+
+
 def diagnostics(done: Structured) -> DataFrame:
     """What a person should look at: undecided headings, bibliography entries found by pattern, and verse."""
     columns = lambda category, severity, score, decision, text: [F.lit("structure").alias("module"), F.lit(category).alias("category"), severity.alias("severity"), score.cast("double").alias("score"), decision.alias("decision"), F.substring(text, 1, 180).alias("excerpt")]

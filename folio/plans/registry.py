@@ -282,6 +282,14 @@ def pred_source_level(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", P.source_heading_level(level, style, F.lit(None).cast("string")).alias("level"))
 
 
+@query("pred_note_zone", """SELECT doc_id, doc_id % 5 IN (0, 1, 2) AS value FROM documents""")
+def pred_note_zone(spark, sf_dir):
+    """Styles of notes in any case and with accents, and styles of text."""
+    k = F.col("doc_id") % 5
+    style = F.when(k == 0, "Footnote Text").when(k == 1, "NOTE de bàs de page").when(k == 2, "EndNote").when(k == 3, "Normal")
+    return docs(spark, sf_dir).select("doc_id", P.note_zone(style, F.when(k == 4, "note")).alias("value"))
+
+
 # --- sequences
 
 ISLANDS = f"""WITH {Q.BLOCKS}, m AS (SELECT *, s <> '' AND {Q.n_words('s')} <= 16 AND NOT {Q.LIST_ITEM} AS ok FROM b)"""
@@ -496,6 +504,51 @@ def join_anti_consumed(spark, sf_dir):
     return df.join(used, ["doc_id", "pos"], "left_anti").select("doc_id", "pos")
 
 
+FACTS = f"""WITH {Q.BLOCKS}, f AS (SELECT doc_id, pos, CASE pos % 3 WHEN 0 THEN 'typography' WHEN 1 THEN 'structure' ELSE 'validation' END AS module, CASE WHEN pos % 4 > 0 THEN 'rule ' || (pos % 4) END AS rule,
+    CASE WHEN bold THEN 'error' ELSE 'info' END AS severity, CASE WHEN italic THEN 'verse' ELSE 'heading' END AS category, s AS excerpt, CASE WHEN pos % 2 = 0 THEN 'b' || (pos + 1) END AS target FROM b)"""
+
+
+def facts(spark, sf_dir) -> DataFrame:
+    """Diagnostics of several modules, one for each line; some have no rule, no target or a blank excerpt."""
+    k = F.col("pos")
+    module = F.when(k % 3 == 0, "typography").when(k % 3 == 1, "structure").otherwise("validation")
+    rule, target = F.when(k % 4 > 0, F.concat(F.lit("rule "), (k % 4).cast("string"))), F.when(k % 2 == 0, F.concat(F.lit("b"), (k + 1).cast("string")))
+    severity, category = F.when(F.col("all_bold"), "error").otherwise("info"), F.when(F.col("all_italic"), "verse").otherwise("heading")
+    return marked_lines(spark, sf_dir).select("doc_id", "pos", module.alias("module"), rule.alias("rule"), severity.alias("severity"), category.alias("category"), F.col("s").alias("excerpt"), target.alias("target"))
+
+
+@query("agg_modules", f"{FACTS} SELECT module, rule, count(*) AS n FROM f GROUP BY module, rule")
+def agg_modules(spark, sf_dir):
+    return report.by_module(facts(spark, sf_dir))
+
+
+@query("agg_refusals", f"""WITH {Q.BLOCKS}, j AS (SELECT doc_id, CASE (doc_id + pos) % 4 WHEN 0 THEN 'list_not_supported' WHEN 1 THEN 'missing_block' WHEN 2 THEN 'confidence_below_threshold' END AS reason FROM b),
+    c AS (SELECT doc_id, reason, count(*) AS n FROM j GROUP BY ALL) SELECT doc_id, CAST(sum(n) AS BIGINT) AS candidates, CAST(coalesce(sum(n) FILTER (reason IS NULL), 0) AS BIGINT) AS applied, CAST(coalesce(sum(n) FILTER (reason IS NOT NULL), 0) AS BIGINT) AS refused,
+    coalesce(string_agg(reason || '=' || n, ',' ORDER BY reason) FILTER (reason IS NOT NULL), '') AS reasons FROM c GROUP BY doc_id""")
+def agg_refusals(spark, sf_dir):
+    k = (F.col("doc_id") + F.col("pos")) % 4
+    judged = marked_lines(spark, sf_dir).select("doc_id", F.when(k == 0, "list_not_supported").when(k == 1, "missing_block").when(k == 2, "confidence_below_threshold").alias("reason"))
+    entries = F.transform(F.map_entries("reasons"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return report.refusal_reasons(judged).withColumn("reasons", F.array_join(F.array_sort(entries), ","))
+
+
+@query("report_details", f"""{FACTS}, t AS (SELECT doc_id, pos, '- rule=' || coalesce(rule, '(none)') || ' | severity=' || severity || ' | category=' || category || CASE WHEN trim(excerpt) <> '' THEN chr(10) || '  excerpt=' || trim(excerpt) ELSE '' END || coalesce(chr(10) || '  target=' || target, '') AS line FROM f)
+    SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS report FROM t GROUP BY doc_id""")
+def report_details(spark, sf_dir):
+    return report.details(facts(spark, sf_dir))
+
+
+@query("report_modules", f"{FACTS}, c AS (SELECT doc_id, module, count(*) AS n FROM f GROUP BY ALL) SELECT doc_id, string_agg('- ' || module || ' | ' || n, chr(10) ORDER BY module) AS report FROM c GROUP BY doc_id")
+def report_modules(spark, sf_dir):
+    return report.modules(facts(spark, sf_dir))
+
+
+@query("report_summary", f"{FACTS} SELECT doc_id, 'diagnostics: ' || count(*) FILTER (severity = 'error') || ', transformations: ' || count(*) FILTER (module = 'typography' AND severity = 'info') AS report FROM f GROUP BY doc_id")
+def report_summary(spark, sf_dir):
+    df = facts(spark, sf_dir)
+    return report.summary(df, df.where("severity = 'error'"), df.where("module = 'typography' and severity = 'info'"))
+
+
 # --- structure
 
 @query("merge_blank_bounded", f"""{ISLANDS}, e AS (SELECT *, lag(ok) OVER w AS lag_ok, blank_before OR coalesce(lag(s = '') OVER w, FALSE) AS cut, coalesce(lead(blank_before) OVER w, FALSE) OR coalesce(lead(s = '') OVER w, FALSE) AS after
@@ -530,6 +583,15 @@ def structure_diagnostics(spark, sf_dir):
     return structure.diagnostics(structure.prepare(marked_lines(spark, sf_dir), scoring.thresholds("exploratory")[0])).select("doc_id", "pos", "category", "severity", thousandths(F.col("score")).alias("score"), "decision")
 
 
+@query("structure_verse_lines", f"""SELECT l.doc_id, l.pos, printf('poetry_group_%03d', d.g) AS group_id, CAST(row_number() OVER (PARTITION BY l.doc_id, l.first_pos ORDER BY l.pos) AS INTEGER) AS line_index, d.score, d.decision,
+      CASE WHEN d.decision = 'transform' THEN 'lineated_block' ELSE 'paragraph' END AS after, CASE WHEN d.decision = 'transform' THEN 'structure_applied' ELSE 'suspect_unhandled' END AS highlight
+    FROM ({SCORED} SELECT doc_id, pos, min(pos) OVER (PARTITION BY doc_id, run, chunk) AS first_pos FROM v WHERE NOT lead_line AND kept >= 3) l
+    JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first_pos) AS g FROM ({VERSE_SCORE}) WHERE decision <> 'ignore') d ON l.doc_id = d.doc_id AND l.first_pos = d.first_pos""")
+def structure_verse_lines(spark, sf_dir):
+    found = structure.verse_lines(marked_lines(spark, sf_dir))
+    return found.select("doc_id", "pos", "group_id", "line_index", thousandths(F.col("score")).alias("score"), "decision", "after", "highlight")
+
+
 # --- semantics
 
 def semantic_blocks(spark, sf_dir):
@@ -558,6 +620,16 @@ def validate_rules(spark, sf_dir):
     return semantics.validate(semantic_blocks(spark, sf_dir)).select("doc_id", "pos", "rule", "severity")
 
 
+@query("pred_lineated", f"""{SEMANTIC} SELECT doc_id, pos, (k IN (2, 7)) AND s <> '' AS value FROM k""")
+def pred_lineated(spark, sf_dir):
+    """Verse blocks and quotations with everything that makes them lineated, and blocks that lack a part."""
+    k = (F.col("doc_id") + F.col("pos")) % 8
+    blocks = semantic_blocks(spark, sf_dir).withColumn("block_type", F.when(k == 7, "quote_block").otherwise(F.col("block_type")))
+    whole = F.col("semantic").withField("role", F.lit("quote")).withField("layout_kind", F.lit("lineated_block")).withField("lineation", F.lit("lineated")).withField("lines", F.array("text"))
+    sem = semantics.read_semantics(F.when(k == 7, whole).otherwise(F.col("semantic")))
+    return blocks.select("doc_id", "pos", semantics.is_lineated(F.col("block_type"), sem).alias("value"))
+
+
 @query("canonical_semantics", f"""{SEMANTIC} SELECT doc_id, pos, CASE WHEN k = 0 THEN 'heading' WHEN k = 1 THEN 'quote' WHEN k IN (2, 3) THEN 'lineated_block' ELSE 'paragraph' END AS role, CASE WHEN k = 1 THEN 'prose' END AS quote_kind,
     CASE WHEN k = 1 THEN 'prose' WHEN k IN (2, 3) THEN 'lineated' END AS lineation, CAST(CASE WHEN k IN (2, 3) AND s <> '' THEN 1 ELSE 0 END AS INTEGER) AS n_lines, CASE WHEN k IN (2, 3) AND s <> '' THEN s END AS first_line FROM k""")
 def canonical_semantics(spark, sf_dir):
@@ -661,6 +733,19 @@ def ai_corrections(spark, sf_dir):
     return arbitration.corrections(blocks, suggested).select("doc_id", "pos", "text", "applied")
 
 
+@query("ai_editorial_budget", f"""WITH {Q.BLOCKS}, c AS (SELECT doc_id, pos, text, length(text) % 3 <> 0 AS ok FROM b WHERE length(s) >= 200), r AS (SELECT *, sum(ok::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM c)
+    SELECT doc_id, pos, CAST(length(text) AS VARCHAR) AS reply FROM r WHERE ok AND k <= 3""")
+def ai_editorial_budget(spark, sf_dir):
+    """Three calls for each document; those about texts whose length is a multiple of three fail, and don't count."""
+
+    def call(text, before, after):
+        if len(text) % 3 == 0:
+            raise OSError("no answer")
+        return str(len(text))
+
+    return arbitration.ask_editor(arbitration.editorial_prompts(marked_lines(spark, sf_dir)), call, calls=3)
+
+
 # --- reports and files
 
 @query("report_union", f"{DIAGNOSTICS} SELECT doc_id, severity, count(*) AS n FROM (SELECT doc_id, severity FROM d UNION ALL SELECT doc_id, 'info' FROM documents) GROUP BY doc_id, severity")
@@ -719,6 +804,44 @@ def latex_documents(spark, sf_dir):
     return latex.from_tei(tei.write(semantic_blocks(spark, sf_dir).drop("semantic")))
 
 
+@query("docx_roundtrip", f"""{SEMANTIC}, t AS (SELECT *, CASE WHEN k = 0 THEN CASE WHEN pos % 2 = 0 THEN 'Heading 2' ELSE 'Heading 1' END WHEN k = 1 THEN 'TEI_quote' WHEN k IN (2, 3) THEN 'TEI_verse' ELSE 'Normal' END AS style FROM k)
+    SELECT doc_id, pos, text, style, k = 4 AND s <> '' AS all_italic, CAST(CASE WHEN k IN (1, 2, 3) THEN 567 END AS INTEGER) AS ind_left, CASE WHEN k = 0 THEN 'heading' WHEN k = 1 THEN 'quote_block' WHEN {Q.is_upper('s')} AND length(s) BETWEEN 5 AND 139 THEN 'heading' ELSE 'paragraph' END AS block_type FROM t""")
+def docx_roundtrip(spark, sf_dir):
+    """Every line written to its document's word-processor file, with styles, indents and italics, and read again."""
+    from ..functions.spans import STYLES
+    from ..sources import docx, docx_writer
+
+    k = (F.col("doc_id") + F.col("pos")) % 8
+    look = {f: (k == 4) if f == "italic" else F.lit(False) for f in STYLES}
+    span = F.struct(F.col("text"), *(c.alias(f) for f, c in look.items()), F.lit("text").alias("kind"), F.lit(None).cast("string").alias("note_ref"))
+    styled = semantics.output_styles(semantic_blocks(spark, sf_dir)).withColumn("style", F.when(F.col("style").isin(["Heading 1", "Heading 2", "TEI_quote", "TEI_verse"]), F.col("style")).otherwise("Normal"))
+    files = docx_writer.write(styled.withColumn("spans", F.array(span)))
+    read = docx.blocks(docx.rows(files.select(F.col("doc_id").cast("string"), "content")))
+    return read.select(F.col("doc_id").cast("long").alias("doc_id"), "pos", "text", F.col("style_name").alias("style"), "all_italic", "ind_left", "block_type")
+
+
+@query("docx_annotations", f"""WITH {Q.LINES} SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN 'A title' END, left(arg_min(text, pos) FILTER ({Q.strip('text')} <> '' AND pos % 4 <> 3), 120)) AS title, count(*) FILTER (pos % 4 = 3) AS table_count FROM l GROUP BY doc_id""")
+def docx_annotations(spark, sf_dir):
+    """Titles given or taken from the text, and tables counted, in files in which every fourth block is a table."""
+    from ..sources import docx, docx_writer
+
+    table = F.lit(f'<w:tbl xmlns:w="{docx_writer.NS}"><w:tr><w:tc><w:p><w:r><w:t>1</w:t></w:r></w:p></w:tc></w:tr></w:tbl>')
+    is_table = F.col("pos") % 4 == 3
+    blocks = lines(docs(spark, sf_dir)).withColumns({"block_type": F.when(is_table, "table").otherwise("paragraph"), "table_ooxml": F.when(is_table, table)})
+    titles = docs(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 3 == 0, "A title").alias("title"))
+    files = docx_writer.write(blocks, titles=titles)
+    return docx.annotations(docx.rows(files.select(F.col("doc_id").cast("string"), "content"))).select(F.col("doc_id").cast("long").alias("doc_id"), "title", "table_count")
+
+
+@query("tei_table_counts", f"WITH {Q.LINES} SELECT doc_id, count(*) FILTER (pos % 4 = 3 AND pos % 8 = 3) AS exported, count(*) FILTER (pos % 4 = 3 AND pos % 8 <> 3) AS not_exported FROM l GROUP BY doc_id")
+def tei_table_counts(spark, sf_dir):
+    from ..sources import tei
+
+    is_table, row = F.col("pos") % 4 == 3, "<w:tbl><w:tr><w:tc/></w:tr></w:tbl>"
+    blocks = lines(docs(spark, sf_dir)).withColumns({"block_type": F.when(is_table, "table").otherwise("paragraph"), "table_ooxml": F.when(F.col("pos") % 8 == 3, row).when(is_table, "<w:tbl/>")})
+    return tei.table_counts(blocks)
+
+
 @query("pages_markup", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<a href=')) AS INTEGER) AS n_links FROM pages")
 def pages_markup(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")

@@ -54,6 +54,13 @@ def table(ooxml: Column) -> Column:
     return F.when(F.size(rows) > 0, F.concat(F.lit("<table>"), F.array_join(F.transform(rows, row), ""), F.lit("</table>"))).otherwise("<p>[table not exported]</p>")
 
 
+def table_counts(blocks: DataFrame) -> DataFrame:
+    """doc_id, exported, not_exported for every document: a table is exported if it has a row to show."""
+    is_table = F.col("block_type") == "table"
+    shown = F.coalesce(F.regexp_like(F.col("table_ooxml"), F.lit(TABLE_ROW)), F.lit(False))
+    return blocks.groupBy("doc_id").agg(F.count_if(is_table & shown).alias("exported"), F.count_if(is_table & ~shown).alias("not_exported"))
+
+
 def write(blocks: DataFrame, notes: DataFrame | None = None, titles: DataFrame | None = None) -> DataFrame:
     """doc_id, xml for every document: sections nest by heading level (at most three deep)."""
     had_spans = "spans" in blocks.columns

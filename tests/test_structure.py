@@ -175,3 +175,31 @@ def test_bibliography_sections(spark):
     df = spark.createDataFrame([(1, k, *r) for k, r in enumerate(rows)], "doc_id long, pos long, block_type string, style_id string, text string")
     got = notes.bibliography(notes.bibliography_sections(df)).orderBy("pos").collect()
     assert [(r["item_id"], r["raw_text"]) for r in got] == [("bib1", "a"), ("bib2", "b")]
+
+
+def test_editor_is_asked_until_enough_calls_succeed(spark):
+    import json
+
+    words = "mot " * 60
+    df = spark.createDataFrame([(d, p, f"{d}.{p} {words}") for d in (1, 2) for p in range(6)] + [(1, 6, "court"), (3, 0, ""), (None, 0, words)], "doc_id long, pos long, text string")
+
+    def call(text, before, after):
+        if text[2] in "02":
+            raise TimeoutError
+        return json.dumps({"corrections": [{"original": text[:3], "corrected": "x", "raison": "r"}, {"original": "mot", "corrected": "mot", "raison": ""}]})
+
+    replies = arbitration.ask_editor(arbitration.editorial_prompts(df), call, calls=3).cache()
+    assert sorted((r["doc_id"], r["pos"]) for r in replies.collect()) == [(d, p) for d in (1, 2) for p in (1, 3, 4)]
+    wanted = arbitration.suggestions(replies)
+    done = arbitration.corrections(df, wanted.select("doc_id", "pos", "original", "replacement")).where("applied")
+    assert sorted(r["text"].split()[0] for r in done.collect()) == ["x"] * 6 and wanted.count() == 6
+
+
+def test_lines_of_verse_are_numbered_in_groups(spark):
+    from folio.operators.structure import verse_lines
+
+    line = "Un vers assez long pour compter,"
+    df = blocks(spark, *[{"text": line}] * 4, {"text": "Une phrase " * 20}, *[{"text": line}] * 3)
+    got = verse_lines(df, scoring.thresholds("exploratory")[0]).orderBy("pos").collect()
+    assert [(r["pos"], r["group_id"][-3:], r["line_index"]) for r in got] == [(0, "001", 1), (1, "001", 2), (2, "001", 3), (3, "001", 4), (5, "002", 1), (6, "002", 2), (7, "002", 3)]
+    assert {(r["after"], r["highlight"]) for r in got} == {("lineated_block", "exploratory_structure")}

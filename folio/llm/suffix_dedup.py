@@ -5,6 +5,10 @@ every suffix of the corpus in one array isn't possible, so the suffixes are deal
 equal strings must meet: each window of LENGTH bytes goes where its least K-gram (by hash) sends it.  Neighbouring
 windows mostly share that K-gram and travel as one unit.
 
+K-grams that many units have would make some arrays large.  A first pass over all texts counts them: each block reports
+what holds a share of its own units, and the sums give every K-gram with twice that share of the corpus.  Those heavy
+K-grams come last in the order by hash, so that windows meet under another K-gram wherever they hold a lighter one.
+
 Each array is sorted deep-shallow: multikey quicksort on 8-byte characters to a shallow depth, then blind tries for
 the groups that share so long a prefix.  The tries of all groups grow together, one branch position a round; a trie
 looks at no byte between branches but those that tell its leaves are equal.
@@ -37,6 +41,8 @@ K = 12  # bytes of the K-gram that places a window
 SHALLOW = 24
 BLOCK_BYTES, CHUNK_BYTES = 8_000_000, 1_000_000
 ROUND_WINDOWS = 500_000
+BUCKET_BYTES = 64_000_000  # of text for each bucket, where the session's partitions would make it more
+HEAVY, LIGHTEST = 1 / 1000, 1 / 50_000  # a K-gram is heavy if it has BUCKET_BYTES of the texts, within these shares of all units
 LEVEL = 6  # of zstd, for what is shuffled
 
 _MIX = np.random.default_rng(11).integers(1, 1 << 62, 260, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -130,13 +136,23 @@ def gram_hash_of(grams: np.ndarray) -> np.ndarray:
     return _finished((h4[:, 0] * _MIX[258] + h4[:, 1]) * _MIX[259] + h4[:, 2])
 
 
-def units_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Units of documents that lie one after another in data and end at `ends`: start, windows, place of the K-gram in the unit, its hash."""
+NONE = np.zeros(0, np.uint64)
+
+
+def units_of(data: np.ndarray, ends: np.ndarray, heavy: np.ndarray = NONE) -> tuple[np.ndarray, ...]:
+    """Units of documents that lie one after another in data and end at `ends`: start, windows, place of the K-gram in the unit, its hash.
+
+    heavy: ascending hashes of K-grams that place a window only if it holds no other.
+    """
     if len(data) < LENGTH:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
     h = gram_hash(data)
     index = np.uint64((1 << 24) - 1)
-    least = (h & ~index) | np.arange(len(h), dtype=np.uint64)  # of equal hashes the leftmost
+    rank = h
+    if len(heavy):
+        rank = h >> np.uint64(1)
+        rank[heavy[np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)] == h] |= np.uint64(1 << 63)
+    least = (rank & ~index) | np.arange(len(h), dtype=np.uint64)  # of equal hashes the leftmost
     reach, span = 1, LENGTH - K + 1
     while reach * 2 <= span:
         least = np.minimum(least[:-reach], least[reach:])
@@ -190,7 +206,6 @@ def resolve_windows(data, start, windows, keys, docs):
     """Runs (unit, first window, windows) that equal windows of a smaller document, among units that differ."""
     some = met(keys, docs)
     padded = np.concatenate([data, np.zeros(LENGTH + 8, np.uint8)])
-    width = -(-LENGTH // 8) * 8
     at = 0
     while at < len(some):
         stop = at + 1
@@ -202,12 +217,38 @@ def resolve_windows(data, start, windows, keys, docs):
         at = stop
         unit = np.repeat(part, windows[part])
         window = np.arange(len(unit)) - np.repeat(np.cumsum(windows[part]) - windows[part], windows[part])
-        rows = sliding_window_view(padded, width)[start[unit] + window]
-        rows[:, LENGTH:] = 0
-        gone = np.flatnonzero(docs[unit] > least_in_group(*deep_shallow(rows), docs[unit]))
-        if len(gone):
-            new = np.flatnonzero(np.concatenate([[True], (np.diff(gone) != 1) | (unit[gone[1:]] != unit[gone[:-1]])]))
-            yield unit[gone[new]], window[gone[new]], np.diff(np.append(new, len(gone)))
+        if len(unit) <= 2 * ROUND_WINDOWS:
+            rounds = [slice(None)]
+        else:  # one K-gram has so many windows: equal ones are in the same round
+            number = window_hash(padded, start[unit] + window) % np.uint64(-(-len(unit) // ROUND_WINDOWS))
+            rounds = [np.flatnonzero(number == k) for k in range(-(-len(unit) // ROUND_WINDOWS))]
+        for chosen in rounds:
+            yield from _resolve_round(padded, start, docs, unit[chosen], window[chosen])
+
+
+def _strings(padded: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The LENGTH bytes at each place, as rows of whole words."""
+    rows = sliding_window_view(padded, -(-LENGTH // 8) * 8)[places]
+    rows[:, LENGTH:] = 0
+    return rows
+
+
+def window_hash(padded: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A hash of the LENGTH bytes at each place, a bounded number of them at a time."""
+    out = np.zeros(len(places), np.uint64)
+    for at in range(0, len(places), ROUND_WINDOWS):
+        words = _strings(padded, places[at : at + ROUND_WINDOWS]).view(np.uint64)
+        for k in range(words.shape[1]):
+            out[at : at + ROUND_WINDOWS] = _finished(out[at : at + ROUND_WINDOWS] * _MIX[256] + words[:, k] * _MIX[257])
+    return out >> np.uint64(20)
+
+
+def _resolve_round(padded, start, docs, unit, window):
+    gone = np.flatnonzero(docs[unit] > least_in_group(*deep_shallow(_strings(padded, start[unit] + window)), docs[unit]))
+    if len(gone):
+        u, w = unit[gone], window[gone]
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(w) != 1) | (u[1:] != u[:-1])]))
+        yield u[new], w[new], np.diff(np.append(new, len(gone)))
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -248,23 +289,64 @@ def unpacked(blobs: list[bytes]):
 DEALT = "bucket int, doc_id long, start long, stop long, blob binary"
 
 
-def deal(docs: DataFrame, buckets: int) -> DataFrame:
+def _units_of_texts(texts: list[bytes], heavy: np.ndarray = NONE):
+    """units_of for the texts, joined; a few of them at a time, to bound the memory that hashes take."""
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    begins = ends - [len(t) for t in texts]
+    got, low = [], 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(ends, begins[low] + CHUNK_BYTES, side="right")))
+        for piece in _pieces(begins[low], ends[low:high]):
+            part = units_of(data[piece[0] : piece[1]], piece[2], heavy)
+            got.append((part[0] + piece[0], *part[1:]))
+        low = high
+    return data, begins, ends, *(np.concatenate(c) for c in zip(*got))
+
+
+def _blocks(batches):
+    """Blocks of (doc_id, text) of at most BLOCK_BYTES (or one text), without the texts that no string fits in."""
+    found, size = [], 0
+    for batch in batches:
+        for doc, text in zip(batch.column(0), batch.column(1)):
+            text = text.as_py()
+            if len(text) < LENGTH:
+                continue
+            if found and size + len(text) > BLOCK_BYTES:
+                yield found
+                found, size = [], 0
+            found.append((doc.as_py(), text))
+            size += len(text)
+    if found:
+        yield found
+
+
+def heavy_grams(docs: DataFrame, share: float) -> np.ndarray:
+    """Ascending hashes of the K-grams that place over `share` of all units, and some that place over half of it.
+
+    Blocks report what has over half the share of their own units, at most 2 / share K-grams each, so the sums miss at
+    most half the share; at most 2 / share K-grams come to the driver.
+    """
+
+    def run(batches):
+        for found in _blocks(batches):
+            keys, counts = np.unique(_units_of_texts([t for _, t in found])[6], return_counts=True)
+            often = counts > counts.sum() * share / 2
+            columns = np.append(keys[often], np.uint64(0)).view(np.int64), np.append(counts[often], 0), np.append(np.zeros(often.sum(), np.int64), counts.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["gram", "n", "units"])
+
+    counted = docs.mapInArrow(run, "gram long, n long, units long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("units").alias("units"))
+    found = common.durable(counted, "grams")
+    total = found.agg(F.sum("units")).first()[0] or 0
+    return np.sort(np.array([r["gram"] for r in found.where(F.col("n") > total * share / 2).collect()], np.int64).view(np.uint64))
+
+
+def deal(docs: DataFrame, buckets: int, heavy: np.ndarray = NONE) -> DataFrame:
     """Rows for the buckets: compressed units, and (as doc_id, start, stop) what a block could remove by itself."""
 
     def block(found: list[tuple[int, bytes]]):
         texts, ids = [t for _, t in found], np.array([i for i, _ in found], np.int64)
-        joined = b"".join(texts)
-        data = np.frombuffer(joined, np.uint8)
-        ends = np.cumsum([len(t) for t in texts])
-        begins = ends - [len(t) for t in texts]
-        got, low = [], 0
-        while low < len(texts):  # a few documents at a time, to bound the memory that hashes take
-            high = max(low + 1, int(np.searchsorted(ends, begins[low] + CHUNK_BYTES, side="right")))
-            for piece in _pieces(begins[low], ends[low:high]):
-                part = units_of(data[piece[0] : piece[1]], piece[2])
-                got.append((part[0] + piece[0], *part[1:]))
-            low = high
-        start, windows, place, keys = (np.concatenate(c) for c in zip(*got))
+        data, begins, ends, start, windows, place, keys = _units_of_texts(texts, heavy)
+        joined = data.tobytes()
         owner = np.searchsorted(ends, start, side="right")
         docs_ = ids[owner]
         gone = resolve_units(data, start, windows, keys, docs_)
@@ -287,18 +369,7 @@ def deal(docs: DataFrame, buckets: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int32)), empty, empty, empty, pa.array(blobs, pa.binary())], names=["bucket", "doc_id", "start", "stop", "blob"])
 
     def run(batches):
-        found, size = [], 0
-        for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1)):
-                text = text.as_py()
-                if len(text) < LENGTH:
-                    continue
-                if found and size + len(text) > BLOCK_BYTES:
-                    yield from block(found)
-                    found, size = [], 0
-                found.append((doc.as_py(), text))
-                size += len(text)
-        if found:
+        for found in _blocks(batches):
             yield from block(found)
 
     return docs.mapInArrow(run, DEALT)
@@ -337,7 +408,9 @@ def removals(docs: DataFrame) -> DataFrame:
     if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
         raise TypeError("doc_id must be an integer: of equal strings that of the smallest doc_id stays")
     rows = common.documents(docs).where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    dealt = deal(rows, 4 * common.partitions(docs.sparkSession))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    heavy = heavy_grams(rows, min(HEAVY, max(LIGHTEST, BUCKET_BYTES / max(1, size))))
+    dealt = deal(rows, max(4 * common.partitions(docs.sparkSession), size // BUCKET_BYTES), heavy)
     found = dealt.groupBy("bucket").applyInArrow(resolve, "doc_id long, start long, stop long")
     return found.groupBy("doc_id").agg(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("stop"))).alias("spans"))  # a text has less than 2**31 bytes
 

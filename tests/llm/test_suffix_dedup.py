@@ -94,3 +94,39 @@ def test_ids_that_are_no_integers_are_refused(spark):
     df = spark.createDataFrame([("a", "x" * 60)], "doc_id string, text string")
     with pytest.raises(TypeError, match="integer"):
         sd.removals(df)
+
+
+def test_heavy_grams_come_last_and_are_split(spark, monkeypatch):
+    """Half of the rows hold one passage of 12 bytes between ever other words; all of its windows are compared in rounds."""
+    monkeypatch.setattr(sd, "ROUND_WINDOWS", 40)
+    hot = "hot passage "
+    rows = [(i, "".join(text(3000 + 7 * (i % 90) + k, 2)[:13] + hot for k in range(12))) for i in range(120)] + [(200 + i, hot * 8) for i in range(3)] + [(300 + i, text(i, 40)) for i in range(40)]
+    df = sd.common.documents(frame(spark, rows)).select("doc_id", sd.F.col("text").cast("binary"))
+    heavy = sd.heavy_grams(df, 1 / 50)
+    assert 0 < len(heavy) <= 100 and (np.diff(heavy.astype(float)) > 0).all()
+
+    def in_heavy(heavy):
+        data = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+        keys = sd.units_of(data, np.cumsum([len(t) for _, t in rows]), heavy)[3]
+        return np.isin(keys, sd.heavy_grams(df, 1 / 50)).mean()
+
+    assert in_heavy(heavy) < in_heavy(sd.NONE) / 2
+    monkeypatch.setattr(sd, "HEAVY", 1 / 50)
+    compare(spark, rows)
+
+
+def test_windows_of_one_gram_are_compared_in_rounds(monkeypatch):
+    monkeypatch.setattr(sd, "ROUND_WINDOWS", 25)
+    texts = [(b"%02d" % (k % 7)) * 15 + b"one gram....." + (b"%02d" % (k % 5)) * 15 for k in range(60)]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    start, windows, place, _ = sd.units_of(data, ends)
+    docs = np.searchsorted(ends, start, side="right")
+    got = {(int(start[u] + w + k)) for units, at, n in sd.resolve_windows(data, start, windows, np.zeros(len(start), np.uint64), docs) for u, w, c in zip(units, at, n) for k in range(c)}
+    first: dict[bytes, int] = {}
+    expected = set()
+    for k, t in enumerate(texts):
+        for i in range(len(t) - 49):
+            if first.setdefault(t[i : i + 50], k) < k:
+                expected.add(int(ends[k]) - len(t) + i)
+    assert got == expected and expected

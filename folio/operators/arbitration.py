@@ -64,12 +64,17 @@ def prompt(kind: Column, excerpt: Column, before: Column, after: Column) -> Colu
     return F.format_string("Candidate: %s\nBefore: %s\nText: %s\nAfter: %s\nAnswer with one JSON object: classification, confidence, reason, recommended_action.", kind, before, excerpt, after)
 
 
+def candidates(diagnostics: DataFrame) -> DataFrame:
+    """What a classifier may be asked about: undecided headings and verse, and every entry found by pattern; other modules' findings never."""
+    undecided = F.col("category").isin("heading", "verse") & (F.col("decision") == "diagnostic")
+    return diagnostics.where(undecided | (F.col("category") == "bibliography"))
+
+
 def arbitrate(diagnostics: DataFrame, blocks: DataFrame, provider: Provider = stub, level: str | None = None, calls: int = 6) -> DataFrame:
     """Asks about each document's first candidates (diagnostics with a decision of `diagnostic`) and gives parsed replies; the texts stay as they are."""
     _, limit = budget(level, calls)
     near = sequences.context(blocks, 3).select("doc_id", "pos", "before", "after")
-    wanted = diagnostics.where((F.col("decision") == "diagnostic") | (F.col("category") == "bibliography"))
-    chosen = sequences.first_k(wanted, F.lit(True), limit).where("chosen").join(near, ["doc_id", "pos"])
+    chosen = sequences.first_k(candidates(diagnostics), F.lit(True), limit).where("chosen").join(near, ["doc_id", "pos"])
     asked = provider(chosen.withColumn("prompt", prompt(F.col("category"), F.col("excerpt"), F.col("before"), F.col("after"))))
     return asked.withColumn("parsed", parse_reply(F.col("reply"))).select("doc_id", "pos", "category", "parsed.*")
 

@@ -733,6 +733,17 @@ def ai_corrections(spark, sf_dir):
     return arbitration.corrections(blocks, suggested).select("doc_id", "pos", "text", "applied")
 
 
+@query("ai_candidates", f"""WITH {Q.BLOCKS}, d AS (SELECT doc_id, pos, CASE pos % 4 WHEN 0 THEN 'heading' WHEN 1 THEN 'verse' WHEN 2 THEN 'bibliography' ELSE 'legacy_verse' END AS category, CASE doc_id % 3 WHEN 0 THEN 'diagnostic' WHEN 1 THEN 'transform' END AS decision FROM b)
+    SELECT doc_id, pos, category FROM d WHERE category = 'bibliography' OR (category IN ('heading', 'verse') AND decision = 'diagnostic')""")
+def ai_candidates(spark, sf_dir):
+    """Findings of four kinds, decided, undecided and without a decision."""
+    k = F.col("pos") % 4
+    category = F.when(k == 0, "heading").when(k == 1, "verse").when(k == 2, "bibliography").otherwise("legacy_verse")
+    decision = F.when(F.col("doc_id") % 3 == 0, "diagnostic").when(F.col("doc_id") % 3 == 1, "transform")
+    found = marked_lines(spark, sf_dir).select("doc_id", "pos", category.alias("category"), decision.alias("decision"))
+    return arbitration.candidates(found).select("doc_id", "pos", "category")
+
+
 @query("ai_editorial_budget", f"""WITH {Q.BLOCKS}, c AS (SELECT doc_id, pos, text, length(text) % 3 <> 0 AS ok FROM b WHERE length(s) >= 200), r AS (SELECT *, sum(ok::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM c)
     SELECT doc_id, pos, CAST(length(text) AS VARCHAR) AS reply FROM r WHERE ok AND k <= 3""")
 def ai_editorial_budget(spark, sf_dir):

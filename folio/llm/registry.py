@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("fingerprints", "quality", "substring_dedup", "toxicity", "suffix_dedup", "simhash", "decontamination", "url_filters", "secrets", "packing")
+MODULES = ("fingerprints", "quality", "substring_dedup", "toxicity", "suffix_dedup", "simhash", "decontamination", "url_filters", "secrets", "packing", "conversations", "whitening", "token_counts")
 
 
 def _gather(name: str) -> dict:

@@ -83,6 +83,13 @@ HIGHLIGHT_VALUES = {
     "yellow": "yellow", "bright green": "green", "turquoise": "cyan", "pink": "magenta", "violet": "darkMagenta", "dark yellow": "darkYellow", "teal": "darkCyan", "red": "red",
 }
 
+# Diagnostics of tables, note calls and quotations: codes, reasons and rules
+TABLE_SHOWN, TABLE_MISSING, TABLE_EMPTY = "table_exported_to_tei", "table_not_exported_to_tei", "table_export_fallback"
+TABLE_REASONS = ["missing_table_ooxml", "invalid_table_ooxml", "no_rows"]
+CALL_RULES = {"call_spacing": "R-AN-003", "call_placement": "R-AN-002"}
+CALL_CATEGORIES = {"call_spacing": "footnote_call_spacing", "call_placement": "footnote_call_placement"}
+QUOTE_RULE, QUOTE_CATEGORY, NOTE_RULE, CORRECTION_RULE = "R-GQ-004", "quote_punctuation", "purh.note.batch", "purh.ai.editorial"
+
 # Arbitration
 CALL_FACTORS = {"conservative": (0.5, 0.90), "balanced": (1.0, 0.85), "aggressive": (1.0, 0.75)}
 EDITORIAL_CALLS, EDITORIAL_LENGTH = 8, 200

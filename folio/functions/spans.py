@@ -174,5 +174,42 @@ def plain(spans: Column) -> Column:
     return F.transform(spans, lambda x: F.struct(*(x[f.name].alias(f.name) for f in SPAN.fields)))
 
 
+def as_given(new: Column, given: Column, kind: T.DataType) -> Column:
+    """new, spans of the fields here, with the fields of arrays of type kind: fields unknown here are those of the first given span."""
+    own = set(SPAN.fieldNames())
+    field = lambda x, f: (x[f.name] if f.name in own else F.get(given, F.lit(0))[f.name]).cast(f.dataType).alias(f.name)
+    return F.transform(new, lambda x: F.struct(*(field(x, f) for f in kind.elementType.fields)))
+
+
 def century_spans(spans: Column) -> Column:
     return _centuries(spans)
+
+
+def _element(kind: T.DataType, given: dict[str, Column]) -> Column:
+    """A span of the fields of an array's elements: what is given, else false or null."""
+    value = lambda f: given.get(f.name, F.lit(False) if f.name in STYLES else F.lit(None))
+    return F.struct(*(value(f).cast(f.dataType).alias(f.name) for f in kind.elementType.fields))
+
+
+def line_break(kind: T.DataType) -> Column:
+    """A line break as an element of arrays of this type."""
+    return _element(kind, {"text": F.lit("\n"), "kind": F.lit("line_break")})
+
+
+def or_plain(spans: Column, text: Column, kind: T.DataType) -> Column:
+    """spans, or the text as one span without style where there are none."""
+    return F.when(F.size(spans) > 0, spans).otherwise(F.array(_element(kind, {"text": text, "kind": F.lit("text")})))
+
+
+def joined_lines(lines: Column, kind: T.DataType) -> Column:
+    """Arrays of spans as one, with a line break between neighbours."""
+    return F.flatten(F.transform(lines, lambda x, i: F.when(i > 0, F.concat(F.array(line_break(kind)), x)).otherwise(x)))
+
+
+def cut_lines(spans: Column) -> Column:
+    """The arrays of spans between line breaks, empty ones left out: places of the breaks first, then a slice for each line."""
+    at = lambda n: F.sequence(F.lit(1), n)
+    breaks = F.concat(F.array(F.lit(0)), F.filter(at(F.size(spans)), lambda i: F.element_at(spans, i)["kind"] == "line_break"), F.array(F.size(spans) + 1))
+    line = lambda b, i: F.slice(spans, F.get(b, i - 1) + 1, F.get(b, i) - F.get(b, i - 1) - 1)
+    lines = F.get(F.transform(F.array(breaks), lambda b: F.transform(at(F.size(b) - 1), lambda i: line(b, i))), F.lit(0))
+    return F.when(F.size(spans) > 0, F.filter(lines, lambda x: F.size(x) > 0))

@@ -16,8 +16,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import fixed_values as V
+from ..functions.text import word_count
 from . import sequences
 from .blocks import complete, stripped
+from .notes import with_text
 from .structure import merge_runs
 
 CLASSES = ["heading", "poetry_quote", "paragraph", "reference", "list_item", "caption", "bibliography", "isolated_reference", "uncertain"]
@@ -159,12 +161,35 @@ def suggestions(replies: DataFrame) -> DataFrame:
     return rows.where("original <> '' and replacement <> '' and original <> replacement")
 
 
+CORRECTED = "cast(array() as array<struct<original:string,replacement:string,reason:string,before:string,after:string>>)"
+
+
 def corrections(blocks: DataFrame, suggested: DataFrame, max_words: int = 15) -> DataFrame:
-    """Applies suggested(doc_id, pos, original, replacement) where original occurs exactly once and both are short; adds applied."""
-    from ..functions.text import word_count
-
-    df = blocks.join(suggested, ["doc_id", "pos"], "left")
-    times = (F.length("text") - F.length(F.replace("text", "original", F.lit("")))) / F.length("original")
-    ok = (F.length("original") > 0) & (times == 1) & (word_count(F.col("original")) <= max_words) & (word_count(F.col("replacement")) <= max_words)
-    df = df.withColumn("applied", F.coalesce(ok, F.lit(False)))
-    return df.withColumn("text", F.when(F.col("applied"), F.replace("text", "original", "replacement")).otherwise(F.col("text"))).drop("original", "replacement")
+    """Blocks with suggested(doc_id, pos, original, replacement, and k and reason where known) applied one after another, by k (else by
+    original): each where original occurs exactly once in the text as those before left it, and both are short.
+
+    Adds applied (whether any was) and corrected, the applied ones with the texts before and after each.  Spans go with the text.
+    """
+    given = {c: (F.col(c) if c in suggested.columns else F.lit(None)).cast(t).alias(c) for c, t in (("k", "long"), ("original", "string"), ("replacement", "string"), ("reason", "string"))}
+    wanted = suggested.select("doc_id", "pos", *given.values()).where("original <> '' and replacement <> '' and original <> replacement")
+    wanted = wanted.groupBy("doc_id", "pos").agg(F.array_sort(F.collect_list(F.struct(*given))).alias("__wanted"))
+    df = blocks.join(wanted, ["doc_id", "pos"], "left")
+    start = F.struct(F.coalesce("text", F.lit("")).alias("text"), F.expr(CORRECTED).alias("done"))
+
+    def step(state: Column, c: Column) -> Column:
+        text, old, new = state["text"], c["original"], c["replacement"]
+        times = (F.length(text) - F.length(F.replace(text, old, F.lit("")))) / F.length(old)
+        ok = (times == 1) & (word_count(old) <= max_words) & (word_count(new) <= max_words)
+        after = F.replace(text, old, new)
+        entry = F.struct(old.alias("original"), new.alias("replacement"), c["reason"].alias("reason"), text.alias("before"), after.alias("after"))
+        return F.struct(F.when(ok, after).otherwise(text).alias("text"), F.when(ok, F.array_append(state["done"], entry)).otherwise(state["done"]).alias("done"))
+
+    df = df.withColumn("__folded", F.when(F.size("__wanted") > 0, F.aggregate("__wanted", start, step)))
+    df = df.withColumns({"corrected": F.coalesce(F.col("__folded.done"), F.expr(CORRECTED)), "__text": F.coalesce("__folded.text", "text")})
+    return with_text(df, F.col("__text")).withColumn("applied", F.size("corrected") > 0).drop("__wanted", "__folded", "__text")
+
+
+def correction_changes(corrected: DataFrame) -> DataFrame:
+    """Transformations of blocks after corrections: one row for each that was applied, in order."""
+    rows = corrected.select("doc_id", "pos", F.col("block_id").alias("target"), F.posexplode("corrected").alias("k", "c"))
+    return rows.select("doc_id", "pos", "target", F.lit("editorial").alias("module"), "c.before", "c.after", F.lit(V.CORRECTION_RULE).alias("rule"), "k", "c.reason")

@@ -10,9 +10,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed_values as V
 from ..functions import predicates as P
+from ..functions import spans
 from ..functions.text import last_char, word_count
 from . import scoring, sequences
 from .blocks import complete, order, stripped
@@ -44,15 +46,21 @@ def merge_runs(df: DataFrame, name: str, rule: str, wanted: Column) -> DataFrame
     hit = F.col(name).isNotNull() & wanted
     df = df.withColumn("__hit", F.coalesce(hit, F.lit(False)))
     df = df.withColumns({"__lines": F.when(F.col("__hit"), F.collect_list("s").over(w)), "__ids": F.when(F.col("__hit"), F.collect_list("block_id").over(w)), "__at": F.row_number().over(sequences.in_run(name))})
+    spanned = "spans" in df.columns and isinstance(df.schema["spans"].dataType, T.ArrayType)
+    if spanned:  # a stanza has its lines' styles and calls, with breaks between the lines
+        kind = df.schema["spans"].dataType
+        own = df.withColumn("__spans", F.when(F.col("__hit"), spans.or_plain(F.col("spans"), F.col("s"), kind)))
+        df = own.withColumn("__spans", F.when(F.col("__hit"), spans.joined_lines(F.collect_list("__spans").over(w), kind)))
     kept = df.where(~F.col("__hit") | (F.col("__at") == 1))
     put = lambda c, new: F.when(F.col("__hit"), new).otherwise(F.col(c))
     joined = F.array_join("__lines", "\n")
     return kept.withColumns(
         {
             "block_type": put("block_type", F.lit("lineated_block")), "text": put("text", joined), "s": put("s", joined), "rule": put("rule", F.lit(rule)), "merged_from": put("merged_from", F.col("__ids")),
+            **({"spans": put("spans", F.col("__spans"))} if spanned else {}),
             "alignment": put("alignment", F.lit("left")), "semantic": put("semantic", _lineated(F.filter("__lines", lambda x: x != ""))), "protected_zone": put("protected_zone", F.lit(None).cast("string")),
         }
-    ).drop("__hit", "__lines", "__ids", "__at")
+    ).drop("__hit", "__lines", "__ids", "__at", "__spans")
 
 
 def vetoes_of_run(df: DataFrame, name: str) -> DataFrame:

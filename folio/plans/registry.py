@@ -10,10 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed_values as V
 from ..functions import predicates as P
 from ..functions import typography
+from ..functions.spans import SPAN
 from ..functions.text import ends_with_any, strip, word_count
 from ..operators import arbitration, notes, report, scoring, semantics, sequences, structure
 from ..operators.blocks import complete, lines, stripped
@@ -483,6 +485,54 @@ def join_note_calls(spark, sf_dir):
     return notes.call_problems(call_spans(spark, sf_dir)).select("doc_id", "pos", "i", "note_ref", "rule")
 
 
+def spanned_lines(spark, sf_dir) -> DataFrame:
+    """The lines of call_spans as blocks with an array of spans."""
+    from ..functions.spans import STYLES
+
+    span = F.struct("i", "text", *(F.lit(False).alias(f) for f in STYLES), "kind", "note_ref")
+    gathered = call_spans(spark, sf_dir).groupBy("doc_id", "pos").agg(F.array_sort(F.collect_list(span)).alias("x"))
+    return gathered.select("doc_id", "pos", F.array_join(F.transform("x", lambda s: s["text"]), "").alias("text"), F.transform("x", lambda s: s.dropFields("i")).alias("spans"))
+
+
+@query("note_call_diagnostics", f"""WITH {SPANS} SELECT doc_id, pos, 'b' || (pos + 1) AS target, note_ref, CASE WHEN ch IN (' ', '\u00a0', '\u202f') THEN 'R-AN-003' ELSE 'R-AN-002' END AS rule, CASE ch WHEN ' ' THEN 'space' WHEN '\u00a0' THEN 'nbsp' WHEN '\u202f' THEN 'nnbsp' END AS space_kind
+    FROM c WHERE k > 0 AND ch IN (' ', '\u00a0', '\u202f', '.', ',', ';', ':', '?', '!', '»', '"', '”', '›')""")
+def note_call_diagnostics(spark, sf_dir):
+    """Note calls judged inside their blocks' arrays of spans."""
+    return notes.call_diagnostics(spanned_lines(spark, sf_dir)).select("doc_id", "pos", "target", "note_ref", "rule", "space_kind")
+
+
+@query("quote_point_diagnostics", f"""WITH {Q.LINES}, p AS (SELECT doc_id, pos, replace(translate(text, '«»<>"', '     '), ', ', ' «oui !». x : «non». «bien». ') || CASE WHEN pos % 7 = 0 THEN ' <b>' ELSE '' END AS t FROM l WHERE pos % 3 <> 0 AND pos % 7 <> 0)
+    SELECT doc_id, pos, 'R-GQ-004' AS rule, unnest(regexp_extract_all(t, '«(?:oui !|non)»[.]')) AS excerpt FROM p""")
+def quote_point_diagnostics(spark, sf_dir):
+    """Quotations before a full stop with a mark of their own or after a colon are doubtful, others aren't; nor are quotations set apart (every third line) and technical text (every seventh)."""
+    planted = F.replace(F.translate("text", '«»<>"', "     "), F.lit(", "), F.lit(" «oui !». x : «non». «bien». "))
+    df = lines(docs(spark, sf_dir)).withColumns({"text": F.concat(planted, F.when(F.col("pos") % 7 == 0, " <b>").otherwise("")), "block_type": F.when(F.col("pos") % 3 == 0, "quote_block").otherwise("paragraph")})
+    return notes.quote_diagnostics(df).select("doc_id", "pos", "rule", "excerpt")
+
+
+@query("notes_in_exports", f"""WITH {Q.LINES}, n AS (SELECT doc_id, count(*) AS notes, sum(length('Note d' || doc_id || ' p' || pos) + 1) AS chars FROM l WHERE pos % 5 = 0 GROUP BY doc_id)
+    SELECT doc_id, notes AS tei_notes, chars AS tei_chars, notes AS latex_notes, notes AS docx_notes, chars AS docx_chars, notes AS pivot_notes, chars AS pivot_chars FROM n""")
+def notes_in_exports(spark, sf_dir):
+    """Every fifth line calls a note of its own, whose text gets a final point; the notes that each export of the corpus shows, read back."""
+    from ..functions.spans import STYLES
+    from ..sources import docx, pivot, tei
+    from .pipeline import Options, run_corpus
+
+    off = [F.lit(False).alias(f) for f in STYLES]
+    own = F.struct("text", *off, F.lit("text").alias("kind"), F.lit(None).cast("string").alias("note_ref"))
+    called = F.struct(F.lit("[n]").alias("text"), *off, F.lit("note_call").alias("kind"), F.concat(F.lit("n"), F.col("pos").cast("string")).alias("note_ref"))
+    df = lines(docs(spark, sf_dir)).withColumn("spans", F.when(F.col("pos") % 5 == 0, F.array(own, called)).otherwise(F.array(own)))
+    df = df.withColumn("text", F.array_join(F.transform("spans", lambda x: x["text"]), ""))
+    kept = df.where("pos % 5 = 0").select("doc_id", F.concat(F.lit("n"), F.col("pos").cast("string")).alias("note_id"), F.format_string("note d%d p%d", "doc_id", "pos").alias("text"))
+    done = run_corpus(df, Options(mode="deterministic"), kept.withColumn("spans", F.array(F.struct("text", *off, F.lit("text").alias("kind"), F.lit(None).cast("string").alias("note_ref")))))
+    counted = lambda found, name: found.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias(f"{name}_notes"), F.sum(F.length("text")).alias(f"{name}_chars"))
+    xml = done.tei()
+    latex_notes = done.latex().select("doc_id", F.size(F.regexp_extract_all("tex", F.lit(r"\\footnote\{"), F.lit(0))).cast("long").alias("latex_notes"))
+    files = docx.rows(done.docx().select(F.col("doc_id").cast("string"), "content"))
+    out = counted(tei.read(xml).notes, "tei").join(latex_notes, "doc_id").join(counted(docx.notes(files), "docx"), "doc_id")
+    return out.join(counted(pivot.read(done.pivot().select("json")).notes, "pivot"), "doc_id")
+
+
 @query("join_resolve_notes", f"WITH {SPANS}, n AS (SELECT doc_id, 'n' || k AS note_id FROM documents, range(6) AS r(k)), g AS (SELECT doc_id, note_ref AS note_id, min(pos) AS target_pos, count(*) AS call_count FROM c WHERE k > 0 GROUP BY ALL), j AS (SELECT n.doc_id, n.note_id, target_pos, coalesce(call_count, 0) AS call_count FROM n LEFT JOIN g USING (doc_id, note_id)) SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY target_pos NULLS LAST, note_id) AS number FROM j")
 def join_resolve_notes(spark, sf_dir):
     wanted = docs(spark, sf_dir).select("doc_id", F.explode(F.array(*(F.lit(f"n{k}") for k in range(6)))).alias("note_id"))
@@ -733,6 +783,24 @@ def ai_corrections(spark, sf_dir):
     return arbitration.corrections(blocks, suggested).select("doc_id", "pos", "text", "applied")
 
 
+_TIMES = "(length({t}) - length(replace({t}, '{a}', ''))) // length('{a}')"
+
+
+def _corrected(t: str, a: str, b: str) -> str:
+    return f"CASE WHEN {_TIMES.format(t=t, a=a)} = 1 THEN replace({t}, '{a}', '{b}') ELSE {t} END"
+
+
+@query("ai_corrections_folded", f"""WITH {Q.BLOCKS}, a AS (SELECT doc_id, pos, text AS t0, {_corrected('text', ' the ', ' THE ')} AS t1 FROM b), c AS (SELECT *, {_corrected('t1', 'THE ', 'the very ')} AS t2 FROM a), d AS (SELECT *, {_corrected('t2', 'the very', 'a')} AS t3 FROM c)
+    SELECT doc_id, pos, CASE WHEN pos % 2 = 0 THEN t3 ELSE t2 END AS text, CAST((t1 <> t0)::INT + (t2 <> t1)::INT + CASE WHEN pos % 2 = 0 THEN (t3 <> t2)::INT ELSE 0 END AS INTEGER) AS n FROM d""")
+def ai_corrections_folded(spark, sf_dir):
+    """Two or three corrections a block, each about what the one before it has written."""
+    blocks = marked_lines(spark, sf_dir)
+    steps = [(" the ", " THE "), ("THE ", "the very "), ("the very", "a")]
+    wanted = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(a).alias("original"), F.lit(b).alias("replacement")) for k, (a, b) in enumerate(steps))))
+    suggested = blocks.select("doc_id", "pos", wanted.alias("c")).select("doc_id", "pos", "c.*").where((F.col("k") < 2) | (F.col("pos") % 2 == 0))
+    return arbitration.corrections(blocks, suggested).select("doc_id", "pos", "text", F.size("corrected").alias("n"))
+
+
 @query("ai_candidates", f"""WITH {Q.BLOCKS}, d AS (SELECT doc_id, pos, CASE pos % 4 WHEN 0 THEN 'heading' WHEN 1 THEN 'verse' WHEN 2 THEN 'bibliography' ELSE 'legacy_verse' END AS category, CASE doc_id % 3 WHEN 0 THEN 'diagnostic' WHEN 1 THEN 'transform' END AS decision FROM b)
     SELECT doc_id, pos, category FROM d WHERE category = 'bibliography' OR (category IN ('heading', 'verse') AND decision = 'diagnostic')""")
 def ai_candidates(spark, sf_dir):
@@ -853,6 +921,57 @@ def tei_table_counts(spark, sf_dir):
     return tei.table_counts(blocks)
 
 
+def table_lines(spark, sf_dir) -> DataFrame:
+    """Every line as a table: with two rows and four cells, with a nested table, without rows, with broken XML, without XML."""
+    from ..sources.docx_writer import NS
+    from ..sources.tei import escape
+
+    k, text = F.col("pos") % 5, F.concat(F.lit("<w:p><w:r><w:t>"), escape(F.concat(F.lit("A & B < "), "text")), F.lit("</w:t></w:r></w:p>"))
+    cell = lambda c: F.concat(F.lit("<w:tc>"), c, F.lit("</w:tc>"))
+    row = lambda *c: F.concat(F.lit("<w:tr>"), *c, F.lit("</w:tr>"))
+    whole = lambda *r: F.concat(F.lit(f'<w:tbl xmlns:w="{NS}">'), *r, F.lit("</w:tbl>"))
+    empty, second = cell(F.lit("")), F.lit("<w:p><w:r><w:t>second</w:t></w:r></w:p><w:p/>")
+    nested = F.concat(F.lit("<w:tbl><w:tr><w:tc>"), text, F.lit("</w:tc></w:tr></w:tbl>"))
+    ooxml = F.when(k == 0, whole(row(cell(F.concat(text, second)), empty), row(empty, cell(second)))).when(k == 1, whole(row(cell(F.concat(nested, second))))).when(k == 2, whole()).when(k == 3, "<w:tbl>")
+    return lines(docs(spark, sf_dir)).withColumns({"block_type": F.lit("table"), "table_ooxml": ooxml})
+
+
+@query("tei_table_diagnostics", f"""WITH {Q.LINES} SELECT doc_id, pos, CASE WHEN pos % 5 < 2 THEN 'table_exported_to_tei' WHEN pos % 5 = 2 THEN 'table_export_fallback' ELSE 'table_not_exported_to_tei' END AS code,
+    CASE pos % 5 WHEN 2 THEN 'no_rows' WHEN 3 THEN 'invalid_table_ooxml' WHEN 4 THEN 'missing_table_ooxml' END AS reason, CASE pos % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END::BIGINT AS rows, CASE pos % 5 WHEN 0 THEN 4 WHEN 1 THEN 1 ELSE 0 END::BIGINT AS cells FROM l""")
+def tei_table_diagnostics(spark, sf_dir):
+    from ..sources import tei
+
+    return tei.table_diagnostics(table_lines(spark, sf_dir)).select("doc_id", "pos", "code", "reason", "rows", "cells")
+
+
+@query("tei_table_cells", f"""WITH {Q.LINES}, c AS (SELECT doc_id, unnest(CASE pos % 5 WHEN 0 THEN [{Q.strip("'A & B < ' || text")} || chr(10) || 'second', '', '', 'second'] WHEN 1 THEN ['second'] ELSE [] END) AS text FROM l)
+    SELECT doc_id, text, count(*) AS n FROM c GROUP BY doc_id, text""")
+def tei_table_cells(spark, sf_dir):
+    """The cells of written documents, read back: nested tables belong to no cell, special characters come back as they were."""
+    from ..sources import tei
+
+    read = tei.read(tei.write(table_lines(spark, sf_dir))).blocks.where("xml_tag = 'cell'")
+    return read.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("tei_verse_spans", f"""WITH {Q.LINES}, p AS (SELECT doc_id, unnest(string_split(text, ', ')) AS t, generate_subscripts(string_split(text, ', '), 1) - 1 AS k FROM l)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (k % 2 = 1 AND t <> '') AS n_italic, count(*) FILTER (k % 3 = 1) AS n_notes FROM p GROUP BY doc_id""")
+def tei_verse_spans(spark, sf_dir):
+    """Stanzas whose lines are cut at commas: every second line is in italics, every third calls a note, and breaks are spans of their own."""
+    from ..functions.spans import STYLES
+    from ..sources import tei
+
+    none = lambda t="string": F.lit(None).cast(t)
+    span = lambda text, kind, italic=F.lit(False), ref=none(): F.struct(text.alias("text"), *((italic if f == "italic" else F.lit(False)).alias(f) for f in STYLES), F.lit(kind).alias("kind"), ref.alias("note_ref"))
+    called = lambda k: F.when(k % 3 == 1, F.array(span(F.lit("[1]"), "note_call", ref=F.lit("n1")))).otherwise(F.expr("array()").cast(T.ArrayType(SPAN)))
+    line = lambda t, k: F.concat(F.when(k > 0, F.array(span(F.lit("\n"), "line_break"))).otherwise(F.expr("array()").cast(T.ArrayType(SPAN))), F.array(span(t, "text", k % 2 == 1)), called(k))
+    struct = F.struct(F.lit("lineated_block").alias("role"), F.lit("lineated_block").alias("layout_kind"), none().alias("quote_kind"), F.lit("lineated").alias("lineation"), F.array(F.concat(F.lit("x"), "text")).alias("lines"), none().alias("genre_hint"), none("double").alias("genre_confidence"), none().alias("genre_source"))
+    blocks = lines(docs(spark, sf_dir)).withColumns({"spans": F.flatten(F.transform(F.split("text", ", "), line)), "block_type": F.lit("lineated_block"), "semantic": struct})
+    xml = tei.write(blocks, docs(spark, sf_dir).select("doc_id", F.lit("n1").alias("note_id"), F.lit("Une note.").alias("text")))
+    count = lambda tag: F.size(F.regexp_extract_all("xml", F.lit(tag), F.lit(0))).cast("long")
+    return xml.select("doc_id", count("<l>").alias("n_lines"), count('<hi rend="italic">').alias("n_italic"), count("<note ").alias("n_notes"))
+
+
 @query("pages_markup", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<a href=')) AS INTEGER) AS n_links FROM pages")
 def pages_markup(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")

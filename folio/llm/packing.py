@@ -27,6 +27,7 @@ from . import common
 GPT2_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BATCH_CHARS = 4_000_000
 GROUP_ROWS = 500  # rows of one length that one group numbers
+SHELF = 10_000  # groups whose counts one task adds up
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -40,26 +41,28 @@ def load_encoder(path: str):
     """A function from texts to lists of ids, for a byte-level BPE file of the tokenizers library.
 
     The vocabulary of such a file lists merges in order of rank, so the ids serve as ranks for a faster encoder; a
-    file of any other kind is run by the tokenizers library itself.
+    file of any other kind is run by the tokenizers library itself.  Special strings in a text are their one id, as the
+    library has it by default.
     """
     cache = common.worker_cache()
     if path not in cache:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec.get("added_tokens") or []}
+        added = spec.get("added_tokens") or []
+        special = {t["content"]: t["id"] for t in added}
+        plain = not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))  # what is found in a text is that string alone
         pre = spec.get("pre_tokenizer") or {}
-        if spec["model"].get("type") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer"):
+        if spec["model"].get("type") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer") and plain:
             import tiktoken
 
             of = byte_alphabet()
             ranks = {bytes(of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-            encoding = tiktoken.Encoding(path, pat_str=GPT2_SPLIT, mergeable_ranks=ranks, special_tokens={})
-            cache[path] = lambda texts: [encoding.encode_ordinary(t) for t in texts]
+            encoding = tiktoken.Encoding(path, pat_str=GPT2_SPLIT, mergeable_ranks=ranks, special_tokens=special)
+            cache[path] = lambda texts: [encoding.encode(t, allowed_special="all") if any(x in t for x in special) else encoding.encode_ordinary(t) for t in texts]
         else:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
             cache[path] = lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     return cache[path]
 
@@ -156,12 +159,18 @@ def slots(patterns: list[tuple[list[int], int]]) -> dict[int, dict[str, np.ndarr
 def rank_within(df: DataFrame, key: str, order: list[str], sizes: dict[int, int], rows: int = GROUP_ROWS) -> DataFrame:
     """Adds `rank`, counted from 0 within each value of key.  A value is dealt over one group for each `rows` of its rows
     (sizes says how many it has), so that one which holds a third of all is numbered in parallel, by tasks of bounded
-    size; the groups' counts give the offsets."""
+    size; the groups' counts give the offsets, added up in two levels, so no task sees the counts of all groups either."""
     groups = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, -(-n // rows)))) if sizes else F.create_map(F.lit(0), F.lit(1))
     dealt = df.withColumn("bucket", F.pmod(F.xxhash64(*order), groups[F.col(key)]))
-    counts = dealt.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select(key, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    counts = common.durable(dealt.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("shelf", F.floor(F.col("bucket") / SHELF)), "counts")
+
+    def running(df: DataFrame, within: list[str], by: str, name: str) -> DataFrame:
+        before = Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(name, F.coalesce(F.sum("n").over(before), F.lit(0)))
+
+    # in two levels: groups within a shelf of SHELF groups, and shelves, of which a value has few
+    shelves = running(counts.groupBy(key, "shelf").agg(F.sum("n").alias("n")), [key], "shelf", "first").drop("n")
+    bases = running(counts, [key, "shelf"], "bucket", "base").join(shelves, [key, "shelf"]).select(key, "bucket", (F.col("first") + F.col("base")).alias("base"))
     numbered = dealt.withColumn("in_bucket", F.row_number().over(Window.partitionBy(key, "bucket").orderBy(*order)) - 1)
     return numbered.join(bases, [key, "bucket"]).withColumn("rank", F.col("base") + F.col("in_bucket")).drop("base", "in_bucket", "bucket")
 

@@ -163,12 +163,13 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     `similarity`): the one with the least doc_id; null ids come last.  All columns stay."""
     nodes, star = similar_texts.linked(docs, shingle, similarity)
     placed = nodes.join(star.withColumnRenamed("u", "node"), "node", "left").select("place", "h", F.coalesce("v", "node").alias("root"))
-    winners = placed.groupBy("root").agg(F.min(F.struct("place", "h")).alias("w")).select(F.col("w.place.doc_id").alias("__id"), F.col("w.h").alias("__h"))
+    winners = placed.groupBy("root").agg(F.min(F.struct("place", "h")).alias("w")).select(F.struct(F.col("w.place.doc_id").alias("id"), F.col("w.h").alias("h")).alias(common.unused(docs, "winner")))
     winners = common.durable(winners, "winners")
     named = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     repeats = bool(named.head(1)) or bool(docs.where("doc_id is null").head(1))
     hash_ = F.xxhash64(F.coalesce("text", F.lit("")))
-    kept = docs.join(winners, F.col("doc_id").eqNullSafe(F.col("__id")) & (hash_ == F.col("__h")), "left_semi")
+    won = F.col(common.unused(docs, "winner"))
+    kept = docs.join(winners, F.col("doc_id").eqNullSafe(won["id"]) & (hash_ == won["h"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]) if repeats else kept  # whole rows that the table repeats
 
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,23 +108,28 @@ def repeated(docs: DataFrame, least: int = 24, bits: int = 5, most: int = 512) -
     return joined.where(place != F.col("source")).select("doc_id", "start", "length", F.col("source.doc_id").alias("source_doc_id"), F.col("source.start").alias("source_start"))
 
 
+def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
+    """text without byte spans (start, length), which may overlap; bytes of a character that only partly goes are left out with it."""
+    data, kept, at = text.encode(), [], 0
+    for start, length in sorted(spans):
+        kept.append(data[at : max(at, start)])
+        at = max(at, start + length)
+    return b"".join([*kept, data[at:]]).decode(errors="ignore")
+
+
 def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with the byte spans (doc_id, start, length) cut from their texts; other columns as they are.  Spans begin and end
-    where characters do, as those of `repeated` do."""
-    cut = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("__cut"))
-    data = F.col("text").cast("binary")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<binary>)").alias("out"))
-
-    def step(state, span):
-        kept = F.substring(data, (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int"))
-        return F.struct((span["start"] + span["length"]).alias("at"), F.array_append(state["out"], kept).alias("out"))
-
-    def rest(state):
-        tail = F.substring(data, (state["at"] + 1).cast("int"), F.octet_length(data))
-        return F.aggregate(F.array_append(state["out"], tail), F.expr("X''"), lambda a, b: F.concat(a, b))
-
-    text = F.when(F.col("__cut").isNotNull(), F.decode(F.aggregate("__cut", start, step, rest), "UTF-8")).otherwise(F.col("text"))
-    return docs.join(cut, F.col("doc_id") == F.col("__id"), "left").withColumn("text", text).select(*docs.columns)
+    """docs with the byte spans (doc_id, start, length) cut from their texts; other columns as they are, whatever their names.  Spans
+    begin and end where characters do, as those of `repeated` do.  Each text is rebuilt once from the gaps between its spans."""
+    name = common.unused(docs, "cut")
+    gathered = spans.where("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"))
+    cut = gathered.select(F.struct(F.col("doc_id").alias("id"), "spans").alias(name))
+
+    @F.pandas_udf("string")
+    def kept(text: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or s is None else cut_out(t, [(x["start"], x["length"]) for x in s]) for t, s in zip(text, found)], dtype=object)
+
+    joined = docs.join(cut, F.col("doc_id") == F.col(name)["id"], "left")
+    return joined.withColumn("text", F.when(F.col(name).isNotNull(), kept("text", F.col(name)["spans"])).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

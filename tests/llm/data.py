@@ -20,7 +20,9 @@ AWKWARD = [
 
 def frame(spark, rows=AWKWARD):
     """documents with columns whose names could clash with those that operators use inside."""
-    df = spark.createDataFrame([(*r, "x", r[0], "h", 7) for r in rows], "doc_id long, text string, bucket string, n long, h string, label int")
+    names = ("base", "entropy", "__id", "__h", "__cut", "winner", "cut", "doc", "spans", "reach", "word", "shelf")
+    schema = "doc_id long, text string, bucket string, n long, h string, label int, " + ", ".join(f"`{x}` string" for x in names)
+    df = spark.createDataFrame([(*r, "x", r[0], "h", 7, *names) for r in rows], schema)
     return df.repartition(3)
 
 

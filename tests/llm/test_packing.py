@@ -13,7 +13,6 @@ P = pytest.importorskip("public_tokenizers")
 
 def ids_of(texts):
     t = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [[*e.ids, 0] for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -49,11 +48,10 @@ def test_round_trip(spark, size):
     assert n <= 1.25 * total / size + 2
 
 
-def test_special_strings_are_text_and_other_files_work(spark):
+def test_special_strings_and_other_files(spark):
     docs = [(1, "<|endoftext|> a <|startoftext|>"), (2, "it's  fine\n\n  x")]
     check(packing.pack(frame(spark, docs), P.path("byte_bpe_50k.json")).collect(), docs, 1024)
     t = tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     got = {r["doc_id"]: r["doc_tokens"] for r in packing.pack(frame(spark, docs), P.path("word_bpe_49k.json")).collect()}
     assert got == {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in docs}
 
@@ -86,3 +84,16 @@ def test_a_hot_length_is_numbered_in_groups_of_bounded_size(spark):
     assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(n)) for k, n in sizes.items()}
     largest = df.withColumn("g", packing.F.pmod(packing.F.xxhash64("doc_id"), packing.F.lit(20))).where("length = 7").groupBy("g").count().agg(packing.F.max("count")).first()[0]
     assert largest < 200  # 2000 rows of one length in 20 groups
+
+
+def test_special_strings_are_one_id(spark):
+    docs = [(1, "<|endoftext|> hello"), (2, "a<|endoftext|><|endoftext|>b <|endoftext"), (3, "<|endoftext|>")]
+    rows = packing.pack(frame(spark, docs), P.path("byte_bpe_50k.json"), 64).collect()
+    check(rows, docs, 64)
+    assert {r["doc_id"]: r["doc_tokens"] for r in rows}[1] == 3
+
+
+def test_ranks_over_several_shelves(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHELF", 2)
+    df = spark.createDataFrame([(k, 5) for k in range(200)], "doc_id long, length long")
+    assert sorted(r["rank"] for r in packing.rank_within(df, "length", ["doc_id"], {5: 200}, rows=10).collect()) == list(range(200))

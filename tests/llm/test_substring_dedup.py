@@ -85,3 +85,7 @@ def test_without_on_text_that_is_not_ascii(spark):
     assert got[1] == texts[0] and got[5] is None and got[6] == "" and got[4] == ""  # a copy goes whole, its last bytes too
     assert got[2].startswith(texts[1][:800]) and len(got[2]) < len(texts[1]) + 200
     assert set(got[3]) <= set(texts[0])
+
+
+def test_cut_out():
+    assert sd.cut_out("abcdef", [(1, 2), (4, 1)]) == "adf" and sd.cut_out("abcdef", [(0, 4), (2, 3)]) == "f" and sd.cut_out("é", []) == "é"

@@ -1,13 +1,15 @@
 """Inline spans through a rewrite: which parts of a text changed, and which span each character of the new text is in.
 
-Alignments of two strings have no built-in form, so these are Arrow UDFs; texts that didn't change pass at no cost.
+A rewrite by rules says itself what it replaced (`typography.rewrite_steps`), so its pieces are composed step by step and no
+texts are compared.  Texts that changed in another way are aligned.  Both are Arrow UDFs; texts that didn't change pass at no cost.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from difflib import Match, SequenceMatcher
-from itertools import groupby
+from itertools import accumulate, groupby
 
 import numpy as np
 import pandas as pd
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import fixed_values as V
+from . import typography
 
 STYLES = ("bold", "italic", "small_caps", "sub", "sup")
 SPAN = T.StructType([T.StructField("text", T.StringType()), *(T.StructField(f, T.BooleanType()) for f in STYLES), T.StructField("kind", T.StringType()), T.StructField("note_ref", T.StringType())])
@@ -115,6 +118,106 @@ def carry(spans: list[dict], after: str) -> list[dict]:
     return out
 
 
+Piece = tuple[int, int]  # where it begins in the first text (kept), or -1 - the place where it was put (made), and its length
+
+
+def _edits(step: str) -> list[tuple[int, int, int]]:
+    """A marked text -> for each edit: characters kept since the last, replaced and made; what both sides of an edit begin or end with is kept."""
+    first, *rest = step.split(typography.OLD)
+    kept, out = len(first), []
+    for part in rest:
+        old, _, more = part.partition(typography.NEW)
+        new, _, gap = more.partition(typography.END)
+        least = min(len(old), len(new))
+        head = next((k for k in range(least) if old[k] != new[k]), least)
+        tail = next((k for k in range(least - head) if old[-1 - k] != new[-1 - k]), least - head)
+        if head + tail < max(len(old), len(new)):
+            out.append((kept + head, len(old) - head - tail, len(new) - head - tail))
+            kept = tail + len(gap)
+        else:
+            kept += len(old) + len(gap)
+    return out
+
+
+def piece_table(length: int, steps: list[str]) -> list[Piece]:
+    """The pieces of a text after all steps, in order: kept ones of the first text, which has `length` characters, and made ones."""
+    table: list[Piece] = [(0, length)]
+    for step in steps:
+        edits = _edits(step)
+        if not edits:
+            continue
+        out: list[Piece] = []
+        stack = table[::-1]
+        for kept, gone, made in edits:
+            _take(stack, kept, out)
+            dropped: list[Piece] = []
+            _take(stack, gone, dropped)
+            near = dropped[:1] or stack[-1:]
+            place = (near[0][0] if near[0][0] >= 0 else -1 - near[0][0]) if near else length
+            if made:
+                out.append((-1 - place, made))
+        table = out + stack[::-1]
+    return table
+
+
+def _take(stack: list[Piece], n: int, out: list[Piece]) -> None:
+    """Moves the next n characters from the stack (its top is last) to out."""
+    while n > 0 and stack:
+        at, size = stack.pop()
+        if size > n:
+            stack.append((at + n if at >= 0 else at, size - n))
+            size = n
+        out.append((at, size))
+        n -= size
+
+
+def piece_regions(table: list[Piece]) -> list[tuple[int, int]]:
+    """Stretches of the new text that were made; near ones are one."""
+    out: list[list[int]] = []
+    at = 0
+    for origin, size in table:
+        if origin < 0:
+            if out and at - out[-1][1] <= NEAR:
+                out[-1][1] = at + size
+            else:
+                out.append([at, at + size])
+        at += size
+    return [(a, b) for a, b in out]
+
+
+def move(spans: list[dict], steps: list[str], after: str) -> list[dict]:
+    """carry(), from the rewrite's steps instead of an alignment: linear in the text and in its edits."""
+    before = "".join(s["text"] or "" for s in spans)
+    table = piece_table(len(before), steps)
+    if not spans or sum(n for _, n in table) != len(after):  # the steps are of another text than the spans'
+        return carry(spans, after)
+    starts = list(accumulate((len(s["text"] or "") for s in spans), initial=0))
+    owner = lambda at: min(bisect_right(starts, at) - 1, len(spans) - 1)
+    marks, out, last, at = piece_regions(table), [], None, 0
+
+    def put(k: int, text: str, changed: bool) -> None:
+        nonlocal last
+        if (k, changed) == last:
+            out[-1]["text"] += text
+        elif text:
+            out.append(dict(spans[k], text=text, changed=changed))
+            last = k, changed
+
+    inside = 0
+    for origin, size in table:
+        stop = at + size
+        while at < stop:
+            while inside < len(marks) and marks[inside][1] <= at:
+                inside += 1
+            changed = inside < len(marks) and marks[inside][0] <= at
+            edge = marks[inside][1] if changed else marks[inside][0] if inside < len(marks) else stop
+            k = owner(origin) if origin >= 0 else owner(-1 - origin)
+            end = min(stop, edge, at + (starts[k + 1] - origin if origin >= 0 and k + 1 < len(starts) else stop - at))
+            put(k, after[at:end], changed)
+            origin, at = (origin + end - at if origin >= 0 else origin), end
+    return out
+
+
 def style_centuries(spans: list[dict]) -> list[dict]:
     """Century numerals before a century word: the numeral in lower-case small capitals, its e raised; equal neighbours are joined."""
     text = "".join(s["text"] or "" for s in spans)
@@ -159,6 +262,26 @@ def _centuries(spans: pd.Series) -> pd.Series:
     return pd.Series([style_centuries(_rows(s)) for s in spans])
 
 
+@F.pandas_udf(T.ArrayType(REGION))
+def _piece_regions(length: pd.Series, steps: pd.Series) -> pd.Series:
+    return pd.Series([[{"start": a, "stop": b} for a, b in piece_regions(piece_table(n, list(s)))] for n, s in zip(length, steps)])
+
+
+@F.pandas_udf(T.ArrayType(MARKED))
+def _moved(spans: pd.Series, steps: pd.Series, after: pd.Series) -> pd.Series:
+    return pd.Series([move(_rows(x), list(s), a or "") for x, s, a in zip(spans, steps, after)])
+
+
+def step_regions(before: Column, steps: Column) -> Column:
+    """array<struct<start, stop>> of what the steps of rewrite_steps made, in the text after them.  No texts are compared."""
+    return _piece_regions(F.length(before), steps)
+
+
+def moved_spans(spans: Column, steps: Column, after: Column) -> Column:
+    """carried_spans, from the steps of rewrite_steps."""
+    return _moved(spans, steps, after)
+
+
 def changed_regions(before: Column, after: Column) -> Column:
     """array<struct<start, stop>> of what is new in after."""
     return _regions(before, after)

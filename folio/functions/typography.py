@@ -16,28 +16,47 @@ from .text import strip
 N, B, SP = V.NNBSP, V.NBSP, V.SPACES
 
 
-def _replace(pattern: str, by: str):
-    return lambda t: F.regexp_replace(t, pattern, by)
+#: Noncharacters that stand before what an edit replaces, between that and what replaces it, and after it.
+OLD, NEW, END = "\ufdd1", "\ufdd2", "\ufdd3"
 
 
-def _ligatures(t: Column) -> Column:
-    """Closed forms only; the case of the word, or of its first letter, is kept."""
-    word = rf"(?U)\b(?=(?i:{'|'.join(V.LIGATURES)})\b)(\p{{L}}?)"
-    for plain, joined in (("oe", "œ"), ("OE", "Œ"), ("Oe", "Œ")):
-        t = F.regexp_replace(t, word + plain, "$1" + joined)
-    return t
+def _edit(old: str, new: str) -> str:
+    return OLD + old + NEW + new + END
+
+
+class Rule:
+    """A rewrite as steps.  A step replaces a pattern, or is a function of a text and of how an edit is written; so it gives
+    either the new text, or the text with its edits marked, in which what was replaced is still there."""
+
+    def __init__(self, *steps):
+        self.steps = steps
+
+    def __call__(self, t: Column) -> Column:
+        for step in self.steps:
+            t = F.regexp_replace(t, *step) if isinstance(step, tuple) else step(t, False)
+        return t
+
+    def marked(self) -> list:
+        """A function for each step, from a text to the text with the step's edits marked."""
+        one = lambda step: (lambda t: F.regexp_replace(t, step[0], _edit("$0", step[1]))) if isinstance(step, tuple) else (lambda t: step(t, True))
+        return [one(step) for step in self.steps]
 
 
-def _centuries(t: Column) -> Column:
+def _replace(pattern: str, by: str) -> Rule:
+    return Rule((pattern, by))
+
+
+#: Closed forms only; the case of the word, or of its first letter, is kept.
+_LIGATURE_WORD = rf"(?U)\b(?=(?i:{'|'.join(V.LIGATURES)})\b)(\p{{L}}?)"
+
+
+def _centuries(t: Column, marked: bool) -> Column:
     """Numerals of the closed list in capitals, with a plain e.  They are marked by control characters, then raised."""
     numerals = "|".join(sorted(V.CENTURIES, key=len, reverse=True))
-    marked = F.regexp_replace(t, rf"(?U)\b((?i:{numerals}))[eè][rm]?[eé]?\b", "\x01$1\x02e")
+    new = "\x01$1\x02e"
+    found = F.regexp_replace(t, rf"(?U)\b((?i:{numerals}))[eè][rm]?[eé]?\b", _edit("$0", new) if marked else new)
     raised = lambda p: F.when(p.contains("\x02"), F.concat(F.upper(F.substring_index(p, "\x02", 1)), F.substring_index(p, "\x02", -1))).otherwise(p)
-    return F.array_join(F.transform(F.split(marked, "\x01"), raised), "")
-
-
-def _ordinals(t: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(t, r"(?U)\b1(ère|ere)\b", "1re"), r"(?U)\b(\d+)(ème|eme)\b", "$1e")
+    return F.array_join(F.transform(F.split(found, "\x01"), raised), "")
 
 
 def _bound(t: Column, make) -> Column:
@@ -56,7 +75,11 @@ def _count(t: Column, mark: str) -> Column:
     return F.length(t) - F.length(F.replace(t, F.lit(mark), F.lit("")))
 
 
-def _french_marks(t: Column) -> Column:
+#: A pair of marks: the marks with the blanks inside them, and what they hold.
+_PAIR = r"(?sU)^(.\s*)(.*?)(\s*.)$"
+
+
+def _french_marks(t: Column, marked: bool) -> Column:
     """Pairs of straight or English marks become French ones, or English ones inside a French quotation; technical uses stay.
 
     The text is cut at the pairs; a fold over the pieces keeps the end of what it has passed, whether a quotation is open
@@ -73,47 +96,48 @@ def _french_marks(t: Column) -> Column:
         inside = F.substr(mark, F.lit(2), F.length(mark) - 2)
         technical = before.rlike(V.QUOTE_TECHNICAL_BEFORE) | inside.contains("\\") | after.isin(list(V.QUOTE_TECHNICAL_AFTER))
         is_open, left = _opened(state["open"], x["gap"]), state["left"] - _count(x["gap"], V.CLOSE_QUOTE) - _count(mark, V.CLOSE_QUOTE)
-        french = F.concat(F.lit(V.OPEN_QUOTE + N), strip(inside), F.lit(N + V.CLOSE_QUOTE))
-        new = F.when((mark == "") | technical, mark).when(is_open & (left > 0), F.concat(F.lit("“"), strip(inside), F.lit("”"))).otherwise(french)
+        quoted = lambda a, b: F.regexp_replace(mark, _PAIR, _edit("$1", a) + "$2" + _edit("$3", b)) if marked else F.concat(F.lit(a), strip(inside), F.lit(b))
+        new = F.when((mark == "") | technical, mark).when(is_open & (left > 0), quoted("“", "”")).otherwise(quoted(V.OPEN_QUOTE + N, N + V.CLOSE_QUOTE))
         end = F.right(F.concat(state["end"], x["gap"], mark), F.lit(V.QUOTE_REACH))
         return F.struct(end.alias("end"), _opened(is_open, mark).alias("open"), left.alias("left"), F.concat(state["out"], x["gap"], new).alias("out"))
 
     return F.aggregate(pieces, start, step, lambda state: state["out"])
 
 
-def _quotes(t: Column) -> Column:
-    return _bound(t, lambda x: F.when(x.contains('"') | x.contains("“"), _french_marks(x)).otherwise(x))
+def _quotes(t: Column, marked: bool) -> Column:
+    return _bound(t, lambda x: F.when(x.contains('"') | x.contains("“"), _french_marks(x, marked)).otherwise(x))
 
 
 _STRONG = r"((?<!\d):|:(?!\d)|[;?!])"
 _SLASHED, _MARK = r"[/\\]", "\ufdd0"  # a noncharacter, where a space is to be put
 
 
-def _space_strong(t: Column) -> Column:
+def _space_strong(t: Column, marked: bool) -> Column:
     """A fixed space before : ; ? !, but not within numbers (10:30) and not in tokens with a slash (addresses, paths), however long."""
 
     def tokenwise(x: Column) -> Column:
         pieces = F.regexp_extract_all(x, F.lit(r"(?U)\s+|\S+"), F.lit(0))
-        marked = F.transform(pieces, lambda p: F.when(p.rlike(_SLASHED), p).otherwise(F.regexp_replace(p, _STRONG, _MARK + "$1")))
-        return F.regexp_replace(F.array_join(marked, ""), SP + "*" + _MARK, N)
+        signed = F.transform(pieces, lambda p: F.when(p.rlike(_SLASHED), p).otherwise(F.regexp_replace(p, _STRONG, _MARK + "$1")))
+        return F.regexp_replace(F.array_join(signed, ""), f"({SP}*){_MARK}", edit("$1", N))
 
-    return _bound(t, lambda x: F.when(x.rlike(_SLASHED), tokenwise(x)).otherwise(F.regexp_replace(x, SP + "*" + _STRONG, f"{N}$1")))
+    edit = _edit if marked else lambda old, new: new
+    return _bound(t, lambda x: F.when(x.rlike(_SLASHED), tokenwise(x)).otherwise(F.regexp_replace(x, f"({SP}*){_STRONG}", edit("$1", N) + "$2")))
 
 
 #: Rules by name, in the order in which they apply.
 RULES = {
     "apostrophe": _replace(r"([A-Za-z\x{C0}-\x{24F}])'", f"$1{V.APOSTROPHE}"),
     "ellipsis": _replace(r"\.{3}", V.ELLIPSIS),
-    "quotes": _quotes,
-    "ligatures": _ligatures,
+    "quotes": Rule(_quotes),
+    "ligatures": Rule((_LIGATURE_WORD + "oe", "$1œ"), (_LIGATURE_WORD + "OE", "$1Œ"), (_LIGATURE_WORD + "Oe", "$1Œ")),
     "quote_open": _replace(rf"{V.OPEN_QUOTE}{SP}*", V.OPEN_QUOTE + N),
     "quote_close": _replace(rf"{SP}*{V.CLOSE_QUOTE}", N + V.CLOSE_QUOTE),
-    "space_strong": _space_strong,
+    "space_strong": Rule(_space_strong),
     "space_weak": _replace(rf"{SP}+([,.])(?!\d)", "$1"),
     "double_space": _replace(r"[ \t]{2,}", " "),
     "civility": _replace(r"(?U)\b(M\.|Mme[s]?|Dr?|Pr?|Prof\.) (?=[A-Z\x{C0}-\x{D6}\x{D8}-\x{DE}])", f"$1{B}"),
-    "centuries": _centuries,
-    "ordinals": _ordinals,
+    "centuries": Rule(_centuries),
+    "ordinals": Rule((r"(?U)\b1(ère|ere)\b", "1re"), (r"(?U)\b(\d+)(ème|eme)\b", "$1e")),
     "double_dash": _replace("--", V.EN_DASH),
     "etc": _replace(rf"etc(?:{V.ELLIPSIS}\.*|\.{{2,}})", "etc."),
     "pages": _replace(r"(?U)\b(pp?|vol|t|f|fol|fig|chap|cat|pl|ms|Ms|n°|N°|col)\.\s+(?=[\dIVXLCivxlc])", f"$1.{N}"),
@@ -132,6 +156,27 @@ def rewrite(t: Column, rules=tuple(RULES)) -> Column:
     return t
 
 
+def rewrite_steps(t: Column, rules=tuple(RULES)) -> Column:
+    """struct(text, steps): t after the named rules, and for each step that edited it the text with the edits marked, in order.
+
+    An edit is OLD, what was there, NEW, what came in its place, END; so steps hold all that a piece table needs.
+    """
+    state = F.struct(t.alias("text"), F.expr("cast(array() as array<string>)").alias("steps"))
+    plain = lambda m: F.regexp_replace(m, f"{OLD}[^{NEW}]*{NEW}([^{END}]*){END}", "$1")
+
+    def after(s: Column, step) -> Column:
+        """The state after a step, with the marked text computed once."""
+        return _bound(step(s["text"]), lambda m: F.when(m.contains(OLD), F.struct(plain(m).alias("text"), F.array_append(s["steps"], m).alias("steps"))).otherwise(s))
+
+    def then(step):
+        return lambda s: after(s, step)
+
+    for name, rule in RULES.items():
+        for step in rule.marked() if name in rules else ():
+            state = _bound(state, then(step))
+    return state
+
+
 def changes(before: Column, rules=tuple(RULES)) -> Column:
     """An array of struct(before, after): one entry if the rules change the text, else none.
 
@@ -140,6 +185,12 @@ def changes(before: Column, rules=tuple(RULES)) -> Column:
     return F.filter(F.array(F.struct(before.alias("before"), rewrite(before, rules).alias("after"))), lambda x: x["before"] != x["after"])
 
 
+def edits(before: Column, rules=tuple(RULES)) -> Column:
+    """changes(), with the steps of rewrite_steps: an array of struct(before, after, steps)."""
+    pair = lambda t: F.struct(before.alias("before"), t["text"].alias("after"), t["steps"].alias("steps"))
+    return F.filter(F.transform(F.array(rewrite_steps(before, rules)), pair), lambda x: x["before"] != x["after"])
+
+
 def note_text(t: Column) -> Column:
     """A note: no leading blanks, a capital first, abbreviations in lower case within, fixed spaces, a final point."""
     t = F.regexp_replace(t, r"^[ \t]+", "")

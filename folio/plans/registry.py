@@ -175,12 +175,35 @@ def span_regions(spark, sf_dir):
 
 @query("span_regions_lines")
 def span_regions_lines(spark, sf_dir):
-    """Every whole line against its rewritten text: only the lines that change (those of typo_all)."""
-    from ..functions.spans import changed_regions
-
-    planted = lines(docs(spark, sf_dir)).withColumn("before", F.replace(F.replace("text", F.lit(", "), F.lit(" , ")), F.lit(". "), F.lit("... ")))
-    changed = planted.select("doc_id", "pos", F.inline(typography.changes(F.col("before"))))
-    return changed.select("doc_id", "pos", changed_regions(F.col("before"), F.col("after")).alias("regions"))
+    """What the rules make in every whole line, from their pieces: only the lines that change (those of typo_all)."""
+    from ..functions.spans import step_regions
+
+    planted = lines(docs(spark, sf_dir).select("doc_id", "text").repartition("doc_id")).withColumn("before", F.replace(F.replace("text", F.lit(", "), F.lit(" , ")), F.lit(". "), F.lit("... ")))
+    typed = planted.select("doc_id", "pos", F.inline(typography.edits(F.col("before"))))
+    return typed.select("doc_id", "pos", step_regions(F.col("before"), F.col("steps")).alias("regions"))
+
+
+def _near_regions(made: str) -> str:
+    """SQL: (doc_id, pos, x) of single made characters -> the regions they form, as first:last+1."""
+    return f"""m AS ({made}), e AS (SELECT *, coalesce(x - lag(x) OVER w - 1 > 3, TRUE)::INT AS fresh FROM m WINDOW w AS (PARTITION BY doc_id, pos ORDER BY x)),
+    g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, pos ORDER BY x) AS run FROM e), r AS (SELECT doc_id, pos, min(x) AS start, max(x) + 1 AS stop FROM g GROUP BY doc_id, pos, run)
+    SELECT doc_id, pos, string_agg(start || ':' || stop, ',' ORDER BY start) AS regions FROM r GROUP BY doc_id, pos"""
+
+
+@query("span_regions_pieces", f"""WITH {Q.LINES}, p AS (SELECT doc_id, pos, replace(replace(replace(translate(text, chr(1) || '…', '  '), ', ', ' , '), '. ', chr(1) || '  '), 'e ', 'e' || chr(1) || ' ') AS t FROM l),
+    f AS (SELECT doc_id, pos, regexp_replace(regexp_replace(regexp_replace(t, '{Q.SP}+([,.])([^0-9])', '\\1\\2', 'g'), '{Q.SP}+([,.])$', '\\1', 'g'), '[ \\t]{{2,}}', ' ', 'g') AS t FROM p),
+    {_near_regions("SELECT doc_id, pos, unnest(list_filter(range(length(t)), lambda i: substr(t, i + 1, 1) = chr(1))) AS x FROM f")}""")
+def span_regions_pieces(spark, sf_dir):
+    """Four rules one after another, of which two make a character and two only take blanks away, which moves what the others made."""
+    from ..functions.spans import step_regions
+
+    t = F.translate("text", "\x01…", "  ")
+    for old, new in ((", ", " , "), (". ", "...  "), ("e ", "e' ")):
+        t = F.replace(t, F.lit(old), F.lit(new))
+    df = lines(docs(spark, sf_dir).select("doc_id", "text").repartition("doc_id")).select("doc_id", "pos", t.alias("before"))
+    typed = df.select("doc_id", "pos", F.inline(typography.edits(F.col("before"), ["apostrophe", "ellipsis", "space_weak", "double_space"])))
+    found = typed.select("doc_id", "pos", step_regions(F.col("before"), F.col("steps")).alias("r")).where("size(r) > 0")
+    return found.select("doc_id", "pos", F.array_join(F.transform("r", lambda x: F.concat_ws(":", x["start"].cast("string"), x["stop"].cast("string"))), ",").alias("regions"))
 
 
 @query("span_centuries")

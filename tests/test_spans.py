@@ -2,6 +2,7 @@ import random
 from difflib import SequenceMatcher
 
 from folio.functions import spans as S
+from folio.functions import typography
 from folio.plans import registry
 from folio.sources import tei
 
@@ -70,3 +71,36 @@ def test_normalised_tei():
         assert f'id="{made}"' in xml
     inner = tei.normalise(f'<TEI xmlns="{tei.NS}"><p><hi rend="i">a<hi rend="b">x</hi></hi> <hi rend="i">c</hi></p></TEI>')
     assert "ns0" not in inner and inner.count("<hi") == 2 and "</hi> c</hi>" in inner
+
+
+AWKWARD = [
+    "", "mot , suite...", 'Il dit "oui" et “ non ” puis a="b", « il "dit" oui ».', "le xixe siècle; SOEURS et coeur : 10:30 http://a.b/c?d=1 !", "1 500 000 x -- y ,z", "M. Durand, p. 3 et n° 4 etc..... fin", "1ère 5eme l'ami  d'  une", "a – b – c - d", "«mot»; «»",
+]
+
+
+def test_pieces_of_a_rewrite_are_what_an_alignment_finds(spark):
+    r = random.Random(8)
+    texts = AWKWARD + [" ".join(r.choice(AWKWARD) for _ in range(6)) for _ in range(40)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", typography.rewrite(df.t).alias("plain"), typography.rewrite_steps(df.t).alias("s")).collect()
+    for x in got:
+        assert x["s"]["text"] == x["plain"] and bool(x["s"]["steps"]) >= (x["plain"] != x["t"])
+        table = S.piece_table(len(x["t"]), x["s"]["steps"])
+        at = 0
+        for origin, size in table:  # what is kept is what was there
+            assert origin < 0 or x["t"][origin : origin + size] == x["plain"][at : at + size]
+            at += size
+        assert at == len(x["plain"])
+        half = len(x["t"]) // 2
+        spans = [span(x["t"][:half], italic=True), span(x["t"][half:])]
+        moved = S.move(spans, x["s"]["steps"], x["plain"])
+        assert "".join(s["text"] for s in moved) == x["plain"]
+    same = [x for x in got if len(x["t"]) < 40]
+    assert same and all(S.piece_regions(S.piece_table(len(x["t"]), x["s"]["steps"])) == S.regions(x["t"], x["plain"]) for x in same), [(x["t"], S.piece_regions(S.piece_table(len(x["t"]), x["s"]["steps"])), S.regions(x["t"], x["plain"])) for x in same]
+
+
+def test_pieces_are_composed():
+    edit = typography._edit
+    table = S.piece_table(6, ["ab" + edit("c", "XY") + "def", edit("abX", "Q") + "Y" + edit("", "Z") + "def"])
+    assert table == [(-1, 1), (-3, 1), (-4, 1), (3, 3)] and S.piece_regions(table) == [(0, 3)]
+    assert S.move([span("abc"), span("def", bold=True)], [edit("abc", "abd") + "def"], "abddef")[0]["text"] == "ab"

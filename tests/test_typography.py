@@ -77,14 +77,3 @@ def test_note_calls(spark):
     assert got == {"n1": (0, [0, 2], 1), "n2": (1, [1], 2), "n3": (None, None, 3)}
     done = {r["note_id"]: (r["text"], r["changed"]) for r in notes.normalise(table).collect()}
     assert done["n1"] == ("X.", True)
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    from folio.streaming import typography as stream
-
-    docs = spark.createDataFrame([(1, "a  b\nc"), (2, "rien"), (3, "mot , suite")], "doc_id long, text string")
-    docs.write.parquet(str(tmp_path / "in"))
-    q = stream.start(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"))
-    q.processAllAvailable()
-    q.stop()
-    assert sorted((r["doc_id"], r["after"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "a b"), (3, "mot, suite")]

@@ -124,3 +124,44 @@ def test_query_against_brute_force(spark, monkeypatch, block):
                     expected[d, i] = score
     assert len(expected) > 15 and set(got) == set(expected)
     assert all(abs(got[k] - expected[k]) < 1e-9 for k in got)
+
+
+def test_short_items_match_whole_texts_only(spark):
+    items = spark.createDataFrame([(1, "Two words!"), (2, "alone"), (3, "..."), (4, "two  WORDS")], "item_id long, text string")
+    df = frame(spark, [(1, "two words"), (2, "here are two words more"), (3, "Alone."), (4, "..."), (5, ""), (6, None)])
+    got = {(x["doc_id"], x["item_id"], x["score"], x["n_seeds"]) for x in dc.contaminated(df, items).collect()}
+    assert got == {(1, 1, 1.0, 0), (1, 4, 1.0, 0), (3, 2, 1.0, 0)}
+    assert {r["doc_id"] for r in dc.without_leaks(df, items).collect()} == {2, 4, 5, 6}
+
+
+def test_scripts_without_blanks(spark):
+    assert dc.words_of("Ab中文c ไท") == ["ab", "中", "文", "c", "ไ", "ท"] and dc.words_of("Été no_1") == ["été", "no_1"]
+    item = "".join(chr(0x4E00 + 7 * k) for k in range(30))
+    df = frame(spark, [(1, "".join(chr(0x5F00 + 11 * k) for k in range(40)) + item[:12] + "一" + item[13:] + "end"), (2, "".join(chr(0x5F00 + 11 * k) for k in range(60)))])
+    got = dc.contaminated(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [(x["doc_id"], x["last_word"] - x["first_word"] + 1) for x in got] == [(1, 30)]
+
+
+def test_many_items_with_one_opening():
+    r = random.Random(9)
+    words = [f"w{k}" for k in range(60)]
+    items = [(k, ["answer", "the", "question", *(r.choice(words) for _ in range(r.randrange(0, 30)))]) for k in range(300)]
+    text_ = ["answer", "the", "question"] * 3 + [r.choice(words) for _ in range(150)] + items[7][1] + ["x"] + items[8][1][5:]
+    got = {m[0]: m[1] for m in dc.Matcher(items, 0.4).matches(" ".join(text_))}
+    number: dict = {}
+    coded = [np.array([number.setdefault(w, len(number)) for w in ws]) for _, ws in items]
+    passage = np.array([number.setdefault(w, len(number)) for w in text_])
+    for i, c in enumerate(coded):  # a perfect copy, or no more than the full table allows
+        full = dc.align(c, passage)[0] / (2 * len(c))
+        assert got.get(i, 0) <= full and (full < 1 or got[i] == 1)
+    assert got[7] == 1.0
+
+
+def test_chunks_of_pairs_change_nothing(monkeypatch):
+    items = [(k, text(900 + k, 30).split()) for k in range(20)]
+    whole = dc.Matcher(items, 0.4)
+    texts = [text(5, 60) + " " + " ".join(items[k][1][3:]) + " " + " ".join(items[k + 1][1]) for k in range(0, 18, 3)]
+    want = [whole.matches(t) for t in texts]
+    monkeypatch.setattr(dc, "PAIRS", 5)
+    monkeypatch.setattr(dc, "TOGETHER", 50)
+    assert [whole.matches(t) for t in texts] == want and all(len(m) >= 2 for m in want)

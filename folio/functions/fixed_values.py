@@ -20,9 +20,6 @@ QUOTE_TECHNICAL_BEFORE, QUOTE_TECHNICAL_AFTER = r"(?sU)(?:\b[\w:-]+\s*=|\(|\(.*,
 # Words that take the ligature, without it
 LIGATURES = ["boeuf", "boeufs", "oeuf", "oeufs", "soeur", "soeurs", "coeur", "coeurs", "oeuvre", "oeuvres", "oeil", "voeu", "voeux", "noeud", "noeuds", "moeurs"]
 
-# Accents: letters and their plain forms
-ACCENTED, PLAIN = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
-
 # Sections and captions
 BIBLIOGRAPHY_TITLE = r"(?iU)^(sources?|bibliographie|r(?:é|e)f(?:é|e)rences\s*bibliographiques?|bibliography|travaux\s*cit(?:é|e)s?|works?\s*cited)"
 BIBLIOGRAPHY_TITLE_NORMALISER = r"(?iU)^(sources?|bibliographie|références\s*bibliographiques?|bibliography|travaux\s*cités?|works?\s*cited|références)"
@@ -89,6 +86,7 @@ TABLE_REASONS = ["missing_table_ooxml", "invalid_table_ooxml", "no_rows"]
 CALL_RULES = {"call_spacing": "R-AN-003", "call_placement": "R-AN-002"}
 CALL_CATEGORIES = {"call_spacing": "footnote_call_spacing", "call_placement": "footnote_call_placement"}
 QUOTE_RULE, QUOTE_CATEGORY, NOTE_RULE, CORRECTION_RULE = "R-GQ-004", "quote_punctuation", "purh.note.batch", "purh.ai.editorial"
+LINE_RULE = "structure.lineated.group.annotate"
 
 # Arbitration
 CALL_FACTORS = {"conservative": (0.5, 0.90), "balanced": (1.0, 0.85), "aggressive": (1.0, 0.75)}

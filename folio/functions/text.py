@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import fixed_values as V
-
 
 def strip(t: Column) -> Column:
     """Without white space of any kind (no-break spaces too) at either end."""
@@ -46,9 +46,23 @@ def ends_with_any(t: Column, endings) -> Column:
     return last_char(t).isin(list(endings))
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Lower-case letters that canonical decomposition makes a single other character with marks, and those characters."""
+    found = {}
+    for code in [*range(0xC0, 0x530), *range(0x1E00, 0x2000)]:
+        c = chr(code)
+        base = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+        if c == c.lower() and len(base) == 1 and base != c:
+            found[c] = base
+    return "".join(found), "".join(found.values())
+
+
+ACCENTED, PLAIN = _plain_letters()
+
+
 def fold(t: Column) -> Column:
-    """Lower case without accents, for the letters of French."""
-    return F.translate(F.lower(t), V.ACCENTED, V.PLAIN)
+    """Lower case without accents, in Latin, Greek and Cyrillic: composed letters by their decomposition, and loose marks left out."""
+    return F.regexp_replace(F.translate(F.lower(t), ACCENTED, PLAIN), r"\p{Mn}", "")
 
 
 def contains_any(t: Column, parts) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -99,21 +99,26 @@ def without_tests(df: DataFrame) -> DataFrame:
     return df.drop(*(f"__p_{k}" for k in P.SHARED))
 
 
-def verse_vetoes(n: Column) -> Column:
-    """Aggregate: sorted names of what speaks against a group of rows being verse."""
+def verse_vetoes(n: Column, over: WindowSpec | None = None, of: Column | None = None) -> Column:
+    """Sorted names of what speaks against a group of rows being verse: an aggregate, or a window function (over; then only rows where `of` holds are looked at)."""
     s = F.col("s")
-    in_notes = F.bool_or(P.note_zone(F.col("style_name"), F.col("style_id"), F.col("xml_tag")))
-    like_bibliography = F.count_if(P.bibliography_like(s))
+
+    def agg(f, test: Column) -> Column:
+        c = f(test if of is None else F.when(of, test))
+        return c if over is None else c.over(over)
+
+    in_notes = agg(F.bool_or, P.note_zone(F.col("style_name"), F.col("style_id"), F.col("xml_tag")))
+    like_bibliography = agg(F.count_if, P.bibliography_like(s))
     explicit = (F.col("block_type") == "heading") | P.source_heading_level(F.col("heading_level"), F.col("style_id"), F.col("style_name")).isNotNull()
     reasons = {
         "bibliography_like": (in_notes & (like_bibliography > 0)) | (like_bibliography >= F.greatest(F.lit(2), F.floor(n / 2))),
-        "caption_or_reference": F.bool_or(P.caption_or_reference(s)),
-        "chronology_like": F.bool_or(P.chronology_line(s)),
-        "heading_all_caps": F.bool_and(P.allcaps_title(s)),
-        "heading_explicit": F.bool_or(explicit),
-        "list_like": F.bool_or(P.list_item(s)),
-        "passage_reference": F.bool_or(P.passage_reference(s)),
-        "technical_markup": F.bool_or(P.technical_markup(s)),
+        "caption_or_reference": agg(F.bool_or, P.caption_or_reference(s)),
+        "chronology_like": agg(F.bool_or, P.chronology_line(s)),
+        "heading_all_caps": agg(F.bool_and, P.allcaps_title(s)),
+        "heading_explicit": agg(F.bool_or, explicit),
+        "list_like": agg(F.bool_or, P.list_item(s)),
+        "passage_reference": agg(F.bool_or, P.passage_reference(s)),
+        "technical_markup": agg(F.bool_or, P.technical_markup(s)),
     }
     return F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in reasons.items())))
 

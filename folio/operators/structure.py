@@ -23,7 +23,9 @@ from .blocks import complete, order, stripped
 @dataclass
 class Structured:
     blocks: DataFrame  # with old_type, rule, heading_level, merged_from, semantic
-    verse: DataFrame  # one row for each scored sequence
+    verse: DataFrame | None  # one row for each scored sequence
+    scored: DataFrame | None = None  # blocks with the sequence (verse) that each is in, before sequences are merged
+    thresholds: scoring.Thresholds | None = None
 
 
 def dominant_indent(df: DataFrame) -> DataFrame:
@@ -41,11 +43,14 @@ def _lineated(lines: Column) -> Column:
 
 
 def merge_runs(df: DataFrame, name: str, rule: str, wanted: Column) -> DataFrame:
-    """Each run in column `name` where wanted holds becomes its first row, a lineated block of the run's lines."""
+    """Each run in column `name` where wanted holds becomes its first row, a lineated block of the run's lines.
+
+    merged_from lists the blocks that were given: what a row was merged from before goes on in it.
+    """
     w = sequences.whole_run(name)
     hit = F.col(name).isNotNull() & wanted
     df = df.withColumn("__hit", F.coalesce(hit, F.lit(False)))
-    df = df.withColumns({"__lines": F.when(F.col("__hit"), F.collect_list("s").over(w)), "__ids": F.when(F.col("__hit"), F.collect_list("block_id").over(w)), "__at": F.row_number().over(sequences.in_run(name))})
+    df = df.withColumns({"__lines": F.when(F.col("__hit"), F.collect_list("s").over(w)), "__ids": F.when(F.col("__hit"), F.flatten(F.collect_list(F.coalesce("merged_from", F.array("block_id"))).over(w))), "__at": F.row_number().over(sequences.in_run(name))})
     spanned = "spans" in df.columns and isinstance(df.schema["spans"].dataType, T.ArrayType)
     if spanned:  # a stanza has its lines' styles and calls, with breaks between the lines
         kind = df.schema["spans"].dataType
@@ -64,23 +69,32 @@ def merge_runs(df: DataFrame, name: str, rule: str, wanted: Column) -> DataFrame
 
 
 def vetoes_of_run(df: DataFrame, name: str) -> DataFrame:
-    """Adds verse_free: whether nothing speaks against the row's run being verse."""
-    free = df.where(F.col(name).isNotNull()).groupBy("doc_id", F.col(name).alias("__run")).agg((F.size(scoring.verse_vetoes(F.count(F.lit(1)))) == 0).alias("verse_free")).withColumnRenamed("doc_id", "__doc")
-    return df.join(free, (F.col("doc_id") == F.col("__doc")) & (F.col(name) == F.col("__run")), "left").drop("__doc", "__run")
+    """Adds verse_free: whether nothing speaks against the row's run being verse (null outside runs).  A window over the exchange by doc_id that is there."""
+    w, inside = sequences.whole_run(name), F.col(name).isNotNull()
+    vetoes = scoring.verse_vetoes(F.count(F.lit(1)).over(w), w, inside)
+    return df.withColumn("verse_free", F.when(inside, F.size(vetoes) == 0))
+
+
+def with_document_facts(df: DataFrame) -> DataFrame:
+    """Adds dominant (dominant_indent) and had_heading (whether any block was given as a heading), as windows over the document."""
+    whole, same = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "ind_left")
+    indented = F.col("ind_left").isNotNull() & (F.col("ind_left") != 0)
+    df = df.withColumns({"__n": F.when(indented, F.count(F.lit(1)).over(same)), "__at": F.when(indented, F.min("pos").over(same))})
+    best = F.max_by(F.when(indented, F.col("ind_left")), F.when(indented, F.struct("__n", -F.col("__at")))).over(whole)
+    return df.withColumns({"dominant": best, "had_heading": F.coalesce(F.bool_or(F.col("block_type") == "heading").over(whole), F.lit(False))}).drop("__n", "__at")
 
 
 def prepare(blocks: DataFrame, t: scoring.Thresholds | None = None, heuristics: bool = True) -> Structured:
     """Runs the stage over blocks of any number of documents."""
     t = t or scoring.thresholds()[0]
     df = stripped(complete(blocks)).withColumn("rule", F.lit(None).cast("string")).withColumn("old_type", F.col("block_type"))
-    dominant = dominant_indent(df)
-    verse = None
+    df = with_document_facts(df)
+    verse = scored = None
     candidate = F.lit(False)
-    had_heading = df.groupBy("doc_id").agg(F.bool_or(F.col("block_type") == "heading").alias("had_heading"))
     if heuristics:
         df = vetoes_of_run(sequences.blank_bounded(df), "stanza")
         df = merge_runs(df, "stanza", "stanza.between_blanks", F.coalesce("verse_free", F.lit(False))).drop("stanza", "verse_free", "edge_before", "edge_after")
-        df = sequences.scored_sequences(df)
+        df = scored = sequences.scored_sequences(df)
         verse = scoring.score_verse(df, t)
         decided = verse.select(F.col("doc_id").alias("__doc"), F.col("verse").alias("__verse"), F.col("decision").alias("verse_decision"))
         df = df.join(decided, (F.col("doc_id") == F.col("__doc")) & (F.col("verse") == F.col("__verse")), "left").drop("__doc", "__verse")
@@ -88,9 +102,9 @@ def prepare(blocks: DataFrame, t: scoring.Thresholds | None = None, heuristics:
         df = df.withColumn("__candidate", F.coalesce(F.col("verse_decision").isin("transform", "diagnostic"), F.lit(False)))
         df = merge_runs(df, "verse", "stanza.scored", F.col("verse_decision").isin(applied))
         candidate = F.col("__candidate")
-    df = df.where(~sequences.is_blank()).join(dominant, "doc_id", "left").join(had_heading, "doc_id", "left")
+    df = df.where(~sequences.is_blank())
     df = scoring.score_headings(df, t, candidate)
-    return Structured(scoring.without_tests(_ladder(df, t, heuristics)).drop("heading_like", "__candidate", "verse", "verse_decision", "had_heading"), verse)
+    return Structured(scoring.without_tests(_ladder(df, t, heuristics)).drop("heading_like", "__candidate", "verse", "verse_decision", "had_heading"), verse, scored, t)
 
 
 def epigraph(s: Column, first: Column) -> Column:
@@ -143,8 +157,24 @@ def _ladder(df: DataFrame, t: scoring.Thresholds, heuristics: bool) -> DataFrame
 
 
 def transformations(done: Structured) -> DataFrame:
-    """One row for each block whose type a rule changed."""
-    return done.blocks.where("old_type <> block_type").select("doc_id", "pos", F.col("block_id").alias("target"), F.lit("structure").alias("module"), F.col("old_type").alias("before"), F.col("block_type").alias("after"), "rule")
+    """One row for each block whose type a rule changed, with the blocks it was merged from; and one for each line of a scored sequence."""
+    changed = done.blocks.where("old_type <> block_type").select("doc_id", "pos", F.col("block_id").alias("target"), F.lit("structure").alias("module"), F.col("old_type").alias("before"), F.col("block_type").alias("after"), "rule", "merged_from")
+    if done.scored is None:
+        return changed
+    lines = lines_of_sequences(done.scored, done.verse, done.thresholds)
+    annotated = lines.select("doc_id", "pos", "target", F.lit("structure").alias("module"), "before", "after", F.lit(V.LINE_RULE).alias("rule"), "group_id", "line_index", "score", "decision")
+    return changed.unionByName(annotated, allowMissingColumns=True)
+
+
+def lineage(given: DataFrame, blocks: DataFrame) -> DataFrame:
+    """doc_id, pos, block_id of every given block, and what became of it: into (the block that holds it now) and how (kept, merged, removed).
+
+    Merges of merges need no walk, for merged_from lists given blocks however often they were merged.
+    """
+    whole = blocks.select(F.col("doc_id").alias("__doc"), F.col("block_id").alias("into"), F.explode(F.coalesce("merged_from", F.array("block_id"))).alias("__id"))
+    df = complete(given).select("doc_id", "pos", "block_id").join(whole, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("block_id") == F.col("__id")), "left")
+    how = F.when(F.col("into").isNull(), "removed").when(F.col("into") == F.col("block_id"), "kept").otherwise("merged")
+    return df.select("doc_id", "pos", "block_id", "into", how.alias("how"))
 
 
 def verse_lines(df: DataFrame, t: scoring.Thresholds | None = None) -> DataFrame:
@@ -155,7 +185,12 @@ def verse_lines(df: DataFrame, t: scoring.Thresholds | None = None) -> DataFrame
     """
     t = t or scoring.thresholds()[0]
     df = sequences.scored_sequences(stripped(complete(df)))
-    verse = scoring.score_verse(df, t).where("decision <> 'ignore'")
+    return lines_of_sequences(df, scoring.score_verse(df, t), t)
+
+
+def lines_of_sequences(df: DataFrame, verse: DataFrame, t: scoring.Thresholds) -> DataFrame:
+    """verse_lines, from blocks with their sequence and the scored sequences."""
+    verse = verse.where("decision <> 'ignore'")
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("first_pos"))
     found = verse.select(F.col("doc_id").alias("__doc"), F.col("verse").alias("__verse"), "score", "decision", F.format_string("poetry_group_%03d", number).alias("__group"))
     hit = df.where("verse is not null").join(found, (F.col("doc_id") == F.col("__doc")) & (F.col("verse") == F.col("__verse")))

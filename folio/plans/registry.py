@@ -799,6 +799,19 @@ def ai_apply_clusters(spark, sf_dir):
     return arbitration.apply_clusters(blocks, level="balanced")[0].select("doc_id", "pos", "block_type")
 
 
+CLUSTERED = f"""WITH {Q.BLOCKS}, m AS (SELECT *, length(s) > 5 AND length(s) <= 80 AS ok, FALSE AS cut FROM b), k AS (SELECT *, lag(ok) OVER (PARTITION BY doc_id ORDER BY pos) AS lag_ok FROM m), r AS (SELECT *, {RUN} AS run FROM k),
+    a AS (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS n, row_number() OVER (PARTITION BY doc_id, run ORDER BY pos) AS k_ FROM r WHERE ok), c AS (SELECT doc_id, run, min(pos) AS p FROM a WHERE n >= 3 AND k_ <= 20 GROUP BY ALL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS k FROM c)"""
+
+
+@query("structure_lineage", f"""{CLUSTERED} SELECT b.doc_id, b.pos, 'b' || (coalesce(m.p, b.pos) + 1) AS into, CASE WHEN m.p IS NULL OR m.p = b.pos THEN 'kept' ELSE 'merged' END AS how FROM b
+    LEFT JOIN (SELECT a.doc_id, a.pos, o.p FROM a JOIN o ON a.doc_id = o.doc_id AND a.run = o.run WHERE o.k <= 6 AND a.n >= 3 AND a.k_ <= 20) m ON b.doc_id = m.doc_id AND b.pos = m.pos""")
+def structure_lineage(spark, sf_dir):
+    """Where every line is after clusters of lines have been merged."""
+    blocks = marked_lines(spark, sf_dir).withColumn("rule", F.lit(None).cast("string"))
+    return structure.lineage(blocks, arbitration.apply_clusters(blocks, level="balanced")[0]).select("doc_id", "pos", "into", "how")
+
+
 @query("ai_corrections", f"WITH {Q.BLOCKS} SELECT doc_id, pos, CASE WHEN len(string_split(text, ' the ')) = 2 THEN replace(text, ' the ', ' THE ') ELSE text END AS text, len(string_split(text, ' the ')) = 2 AS applied FROM b")
 def ai_corrections(spark, sf_dir):
     blocks = marked_lines(spark, sf_dir)

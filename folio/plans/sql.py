@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from ..functions.fixed_values import ACCENTED, PLAIN
-
 SP = r"[ \t\x{A0}\x{202F}]"
 EDGE = r"^[\s\x{A0}\x{202F}]+|[\s\x{A0}\x{202F}]+$"
 
@@ -28,7 +26,7 @@ def is_upper(t: str) -> str:
 
 
 def fold(t: str) -> str:
-    return f"translate(lower({t}), '{ACCENTED}', '{PLAIN}')"
+    return f"strip_accents(lower({t}))"
 
 
 def has(t: str, *parts: str) -> str:

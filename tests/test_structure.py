@@ -203,3 +203,43 @@ def test_lines_of_verse_are_numbered_in_groups(spark):
     got = verse_lines(df, scoring.thresholds("exploratory")[0]).orderBy("pos").collect()
     assert [(r["pos"], r["group_id"][-3:], r["line_index"]) for r in got] == [(0, "001", 1), (1, "001", 2), (2, "001", 3), (3, "001", 4), (5, "002", 1), (6, "002", 2), (7, "002", 3)]
     assert {(r["after"], r["highlight"]) for r in got} == {("lineated_block", "exploratory_structure")}
+
+
+def test_lineage_lists_what_was_given(spark):
+    line = "Un vers assez long pour compter,"
+    rows = [{"text": "Une phrase qui va. " * 20}, {"text": ""}, *[{"text": line}] * 4, {"text": ""}, {"text": "Fin de la chose. " * 20}, *[{"text": f"Court {k}"} for k in range(4)]]
+    given = blocks(spark, *rows)
+    done = structure.prepare(given, scoring.thresholds("exploratory")[0])
+    got = {r["pos"]: (r["into"], r["how"]) for r in structure.lineage(given, done.blocks).collect()}
+    assert got[0] == ("b1", "kept") and got[1] == (None, "removed") and got[2] == ("b3", "kept") and {got[p] for p in (3, 4, 5)} == {("b3", "merged")} and len(got) == len(rows)
+    logged = structure.transformations(done).collect()
+    assert any(r["merged_from"] and len(r["merged_from"]) == 4 for r in logged)
+    again = structure.merge_runs(done.blocks.withColumn("run", structure.F.when(structure.F.col("pos") <= 2, 1)), "run", "again", structure.F.lit(True))
+    closed = {r["pos"]: r["into"] for r in structure.lineage(given, again).collect()}
+    assert {closed[p] for p in (0, 2, 3, 4, 5)} == {"b1"}  # a merge of a merge
+
+
+def test_verse_lines_are_logged_and_documents_facts_are_windows(spark):
+    line = "Un vers assez long pour compter,"
+    given = blocks(spark, *[{"text": line}] * 4, {"text": "Une phrase " * 20, "ind_left": 360}, {"text": "Deux phrases " * 20, "ind_left": 720}, {"text": "Trois phrases " * 20, "ind_left": 360})
+    logged = structure.transformations(structure.prepare(given, scoring.thresholds("exploratory")[0])).where("line_index is not null").collect()
+    assert [r["line_index"] for r in sorted(logged, key=lambda r: r["pos"])] == [1, 2, 3, 4] and {r["rule"] for r in logged} == {"structure.lineated.group.annotate"}
+    facts = structure.with_document_facts(given).select("dominant", "had_heading").distinct().collect()
+    assert [tuple(r) for r in facts] == [(360, False)] and structure.dominant_indent(given).first()["dominant"] == 360
+
+
+def test_accents_are_folded(spark):
+    from folio.functions.text import fold
+
+    row = spark.createDataFrame([("Éàç Ñ č ŝ ỹ ậ έ ё é o\u0308",)], "t string").select(fold(structure.F.col("t")).alias("t")).first()
+    assert row["t"] == "eac n c s y a ε е e o"
+
+
+def test_written_stages_are_counted(spark, tmp_path):
+    from folio.plans.pipeline import Options, run_corpus
+
+    done = run_corpus(spark.createDataFrame([(1, 0, "Un mot , deux."), (1, 1, "Trois.")], "doc_id long, pos long, text string"), Options(stage_path=str(tmp_path)))
+    runs = {r["module"]: r for r in done.module_runs().collect()}
+    assert list(runs) == ["typography", "structure", "verse", "semantics"] and runs["typography"]["summary"] == {"rows": 2, "corrections": 1} and runs["structure"]["summary"]["rows"] == 2
+    assert all(r["started_at"] <= r["finished_at"] and r["status"] == "success" for r in runs.values()) and done.lineage().where("how = 'kept'").count() == 2
+    assert run_corpus(spark.createDataFrame([(1, 0, "a")], "doc_id long, pos long, text string")).module_runs().count() == 0

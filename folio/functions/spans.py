@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from difflib import Match, SequenceMatcher
-from itertools import accumulate, groupby
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -221,25 +221,32 @@ def move(spans: list[dict], steps: list[str], after: str) -> list[dict]:
 def style_centuries(spans: list[dict]) -> list[dict]:
     """Century numerals before a century word: the numeral in lower-case small capitals, its e raised; equal neighbours are joined."""
     text = "".join(s["text"] or "" for s in spans)
-    looks: dict[int, str] = {}
+    marks: list[tuple[int, int, str]] = []
     for m in CENTURY.finditer(text):
         if m[1].lower() in V.CENTURIES and CONTEXT.match(text[m.end() : m.end() + CONTEXT_LENGTH]):
-            looks |= {i: "small_caps" for i in range(m.start(1), m.end(1))} | {m.start(2): "sup"}
-    if not looks:
+            marks += [(m.start(1), m.end(1), "small_caps"), (m.start(2), m.end(2), "sup")]
+    if not marks:
         return [dict(s) for s in spans]
     out: list[dict] = []
-    at = 0
+    at = k = 0
     for s in spans:
-        for look, run in groupby(enumerate(s["text"] or "", at), lambda x: looks.get(x[0]) if s["kind"] == "text" else None):
-            c = "".join(c for _, c in run)
+        end = at + len(s["text"] or "")
+        if at == end:
+            out.append(dict(s))
+        first = at
+        while at < end:
+            while k < len(marks) and marks[k][1] <= at:
+                k += 1
+            begins = k < len(marks) and marks[k][0] <= at
+            stop = min(end, marks[k][1] if begins else marks[k][0] if k < len(marks) else end)
+            look = marks[k][2] if begins and s["kind"] == "text" else None
+            c = s["text"][at - first : stop - first]
             new = dict(s, text=c.lower() if look == "small_caps" else c) | ({look: True} if look else {})
             if out and {**out[-1], "text": ""} == {**new, "text": ""}:
                 out[-1]["text"] += new["text"]
             else:
                 out.append(new)
-            at += len(c)
-        if not s["text"]:
-            out.append(dict(s))
+            at = stop
     return out
 
 

@@ -216,6 +216,15 @@ def span_centuries(spark, sf_dir):
     return lines(docs(spark, sf_dir)).select("doc_id", "pos", century_spans(F.array(span)).alias("spans"))
 
 
+@query("span_century_styles", f"""WITH {Q.LINES}, p AS (SELECT doc_id, pos, replace(text, ' de ', ' XIXe siècle, XVe an ') || ' XIXe siècle' AS t FROM l)
+    SELECT doc_id, pos, replace(t, 'XIXe siècle', 'xixe siècle') AS text, (length(t) - length(replace(t, 'XIXe siècle', ''))) // 11 AS n_small, (length(t) - length(replace(t, 'XIXe siècle', ''))) // 11 AS n_raised FROM p""")
+def span_century_styles(spark, sf_dir):
+    """The spans of span_centuries: only numerals before a century word are set in small capitals, with a raised e."""
+    found = span_centuries(spark, sf_dir)
+    looks = lambda f: F.size(F.filter("spans", lambda x: x[f])).cast("long")
+    return found.select("doc_id", "pos", F.array_join(F.transform("spans", lambda x: x["text"]), "").alias("text"), looks("small_caps").alias("n_small"), looks("sup").alias("n_raised"))
+
+
 @query("tei_normalised")
 def tei_normalised(spark, sf_dir):
     from ..sources import tei
@@ -250,6 +259,15 @@ def note_upper_first(spark, sf_dir):
     return lines(docs(spark, sf_dir)).select("doc_id", "pos", F.substring(typography.note_text(F.lower("text")), 1, 1).alias("initial"))
 
 
+@query("note_abbreviations", f"""WITH {Q.LINES}, p AS (SELECT doc_id, pos, regexp_replace(replace(text, ' de ', ' ibid. idem op. cit. art. cit s. l. S. d. '), '^[ \\t]+', '') AS t FROM l),
+    u AS (SELECT doc_id, pos, upper(left(t, 1)) || substr(t, 2) AS t, regexp_replace(t, '[\\s\\x{{A0}}\\x{{202F}}]+$', '') AS r FROM p)
+    SELECT doc_id, pos, CASE WHEN r <> '' AND NOT regexp_matches(r, '[.!?…»›’]$') AND NOT regexp_matches(r, 'https?://[^\\s]+$') THEN upper(left(r, 1)) || substr(r, 2) || '.' ELSE t END AS text FROM u""".replace("S. d.", "s. d."))
+def note_abbreviations(spark, sf_dir):
+    """Abbreviations in any case, with any blanks, in the middle of notes: lower case, fixed spaces where the point is there."""
+    planted = F.replace("text", F.lit(" de "), F.lit(" Ibid. IDEM op.  Cit. ART. cit s. l. S.\u00a0 d. "))
+    return lines(docs(spark, sf_dir)).select("doc_id", "pos", typography.note_text(planted).alias("text"))
+
+
 @query("biblio_normalise", f"""WITH {Q.LINES}, p AS (SELECT doc_id, pos, {Q.strip("regexp_replace(text, '[.]$', ', p. 12')")} AS t FROM l), q AS (SELECT doc_id, pos,
     regexp_replace(regexp_replace(t, '(^|[^\\pL\\pN_])(pp?|vol|t|f|fig|col|n°|N°)\\.\\s+([0-9IVXLCivxlc])', '\\1\\2.\u202f\\3', 'g'), '\\b([Nn]°)\\s+([0-9])', '\\1\u202f\\2', 'g') AS t FROM p)
     SELECT doc_id, pos, CASE WHEN t <> '' AND NOT regexp_matches(t, '[.!?…»]$') THEN t || '.' ELSE t END AS text FROM q""")

@@ -915,6 +915,20 @@ def pivot_roundtrip(spark, sf_dir):
     return pivot.read(payload.select("json")).blocks.select(F.col("doc_id").cast("long").alias("doc_id"), "pos", "text", "ind_left")
 
 
+@query("pivot_attributes", f"WITH {Q.BLOCKS} SELECT doc_id, pos, doc_id * 1000 + pos AS place, pos % 2 = 0 AS even, CASE WHEN pos % 3 = 0 THEN pos / 4.0::DOUBLE END AS quarter, CASE WHEN pos % 5 <> 0 THEN ind_left END::INTEGER AS width, array_to_string(string_split(s, ' ')[1:3], '|') AS words FROM b")
+def pivot_attributes(spark, sf_dir):
+    """Columns that the pivot has no field for, numbers, truth values, structs and arrays, read back with their types after two round trips."""
+    from ..sources import pivot
+
+    size = F.struct(F.when(F.col("pos") % 5 != 0, F.col("ind_left")).alias("width"), F.lit("twips").alias("unit"))
+    own = {"place": F.col("doc_id") * 1000 + F.col("pos"), "even": F.col("pos") % 2 == 0, "quarter": F.when(F.col("pos") % 3 == 0, F.col("pos") / 4), "size": size, "words": F.slice(F.split("s", " "), 1, 3)}
+    once = pivot.read(pivot.write(marked_lines(spark, sf_dir).withColumns(own).drop("s")).select("json")).blocks
+    twice = pivot.read(pivot.write(once).select("json")).blocks
+    kinds = {"place": "bigint", "even": "boolean", "quarter": "double", "size.width": "int", "words": "array<string>"}
+    got = twice.select(F.col("doc_id").cast("long").alias("doc_id"), "pos", *(pivot.attribute(n, kind).alias(n.rpartition(".")[2]) for n, kind in kinds.items()))
+    return got.withColumn("words", F.array_join("words", "|"))
+
+
 @query("tei_blocks")
 def tei_blocks(spark, sf_dir):
     from ..sources import tei

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -951,6 +951,32 @@ def latex_documents(spark, sf_dir):
     return latex.from_tei(tei.write(semantic_blocks(spark, sf_dir).drop("semantic")))
 
 
+@query("tei_nodes", f"WITH {Q.LINES} SELECT doc_id, count(*) AS paragraphs, 2 * count(*) AS in_body, sum(length(text)) AS n_chars FROM l GROUP BY doc_id")
+def tei_nodes(spark, sf_dir):
+    """What lies in a body, by the intervals of the nodes of written documents."""
+    from ..sources import nodes, tei
+
+    before = Window.partitionBy("doc_id").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    ends = F.max(F.when(F.col("name") == "body", F.col("last"))).over(before)
+    inside = nodes.parse(tei.write(lines(docs(spark, sf_dir)))).withColumn("ends", ends).where("node <= ends")
+    return inside.groupBy("doc_id").agg(F.count_if(F.col("name") == "p").alias("paragraphs"), F.count(F.lit(1)).alias("in_body"), F.sum(F.length("text")).alias("n_chars"))
+
+
+LATEX = "replace(replace(replace(regexp_replace(replace(replace(replace(%s, chr(92), chr(1)), '~', chr(2)), '^', chr(3)), '([&%%$#_{}])', chr(92) || chr(92) || '\\1', 'g'), chr(1), '\\textbackslash{}'), chr(2), '\\textasciitilde{}'), chr(3), '\\textasciicircum{}')"
+
+
+@query("latex_paragraphs", f"""WITH {Q.LINES}, t AS (SELECT doc_id, pos, {LATEX % "trim(regexp_replace(replace(text, ', ', ' & 5% _#{~} '), '[ \t\u00a0]+', ' ', 'g'))"} AS t FROM l)
+    SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY pos) AS paragraphs FROM t GROUP BY doc_id""")
+def latex_paragraphs(spark, sf_dir):
+    """Documents with special characters written as TEI and rendered; what stands between the head and the end of each."""
+    from ..sources import latex, tei
+
+    planted = lines(docs(spark, sf_dir)).withColumn("text", F.replace("text", F.lit(", "), F.lit(" & 5% _#{~} ")))
+    tex = latex.from_tei(tei.write(planted))
+    head, end = "\\chapter*{Other}\n\\addcontentsline{toc}{chapter}{Other}\n\n", "\n\n\\end{document}"
+    return tex.select("doc_id", F.substring_index(F.substring_index("tex", head, -1), end, 1).alias("paragraphs"))
+
+
 @query("docx_roundtrip", f"""{SEMANTIC}, t AS (SELECT *, CASE WHEN k = 0 THEN CASE WHEN pos % 2 = 0 THEN 'Heading 2' ELSE 'Heading 1' END WHEN k = 1 THEN 'TEI_quote' WHEN k IN (2, 3) THEN 'TEI_verse' ELSE 'Normal' END AS style FROM k)
     SELECT doc_id, pos, text, style, k = 4 AND s <> '' AS all_italic, CAST(CASE WHEN k IN (1, 2, 3) THEN 567 END AS INTEGER) AS ind_left, CASE WHEN k = 0 THEN 'heading' WHEN k = 1 THEN 'quote_block' WHEN {Q.is_upper('s')} AND length(s) BETWEEN 5 AND 139 THEN 'heading' ELSE 'paragraph' END AS block_type FROM t""")
 def docx_roundtrip(spark, sf_dir):

@@ -6,8 +6,10 @@ equal strings must meet: each window of LENGTH bytes goes where its least K-gram
 windows mostly share that K-gram and travel as one unit.
 
 K-grams that many units have would make some arrays large.  A first pass over all texts counts them: each block reports
-what holds a share of its own units, and the sums give every K-gram with twice that share of the corpus.  Those heavy
-K-grams come last in the order by hash, so that windows meet under another K-gram wherever they hold a lighter one.
+what holds a share of its own units, or occurs as often where such K-grams are, and the sums give every K-gram with twice
+that share of the corpus.  Those heavy K-grams come last in the order by hash, so that windows meet under another K-gram
+wherever they hold a lighter one.  Windows that hold nothing but heavy K-grams are dealt one by one, by a hash of all their bytes:
+equal ones still meet, and no K-gram, however frequent, sends all its windows to one task.
 
 Each array is sorted deep-shallow: multikey quicksort on 8-byte characters to a shallow depth, then blind tries for
 the groups that share so long a prefix.  The tries of all groups grow together, one branch position a round; a trie
@@ -151,7 +153,7 @@ def units_of(data: np.ndarray, ends: np.ndarray, heavy: np.ndarray = NONE) -> tu
     rank = h
     if len(heavy):
         rank = h >> np.uint64(1)
-        rank[heavy[np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)] == h] |= np.uint64(1 << 63)
+        rank[within(h, heavy)] |= np.uint64(1 << 63)
     least = (rank & ~index) | np.arange(len(h), dtype=np.uint64)  # of equal hashes the leftmost
     reach, span = 1, LENGTH - K + 1
     while reach * 2 <= span:
@@ -320,18 +322,39 @@ def _blocks(batches):
         yield found
 
 
+def _hot_regions(data: np.ndarray, start, windows, keys, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of all K-grams in the windows of units that K-grams of `often` place: where these come last, some of them place."""
+    hot = within(keys, often)
+    marks = np.zeros(len(data) + 1, np.int64)
+    np.add.at(marks, start[hot], 1)
+    np.add.at(marks, (start + windows + LENGTH - K)[hot], -1)
+    places = np.flatnonzero(np.cumsum(marks)[:-1] > 0)
+    grams = sliding_window_view(data, K)
+    hashes = [gram_hash_of(grams[places[at : at + ROUND_WINDOWS]]) for at in range(0, len(places), ROUND_WINDOWS)]
+    return np.unique(np.concatenate(hashes), return_counts=True)
+
+
 def heavy_grams(docs: DataFrame, share: float) -> np.ndarray:
-    """Ascending hashes of the K-grams that place over `share` of all units, and some that place over half of it.
+    """Ascending hashes of the K-grams that place over `share` of all units, some that place over half of it, and those that
+    occur as often in the windows of such units: when the first come last, these would place the windows instead.
 
-    Blocks report what has over half the share of their own units, at most 2 / share K-grams each, so the sums miss at
-    most half the share; at most 2 / share K-grams come to the driver.
+    Blocks report what has over half the share of their own units, so the sums miss at most half the share.  A unit has
+    one K-gram every few bytes, so at most 80 / share K-grams come to the driver, and 2 / share where no passage repeats.
     """
 
     def run(batches):
         for found in _blocks(batches):
-            keys, counts = np.unique(_units_of_texts([t for _, t in found])[6], return_counts=True)
-            often = counts > counts.sum() * share / 2
-            columns = np.append(keys[often], np.uint64(0)).view(np.int64), np.append(counts[often], 0), np.append(np.zeros(often.sum(), np.int64), counts.sum())
+            data, _, _, start, windows, _, units = _units_of_texts([t for _, t in found])
+            keys, counts = np.unique(units, return_counts=True)
+            total = counts.sum()
+            often = keys[counts > total * share / 2]
+            if len(often):
+                often, counts = _hot_regions(data, start, windows, units, often)
+                chosen = counts > total * share / 2
+                often, counts = often[chosen], counts[chosen]
+            else:
+                counts = counts[:0]
+            columns = np.append(often, np.uint64(0)).view(np.int64), np.append(counts, 0), np.append(np.zeros(len(often), np.int64), total)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["gram", "n", "units"])
 
     counted = docs.mapInArrow(run, "gram long, n long, units long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("units").alias("units"))
@@ -340,6 +363,25 @@ def heavy_grams(docs: DataFrame, share: float) -> np.ndarray:
     return np.sort(np.array([r["gram"] for r in found.where(F.col("n") > total * share / 2).collect()], np.int64).view(np.uint64))
 
 
+def within(keys: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    return ascending[np.minimum(np.searchsorted(ascending, keys), len(ascending) - 1)] == keys if len(ascending) else np.zeros(len(keys), bool)
+
+
+def apart(data, start, windows, place, keys, docs, offsets):
+    """The units' windows one by one (start, windows, place, doc, offset), without those that equal one of a smaller document; runs of the latter (start, doc, stop)."""
+    ends = np.cumsum(windows)
+    gone, runs = np.zeros(ends[-1] + 1, np.int64), []
+    for unit, window, n in resolve_windows(data, start, windows, keys, docs):
+        at = offsets[unit] + window
+        runs.append((at, docs[unit], at + n + LENGTH - 1))
+        np.add.at(gone, (ends - windows)[unit] + window, 1)
+        np.add.at(gone, (ends - windows)[unit] + window + n, -1)
+    kept = np.flatnonzero(np.cumsum(gone)[:-1] == 0)
+    unit = np.searchsorted(ends, kept, side="right")
+    window = kept - (ends - windows)[unit]
+    return (start[unit] + window, np.ones(len(kept), np.int64), place[unit] - window, docs[unit], offsets[unit] + window), runs
+
+
 def deal(docs: DataFrame, buckets: int, heavy: np.ndarray = NONE) -> DataFrame:
     """Rows for the buckets: compressed units, and (as doc_id, start, stop) what a block could remove by itself."""
 
@@ -351,14 +393,23 @@ def deal(docs: DataFrame, buckets: int, heavy: np.ndarray = NONE) -> DataFrame:
         docs_ = ids[owner]
         gone = resolve_units(data, start, windows, keys, docs_)
         offsets = start - begins[owner]
+        removed = [(offsets[gone], docs_[gone], (offsets + windows + LENGTH - 1)[gone])]
+        is_heavy = within(keys, heavy)
+        stay, hot = np.flatnonzero(~gone & ~is_heavy), np.flatnonzero(~gone & is_heavy)
+        bucket = ((keys[stay] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+        if len(hot):
+            alone, runs = apart(data, start[hot], windows[hot], place[hot], keys[hot], docs_[hot], offsets[hot])
+            removed += runs
+            named = (window_hash(np.concatenate([data, np.zeros(LENGTH + 8, np.uint8)]), alone[0]) % np.uint64(buckets)).astype(np.int32)
+            start, windows, place, docs_, offsets = (np.concatenate([x[stay], y]) for x, y in zip((start, windows, place, docs_, offsets), alone))
+            stay = np.argsort(start, kind="stable")  # by document and offset
+            bucket = np.append(bucket, named)[stay]
         # maximal runs of what is gone, for the rows go through a shuffle
-        a, d, b = offsets[gone], docs_[gone], (offsets + windows + LENGTH - 1)[gone]
+        a, d, b = (np.concatenate(c) for c in zip(*removed))
         if len(a):
             new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (a[1:] > b[:-1]) | (a[1:] < a[:-1])]))
             last = np.append(new[1:], len(a)) - 1
             yield pa.RecordBatch.from_arrays([pa.array((d[new] % buckets).astype(np.int32)), pa.array(d[new]), pa.array(a[new]), pa.array(b[last]), pa.nulls(len(new), pa.binary())], names=["bucket", "doc_id", "start", "stop", "blob"])
-        stay = np.flatnonzero(~gone)
-        bucket = ((keys[stay] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
         by = np.argsort(bucket, kind="stable")
         numbers, firsts = np.unique(bucket[by], return_index=True)
         blobs = []

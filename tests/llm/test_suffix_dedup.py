@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from numpy.lib.stride_tricks import sliding_window_view
 
 from folio.llm import suffix_dedup as sd
 
@@ -115,6 +116,32 @@ def test_heavy_grams_come_last_and_are_split(spark, monkeypatch):
     compare(spark, rows)
 
 
+def test_one_gram_fills_no_bucket(spark, monkeypatch):
+    """Texts of two passages in every order: their windows hold nothing but heavy grams, and still meet only their equals."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "".join(rng.choice(["abcdefghijkl", "mnopqrstuvwx"], 14))) for i in range(150)] + [(900, "-" * 700), (901, "-" * 90), (902, text(1, 60))]
+    monkeypatch.setattr(sd, "HEAVY", 1 / 200)
+    monkeypatch.setattr(sd, "BLOCK_BYTES", 2_000)
+    df = sd.common.documents(frame(spark, rows)).select("doc_id", sd.F.col("text").cast("binary"))
+    heavy = sd.heavy_grams(df, 1 / 200)
+
+    def dealt(heavy):
+        found = [(r["bucket"], sd.unpacked([r["blob"]])) for r in sd.deal(df.coalesce(1), 64, heavy).where("blob is not null").collect()]
+        buckets: dict[int, int] = {}
+        meets: dict[bytes, set[int]] = {}
+        for bucket, (data, start, windows, *_) in found:
+            buckets[bucket] = buckets.get(bucket, 0) + int(windows.sum())
+            for a, n in zip(start, windows):
+                for k in range(n):
+                    meets.setdefault(bytes(data[a + k : a + k + 50]), set()).add(bucket)
+        assert all(len(b) == 1 for b in meets.values())
+        return buckets, meets
+
+    (together, seen), (split, seen_too) = dealt(sd.NONE), dealt(heavy)
+    assert set(seen) == set(seen_too) and max(split.values()) < max(together.values()) / 3
+    compare(spark, rows)
+
+
 def test_windows_of_one_gram_are_compared_in_rounds(monkeypatch):
     monkeypatch.setattr(sd, "ROUND_WINDOWS", 25)
     texts = [(b"%02d" % (k % 7)) * 15 + b"one gram....." + (b"%02d" % (k % 5)) * 15 for k in range(60)]

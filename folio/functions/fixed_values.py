@@ -75,6 +75,10 @@ ABSTRACT, KEYWORDS, ACKNOWLEDGMENT = r"(?i)^(résumé|abstract|summary)", r"(?i)
 HIGHLIGHTS = {
     "orthotypo": "yellow", "footnote": "bright green", "biblio": "turquoise", "ai": "pink", "ai_structure": "violet", "exploratory_structure": "dark yellow", "structure_applied": "teal", "suspect_unhandled": "red",
 }
+NOTE_HIGHLIGHTS = {k: v for k, v in HIGHLIGHTS.items() if k != "ai_structure"}  # notes have no structure to mark
+#: Names of settings in older files, and what they are called here; a mode goes before the flags, of which the oldest switches the editor only
+FORMER_SETTINGS = {"decision_mode": "mode", "enable_structure_ai": "structure_ai", "enable_editorial_ai": "editorial_ai", "max_ai_calls": "calls", "enable_ai": "editorial_ai"}
+FORMER_FLAGS = ["enable_structure_ai", "enable_ai"]
 #: What word-processor files call those colours
 HIGHLIGHT_VALUES = {
     "yellow": "yellow", "bright green": "green", "turquoise": "cyan", "pink": "magenta", "violet": "darkMagenta", "dark yellow": "darkYellow", "teal": "darkCyan", "red": "red",

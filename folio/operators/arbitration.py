@@ -66,6 +66,17 @@ def prompt(kind: Column, excerpt: Column, before: Column, after: Column) -> Colu
     return F.format_string("Candidate: %s\nBefore: %s\nText: %s\nAfter: %s\nAnswer with one JSON object: classification, confidence, reason, recommended_action.", kind, before, excerpt, after)
 
 
+def cluster_prompt(excerpt: Column, n: Column) -> Column:
+    """Asks what several short paragraphs in a row are together; their first lines are shown."""
+    return F.format_string("Candidate: %d short paragraphs in a row, verse or a list\nLines:\n%s\nAnswer for all of them with one JSON object: classification, confidence, reason, recommended_action.", n, F.coalesce(excerpt, F.lit("")))
+
+
+def editorial_prompt(text: Column, before: Column, after: Column) -> Column:
+    """Asks for corrections of a paragraph as `suggestions` reads them."""
+    given = [F.coalesce(c, F.lit("")) for c in (before, text, after)]
+    return F.format_string("Correct spelling, grammar and typography, nothing else; keep the wording.\nBefore: %s\nText: %s\nAfter: %s\nAnswer with one JSON object: corrections, an array of objects with original (occurring once in the text), corrected, raison.", *given)
+
+
 def candidates(diagnostics: DataFrame) -> DataFrame:
     """What a classifier may be asked about: undecided headings and verse, and every entry found by pattern; other modules' findings never."""
     undecided = F.col("category").isin("heading", "verse") & (F.col("decision") == "diagnostic")
@@ -106,7 +117,7 @@ def apply_clusters(blocks: DataFrame, provider: Provider = stub, level: str | No
     needed, limit = budget(level, calls)
     table = cluster_table(blocks)
     table = sequences.first_k(table, F.lit(True), limit).where("chosen").drop("chosen")
-    asked = provider(table.withColumn("prompt", prompt(F.lit("cluster"), F.col("excerpt"), F.lit(""), F.lit(""))))
+    asked = provider(table.withColumn("prompt", cluster_prompt(F.col("excerpt"), F.col("n"))))
     parsed = asked.withColumn("parsed", parse_reply(F.col("reply"))).select("doc_id", "cluster", "positions", "parsed.classification", "parsed.confidence", "parsed.recommended_action")
     zone = F.lower(F.coalesce("protected_zone", F.lit("")))
     state = blocks.select(F.col("doc_id").alias("__doc"), F.col("pos").alias("__pos"), (F.col("block_type") == "paragraph").alias("__paragraph"), (~zone.isin("", "poetry")).alias("__protected"))
@@ -121,9 +132,9 @@ def apply_clusters(blocks: DataFrame, provider: Provider = stub, level: str | No
 
 
 def editorial_prompts(blocks: DataFrame) -> DataFrame:
-    """doc_id, pos, text, before, after of every paragraph long enough to be looked at."""
+    """doc_id, pos, text, before, after and the prompt that asks about it, of every paragraph long enough to be looked at."""
     near = sequences.context(stripped(complete(blocks)), 3)
-    return near.where((F.col("block_type") == "paragraph") & (F.length("s") >= V.EDITORIAL_LENGTH)).select("doc_id", "pos", "text", "before", "after")
+    return near.where((F.col("block_type") == "paragraph") & (F.length("s") >= V.EDITORIAL_LENGTH)).select("doc_id", "pos", "text", "before", "after", editorial_prompt(F.col("text"), F.col("before"), F.col("after")).alias("prompt"))
 
 
 def ask_editor(prompts: DataFrame, call: Callable[[str, str, str], str], calls: int = V.EDITORIAL_CALLS) -> DataFrame:

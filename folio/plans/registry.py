@@ -640,6 +640,17 @@ def report_summary(spark, sf_dir):
     return report.summary(df, df.where("severity = 'error'"), df.where("module = 'typography' and severity = 'info'"))
 
 
+@query("report_whole", f"""{FACTS}, e AS (SELECT * FROM f WHERE severity = 'error'), g AS (SELECT * FROM f WHERE module = 'typography' AND severity = 'info'),
+    m AS (SELECT doc_id, 'Found:' || chr(10) || string_agg('- ' || module || ' | ' || n, chr(10) ORDER BY module) AS r FROM (SELECT doc_id, module, count(*) AS n FROM e GROUP BY ALL) GROUP BY doc_id),
+    c AS (SELECT doc_id, 'Changed:' || chr(10) || '- typography | ' || count(*) AS r FROM g GROUP BY doc_id),
+    d AS (SELECT doc_id, 'Diagnostics:' || chr(10) || string_agg('- rule=' || coalesce(rule, '(none)') || ' | severity=' || severity || ' | category=' || category || CASE WHEN trim(excerpt) <> '' THEN chr(10) || '  excerpt=' || trim(excerpt) ELSE '' END || coalesce(chr(10) || '  target=' || target, ''), chr(10) ORDER BY pos) AS r FROM e GROUP BY doc_id)
+    SELECT t.doc_id, concat_ws(chr(10) || chr(10), 'diagnostics: ' || (SELECT count(*) FROM e WHERE e.doc_id = t.doc_id) || ', transformations: ' || (SELECT count(*) FROM g WHERE g.doc_id = t.doc_id), m.r, c.r, d.r) AS report
+    FROM (SELECT DISTINCT doc_id FROM f) t LEFT JOIN m USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN d USING (doc_id)""")
+def report_whole(spark, sf_dir):
+    df = facts(spark, sf_dir)
+    return report.whole(df, df.where("severity = 'error'"), df.where("module = 'typography' and severity = 'info'"))
+
+
 # --- structure
 
 @query("merge_blank_bounded", f"""{ISLANDS}, e AS (SELECT *, lag(ok) OVER w AS lag_ok, blank_before OR coalesce(lag(s = '') OVER w, FALSE) AS cut, coalesce(lead(blank_before) OVER w, FALSE) OR coalesce(lead(s = '') OVER w, FALSE) AS after
@@ -879,6 +890,12 @@ def ai_editorial_budget(spark, sf_dir):
     return arbitration.ask_editor(arbitration.editorial_prompts(marked_lines(spark, sf_dir)), call, calls=3)
 
 
+@query("ai_editorial_prompts", f"""WITH {Q.BLOCKS}, c AS (SELECT doc_id, pos, s, text, coalesce({_context_sql('3 PRECEDING AND 1 PRECEDING')}, '') AS before, coalesce({_context_sql('1 FOLLOWING AND 3 FOLLOWING')}, '') AS after FROM b)
+    SELECT doc_id, pos, 'Correct spelling, grammar and typography, nothing else; keep the wording.' || chr(10) || 'Before: ' || before || chr(10) || 'Text: ' || text || chr(10) || 'After: ' || after || chr(10) || 'Answer with one JSON object: corrections, an array of objects with original (occurring once in the text), corrected, raison.' AS prompt FROM c WHERE length(s) >= 200""")
+def ai_editorial_prompts(spark, sf_dir):
+    return arbitration.editorial_prompts(marked_lines(spark, sf_dir)).select("doc_id", "pos", "prompt")
+
+
 # --- reports and files
 
 @query("report_union", f"{DIAGNOSTICS} SELECT doc_id, severity, count(*) AS n FROM (SELECT doc_id, severity FROM d UNION ALL SELECT doc_id, 'info' FROM documents) GROUP BY doc_id, severity")

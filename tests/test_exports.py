@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from folio.functions import spans as S
 from folio.operators import arbitration, notes, structure
 from folio.plans.pipeline import Options, run_corpus
-from folio.sources import docx, tei
+from folio.sources import docx, docx_writer, tei
 
 ARRAY = T.ArrayType(S.SPAN).simpleString()
 SCHEMA = f"doc_id long, pos long, block_type string, text string, spans {ARRAY}, table_ooxml string"
@@ -105,15 +105,32 @@ def test_corrections_are_folded_in_order(spark):
     assert [(r["before"], r["after"]) for r in arbitration.correction_changes(done).orderBy("k").collect()] == [("Un mot ici.", "Un terme ici."), ("Un terme ici.", "Un terme là.")]
 
 
-def test_the_editor_is_asked_by_the_pipeline(spark):
+def test_the_editor_is_asked_by_the_pipeline(spark, tmp_path):
     text = "Une phrase assez longue. " * 10 + "Le chat dor."
 
     def editor(text, before, after):
         return json.dumps({"corrections": [{"original": "dor", "corrected": "dort", "raison": "verbe"}, {"original": "chat dort", "corrected": "chien dort", "raison": "x"}]})
 
-    done = run_corpus(spark.createDataFrame([(1, 0, text)], "doc_id long, pos long, text string"), Options(mode="deterministic", editor=editor))
+    done = run_corpus(spark.createDataFrame([(1, 0, text)], "doc_id long, pos long, text string"), Options(mode="heuristic", editor=editor, stage_path=str(tmp_path)))
     assert done.blocks.first()["text"].endswith("Le chien dort.") and done.transformations.where("module = 'editorial'").count() == 2
     assert "editor" not in json.loads(Options(editor=editor).to_json())
+    report = done.report().first()["report"]
+    assert report.startswith("diagnostics: ") and "Changed:\n- editorial | 2" in report
+    assert [Options(mode=m, editor=editor).edited for m in ("heuristic", "heuristic_ai_local", "deterministic", "ai_exploratory")] == [True, True, False, False]
+    assert not Options(editor=editor, editorial_ai=False).edited and not Options().edited
+
+
+def test_prompts(spark):
+    row = spark.createDataFrame([("a", None, 3)], "text string, before string, n int").select(arbitration.editorial_prompt(S.F.col("text"), S.F.col("before"), S.F.lit("z")).alias("e"), arbitration.cluster_prompt(S.F.col("text"), S.F.col("n")).alias("c")).first()
+    assert "\nBefore: \nText: a\nAfter: z\n" in row["e"] and "raison" in row["e"] and row["c"].startswith("Candidate: 3 ") and "\na\n" in row["c"]
+
+
+def test_notes_are_highlighted(spark):
+    blocks = spark.createDataFrame([(1, 0, "x")], "doc_id long, pos long, text string")
+    notes = spark.createDataFrame([(1, f"n{k}", f"note {k}", h) for k, h in enumerate(["footnote", "ai_structure", None, "odd"])], "doc_id long, note_id string, text string, highlight string")
+    assert {r["note_id"]: r["colour"] for r in docx.note_formatting(notes).collect()} == {"n0": "bright green", "n1": None, "n2": None, "n3": None}
+    archive = zipfile.ZipFile(io.BytesIO(bytes(docx_writer.write(blocks, notes).first()["content"])))
+    assert archive.read("word/footnotes.xml").decode().count("<w:highlight w:val=\"green\"/>") == 1 and archive.read("word/footnotes.xml").decode().count("<w:highlight") == 1
 
 
 def test_broken_files_are_rows(spark):

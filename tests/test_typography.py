@@ -77,3 +77,13 @@ def test_note_calls(spark):
     assert got == {"n1": (0, [0, 2], 1), "n2": (1, [1], 2), "n3": (None, None, 3)}
     done = {r["note_id"]: (r["text"], r["changed"]) for r in notes.normalise(table).collect()}
     assert done["n1"] == ("X.", True)
+
+
+def test_capitals_of_notes_are_those_of_sql(spark):
+    """Letters whose capital takes several characters (ß, ligatures, Greek with iota) get one, as in SQL."""
+    import duckdb
+
+    letters = [c for c in map(chr, [*range(0x20, 0x530), *range(0x1E00, 0x2000), *range(0xFB00, 0xFB18)]) if len(c.upper()) > 1 or c.isalpha() and c.isascii()]
+    got = [r[0] for r in spark.createDataFrame([(k, c + "x.") for k, c in enumerate(letters)], "k int, t string").orderBy("k").select(F.substring(typography.note_text(F.col("t")), 1, 1)).collect()]
+    assert got == [duckdb.execute("select upper(?)", [c]).fetchone()[0] for c in letters]
+    assert one(spark, "ßheit", typography.note_text) == "ẞheit."

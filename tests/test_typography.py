@@ -87,3 +87,9 @@ def test_capitals_of_notes_are_those_of_sql(spark):
     got = [r[0] for r in spark.createDataFrame([(k, c + "x.") for k, c in enumerate(letters)], "k int, t string").orderBy("k").select(F.substring(typography.note_text(F.col("t")), 1, 1)).collect()]
     assert got == [duckdb.execute("select upper(?)", [c]).fetchone()[0] for c in letters]
     assert one(spark, "ßheit", typography.note_text) == "ẞheit."
+
+
+def test_addresses_are_no_thousands(spark):
+    """Addresses side by side stay as they are, as in the query's SQL; numbers beside them and with decimals don't."""
+    text = "hôte 190.137.223.204 170.106.47.218 fin 1 500 000 192.168.1.1 et 12 345.50"
+    assert one(spark, text, typography.RULES["thousands"]) == f"hôte 190.137.223.204 170.106.47.218 fin 1{N}500{N}000 192.168.1.1 et 12{N}345.50"

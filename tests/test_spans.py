@@ -104,3 +104,15 @@ def test_pieces_are_composed():
     table = S.piece_table(6, ["ab" + edit("c", "XY") + "def", edit("abX", "Q") + "Y" + edit("", "Z") + "def"])
     assert table == [(-1, 1), (-3, 1), (-4, 1), (3, 3)] and S.piece_regions(table) == [(0, 3)]
     assert S.move([span("abc"), span("def", bold=True)], [edit("abc", "abd") + "def"], "abddef")[0]["text"] == "ab"
+
+
+def test_a_side_that_lies_in_the_other_needs_no_search(monkeypatch):
+    """The longest match of a text and the same text between marks is the text itself: no table and no hashes are made."""
+    from folio.functions import spans
+
+    def refuse(*_):
+        raise AssertionError("searched")
+
+    monkeypatch.setattr(spans.Matcher, "_prefixes", staticmethod(refuse))
+    text = "abcdefghij" * 50
+    assert spans.regions(text, f"+++++{text}+++++") == [(0, 5), (505, 510)] and spans.regions(f"+++++{text}+++++", text) == []

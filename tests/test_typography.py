@@ -93,3 +93,9 @@ def test_addresses_are_no_thousands(spark):
     """Addresses side by side stay as they are, as in the query's SQL; numbers beside them and with decimals don't."""
     text = "hôte 190.137.223.204 170.106.47.218 fin 1 500 000 192.168.1.1 et 12 345.50"
     assert one(spark, text, typography.RULES["thousands"]) == f"hôte 190.137.223.204 170.106.47.218 fin 1{N}500{N}000 192.168.1.1 et 12{N}345.50"
+
+
+def test_spaces_before_strong_marks_by_whole_tokens(spark):
+    """Only tokens with a slash are cut out; a noncharacter of the text's own is no mark."""
+    given = f"a/b; c: d \ufdd0 e{B}; x:1 1:x 1:2 f\\g? h ?"
+    assert one(spark, given, typography.RULES["space_strong"]) == f"a/b; c{N}: d \ufdd0 e{N}; x{N}:1 1{N}:x 1:2 f\\g? h{N}?"
